@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import bpe_automaton, directly_addressable, mixing
 
 QUERIES = {
     "op3_mix_sources": mixing.query,
+    "op4_bpe_automaton": bpe_automaton.query,
+    "op10_directly_addressable": directly_addressable.query,
 }
 
 ORACLES = {
