@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def slices(batches: Iterable[pa.RecordBatch], name: str = "text", most: int = 4
         if not b.num_rows:
             continue
         c = b.column(b.schema.get_field_index(name))
-        n = np.asarray(pa.compute.fill_null(pa.compute.binary_length(c), 0), dtype=np.int64)
+        n = np.asarray(pc.fill_null(pc.binary_length(c), 0), dtype=np.int64)
         block = np.cumsum(n) // most
         cuts = np.flatnonzero(np.diff(block)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(n)], strict=True):
