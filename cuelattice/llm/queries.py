@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, directly_addressable, mixing
+from . import bpe_automaton, directly_addressable, mixing, secrets, toxicity
 
 QUERIES = {
     "op3_mix_sources": mixing.query,
     "op4_bpe_automaton": bpe_automaton.query,
+    "op5_secret_scan": secrets.query,
+    "op6_toxicity": toxicity.query,
     "op10_directly_addressable": directly_addressable.query,
 }
 
