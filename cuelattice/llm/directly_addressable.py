@@ -135,7 +135,7 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, Levels]:
 class WordIds(dict):
     """Pre-split word to its ids (32-bit little-endian bytes) by the tokenizers library; forgets all when large."""
 
-    most = 500_000
+    most = 900_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
