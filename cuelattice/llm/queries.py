@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, directly_addressable, mixing, secrets, toxicity
+from . import bpe_automaton, directly_addressable, mixing, progressive_jpeg, secrets, toxicity
 
 QUERIES = {
+    "op1_progressive_jpeg": progressive_jpeg.query,
     "op3_mix_sources": mixing.query,
     "op4_bpe_automaton": bpe_automaton.query,
     "op5_secret_scan": secrets.query,
