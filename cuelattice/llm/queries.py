@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, directly_addressable, mixing, progressive_jpeg, secrets, toxicity
+from . import bpe_automaton, directly_addressable, edit_embedding, mixing, progressive_jpeg, secrets, toxicity
 
 QUERIES = {
     "op1_progressive_jpeg": progressive_jpeg.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_bpe_automaton": bpe_automaton.query,
     "op5_secret_scan": secrets.query,
     "op6_toxicity": toxicity.query,
+    "op7_edit_embedding": edit_embedding.query,
     "op10_directly_addressable": directly_addressable.query,
 }
 
