@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, directly_addressable, edit_embedding, mixing, progressive_jpeg, secrets, toxicity
+from . import bpe_automaton, directly_addressable, edit_embedding, jaccard_join, mixing, progressive_jpeg, secrets, toxicity
 
 QUERIES = {
     "op1_progressive_jpeg": progressive_jpeg.query,
@@ -11,9 +11,11 @@ QUERIES = {
     "op5_secret_scan": secrets.query,
     "op6_toxicity": toxicity.query,
     "op7_edit_embedding": edit_embedding.query,
+    "op9_jaccard_join": jaccard_join.query,
     "op10_directly_addressable": directly_addressable.query,
 }
 
 ORACLES = {
+    "op9_jaccard_join": jaccard_join.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
 }
