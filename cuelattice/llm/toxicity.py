@@ -28,16 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHashes, column, documents, slices, text_or_empty
+from .common import column, documents, drop_table, materialise, slices, text_or_empty
 
 SAMPLE = 12_000
 LEAST_DOCS = 8
 LEAST_Z = 3.0
 STEPS = 400
+#: Words with less weight are left out of the trained model.
+LEAST_WEIGHT = 0.2
 THRESHOLD = 0.3
 #: Words, and what ends a sentence.
-PARTS = re.compile(r"[^\W\d_]+|[.!?\n]")
-ENDS = frozenset(".!?\n")
+PARTS = re.compile(r"[^\W\d_]+")
+ENDING = re.compile(r"[.!?\n]")
 
 
 @dataclass
@@ -48,44 +50,27 @@ class Model:
 
     def sentence_scores(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, score) of the sentences that hold a word of the model."""
-        out, at, total, hit = [], 0, 0.0, False
-        for m in PARTS.finditer(text.lower() if len(text.lower()) == len(text) else text):
-            p = m.group()
-            if p in ENDS:
-                if hit:
-                    out.append((at, m.end(), float(_sigmoid(self.bias + total))))
-                at, total, hit = m.end(), 0.0, False
-            elif p in self.weights:
-                total += self.weights[p]
-                hit = True
-        if hit:
-            out.append((at, len(text), float(_sigmoid(self.bias + total))))
+        out, at = [], 0
+        for sentence in ENDING.split(text):
+            hits = [self.weights[w] for w in PARTS.findall(sentence.lower()) if w in self.weights]
+            if hits:
+                out.append((at, at + len(sentence), float(_sigmoid(self.bias + sum(hits)))))
+            at += len(sentence) + 1
         return out
 
     def score(self, text: str) -> float:
-        parts = PARTS.findall(text.lower())
-        get = self.weights.get
-        clear, base, total, words = 1.0 - self.leak, 1.0 - float(_sigmoid(self.bias)), 0.0, 0
-        plain = 0
-        for p in parts:
-            if p in ENDS:
-                if words:
-                    if total:
-                        clear *= 1.0 - float(_sigmoid(self.bias + total))
-                    else:
-                        plain += 1
-                    total, words = 0.0, 0
-            else:
-                words += 1
-                w = get(p)
-                if w is not None:
-                    total += w
-        if words:
-            if total:
-                clear *= 1.0 - float(_sigmoid(self.bias + total))
-            else:
+        text = text.lower()
+        clear, plain, weights = 1.0 - self.leak, 0, self.weights
+        known = weights.keys()
+        for sentence in ENDING.split(text):
+            words = PARTS.findall(sentence)
+            if not words:
+                continue
+            if known.isdisjoint(words):
                 plain += 1
-        return float(min(1.0, max(0.0, 1.0 - clear * base**plain)))
+            else:
+                clear *= 1.0 - float(_sigmoid(self.bias + sum(weights[w] for w in words if w in weights)))
+        return min(1.0, max(0.0, 1.0 - clear * (1.0 - float(_sigmoid(self.bias))) ** plain))
 
 
 def _sigmoid(x):
@@ -107,103 +92,98 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document as 64-bit words with 0 between its sentences."""
-    hashes = TokenHashes()
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's distinct words with its label."""
     for b in slices(batches):
-        bags = [np.array([0 if p in ENDS else hashes[p.encode()] or 1 for p in PARTS.findall(t.decode().lower())], np.int64).tobytes() for t in column(b, "text")]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.binary())], names=["toxic", "bag"])
+        words, marks = [], []
+        for toxic, t in zip(column(b, "toxic"), column(b, "text"), strict=True):
+            found = sorted(set(PARTS.findall(t.decode().lower())))
+            words += found
+            marks += [int(toxic > 0)] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(marks, pa.int32())], names=["word", "toxic"])
+
+
+def _bags(chosen: dict[str, int]):
+    """Each document's sentences with chosen words (their numbers, -1 between sentences) and its count of other sentences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = []
+            for toxic, t in zip(column(b, "toxic"), column(b, "text"), strict=True):
+                bag, plain = [], 0
+                for sentence in ENDING.split(t.decode().lower()):
+                    words = PARTS.findall(sentence)
+                    hits = [chosen[w] for w in words if w in chosen]
+                    if hits:
+                        bag += [*hits, -1]
+                    else:
+                        plain += bool(words)
+                rows.append((int(toxic > 0), plain, np.array(bag, np.int32).tobytes()))
+            toxic, plain, bags = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(plain, pa.int64()), pa.array(bags, pa.binary())], names=["toxic", "plain", "bag"])
+
+    return run
 
 
-def fit(bags: list[bytes], labels: np.ndarray, steps: int = STEPS) -> tuple[dict[int, float], float, float]:
-    """Weights by word hash, bias and leak."""
+def fit(bags: list[bytes], plain: np.ndarray, labels: np.ndarray, words: int, steps: int = STEPS) -> tuple[np.ndarray, float, float]:
+    """Weights of the words by number, bias and leak."""
     y = labels.astype(float)
-    if not len(y) or y.max() == y.min():
-        return {}, -20.0, float(y.mean()) if len(y) else 0.0
-    words, docs, sentences, seen = [], [], [], 0
+    rate = float(y.mean())
+    f, s, sentence_doc = [], [], []
     for i, bag in enumerate(bags):
-        a = np.frombuffer(bag, np.int64)
-        s = np.cumsum(a == 0)
-        kept = a != 0
-        words.append(a[kept])
-        sentences.append(s[kept] + seen)
-        docs.append(np.full(int(kept.sum()), i))
-        seen += int(s[-1]) + 1 if len(s) else 1
-    w, d, s = np.concatenate(words), np.concatenate(docs), np.concatenate(sentences)
-    vocabulary, ids = np.unique(w, return_inverse=True)
-    pairs = np.unique(ids.astype(np.int64) * len(y) + d)
-    pair_word, pair_doc = pairs // len(y), pairs % len(y)
-    n = np.bincount(pair_word, minlength=len(vocabulary))
-    k = np.bincount(pair_word, y[pair_doc], minlength=len(vocabulary))
-    rate = y.mean()
-    z = (k - n * rate) / np.sqrt(n * rate * (1 - rate))
-    chosen = (n >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
-    new = np.cumsum(chosen) - 1
-    kept = chosen[ids]
-    f, d, s = new[ids[kept]], d[kept], s[kept]
-    # Sentences with a chosen word get a score of their own; the others of a document score sigmoid(bias) each.
-    sentence, s = np.unique(s, return_inverse=True)
-    sentence_doc = np.zeros(len(sentence), np.int64)
-    sentence_doc[s] = d
-    hit = np.bincount(sentence_doc, minlength=len(y))
-    total = np.array([np.count_nonzero(np.diff(np.concatenate([[0], np.frombuffer(b, np.int64) != 0]).astype(int)) == 1) for b in bags])
-    plain = np.maximum(total - hit, 0)
-    theta = np.concatenate([np.zeros(int(chosen.sum())), [-6.0, np.log(max(rate, 1e-3) / 2)]])
+        a = np.frombuffer(bag, np.int32)
+        if len(a):
+            ends = a < 0
+            s.append((np.cumsum(ends) - ends)[~ends] + len(sentence_doc))
+            f.append(a[~ends])
+            sentence_doc += [i] * int(ends.sum())
+    f = np.concatenate([np.zeros(0, np.int32), *f])
+    s = np.concatenate([np.zeros(0, np.int64), *s])
+    sentence_doc = np.array(sentence_doc, np.int64)
+    theta = np.concatenate([np.zeros(words), [-6.0, np.log(max(rate, 1e-3) / 2)]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         weights, bias, leak = theta[:-2], theta[-2], _sigmoid(theta[-1])
-        p = _sigmoid(bias + np.bincount(s, weights[f], minlength=len(sentence)))
+        p = _sigmoid(bias + np.bincount(s, weights[f], minlength=len(sentence_doc)))
         p0 = _sigmoid(bias)
         log_clear = np.log1p(-leak) + np.bincount(sentence_doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y)) + plain * np.log1p(-p0)
         score = np.clip(-np.expm1(log_clear), 1e-9, 1.0)
-        # d log likelihood / d (-log clear): y * clear / score - (1 - y)
+        # d log likelihood / d (-log clear)
         g = y * (1 - score) / score - (1 - y)
         by_sentence = g[sentence_doc] * p
-        grad = np.concatenate([np.bincount(f, by_sentence[s], minlength=len(weights)) - 0.5 * weights, [by_sentence.sum() + (g * plain * p0).sum(), (g * leak).sum()]])
+        grad = np.concatenate([np.bincount(f, by_sentence[s], minlength=words) - 0.5 * weights, [by_sentence.sum() + (g * plain * p0).sum(), (g * leak).sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    weights = {int(h): float(x) for h, x in zip(vocabulary[chosen], theta[:-2], strict=True)}
-    return weights, float(theta[-2]), float(_sigmoid(theta[-1]))
+    return theta[:-2], float(theta[-2]), float(_sigmoid(theta[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = training_rows(docs, labels, sample).select("toxic", "text").mapInArrow(_bags, "toxic int, bag binary").toArrow()
-    toxic, bags = np.array(rows["toxic"].to_pylist()), rows["bag"].to_pylist()
-    order = sorted(range(len(bags)), key=bags.__getitem__)  # the same sums whatever the order of arrival
-    weights, bias, leak = fit([bags[i] for i in order], (toxic[order] > 0).astype(int) if len(order) else toxic)
-    return Model(leak, bias, weights)
-
-
-def _scored(docs: DataFrame, model: Model, schema: str, make) -> DataFrame:
+    """Words are chosen by executors; the driver gets the chosen ones and the sentences that hold them."""
+    rows, path = materialise(training_rows(docs, labels, sample).select("toxic", "text"), "toxic-sample")
+    n, k = rows.agg(F.count(F.lit(1)), F.sum((F.col("toxic") > 0).cast("long"))).first()
+    if not n or k in (0, n):
+        return Model(k / n if n else 0.0, -20.0, {})
+    rate = k / n
+    counted = rows.mapInArrow(_words, "word string, toxic int").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
+    z = (F.col("k") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
+    chosen = sorted(r.word for r in counted.where((F.col("n") >= LEAST_DOCS) & (F.abs(z) >= LEAST_Z)).select("word").collect())
+    bags = rows.mapInArrow(_bags({w: i for i, w in enumerate(chosen)}), "toxic int, plain long, bag binary").toArrow().to_pydict()
+    drop_table(docs.sparkSession, path)
+    # The same sums whatever the order of arrival.
+    order = sorted(range(n), key=lambda i: (bags["bag"][i], bags["plain"][i], bags["toxic"][i]))
+    plain, toxic = (np.array(bags[c])[order] for c in ("plain", "toxic"))
+    weights, bias, leak = fit([bags["bag"][i] for i in order], plain, toxic, len(chosen))
+    return Model(leak, bias, {w: float(x) for w, x in zip(chosen, weights, strict=True) if abs(x) >= LEAST_WEIGHT})
+
+
+def _scored(docs: DataFrame, model: Model, schema, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The model's words are hashes: spell them as they are met.
-        lookup = _Spelled(model.weights)
-        local = Model(model.leak, model.bias, lookup)
         for b in slices(batches):
-            yield make(local, b)
+            yield make(model, b)
 
     return docs.mapInArrow(run, schema)
 
 
-class _Spelled(dict):
-    """Word to weight by its hash, remembered."""
-
-    def __init__(self, by_hash: dict[int, float]):
-        super().__init__()
-        self.by_hash, self.hashes = by_hash, TokenHashes()
-
-    def get(self, word: str, default=None):
-        found = super().get(word, self)
-        if found is self:
-            if len(self) > 400_000:
-                self.clear()
-            found = self[word] = self.by_hash.get(self.hashes[word.encode()] or 1)
-        return found
-
-    def __contains__(self, word) -> bool:
-        return self.get(word) is not None
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted and offending (start:end of the sentences that score the threshold or more)."""
 
