@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, directly_addressable, edit_embedding, jaccard_join, mixing, progressive_jpeg, secrets, toxicity
+from . import bpe_automaton, directly_addressable, edit_embedding, jaccard_join, mixing, progressive_jpeg, secrets, suffix_tree, toxicity
 
 QUERIES = {
+    "op2_suffix_tree": suffix_tree.query,
     "op1_progressive_jpeg": progressive_jpeg.query,
     "op3_mix_sources": mixing.query,
     "op4_bpe_automaton": bpe_automaton.query,
