@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, documents, materialise, slices, text_or_empty
-from .presplit import BYTE_LEVEL, is_latin1
+from .presplit import BYTE_LEVEL, byte_symbols, is_latin1
 
 MAGIC = b"DAC1"
 EVERY = 512
@@ -135,7 +135,7 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, Levels]:
 class WordIds(dict):
     """Pre-split word to its ids (32-bit little-endian bytes) by the tokenizers library; forgets all when large."""
 
-    most = 900_000
+    most = 450_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -143,6 +143,8 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model  # skips what a pre-split word does not need
+        self.symbols = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
@@ -151,7 +153,8 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        found = self[word] = self.whole(word)
+        symbols = word.encode().decode("latin-1").translate(self.symbols)
+        found = self[word] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
         return found
 
     def encode(self, text: str) -> bytes:
