@@ -102,9 +102,11 @@ def apply_mix(docs: DataFrame, most_epochs: int = MOST_EPOCHS) -> DataFrame:
     counts = F.concat(F.array_repeat(F.col("size").cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     rows = rows.select("doc_row", "size", F.explode(counts).alias("words"))
     # The words up to the budget, with the white space between them.
-    head = F.regexp_substr(F.col("doc_row.text"), F.concat(F.lit(rf"\A(?:[\x20\x09-\x0D]*{WORD}){{"), F.col("words"), F.lit("}")))
+    pieces = F.regexp_extract_all(F.col("doc_row.text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    head = F.array_join(F.slice(pieces, F.lit(1), F.col("words")), "")
     text = F.when(F.col("words") == F.col("size"), F.col("doc_row.text")).otherwise(head)
-    return rows.select(*[(text if c == "text" else F.col(f"doc_row.`{c}`")).alias(c) for c in columns])
+    new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {"text": text}
+    return rows.select(*[(new[c] if c in new else F.col(f"doc_row.`{c}`")).alias(c) for c in columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

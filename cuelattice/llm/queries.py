@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, directly_addressable, edit_embedding, jaccard_join, mixing, progressive_jpeg, secrets, suffix_tree, toxicity
+from . import bpe_automaton, bwt_dedup, directly_addressable, edit_embedding, jaccard_join, mixing, progressive_jpeg, secrets, suffix_tree, toxicity
 
 QUERIES = {
     "op2_suffix_tree": suffix_tree.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secret_scan": secrets.query,
     "op6_toxicity": toxicity.query,
     "op7_edit_embedding": edit_embedding.query,
+    "op8_bwt_dedup": bwt_dedup.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_directly_addressable": directly_addressable.query,
 }
