@@ -1,10 +1,61 @@
-"""A corpus pipeline over documents, made of the operators in cuelattice.llm."""
+"""A corpus pipeline over ``documents``, made of the operators in cuelattice.llm.
 
-STAGES = []
+Toxic documents go, one document of each group of near duplicates stays,
+secrets are masked, sources are mixed to their target weights, and the rows of
+the mix become token ids.  Each stage takes and returns a table; all but the
+last keep the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cuelattice.llm import bpe_automaton, jaccard_join, mixing, secrets, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents whose multiple-instance score reaches the threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.reject(docs, toxicity.train(docs, labels))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least doc_id of each class of the Jaccard join."""
+    return jaccard_join.keep_one(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets; every document stays."""
+    return secrets.redact(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat, keep or leave documents so that each source meets its target."""
+    return mixing.apply_mix(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, ids, n_tokens, and the digest of what the ids decode to."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = bpe_automaton.decode(bpe_automaton.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text"), path)
+    return rows.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("tokens", tokenize),
+]
+
+#: Training and tokenizing are beyond SQL; the tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
