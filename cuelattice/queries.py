@@ -1,4 +1,8 @@
-"""Registry of the library's own queries (filled by the plan modules)."""
+"""All queries of the library proper, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from .plans import queries as _plans
+
+QUERIES = dict(_plans.QUERIES)
+ORACLES = dict(_plans.ORACLES)
