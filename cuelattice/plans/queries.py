@@ -313,3 +313,100 @@ def hash_embed_search(spark, sf_dir):
     raw = [b - 128.0 for b in hashlib.sha256(b"how is a transaction committed").digest()]
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.lit("active").alias("status"), F.lit("cue").alias("node_type"), scalar.hash_embedding("text").alias("embedding"))
     return vector.knn(rows, raw, 5)
+
+
+# ------------------------------------------------------------------ walk
+
+
+@query(", topics AS (SELECT 'content:doc:' || doc_id AS id, doc_id FROM documents WHERE doc_id % 10 = 0), " + """
+cue_part AS (SELECT t.id AS qid, n.id AS candidate_id, 0 AS branch, e.edge_seq FROM topics t JOIN edges e ON e.target_id = t.id AND e.edge_type = 'cue_of' JOIN nodes n ON n.id = e.source_id AND n.node_type = 'cue' AND n.status = 'active'),
+peer_part AS (SELECT t.id AS qid, c.id AS candidate_id, 1 AS branch, e.edge_seq FROM topics t JOIN edges e ON e.source_id = t.id AND e.edge_type = 'part_of_topic' LEFT JOIN redirects r ON r.id = e.target_id
+  JOIN nodes c ON c.id = coalesce(r.redirect_id, e.target_id) AND c.node_type = 'content' AND c.status = 'active')
+SELECT * FROM cue_part UNION ALL SELECT * FROM peer_part""")
+def walk_candidates(spark, sf_dir):
+    """Candidates of every tenth document as a current node."""
+    from ..operators import walk
+
+    graph = projection.graph(spark, sf_dir)
+    current = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.concat(F.lit("content:doc:"), F.col("doc_id").cast("string")).alias("id"))
+    found = walk.candidates(graph, current.withColumn("qid", F.col("id")))
+    return found.select("qid", "candidate_id", "ord.branch", "ord.edge_seq")
+
+
+@query()
+def reconstruct_rule(spark, sf_dir):
+    """Walks of 100 vector queries, 3 seeds each, by the rule planner; as 3 steps of a depth-first state this has no oracle in SQL."""
+    from ..operators import walk
+
+    graph = projection.graph(spark, sf_dir)
+    queries = table(spark, sf_dir, "embeddings").where("vec_id < 100").select(F.col("vec_id").cast("string").alias("qid"), "embedding")
+    hits = vector.knn_batch(graph.nodes, queries, 3, "cue")
+    seeds = hits.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda h: h["node_id"]).alias("seeds"))
+    return walk.reconstruct(graph, seeds, walk.rule_planner(), budget=3)
+
+
+# ------------------------------------------------------------------ cross-references
+
+
+def _occurrences(spark, sf_dir) -> DataFrame:
+    """Line items as occurrences: suppliers are files, parts symbols, the first line of an order defines."""
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    empty = F.lit(None).cast("array<int>")
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("src/f"), (F.col("l_suppkey") % 50).cast("string"), F.lit(".py")).alias("relative_path"), (F.col("l_suppkey") % 50).cast("int").alias("doc_idx"), (key * 10 + line).alias("occ_idx"),
+        F.concat(F.lit("sym "), (F.col("l_partkey") % 500).cast("string"), F.lit("#")).alias("symbol"), F.when(line == 1, 1).otherwise(8).alias("symbol_roles"),
+        F.when(line % 4 == 0, F.struct((key % 1000).cast("int").alias("line"), line.cast("int").alias("start_character"), (line + 5).cast("int").alias("end_character"))).alias("single_line"),
+        F.when(line % 4 == 1, F.struct((key % 1000).cast("int").alias("start_line"), line.cast("int").alias("start_character"), (key % 1000 + 2).cast("int").alias("end_line"), F.lit(1).alias("end_character"))).alias("multi_line"),
+        F.when(line % 4 == 2, F.array((key % 1000).cast("int"), line.cast("int"), (line + 9).cast("int"))).when(line % 4 == 3, F.array((key % 1000).cast("int"), line.cast("int"), (key % 1000 + 1).cast("int"), F.lit(4))).otherwise(empty).alias("range"),
+    )
+
+
+_OCC = """WITH occ AS (
+  SELECT 'src/f' || (l_suppkey % 50) || '.py' AS relative_path, l_orderkey * 10 + l_linenumber AS occ_idx, 'sym ' || (l_partkey % 500) || '#' AS symbol, l_linenumber = 1 AS is_definition,
+         CAST(l_orderkey % 1000 AS INTEGER) AS start_line, l_linenumber AS start_character,
+         CAST(CASE l_linenumber % 4 WHEN 0 THEN l_orderkey % 1000 WHEN 1 THEN l_orderkey % 1000 + 2 WHEN 2 THEN l_orderkey % 1000 ELSE l_orderkey % 1000 + 1 END AS INTEGER) AS end_line,
+         CAST(CASE l_linenumber % 4 WHEN 0 THEN l_linenumber + 5 WHEN 1 THEN 1 WHEN 2 THEN l_linenumber + 9 ELSE 4 END AS INTEGER) AS end_character
+  FROM lineitem) """
+
+
+@plain(_OCC + "SELECT relative_path, occ_idx, symbol, start_line, start_character, end_line, end_character FROM occ WHERE is_definition")
+def scip_definitions(spark, sf_dir):
+    from ..operators import scip
+
+    return scip.definitions(_occurrences(spark, sf_dir)).drop("doc_idx", "is_definition")
+
+
+@plain(_OCC + "SELECT relative_path, occ_idx, symbol, start_line, end_line FROM occ WHERE NOT is_definition AND symbol IN (SELECT DISTINCT 'sym ' || (p_partkey % 500) || '#' FROM part WHERE p_size = 7)")
+def scip_references(spark, sf_dir):
+    """References of contents whose ids are symbols, for the parts of one size."""
+    from ..operators import scip
+
+    ids = table(spark, sf_dir, "part").where("p_size = 7").select(F.concat(F.lit("sym "), (F.col("p_partkey") % 500).cast("string"), F.lit("#")).alias("content_id")).distinct()
+    nodes = ids.select(F.col("content_id").alias("id"), F.lit("content").alias("node_type"))
+    return scip.content_references(nodes, _occurrences(spark, sf_dir), ids).select("relative_path", "occ_idx", "symbol", "start_line", "end_line")
+
+
+@plain(_OCC + "SELECT relative_path AS source_file, start_line + 1 AS lineno, arg_max(symbol, {'a': occ_idx, 'b': symbol}) AS scip_symbol FROM occ WHERE is_definition GROUP BY ALL")
+def scip_line_symbols(spark, sf_dir):
+    from ..operators import scip
+
+    return scip.line_symbols(_occurrences(spark, sf_dir))
+
+
+@plain("""WITH rel AS (
+  SELECT CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'src/f' || (s_suppkey % 5) || '.py' END AS relative_path, s_suppkey AS sym_idx, 'sym ' || (s_suppkey % 40) || '#' AS symbol, 'sym ' || (s_suppkey % 7) || '#' AS target, s_nationkey % 2 = 0 AS is_implementation FROM supplier),
+contents AS (SELECT DISTINCT 'sym ' || (s_suppkey % 40) || '#' AS symbol, 'src/f' || (s_suppkey % 40 % 5) || '.py' AS source_file FROM supplier),
+ranked AS (SELECT r.*, rank() OVER (PARTITION BY r.symbol ORDER BY r.relative_path IS NULL, sym_idx) AS place FROM contents c JOIN rel r ON r.symbol = c.symbol AND (r.relative_path = c.source_file OR r.relative_path IS NULL))
+SELECT symbol, target FROM ranked WHERE place = 1 AND is_implementation""")
+def scip_relations(spark, sf_dir):
+    from ..operators import scip
+
+    key = F.col("s_suppkey")
+    symbol = F.concat(F.lit("sym "), (key % 40).cast("string"), F.lit("#"))
+    even = F.col("s_nationkey") % 2 == 0
+    relationships = table(spark, sf_dir, "supplier").select(
+        F.when(key % 3 != 0, F.concat(F.lit("src/f"), (key % 5).cast("string"), F.lit(".py"))).alias("relative_path"), key.alias("sym_idx"), symbol.alias("symbol"), F.concat(F.lit("sym "), (key % 7).cast("string"), F.lit("#")).alias("target"),
+        F.lit(False).alias("is_reference"), even.alias("is_implementation"), (~even).alias("is_type_definition"), F.lit(False).alias("is_definition"),
+    )
+    contents = table(spark, sf_dir, "supplier").select(symbol.alias("id"), F.concat(F.lit("src/f"), (key % 40 % 5).cast("string"), F.lit(".py")).alias("source_file"), F.lit("content").alias("node_type")).distinct()
+    return scip.content_relations(contents, relationships, contents.select(F.col("id").alias("content_id")), "is_implementation").select("symbol", "target")
