@@ -26,6 +26,7 @@ anything; texts under 50 bytes stay; further columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, documents, materialise, slices, text_or_empty
+from .common import column, documents, drop_table, materialise, slices, text_or_empty
 from .suffix_tree import _pack, _runs, _unpack
 
 LENGTH = 50
@@ -431,12 +432,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, h1, h2, text), and for each text with removals its ranges."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _hashed(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
+
+
+def _candidates(rows: DataFrame, parts: int) -> str:
+    """Write the snippets of all slices; returns the table's path.
+
+    Nothing that refers to the shuffles behind the table is left when this returns.
+    """
     known = rows.where("doc_id IS NOT NULL").select("h1", "h2", "doc_id", "text")
     sent = known.mapInArrow(_send_anchors(parts), ANCHORS)
     shared = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_find_shared(parts), SHARED)
@@ -448,17 +453,37 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     texts = known.mapInArrow(distinct, TEXTS).join(by_text, F.col("h1") == F.col("key")).drop("key")
     snippets = texts.sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(_send_snippets(parts * BUCKETS), SNIPPETS)
-    snippets, _ = materialise(snippets, "snippets")
-    spark.sparkContext._jvm.System.gc()  # the shuffles behind that table are of no more use; Spark drops them once collected
+    return materialise(snippets, "snippets")[1]
+
+
+def _removed(snippets: DataFrame, parts: int) -> str:
+    """Write the ranges to remove from each text; returns the table's path."""
     requests = snippets.where("bucket >= 0").select("bucket", "slice", "snippets", "sizes", "anchors", "docs")
     answers = requests.repartition(parts * BUCKETS, "bucket").sortWithinPartitions("bucket", "slice").mapInArrow(_answer, ANSWERS)
     nothing = F.lit(None).cast("binary")
     states = snippets.where("bucket < 0").select("bucket", "slice", "sizes", "docs", "places", "starts", nothing.alias("least"))
     answers = answers.select("bucket", "slice", *[nothing.alias(c) for c in ("sizes", "docs", "places", "starts")], "least")
     ranges = states.unionByName(answers).repartition(parts, "slice").sortWithinPartitions("slice", "bucket").mapInArrow(_ranges, RANGES)
-    ranges, _ = materialise(ranges, "ranges")
+    return materialise(ranges, "ranges")[1]
+
+
+def _release(spark) -> None:
+    """Let Spark's cleaner drop shuffles that no plan refers to any more; it learns of them by garbage collection."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return rows, ranges
+
+
+def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h1, h2, text), and for each text with removals its ranges."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = _hashed(docs)
+    path = _candidates(rows, parts)
+    _release(spark)
+    ranges = _removed(spark.read.schema(SNIPPETS).parquet(path), parts)
+    drop_table(spark, path)
+    _release(spark)
+    return rows, spark.read.schema(RANGES).parquet(ranges)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
