@@ -108,11 +108,21 @@ def _rank(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
-def _pairs(rank: np.ndarray, by: int) -> np.ndarray:
-    """Ranks of twice the reach: each with the one ``by`` further on (0 behind the end)."""
-    second = np.zeros(len(rank), np.int64)
-    second[: max(0, len(rank) - by)] = rank[by:]
-    return (rank << 32) | second
+def _longer(rank: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order and ranks by pairs of ranks: each with the one ``by`` further on (0 behind the end)."""
+    n = len(rank)
+    second = np.zeros(n, np.int64)
+    second[: max(0, n - by)] = rank[by:]
+    bits = int(n).bit_length()
+    if 3 * bits > 63:
+        return _rank((rank << 32) | second)
+    # Pair and place fit one number: sorting numbers is quicker than sorting places by numbers.
+    packed = np.sort((((rank << bits) | second) << bits) | np.arange(n))
+    order = packed & ((1 << bits) - 1)
+    packed >>= bits
+    out = np.empty(n, np.int64)
+    out[order] = np.cumsum(np.concatenate([[True], packed[1:] != packed[:-1]]))
+    return order, out
 
 
 _HEAD = 7
@@ -135,7 +145,7 @@ def expand(symbols: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nd
     reach = _HEAD
     while reach < length:
         by = min(reach, length - reach)
-        suffixes, rank = _rank(_pairs(rank, by))
+        suffixes, rank = _longer(rank, by)
         reach += by
     # The transform and its last-to-first mapping.
     before = symbols[suffixes - 1]
