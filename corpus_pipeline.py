@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cuelattice.llm import bpe_automaton, jaccard_join, mixing, secrets, toxicity
 
@@ -38,9 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, and the digest of what the ids decode to."""
-    path = public_tokenizers.path("word_bpe_49k.json")
-    rows = bpe_automaton.decode(bpe_automaton.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text"), path)
-    return rows.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe_automaton.tokenize(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

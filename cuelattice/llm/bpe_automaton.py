@@ -29,6 +29,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -204,7 +205,7 @@ def tokenizer(path: str) -> Tokenizer:
 def _with(docs: DataFrame, path: str, name: str, kind: str, arrow: pa.DataType, work) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for b in batches:
+        for b in slices(batches, "__given") if name == "ids" else batches:
             values = pa.array([work(t, x) for x in b.column(0).to_pylist()], arrow)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], values], names=[*b.schema.names[1:], name])
 
@@ -247,6 +248,29 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenize(docs: DataFrame, path: str) -> DataFrame:
+    """The rows with ``text`` replaced by ids, n_tokens and decoded_sha256 (of what the ids decode to), in one pass over Python."""
+    kept = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded_sha256")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokenizer(path)
+        for b in slices(batches):
+            ids, digests = [], []
+            for text in column(b, "text"):
+                pieces = t.pieces(text.decode())
+                joined = " ".join([p[0] for p in pieces])
+                ids.append(np.fromstring(joined, np.int32, sep=" ") if joined else np.zeros(0, np.int32))
+                digests.append(hashlib.sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
+            counts = np.array([len(i) for i in ids], np.int64)
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], lists, pa.array(counts), pa.array(digests, pa.string())], names=[*kept, "ids", "n_tokens", "decoded_sha256"])
+
+    inner = docs.select("text", *[F.col(f"`{c}`") for c in kept])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[1:]), "ids array<int>, n_tokens long, decoded_sha256 string"])
+    return inner.mapInArrow(run, schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
