@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -478,9 +479,15 @@ def _removed(snippets: DataFrame, parts: int) -> str:
 
 
 def _release(spark) -> None:
-    """Let Spark's cleaner drop shuffles that no plan refers to any more; it learns of them by garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop shuffles that no plan refers to any more.
+
+    It learns of them by garbage collection: the first round frees what Python
+    held, the second what that held in turn.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
