@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -309,6 +310,7 @@ SNIPPETS = "bucket int, slice long, snippets binary, sizes binary, anchors binar
 def _send_snippets(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count, last = TaskContext.get().partitionId(), 0, None
+        squeeze = zstandard.ZstdCompressor(level=1)
         for b in slices(batches, most=SLICE):
             where: dict[bytes, int] = {}
             snippets, keys, least, places, docs_at, starts_at, docs = [], [], [], [], [], [], []
@@ -348,7 +350,7 @@ def _send_snippets(buckets: int):
             rows = [(-1, number, b"", _pack(sizes[order]), b"", np.array(docs, np.int64).tobytes(), _pack(back[np.array(places)]), _pack(np.array(docs_at)) + b"".join([np.array(starts_at, "<u4").tobytes()]))]
             for p in np.unique(bucket).tolist():
                 own = order[bounds[p] : bounds[p + 1]]
-                rows.append((p, number, b"".join([snippets[i] for i in own.tolist()]), _pack(sizes[own]), key[own].tobytes(), least_docs[own].tobytes(), b"", b""))
+                rows.append((p, number, squeeze.compress(b"".join([snippets[i] for i in own.tolist()])), _pack(sizes[own]), key[own].tobytes(), least_docs[own].tobytes(), b"", b""))
             yield _batch(rows, SNIPPETS)
 
     return run
@@ -359,10 +361,12 @@ ANSWERS = "bucket int, slice long, least binary"
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The least document of every window of a bucket's snippets, slice by slice."""
+    expand_bytes = zstandard.ZstdDecompressor().decompress
     for bucket, rows in _runs(batches, "bucket", ["slice", "snippets", "sizes", "anchors", "docs"]):
         where: dict[bytes, int] = {}
         snippets, keys, least, uses = [], [], [], []
         for _, data, sizes, anchor, docs in rows:
+            data = expand_bytes(data)
             ends = np.cumsum(_unpack(sizes))
             use = []
             for lo, hi, a, d in zip([0, *ends[:-1].tolist()], ends.tolist(), np.frombuffer(anchor, np.uint64).tolist(), np.frombuffer(docs, np.int64).tolist(), strict=True):
