@@ -410,3 +410,16 @@ def scip_relations(spark, sf_dir):
     )
     contents = table(spark, sf_dir, "supplier").select(symbol.alias("id"), F.concat(F.lit("src/f"), (key % 40 % 5).cast("string"), F.lit(".py")).alias("source_file"), F.lit("content").alias("node_type")).distinct()
     return scip.content_relations(contents, relationships, contents.select(F.col("id").alias("content_id")), "is_implementation").select("symbol", "target")
+
+
+@query()
+def extract_sources(spark, sf_dir):
+    """Nodes of this package's own source files by type and kind (parsing has no SQL)."""
+    from datetime import datetime
+    from pathlib import Path
+
+    from ..operators import extract
+    from ..sources import files
+
+    parsed = extract.parse_files(files.scan(spark, Path(__file__).resolve().parent.parent / "functions"))
+    return extract.extract(parsed, datetime(2026, 1, 1)).nodes.groupBy("node_type", "kind").agg(F.count(F.lit(1)).alias("n"))
