@@ -2,14 +2,20 @@ from __future__ import annotations
 
 import random
 
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+from conftest_llm import words  # noqa: E402
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def words(rng: random.Random, n: int, of: int = 400) -> str:
-    return " ".join(f"w{rng.randrange(of)}" for _ in range(n))
+
 
 
 @pytest.fixture(scope="session")
