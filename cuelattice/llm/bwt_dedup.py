@@ -511,7 +511,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     rows, ranges = removals(docs)
     first = rows.where("doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    info = first.join(ranges, ["h1", "h2"], "left")
+    # Written, so that the join below has two plain sides and Spark can split a text with very many copies.
+    info, _ = materialise(first.join(ranges, ["h1", "h2"], "left"), "text-info")
     joined = rows.join(info, ["h1", "h2"], "left").select("doc_id", "first", "text", "starts", "ends")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
