@@ -394,7 +394,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([(bucket, r[0], np.concatenate([found[i] for i in use]).tobytes()) for r, use in zip(rows, uses, strict=True)], ANSWERS)
 
 
-RANGES = "h1 long, h2 long, starts binary, ends binary"
+RANGES = "h1 long, h2 long, doc_id long, starts binary, ends binary"
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,8 +420,8 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
         out = []
         for lo, hi in zip(heads, [*heads[1:], len(own)], strict=True):
-            h1, h2, _ = docs[own[lo]].tolist()
-            out.append((h1, h2, (begin[lo:hi] & mask).tobytes(), (end[lo:hi] & mask).tobytes()))
+            h1, h2, doc = docs[own[lo]].tolist()
+            out.append((h1, h2, doc, (begin[lo:hi] & mask).tobytes(), (end[lo:hi] & mask).tobytes()))
         yield _batch(out, RANGES)
 
 
@@ -512,7 +512,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows, ranges = removals(docs)
     first = rows.where("doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
     # Written, so that the join below has two plain sides and Spark can split a text with very many copies.
-    info, _ = materialise(first.join(ranges, ["h1", "h2"], "left"), "text-info")
+    # Slices may have held one text under several doc_ids: the ranges of its least one count.
+    ranges = ranges.withColumnRenamed("doc_id", "first").dropDuplicates(["h1", "h2", "first"])
+    info, _ = materialise(first.join(ranges, ["h1", "h2", "first"], "left"), "text-info")
     joined = rows.join(info, ["h1", "h2"], "left").select("doc_id", "first", "text", "starts", "ends")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 

@@ -11,21 +11,27 @@ from .common import drop_table, materialise
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every node of ``edges`` (u, v); the label is the component's least node.
 
-    Each round maps every node to the least of itself and its neighbours and
+    Each round maps every node to the first of itself and its neighbours, and
     turns an edge (u, v) into the edge of their images.  A node and its image
-    stay joined, and nodes that no edge is left to were mapped to their label.
-    All steps are partial aggregates and joins over edges; a node with very
-    many edges is an aggregate's key or a join's repeated key, never a group
-    held by one task.
+    stay joined, and a node that no edge is left to has its component's name.
+    Rounds order nodes by themselves and by a hash in turn: stars around a
+    least node collapse in one of the former, paths shrink by a constant factor
+    in each of the latter.  All steps are partial aggregates and joins over
+    edges; a node with very many edges is an aggregate's key or a join's
+    repeated key, never a group held by one task.
     """
     spark = edges.sparkSession
     current, path = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     labels, labels_path = None, None
-    for _ in range(rounds):
+    for turn in range(rounds):
         if current.isEmpty():
             break
         ends = current.select(F.col("u").alias("node"), F.col("v").alias("near")).unionByName(current.select(F.col("v").alias("node"), F.col("u").alias("near")))
-        image = ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("image"))
+        if turn % 2:
+            rank = lambda c, t=turn: F.struct(F.xxhash64(F.lit(t), c).alias("h"), F.col(c).alias("n"))
+            image = ends.groupBy("node").agg(F.min(rank("near")).alias("near")).select("node", F.least(rank("node"), "near")["n"].alias("image"))
+        else:
+            image = ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("image"))
         image, image_path = materialise(image, "images")
         if labels is None:
             labels, labels_path = image.select("node", F.col("image").alias("label")), None
@@ -47,4 +53,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     if labels is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).limit(0)
-    return labels
+    least = labels.groupBy("label").agg(F.min("node").alias("least"))
+    return labels.join(least, "label").select("node", F.col("least").alias("label"))

@@ -240,7 +240,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = _hashed(docs).mapInArrow(_signatures, f"doc_id {kind}, text_hash long, key binary, size long, minhash binary")
     signed, _ = materialise(signed, "minhash")
-    sets = signed.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash", "size", "minhash")).alias("rep"), F.count(F.lit(1)).alias("copies"))
+    sets = signed.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "size", "minhash")).alias("rep"), F.count(F.lit(1)).alias("copies"))
     sets, _ = materialise(sets, "sets")
     # Ties: of those that agree on a band, each to the least.
     width = 4 * ROWS
@@ -261,7 +261,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     trees = components(found.select(F.col("key").alias("u"), F.col("tree").alias("v"))).withColumnRenamed("node", "key")
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     sets = sets.join(trees, "key", "left").join(counts, "key", "left")
-    sets = sets.select("key", F.struct("rep.doc_id", "rep.text_hash").alias("rep"), "copies", F.coalesce("label", "key").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    sets = sets.select("key", F.struct("rep.no_id", "rep.doc_id", "rep.text_hash").alias("rep"), "copies", F.coalesce("label", "key").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     sets, _ = materialise(sets, "classes")
     return signed.select("doc_id", "text_hash", "key"), sets
 
@@ -280,7 +280,7 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows without near duplicates: of each class the row with the least doc_id (nulls first)."""
+    """The rows without near duplicates: of each class the row with the least doc_id (nulls last)."""
     _, sets = _classes(docs)
     kept = sets.groupBy("label").agg(F.min("rep").alias("rep"))
     kept = kept.select(F.col("rep.doc_id").alias("__doc"), F.col("rep.text_hash").alias("__hash"))
