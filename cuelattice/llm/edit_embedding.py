@@ -25,10 +25,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, documents, mix64, slices, text_or_empty
+from .common import column, documents, materialise, mix64, slices, text_or_empty
+from .components import components
 
 SAMPLES = 64
 STEPS = 3
@@ -217,5 +219,120 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, schema)
 
 
+# ------------------------------------------------------------------ near texts
+
+NEAR = 0.8
+BANDS, DIGITS = 24, 10
+#: Characters of fingerprints (and 100 for each text) of a block.
+BLOCK = 1_000_000
+
+
+@lru_cache
+def _band_places(doublings: int) -> np.ndarray:
+    """Places of the digits of each band, among the samples of the first 2**doublings steps."""
+    n = len(sampled_steps(1 << doublings))
+    rng = np.random.Generator(np.random.PCG64([SEED, doublings]))
+    return np.stack([rng.choice(n, min(DIGITS, n), replace=False) for _ in range(BANDS)])
+
+
+def band_values(fingerprint: str, n_chars: int) -> list[int]:
+    """Bit-sampled bands of a fingerprint, at the doublings that its text fills and the one before."""
+    if not n_chars:
+        return []
+    digits = np.frombuffer(fingerprint.encode(), np.uint8)
+    top = int(2 * n_chars).bit_length() - 1
+    out = []
+    for doublings in {max(top - 1, 0), top}:
+        for band, places in enumerate(_band_places(doublings)):
+            if places.max(initial=-1) < len(digits):
+                out.append(xxhash.xxh3_64_intdigest(digits[places].tobytes(), seed=doublings * BANDS + band) - (1 << 63))
+    return out
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, "text", CHUNK):
+        texts = [t.decode() for t in column(b, "text")]
+        every = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+        prints = fingerprints(list(every))
+        mine = [prints[every[t]] for t in texts]
+        bands = [band_values(p, len(t)) for p, t in zip(mine, texts, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array(mine, pa.string()), pa.array(bands, pa.list_(pa.int64()))],
+            names=["doc_id", "text_hash", "n_chars", "fingerprint", "bands"],
+        )
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks: how many rows each text is linked to, and a text of its tree of links."""
+    for (_, first, second), rows in _pairs_of_blocks(batches):
+        texts = list({r[0]: r for r in rows}.values())
+        shared = [set(band_values(r[2], r[3])) for r in texts]
+        links, parent = [0] * len(texts), list(range(len(texts)))
+
+        def root(x: int, parent: list[int] = parent) -> int:
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, x in enumerate(texts):
+            for k in range(i):
+                y = texts[k]
+                # A pair within one block belongs to the task of that block alone.
+                if {x[4], y[4]} != {first, second} or shared[i].isdisjoint(shared[k]) or likeness(x[2], y[2], x[3], y[3]) < NEAR:
+                    continue
+                links[i] += y[1]
+                links[k] += x[1]
+                a, b = root(i), root(k)
+                parent[max(a, b)] = min(a, b)
+        found = [(r[0], n, texts[root(i)][0]) for i, (r, n) in enumerate(zip(texts, links, strict=True)) if n]
+        keys, counts, ties = zip(*found, strict=True) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(ties, pa.int64())], names=["text_hash", "links", "tie"])
+
+
+def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    at, held = None, []
+    for b in batches:
+        names = ["label", "first", "second", "text_hash", "copies", "fingerprint", "n_chars", "block"]
+        for label, first, second, *row in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in names), strict=True):
+            if at != (label, first, second):
+                if held:
+                    yield at, held
+                at, held = (label, first, second), []
+            held.append(tuple(row))
+    if held:
+        yield at, held
+
+
+def near_links(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id and n_links: rows whose texts' fingerprints have a likeness of NEAR or more, copies included.
+
+    Distinct texts (by 64-bit hash) are banded; each is tied to the least text
+    of its bands, the components of the ties are dealt to blocks, and each pair
+    of blocks is verified in one task.  A class is named by its least doc_id.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
+    signed, _ = materialise(rows.mapInArrow(_sign, f"doc_id {kind}, text_hash long, n_chars long, fingerprint string, bands array<bigint>"), "fingerprints")
+    texts = signed.groupBy("text_hash").agg(F.min(F.struct("n_chars", "fingerprint", "bands")).alias("t"), F.count(F.lit(1)).alias("copies"))
+    texts, _ = materialise(texts.select("text_hash", "copies", "t.*"), "near-texts")
+    banded = texts.select("text_hash", F.explode("bands").alias("band"))
+    least = banded.groupBy("band").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least <> most").select("band", "least")
+    ties = banded.join(least, "band").select(F.col("text_hash").alias("u"), F.col("least").alias("v"))
+    members = texts.drop("bands").join(components(ties).withColumnRenamed("node", "text_hash"), "text_hash")
+    blocks = members.groupBy("label").agg(F.ceil(F.sum(F.length("fingerprint") + 100) / BLOCK).cast("int").alias("blocks"))
+    members = members.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("text_hash"), F.col("blocks")).cast("int"))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")}).drop("other", "blocks")
+    dealt = dealt.repartition("label", "first", "second").sortWithinPartitions("label", "first", "second", "text_hash")
+    found, _ = materialise(dealt.mapInArrow(_verify, "text_hash long, links long, tie long"), "near-found")
+    classes = components(found.select(F.col("text_hash").alias("u"), F.col("tie").alias("v"))).withColumnRenamed("node", "text_hash")
+    counts = found.groupBy("text_hash").agg(F.sum("links").alias("links"))
+    texts = texts.select("text_hash", "copies").join(classes, "text_hash", "left").join(counts, "text_hash", "left")
+    texts = texts.select("text_hash", F.coalesce("label", "text_hash").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    rows = signed.select("doc_id", "text_hash").join(texts, "text_hash")
+    named = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(named, "label").select("doc_id", "class_id", "n_links")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return fingerprint_pairs(documents(spark, sf_dir))

@@ -203,6 +203,42 @@ def test_pairs(spark, odd, odd_rows, empty, near_rows):
     assert ee.fingerprint_pairs(empty).count() == 0
 
 
+def brute_near(rows):
+    texts = [t or "" for _, t, *_ in rows]
+    prints = dict(zip(texts, ee.fingerprints(texts), strict=True))
+    links, parent = [0] * len(rows), list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(texts):
+        for k in range(i):
+            b = texts[k]
+            if a == b or a and b and ee.likeness(prints[a], prints[b], len(a), len(b)) >= ee.NEAR:
+                links[i] += 1
+                links[k] += 1
+                x, y = root(i), root(k)
+                parent[max(x, y)] = min(x, y)
+    least = {}
+    for i, (d, *_) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(least.get(root(i), d), d)
+    return [(d, least.get(root(i)), links[i]) for i, (d, *_) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("block", [ee.BLOCK, 3000])
+def test_near_links(spark, near_rows, odd, odd_rows, empty, block, monkeypatch):
+    monkeypatch.setattr(ee, "BLOCK", block)
+    for docs, rows in ((spark.createDataFrame(near_rows, SCHEMA), near_rows), (odd, odd_rows)):
+        got = order((r.doc_id, r.class_id, r.n_links) for r in ee.near_links(docs).collect())
+        want = order(brute_near(rows))
+        assert sum(n for *_, n in got) >= 0.97 * sum(n for *_, n in want) and len(got) == len(want)
+        assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.9 * len(want)
+    assert ee.near_links(empty).count() == 0
+
+
 # ------------------------------------------------------------------ passages
 
 
