@@ -1,4 +1,4 @@
-"""Command line: index, status, doctor, search and reconstruct over a repository's workspace.
+"""Command line: index, status, doctor, search, reconstruct and serve over a repository's workspace.
 
 Embeddings come from the offline hash embedder unless the caller of :func:`main`
 injects another; ``reconstruct`` uses the rule planner in the same way.
@@ -15,6 +15,7 @@ import sys
 
 from .config import resolve
 from .functions.scalar import hash_embedding
+from .server import serve
 
 HASH_MODEL, HASH_DIM = "hash-sha256-d32", 32
 
@@ -45,7 +46,7 @@ def build_parser() -> argparse.ArgumentParser:
     parser.add_argument("-v", "--verbose", action="store_true", help="log details")
     sub = parser.add_subparsers(dest="command", required=True)
     sub.add_parser("index", help="build or update the index").add_argument("repo")
-    for name, text in (("status", "what is indexed"), ("doctor", "check the setup")):
+    for name, text in (("status", "what is indexed"), ("doctor", "check the setup"), ("serve", "answer read tools over stdio")):
         sub.add_parser(name, help=text).add_argument("--repo", default=".")
     for name, text in (("search", "nearest cues"), ("reconstruct", "walk the graph")):
         p = sub.add_parser(name, help=text)
@@ -82,8 +83,10 @@ def main(argv: list[str] | None = None, spark=None, planner=None, out=print) ->
     elif args.command == "status":
         out(sv.render_status(HASH_MODEL, HASH_DIM, store.indexed_files, manifest))
     else:
-        service = sv.Service(store.graph, hash_vectors, planner or rule_planner(), sv.open_references(spark, workspace.scip_path), args.k)
-        if args.command == "search":
+        service = sv.Service(store.graph, hash_vectors, planner or rule_planner(), sv.open_references(spark, workspace.scip_path), getattr(args, "k", 5))
+        if args.command == "serve":
+            serve(service)
+        elif args.command == "search":
             out(sv.render_search(service.search(args.query, args.k)))
         else:
             out(sv.render_reconstruct(service.reconstruct(args.query, args.budget)))

@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import sys
-from datetime import datetime
 from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
+
+from helpers import NOW  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -26,13 +27,6 @@ def spark(tmp_path_factory):
     yield session
 
 
-NOW = datetime(2026, 6, 23, 12)
-
-
-def unit(i: int) -> list[float]:
-    return [1.0 if j == i else 0.0 for j in range(8)]
-
-
 @pytest.fixture(scope="session")
 def make_graph(spark):
     """A graph from short lists: (id, type, **columns) and (source, target, type)."""

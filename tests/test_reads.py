@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import unit
+from helpers import unit
 from cuelattice.operators import graph as g
 from cuelattice.operators import read, vector
 from cuelattice.schema import parse_tag_filters
