@@ -14,12 +14,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from ..schema import parse_tag_filters
-from .graph import Graph, content_tags, first_by, neighbors
+from .graph import Graph, first_by, neighbors
 from .read import content_summaries, cue_summaries, expand_contents
 
 DECISION = "qid string, collect array<struct<id:string,relevance:double>>, descend_into string, stop boolean, error boolean"
@@ -45,7 +45,11 @@ def candidates(graph: Graph, current: DataFrame, tags: list[tuple[str, str]] | N
 
 
 def _requests(graph: Graph, active: DataFrame, found: DataFrame, queries: DataFrame) -> DataFrame:
-    labels = cue_summaries(graph.nodes).unionByName(content_summaries(graph))
+    # Summaries and tags of the candidates alone.
+    ids = found.select(F.col("candidate_id").alias("id")).distinct()
+    nodes = graph.nodes.join(ids, "id", "left_semi")
+    tagged = graph.edges.where("edge_type = 'tagged_with'").join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
+    labels = cue_summaries(nodes).unionByName(content_summaries(Graph(graph.nodes, tagged), nodes.where("node_type = 'content'")))
     rows = found.join(labels.withColumnRenamed("id", "candidate_id"), "candidate_id")
     item = F.struct("ord", F.col("candidate_id").alias("id"), "node_kind", "label", "snippet", "tags")
     lists = rows.groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("candidates"))
@@ -93,7 +97,7 @@ def reconstruct(graph: Graph, seeds: DataFrame, planner: Planner | None, budget:
         known = found.select("qid", F.col("candidate_id").alias("descend_into"), F.lit(True).alias("known"))
         moves = decisions.join(known, ["qid", "descend_into"], "left").select("qid", "descend_into", "stop", "error", "known")
         rows = state.where("NOT done").join(moves, "qid", "left")
-        ends = F.coalesce("error", F.col("known") & F.lit(False), F.lit(False)) | F.coalesce("stop", F.lit(False)) | F.col("stop").isNull() & F.col("error").isNull()
+        ends = F.coalesce("error", F.lit(True)) | F.coalesce("stop", F.lit(False))  # no decision at all ends a walk too
         down = F.coalesce("known", F.lit(False)) & ~F.array_contains("visited", F.coalesce("descend_into", F.lit("")))
         back, next_seed = F.size("stack") > 0, F.size("queue") > 0
         seed = F.get("queue", F.lit(0))
@@ -111,8 +115,6 @@ def reconstruct(graph: Graph, seeds: DataFrame, planner: Planner | None, budget:
     if found_all is None:
         return seeds.select("qid", F.lit("").alias("content_id"), F.lit(0.0).alias("relevance"), F.lit(0).alias("place")).limit(0)
     best = found_all.groupBy("qid", "content_id").agg(F.max("relevance").alias("relevance"), F.min("discovery").alias("discovery"))
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("relevance"), "discovery"))
     return best.select("qid", "content_id", "relevance", place.alias("place"))
 
