@@ -521,3 +521,20 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return dedup(documents(spark, sf_dir))
+
+
+#: By brute force over hexadecimal windows.
+ORACLE = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+windows AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS i FROM d)),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
+hits AS (SELECT w.doc_id, w.i, lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS before FROM windows w JOIN firsts f ON w.s = f.s WHERE f.first < w.doc_id),
+groups AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM hits),
+spans AS (SELECT doc_id, g, min(i) AS a, max(i) + 50 AS b FROM groups GROUP BY doc_id, g),
+gaps AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM spans),
+kept AS (
+  SELECT d.doc_id, any_value(length(h)) // 2 AS n_bytes, coalesce(sum(b - a), 0) AS n_removed, count(a) AS n_spans,
+         coalesce(string_agg(substr(h, CAST(2 * last + 1 AS BIGINT), CAST(2 * (a - last) AS BIGINT)), '' ORDER BY a), '') || substr(any_value(h), CAST(2 * coalesce(max(b), 0) + 1 AS BIGINT)) AS rest
+  FROM d LEFT JOIN gaps ON d.doc_id = gaps.doc_id GROUP BY d.doc_id)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op8_bwt_dedup": bwt_dedup.ORACLE,
     "op9_jaccard_join": jaccard_join.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
 }
