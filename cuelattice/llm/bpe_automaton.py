@@ -28,6 +28,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +90,7 @@ class Automaton:
         key = (a, b)
         found = self.arcs.get(key)
         if found is None:
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) > 300_000:
                 self.arcs.clear()
             found = self.arcs[key] = self._arc_at(a, b, NEVER - 1)
         return found
@@ -129,11 +130,9 @@ class Automaton:
 class Tokenizer:
     """Text to ids and back for a tokenizer file with word-level BPE (pre-splitting as the file says)."""
 
-    most = 400_000
+    most = 150_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer as Library
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -143,11 +142,18 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels |= {i: t for t, i in self.special.items()}
         self.split_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
-        self.library = Library.from_file(path)  # only its normaliser and pre-splitter are used, beyond Latin-1
+        self.path = path
         self.symbols = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
         self.words: dict[str, tuple[str, str]] = {}
         self.rare: dict[str, tuple[str, str]] = {}
 
+    @cached_property
+    def library(self):
+        """The library's tokenizer, for its normaliser and pre-splitter alone; read when a text is beyond Latin-1."""
+        from tokenizers import Tokenizer as Library
+
+        return Library.from_file(self.path)
+
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs; without a decoder in the file they are joined by a space."""
         return " ".join([self.labels[i] for i in ids])

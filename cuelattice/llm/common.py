@@ -92,7 +92,7 @@ def slices(batches: Iterable[pa.RecordBatch], name: str = "text", most: int = 4
 class TokenHashes(dict):
     """Token (bytes) to a signed 64-bit hash; forgets all when it grows past ``most`` tokens."""
 
-    most = 400_000
+    most = 150_000
 
     def __missing__(self, token: bytes) -> int:
         if len(self) >= self.most:
