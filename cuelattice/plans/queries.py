@@ -423,3 +423,64 @@ def extract_sources(spark, sf_dir):
 
     parsed = extract.parse_files(files.scan(spark, Path(__file__).resolve().parent.parent / "functions"))
     return extract.extract(parsed, datetime(2026, 1, 1)).nodes.groupBy("node_type", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ further single operators
+
+
+@query(" SELECT w.ord, w.id, n.node_type, n.status FROM (SELECT event_id AS ord, CASE WHEN event_id % 2 = 0 THEN 'cue:vec:' || user_id ELSE 'content:doc:' || user_id END AS id FROM events) w JOIN nodes n ON n.id = w.id")
+def get_nodes(spark, sf_dir):
+    """Point lookups in a batch, tombstones included."""
+    user = F.col("user_id").cast("string")
+    ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("cue:vec:"), user)).otherwise(F.concat(F.lit("content:doc:"), user)).alias("id"))
+    return g.get_nodes(projection.graph(spark, sf_dir), ids).select("ord", "id", "node_type", "status")
+
+
+@query(" SELECT node_type, CASE WHEN id IN (SELECT 'content:doc:' || doc_id FROM documents WHERE doc_id % 7 = 0) THEN 'deleted' ELSE status END AS status, count(*) AS n FROM nodes GROUP BY ALL")
+def tombstones(spark, sf_dir):
+    gone = table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(F.concat(F.lit("content:doc:"), F.col("doc_id").cast("string")).alias("id"))
+    marked = mutate.tombstone(projection.graph(spark, sf_dir), gone, "2026-01-01 00:00:00", "c0ffee")
+    return marked.nodes.groupBy("node_type", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(" SELECT id, embedding IS NOT NULL AND CAST(replace(id, 'cue:vec:', '') AS BIGINT) % 3 <> 0 AS has_vector FROM nodes WHERE node_type = 'cue'")
+def remove_vectors(spark, sf_dir):
+    ids = table(spark, sf_dir, "embeddings").where("vec_id % 3 = 0").select(F.concat(F.lit("cue:vec:"), F.col("vec_id").cast("string")).alias("id"))
+    left = mutate.remove_vectors(projection.graph(spark, sf_dir), ids).nodes.where("node_type = 'cue'")
+    return left.select("id", F.col("embedding").isNotNull().alias("has_vector"))
+
+
+@plain("SELECT file_path, arg_max(sha, moment) AS git_sha FROM (SELECT 'src/' || user_id || '.py' AS file_path, event_type || event_id AS sha, {'t': ts, 'e': event_id} AS moment FROM events) GROUP BY file_path")
+def record_files(spark, sf_dir):
+    """Events as file versions: even ones are in the manifest, odd ones arrive; the latest of a file stays."""
+    at = F.col("ts").cast("timestamp_ntz")
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("src/"), F.col("user_id").cast("string"), F.lit(".py")).alias("file_path"), F.concat("event_type", F.col("event_id").cast("string")).alias("git_sha"), at.alias("indexed_at"), "event_id")
+    # Versions of one moment: the last event counts, so that the manifest's times are unique for a file.
+    rows = g.first_by(rows, ["file_path", "indexed_at"], [F.desc("event_id")])
+    even = F.col("event_id") % 2 == 0
+    return mutate.record_files(rows.where(even).drop("event_id"), rows.where(~even).drop("event_id")).select("file_path", "git_sha")
+
+
+@plain("SELECT item_id, 'cue:error:f' || item_id || '.py::' || substr(sha1(text), 1, 12) AS error_cue, 'tag:language:python' AS tag, CASE WHEN item_id % 2 = 0 THEN 'sym ' || item_id ELSE 'content:f' || item_id || '.py::C.m' END AS content FROM benchmark")
+def identity_scheme(spark, sf_dir):
+    """Ids of error cues, tags and contents, with and without a cross-reference symbol."""
+    item = F.col("item_id").cast("string")
+    file = F.concat(F.lit("f"), item, F.lit(".py"))
+    symbol = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("sym "), item)).otherwise("")
+    return table(spark, sf_dir, "benchmark").select(
+        "item_id", scalar.error_cue_id(file, F.col("text")).alias("error_cue"), scalar.tag_id(F.lit("language"), F.lit("python")).alias("tag"), scalar.definition_content_id(file, F.lit("C.m"), symbol).alias("content")
+    )
+
+
+@plain(_OCC + "SELECT occ_idx, symbol, start_line, start_character, is_definition FROM occ WHERE relative_path = 'src/f7.py'")
+def scip_occurrences(spark, sf_dir):
+    from ..operators import scip
+
+    return scip.occurrences_of(_occurrences(spark, sf_dir), "src/f7.py").select("occ_idx", "symbol", "start_line", "start_character", "is_definition")
+
+
+@plain("SELECT DISTINCT 'src/f' || (l_suppkey % 50) || '.py' AS relative_path FROM lineitem")
+def scip_files(spark, sf_dir):
+    from ..operators import scip
+
+    return scip.files(_occurrences(spark, sf_dir))
