@@ -283,10 +283,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows without near duplicates: of each class the row with the least doc_id (nulls last)."""
     _, sets = _classes(docs)
     kept = sets.groupBy("label").agg(F.min("rep").alias("rep"))
-    kept = kept.select(F.col("rep.doc_id").alias("__doc"), F.col("rep.text_hash").alias("__hash"))
-    rows = docs.withColumn("__text_hash", F.xxhash64(text_or_empty()))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text_hash") == F.col("__hash")))
-    return rows.dropDuplicates(["doc_id", "__text_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Ids as text that is never null: the join and the removal of repeated rows then share one exchange of the texts.
+    name = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    kept = kept.select(name(F.col("rep.doc_id")).alias("__doc"), F.col("rep.text_hash").alias("__text_hash"))
+    rows = docs.withColumns({"__doc": name(F.col("doc_id")), "__text_hash": F.xxhash64(text_or_empty())})
+    rows = rows.join(kept, ["__doc", "__text_hash"]).dropDuplicates(["__doc", "__text_hash"])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -66,20 +66,21 @@ def cut(sized: DataFrame, most_epochs: int = MOST_EPOCHS) -> DataFrame:
     """Add source_size, target and taken to rows of (doc_id, source, size, key, ...)."""
     rows = sized.alias("r").join(targets(sized.select("source", "size"), most_epochs).alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
     ranges = F.ceil(F.sqrt("t.rows"))
-    rows = rows.select("r.*", "t.source_size", "t.target", F.floor(F.col("r.key") * ranges).alias("key_range"))
-    sums = rows.groupBy("source", "key_range").agg(F.sum("size").alias("range_size"))
-    earlier = Window.partitionBy("source").orderBy("key_range").rowsBetween(Window.unboundedPreceding, -1)
+    # A source name that is never null: the join and the window below then share one exchange of the rows.
+    name = F.coalesce(F.concat(F.lit("="), F.col("r.source")), F.lit(""))
+    rows = rows.select("r.*", "t.source_size", "t.target", name.alias("source_name"), F.floor(F.col("r.key") * ranges).alias("key_range"))
+    sums = rows.groupBy("source_name", "key_range").agg(F.sum("size").alias("range_size"))
+    earlier = Window.partitionBy("source_name").orderBy("key_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("range_start", F.coalesce(F.sum("range_size").over(earlier), F.lit(0))).drop("range_size")
-    rows = rows.alias("r").join(sums.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.key_range") == F.col("s.key_range")))
-    rows = rows.select("r.*", "s.range_start")
-    inside = Window.partitionBy("source", "key_range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(sums, ["source_name", "key_range"])
+    inside = Window.partitionBy("source_name", "key_range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rows = rows.withColumns({"row_start": start, "epochs": epochs})
     rest = budget - F.col("epochs") * F.col("source_size") - F.col("row_start")
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return rows.withColumn("taken", taken.cast("long")).drop("key_range", "range_start", "row_start", "epochs")
+    return rows.withColumn("taken", taken.cast("long")).drop("source_name", "key_range", "range_start", "row_start", "epochs")
 
 
 def mix(docs: DataFrame, most_epochs: int = MOST_EPOCHS) -> DataFrame:
