@@ -1,0 +1,269 @@
+"""The probabilistic suffix tree of a whole corpus, as distributed tables.
+
+Symbols are all words (A-Z lowered, by 64-bit hash) and one end.  The root has
+the smoothed distribution of all words.  A context is the ``level`` words before
+a token; with absolute counts, the same at every size of corpus,
+
+* a context is a candidate if it stands ``LEAST_CONTEXT`` times or more in the
+  training texts, and a next symbol is listed from ``LEAST_NEXT`` times on;
+* a candidate is retained if its next symbols diverge from those of its longest
+  retained suffix, by the test of :mod:`suffix_tree`.
+
+Levels go on while contexts are retained.  Nothing of the model reaches the
+driver but totals, and no task holds more of it than its share: each batch of
+documents keeps the tokens whose contexts are candidates still, with their
+probability so far, and sends its distinct (context, next symbol) pairs.  These
+are summed, tested and joined back.  The probability at a retained context is
+its listed share plus what it leaves times the probability so far, so that no
+table of an earlier level is needed.
+
+Defined cases are those of :mod:`suffix_tree`.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import TokenHashes, column, drop_table, materialise, mix64, slices
+from .suffix_tree import DISCOUNT, LEAST_Z, rows_of, tokens
+
+LEAST_CONTEXT = 2
+LEAST_NEXT = 2
+
+_HASHES = TokenHashes()
+_END = 0x454E44
+
+#: A batch: its rows, the symbols of all texts, a bit for each token that is open still, the open ones' probabilities, and each text's sums so far.
+BATCH = "batch long, doc_id array<{kind}>, held_out array<boolean>, sizes binary, words binary, open binary, p binary, logs binary, base binary, known binary"
+NAMES = [x.split()[0] for x in BATCH.split(", ")]
+PAIRS = "batch long, at int, context long, symbol long, n long, p double"
+
+
+def _ints(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.int64)
+
+
+def _floats(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.float64)
+
+
+def _store(a: np.ndarray) -> bytes:
+    """Numbers of 8 bytes; where that is shorter, as distinct ones and each one's place among them."""
+    distinct, at = np.unique(a, return_inverse=True)
+    if len(distinct) > 1 << 16:
+        return b"\0" * 4 + a.tobytes()
+    return np.uint32(len(distinct)).tobytes() + distinct.tobytes() + at.astype(np.uint16).tobytes()
+
+
+def _load(data: bytes, kind: type) -> np.ndarray:
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    if not n:
+        return np.frombuffer(data, kind, offset=4)
+    return np.frombuffer(data, kind, n, 4)[np.frombuffer(data, np.uint16, offset=4 + 8 * n)]
+
+
+def _places(row: dict) -> np.ndarray:
+    """The places of the tokens still open."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(row["open"], np.uint8), count=int(_ints(row["sizes"]).sum())))
+
+
+def _rows(b: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(b.num_rows):
+        yield b.slice(i, 1).to_pylist()[0]
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task, number = TaskContext.get().partitionId(), 0
+    for b in slices(batches, most=1 << 20):
+        words, sizes = [], []
+        for t in column(b, "text"):
+            ws = tokens(t)
+            words += map(_HASHES.__getitem__, ws)
+            words.append(_END)
+            sizes.append(len(ws) + 1)
+        n = len(words)
+        zeros = np.zeros(len(sizes)).tobytes()
+        row = [np.array(sizes, np.int64).tobytes(), _store(np.array(words, np.int64)), np.packbits(np.ones(n, bool)).tobytes(), _store(np.ones(n)), zeros, zeros, np.zeros(len(sizes), np.int64).tobytes()]
+        docs, held = (pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(b.schema.get_field_index(c))) for c in ("doc_id", "held_out"))
+        yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + number]), docs, held, *(pa.array([x], pa.binary()) for x in row)], names=NAMES)
+        number += 1
+
+
+def _contexts(row: dict, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the open tokens that have ``level`` words before them: their indexes among the open ones, the distinct pairs' first tokens and each token's pair; the pairs' context hashes."""
+    sizes, words, at = _ints(row["sizes"]), _load(row["words"], np.int64), _places(row)
+    starts = np.cumsum(sizes) - sizes
+    inside = at - starts[np.searchsorted(starts, at, side="right") - 1]
+    use = np.flatnonzero(inside >= level)
+    context = np.zeros(len(use), np.uint64)
+    for k in range(1, level + 1):
+        context = mix64(context * np.uint64(0x9E3779B97F4A7C15) + words[at[use] - k].view(np.uint64))
+    pair = mix64(context) ^ words[at[use]].view(np.uint64)
+    _, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
+    return use, first, inverse, context.view(np.int64)
+
+
+def _send(level: int):
+    """Each batch's distinct (context, next symbol) pairs, with their counts in training texts and the probability so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in _rows(b):
+                use, first, inverse, context = _contexts(row, level)
+                if not len(use):
+                    continue
+                at = _places(row)[use]
+                train = np.repeat(~np.array(row["held_out"], bool), _ints(row["sizes"]))
+                n = np.bincount(inverse, train[at], minlength=len(first)).astype(np.int64)
+                out = [np.full(len(first), row["batch"]), np.arange(len(first), dtype=np.int32), context[first], _load(row["words"], np.int64)[at[first]], n, _load(row["p"], np.float64)[use[first]]]
+                for lo in range(0, len(first), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in out], names=[x.split()[0] for x in PAIRS.split(", ")])
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers (batch, at, value) packed to a row for each batch, at every two million."""
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        batch, at, value = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(batch, kind="stable")
+        batch, at, value = batch[order], at[order].astype(np.int32), value[order]
+        cuts = [0, *(np.flatnonzero(np.diff(batch)) + 1), len(batch)]
+        spans = list(zip(cuts, cuts[1:]))
+        return pa.RecordBatch.from_arrays([pa.array(batch[cuts[:-1]]), pa.array([at[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([value[a:b].tobytes() for a, b in spans], pa.binary())], names=["batch", "at", "value"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append([np.asarray(b.column(b.schema.get_field_index(c))) for c in ("batch", "at", "value")])
+            size += b.num_rows
+        if size > 2_000_000:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
+def _receive(level: int, total: int, kinds: int):
+    """Batches with the answers to their pairs: tokens without a candidate context are closed, which adds to their texts' sums."""
+
+    def answered(row: dict, at: np.ndarray, value: np.ndarray) -> dict:
+        use, first, inverse, _ = _contexts(row, level)
+        got = np.full(len(first), np.nan)
+        got[at] = value
+        opened, p = _places(row), _load(row["p"], np.float64)
+        if level:
+            new = np.full(len(opened), np.nan)
+            new[use] = got[inverse]
+            stay = ~np.isnan(new)
+            flags = np.zeros(int(_ints(row["sizes"]).sum()), bool)
+            flags[opened[stay]] = True
+            return _close(row, opened, p, stay) | {"open": np.packbits(flags).tobytes(), "p": _store(new[stay])}
+        count, sizes = got[inverse], _ints(row["sizes"])
+        starts = np.cumsum(sizes) - sizes
+        p = np.where(count > 0, (count - DISCOUNT) / max(total, 1), DISCOUNT * kinds / total if total else 1.0)
+        base = np.add.reduceat(np.log10(count + 0.1), starts) - sizes * np.log10(total + 0.1 * (kinds + 1))
+        return row | {"p": _store(p), "base": base.tobytes(), "known": np.add.reduceat((count > 0).astype(np.int64), starts).tobytes()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, at, value = None, [], []
+
+        def done() -> pa.RecordBatch:
+            out = answered(row, np.concatenate([np.zeros(0, np.int32), *at]), np.concatenate([np.zeros(0), *value]))
+            return pa.RecordBatch.from_arrays([pa.array([out[c]], schema.field(c).type) for c in NAMES], names=NAMES)
+
+        for b in batches:
+            schema = b.schema
+            for i in range(b.num_rows):
+                places, values = (b.column(schema.get_field_index(c))[i].as_py() for c in ("at", "value"))
+                if places is None:  # the batch itself comes before its answers
+                    if row is not None:
+                        yield done()
+                    row, at, value = b.slice(i, 1).to_pylist()[0], [], []
+                else:
+                    at.append(np.frombuffer(places, np.int32))
+                    value.append(_floats(values))
+        if row is not None:
+            yield done()
+
+    return run
+
+
+def _close(row: dict, opened: np.ndarray, p: np.ndarray, stay: np.ndarray) -> dict:
+    """The row with the logs of the tokens that do not stay added to their texts' sums."""
+    sizes = _ints(row["sizes"])
+    text = np.searchsorted(np.cumsum(sizes), opened[~stay], side="right")
+    return row | {"logs": (_floats(row["logs"]) + np.bincount(text, np.log10(p[~stay]), minlength=len(sizes))).tobytes()}
+
+
+def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        docs, held = b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("held_out"))
+        for i, row in enumerate(_rows(b)):
+            opened = _places(row)
+            row = _close(row, opened, _load(row["p"], np.float64), np.zeros(len(opened), bool))
+            yield pa.RecordBatch.from_arrays(
+                [docs[i].values, held[i].values, pa.array(_ints(row["sizes"])), pa.array(_ints(row["known"])), pa.array(_floats(row["base"])), pa.array(_floats(row["logs"]))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+            )
+
+
+def _states(pairs: DataFrame) -> DataFrame:
+    """Candidate contexts: what each leaves to the probability so far (1 where it is not retained) and its number of training tokens."""
+    n, p = F.col("n").cast("double"), F.col("p")
+    listed = F.col("n") >= LEAST_NEXT
+    total = lambda x: F.coalesce(F.sum(F.when(listed, x)), F.lit(0.0))
+    sums = pairs.groupBy("context").agg(F.sum("n").alias("total"), total(n).alias("listed"), total(F.lit(1.0)).alias("kinds"), total(n * F.log(n / p)).alias("gain"), total(p).alias("by_parent"))
+    sums = sums.where(F.col("total") >= LEAST_CONTEXT)
+    rest = F.col("total") - F.col("listed")
+    gain = F.col("gain") - F.col("listed") * F.log("total") + F.when(rest > 0, rest * F.log(rest / F.col("total") / F.greatest(1 - F.col("by_parent"), F.lit(1e-12)))).otherwise(0.0)
+    kept = 2 * gain > F.col("kinds") + LEAST_Z * F.sqrt(2.0 * F.col("kinds")) + LEAST_Z
+    left = 1 - (F.col("listed") - DISCOUNT * F.col("kinds")) / F.col("total")
+    return sums.select("context", "total", kept.alias("kept"), F.when(kept, left).otherwise(1.0).alias("left"))
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_states (of the whole tree) of every row."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = BATCH.format(kind=kind)
+    batches, path = materialise(rows_of(docs).mapInArrow(_batches, schema), "contexts-0")
+    level, total, kinds, states = 0, 0, 0, 0
+    while True:
+        sent = batches.mapInArrow(_send(level), PAIRS)
+        pairs, pairs_path = materialise(sent.groupBy("context", "symbol").agg(F.sum("n").alias("n"), F.min("p").alias("p")), f"pairs-{level}")
+        dropped = [path, pairs_path]
+        if level == 0:
+            found = pairs.where("n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
+            total, kinds = found[0] or 0, found[1]
+            values = pairs.select("context", "symbol", F.col("n").cast("double").alias("value"))
+        else:
+            tested, tested_path = materialise(_states(pairs), f"states-{level}")
+            dropped.append(tested_path)
+            more = tested.where("kept").count()
+            if not more:
+                for p in dropped[1:]:
+                    drop_table(spark, p)
+                break
+            states += more
+            share = F.when(F.col("kept") & (F.col("n") >= LEAST_NEXT), (F.col("n") - DISCOUNT) / F.col("total")).otherwise(0.0)
+            values = pairs.join(tested, "context").select("context", "symbol", (share + F.col("left") * F.col("p")).alias("value"))
+        answers = sent.select("batch", "at", "context", "symbol").join(values, ["context", "symbol"]).select("batch", "at", "value")
+        answers = answers.mapInArrow(_gather, "batch long, at binary, value binary")
+        dealt = batches.withColumns({c: F.lit(None).cast("binary") for c in ("at", "value")}).unionByName(answers, allowMissingColumns=True)
+        dealt = dealt.repartition(parts, "batch").sortWithinPartitions("batch", F.col("at").isNotNull())
+        batches, path = materialise(dealt.mapInArrow(_receive(level, total, kinds), schema), f"contexts-{level + 1}")
+        for p in dropped:
+            drop_table(spark, p)
+        spark.sparkContext._jvm.System.gc()  # the level's shuffle files go with its plans
+        level += 1
+    rows = batches.mapInArrow(_results, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.lit(states).cast("long").alias("n_states"))

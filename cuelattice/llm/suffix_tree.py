@@ -1,4 +1,7 @@
-"""Language-model scoring with a probabilistic suffix tree.
+"""Language-model scoring with a probabilistic suffix tree of bounded size.
+
+The query of this module uses :mod:`context_tables`, where the tree grows with
+the corpus; :func:`score` here is for a tree that fits into every task.
 
 Symbols are the words of a text (A-Z lowered) and one end.  The root of the
 tree has the smoothed distribution of all words.  Contexts are suffixes of the
@@ -488,4 +491,7 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return score(documents(spark, sf_dir))
+    """Scores by the tree of the whole corpus; :func:`score` is of the bounded one."""
+    from . import context_tables
+
+    return context_tables.score(documents(spark, sf_dir))

@@ -1,0 +1,98 @@
+from __future__ import annotations
+
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from cuelattice.llm import context_tables as x
+from cuelattice.llm import suffix_tree
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def plain_model(texts):
+    """The model of the docstring with dictionaries, over all words: a function of one text, and the number of states."""
+    lists = [t.encode().lower().split() + ["$"] for h, t in texts if not h]
+    c = Counter(w for ws in lists for w in ws)
+    total, kinds, d = sum(c.values()), len(c), x.DISCOUNT
+    states, depth = [], 0
+
+    def prob(history, s, level):
+        p = (c[s] - d) / total if c[s] else d * kinds / total if total else 1.0
+        for k, found in enumerate(states[:level], 1):
+            if k <= len(history) and history[-k:] in found:
+                share, left = found[history[-k:]]
+                p = share.get(s, 0.0) + left * p
+        return p
+
+    while True:
+        depth += 1
+        follow, new = defaultdict(Counter), {}
+        for ws in lists:
+            for i in range(depth, len(ws)):
+                follow[tuple(ws[i - depth : i])][ws[i]] += 1
+        for ctx, after in follow.items():
+            n = sum(after.values())
+            if n < 2:
+                continue
+            listed = {s: m for s, m in after.items() if m >= 2}
+            parent = {s: prob(ctx, s, depth - 1) for s in listed}
+            gain, rest, k = sum(m * math.log(m / n / parent[s]) for s, m in listed.items()), n - sum(listed.values()), len(listed)
+            if rest:
+                gain += rest * math.log(rest / n / max(1 - sum(parent.values()), 1e-12))
+            if 2 * gain > k + x.LEAST_Z * math.sqrt(2 * k) + x.LEAST_Z:
+                new[ctx] = ({s: (m - d) / n for s, m in listed.items()}, 1 - sum(m - d for m in listed.values()) / n)
+        if not new:
+            break
+        states.append(new)
+
+    def measure(text):
+        ws = tuple(text.encode().lower().split()) + ("$",)
+        base = sum(math.log10((c[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in ws)
+        return sum(math.log10(prob(ws[:i], w, len(states))) for i, w in enumerate(ws)), base, len(ws), sum(c[w] > 0 for w in ws), total
+
+    return measure, sum(map(len, states)), len(states)
+
+
+def held(doc):
+    return zlib.crc32(("" if doc is None else str(doc)).encode()) % 10 == 0
+
+
+def test_query_against_the_plain_model(spark, tmp_path):
+    """Contexts of three words, and words that occur twice among 350,000: neither was in the tree when it was bounded."""
+    rng = random.Random(4)
+    names = [f"n{i}" for i in range(4)]
+    rows = []
+    for i in range(300):
+        ws = ["n0", "n1", "n2"]
+        for _ in range(rng.randrange(5, 40)):
+            known = [names.index(w) if w in names else 0 for w in ws[-3:]]
+            ws.append(names[(known[0] * 3 + known[1] + known[2] * 2 + 1) % 4] if rng.random() < 0.85 else rng.choice([*names, f"Rare{rng.randrange(500)}"]))
+        rows.append((i, " ".join([*ws, f"seldom{i // 3} thread{i // 3}"]), "en", "s", 1))
+    rows += [(1000 + i, " ".join(["filler"] * 3500), "en", "s", 1) for i in range(100)]
+    spark.createDataFrame(rows, SCHEMA).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    measure, states, depth = plain_model([(held(d), t) for d, t, *_ in rows])
+    got = {r.doc_id: r for r in suffix_tree.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and depth > 2 and next(iter(got.values())).n_states == states
+    for d, t, *_ in [*rows[:300], rows[-1]]:
+        logp, base, n, known, total = measure(t)
+        r = got[d]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(d), n, known, total) and total > 300_000
+        assert r.base_score == pytest.approx(base, abs=1e-6) and r.score == pytest.approx(logp, abs=1e-6)
+
+
+def test_odd_rows(spark, odd, odd_rows, empty):
+    measure, _, _ = plain_model([(held(d), t or "") for d, t, *_ in odd_rows])
+    order = lambda rows: sorted((d is None, d or 0, n, round(base, 4), round(logp, 4)) for d, logp, base, n in rows)
+    got = order((r.doc_id, r.score, r.base_score, r.n_tokens) for r in x.score(odd).collect())
+    want = order((d, *measure(t or "")[:3]) for d, t, *_ in odd_rows)
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a == pytest.approx(b, abs=2e-4)
+    assert x.score(empty).count() == 0
+    ids = [i for i in range(40) if held(i)][:2]
+    rows = x.score(spark.createDataFrame([(ids[0], "some words", None, None, None), (ids[1], None, None, None, None)], SCHEMA)).collect()
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)] and all(math.isfinite(r.score) for r in rows)
