@@ -4,7 +4,8 @@ A byte-pair vocabulary spends few tokens on text like that it was made from and
 many on random characters.  So a run of 20 or more key-like characters with
 fewer than ``RATIO`` characters a token is taken as a secret, unless it is a
 known kind of digest (hexadecimal of a digest's length, a UUID, a subresource
-hash) or an identifier (words and short numbers joined by separators).
+hash) or an identifier (words and short numbers joined by separators, whose
+case-split words have ``RATIO`` characters a token themselves).
 
 Defined cases: null text counts as empty and has no spans; spans are in code
 points, end exclusive; a span of the efficiency test that touches a span of the
@@ -41,6 +42,8 @@ PIECE = 512
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|sha(?:256|384|512)-[A-Za-z0-9+/=]+")
 IDENTIFIER = re.compile(r"[+/_=-]*(?:(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)(?:[+/_=-]+|\Z))+")
 
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+
 Span = tuple[int, int, int]
 
 
@@ -59,6 +62,15 @@ class Efficiency:
         return len(run) / sum(len(self.encoding.encode_ordinary(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
 
 
+    def word_like(self, run: str) -> bool:
+        """Whether the case-split words have RATIO characters a token, separators left out."""
+        words = [w[i : i + PIECE] for w in WORD.findall(run) for i in range(0, len(w), PIECE)]
+        return sum(map(len, words)) >= RATIO * sum(len(self.encoding.encode_ordinary(w)) for w in words)
+
+    def identifier(self, run: str) -> bool:
+        return IDENTIFIER.fullmatch(run) is not None and self.word_like(run)
+
+
 _LOADED: dict[str, Efficiency] = {}
 
 
@@ -85,7 +97,7 @@ def find(text: str, measure: Efficiency) -> list[Span]:
         if any(s < end and at < e for s, _, e in base):
             continue
         run = text[at:end]
-        if not DIGEST.fullmatch(run) and not IDENTIFIER.fullmatch(run) and measure.ratio(run) < RATIO:
+        if not DIGEST.fullmatch(run) and not measure.identifier(run) and measure.ratio(run) < RATIO:
             found.append((at, 3, end))
     return sorted(found)
 

@@ -73,3 +73,13 @@ def test_redact(odd, odd_rows, empty):
     assert sorted(map(str, clean)) == sorted(map(str, (t for t in texts if "[SECRET]" not in (t or ""))))
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
     assert s.redact(empty, VOCABULARY).count() == 0
+
+
+def test_letters_alone_are_found(measure):
+    """Random letters match the shape of an identifier, but are not made of words."""
+    rng = random.Random(7)
+    for letters, least in ((string.ascii_letters, 0.99), (string.ascii_uppercase, 0.9), (string.ascii_lowercase, 0.9)):
+        keys = ["".join(rng.choice(letters) for _ in range(rng.randrange(20, 41))) for _ in range(500)]
+        assert sum(s.find(f"x {k} y", measure) == [(2, 3, 2 + len(k))] for k in keys) >= least * 500
+    for name in ("getHTTPResponseCodeFromServer", "some-long-kebab-case-name-2024", "MAXIMUM_RETRY_COUNT_PER_HOST"):
+        assert not s.find(name, measure)
