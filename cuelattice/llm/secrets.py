@@ -5,11 +5,13 @@ many on random characters.  So a run of 20 or more key-like characters with
 fewer than ``RATIO`` characters a token is taken as a secret, unless it is a
 known kind of digest (hexadecimal of a digest's length, a UUID, a subresource
 hash) or an identifier (words and short numbers joined by separators, whose
-case-split words have ``RATIO`` characters a token themselves).
+case-split words have ``RATIO`` characters a token themselves).  Where a run as
+a whole passes, its parts between separators are tested too, and windows of
+long parts, so that readable text around a key does not hide it.
 
 Defined cases: null text counts as empty and has no spans; spans are in code
-points, end exclusive; a span of the efficiency test that touches a span of the
-fixed patterns is not listed again; very long runs are tokenised in pieces of
+points, end exclusive; characters that a span of the
+fixed patterns covers are not tested again, the rest of their run is; very long runs are tokenised in pieces of
 ``PIECE`` characters, all of which count; further columns are kept by
 :func:`redact` and ignored by :func:`scan`.
 """
@@ -37,11 +39,17 @@ LEAST_VALUE = 6
 
 #: Runs that may be keys.  Every access or hex span lies within one.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST_RUN = 20
 RATIO = 2.0
 PIECE = 512
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|sha(?:256|384|512)-[A-Za-z0-9+/=]+")
 IDENTIFIER = re.compile(r"[+/_=-]*(?:(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)(?:[+/_=-]+|\Z))+")
 
+#: Digests within a run, and the parts of a run; a part of up to SHORT characters may stand within a key.  Long parts are also tested in windows of LEAST_RUN.
+INNER_DIGEST = re.compile(rf"(?<![A-Za-z0-9])(?:{DIGEST.pattern.partition('|sha(')[0]})(?![A-Za-z0-9])")
+PART = re.compile(r"[A-Za-z0-9]+")
+SHORT = 4
+STEP = 4
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 Span = tuple[int, int, int]
@@ -80,6 +88,54 @@ def efficiency(path: str) -> Efficiency:
     return _LOADED[path]
 
 
+def _uncovered(at: int, end: int, spans: list[Span]) -> Iterator[tuple[int, int]]:
+    """The stretches of a run that no span covers."""
+    for s, _, e in spans:
+        if s < end and at < e:
+            if at < s:
+                yield at, s
+            at = max(at, e)
+    if at < end:
+        yield at, end
+
+
+def random_parts(run: str, measure: Efficiency) -> list[tuple[int, int]]:
+    """Where a run is random: as a whole, or in parts between separators, or in windows of long parts."""
+    if len(run) < LEAST_RUN or DIGEST.fullmatch(run):
+        return []
+    if not measure.identifier(run) and measure.ratio(run) < RATIO:
+        return [(0, len(run))]
+    out: list[tuple[int, int]] = []
+    known = [(m.start(), 3, m.end()) for m in INNER_DIGEST.finditer(run)]
+    for lo, hi in _uncovered(0, len(run), known):
+        # Parts that are not word-like and stand side by side, with short ones between them, are one key with separators in it.
+        group: list[tuple[int, int]] = []
+        for m in [*PART.finditer(run, lo, hi), None]:
+            if m is not None and not (m.group().isdigit() or measure.word_like(m.group())):
+                group.append(m.span())
+            elif m is None or not group or len(m.group()) > SHORT:
+                if group:
+                    a, b = group[0][0], group[-1][1]
+                    if b - a >= LEAST_RUN and not DIGEST.fullmatch(run, a, b) and measure.ratio(run[a:b]) < RATIO:
+                        out.append((a, b))
+                group = []
+        for m in PART.finditer(run, lo, hi):
+            at, end = m.span()
+            if end - at < 2 * LEAST_RUN - STEP or any(a <= at and end <= b for a, b in out):
+                continue
+            for a in [*range(at, end - LEAST_RUN, STEP), end - LEAST_RUN]:
+                window = run[a : a + LEAST_RUN]
+                if measure.ratio(window) < RATIO and not measure.word_like(window):
+                    out.append((a, a + LEAST_RUN))
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(out):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
+
+
 def find(text: str, measure: Efficiency) -> list[Span]:
     """(start, kind, end) of all spans, by start and then kind."""
     found: list[Span] = []
@@ -94,11 +150,8 @@ def find(text: str, measure: Efficiency) -> list[Span]:
         runs.append((at, end))
     base = sorted(found)
     for at, end in runs:
-        if any(s < end and at < e for s, _, e in base):
-            continue
-        run = text[at:end]
-        if not DIGEST.fullmatch(run) and not measure.identifier(run) and measure.ratio(run) < RATIO:
-            found.append((at, 3, end))
+        for lo, hi in _uncovered(at, end, base):
+            found += [(lo + a, 3, lo + b) for a, b in random_parts(text[lo:hi], measure)]
     return sorted(found)
 
 

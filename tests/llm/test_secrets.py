@@ -83,3 +83,21 @@ def test_letters_alone_are_found(measure):
         assert sum(s.find(f"x {k} y", measure) == [(2, 3, 2 + len(k))] for k in keys) >= least * 500
     for name in ("getHTTPResponseCodeFromServer", "some-long-kebab-case-name-2024", "MAXIMUM_RETRY_COUNT_PER_HOST"):
         assert not s.find(name, measure)
+
+
+def test_keys_within_readable_runs(measure):
+    """Readable text, or a span of a fixed pattern, in the same run does not hide a key."""
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    for before, after in (("production_database_credential=", ""), ("/services/webhooks/incoming/", ""), ("/services/incoming/", "/and/further/readable/parts"), ("productionDatabaseCredentialOfService", "")):
+        for n in (20, 24, 32):
+            hits = 0
+            for _ in range(200):
+                k = key(n)
+                spans = s.find(before + k + after, measure)
+                hits += any(a <= len(before) + 2 and len(before) + n - 2 <= b for a, kind, b in spans if kind == 3)
+            assert hits >= 180, (before, n, hits)
+    commit, k = "0123456789abcdef" * 2 + "01234567", key(32)
+    assert s.find(f"/commit/{commit}/{k}", measure) == [(8, 2, 48), (48, 3, 81)]
+    for text in ("/objects/of/some/archive/" + commit.upper(), "wp-content/uploads/2019/05/holiday-picture-300x200", "/items/123E4567-E89B-12D3-A456-426614174000/description/of/it"):
+        assert not [x for x in s.find(text, measure) if x[1] == 3], text
