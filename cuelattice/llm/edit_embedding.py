@@ -227,25 +227,30 @@ BANDS, DIGITS = 24, 10
 BLOCK = 1_000_000
 
 
+#: Bands are drawn for lengths that grow by this root of 2; a text takes part at its own and LOWER shorter ones, which near texts of other lengths share.
+ROOT, LOWER = 4, 2
+
+
 @lru_cache
-def _band_places(doublings: int) -> np.ndarray:
-    """Places of the digits of each band, among the samples of the first 2**doublings steps."""
-    n = len(sampled_steps(1 << doublings))
-    rng = np.random.Generator(np.random.PCG64([SEED, doublings]))
-    return np.stack([rng.choice(n, min(DIGITS, n), replace=False) for _ in range(BANDS)])
+def _band_places(size: int) -> np.ndarray:
+    """Places of the digits of each band, among the samples of the first 2**(size / ROOT) steps, drawn by how many steps a sample stands for."""
+    length = int(2 ** (size / ROOT))
+    weight = _strata(length)
+    rng = np.random.Generator(np.random.PCG64([SEED, size]))
+    return np.stack([rng.choice(len(weight), min(DIGITS, len(weight)), replace=False, p=weight / weight.sum()) for _ in range(BANDS)])
 
 
 def band_values(fingerprint: str, n_chars: int) -> list[int]:
-    """Bit-sampled bands of a fingerprint, at the doublings that its text fills and the one before."""
+    """Bit-sampled bands of a fingerprint, over the text's steps and over those of somewhat shorter texts."""
     if not n_chars:
         return []
     digits = np.frombuffer(fingerprint.encode(), np.uint8)
-    top = int(2 * n_chars).bit_length() - 1
+    top = int(np.floor(ROOT * np.log2(2 * n_chars)))
     out = []
-    for doublings in {max(top - 1, 0), top}:
-        for band, places in enumerate(_band_places(doublings)):
+    for size in range(max(top - LOWER, 0), top + 1):
+        for band, places in enumerate(_band_places(size)):
             if places.max(initial=-1) < len(digits):
-                out.append(xxhash.xxh3_64_intdigest(digits[places].tobytes(), seed=doublings * BANDS + band) - (1 << 63))
+                out.append(xxhash.xxh3_64_intdigest(digits[places].tobytes(), seed=size * BANDS + band) - (1 << 63))
     return out
 
 

@@ -301,3 +301,21 @@ def test_small_blocks(monkeypatch, odd, odd_rows):
     monkeypatch.setattr(bw, "BLOCK", 300)
     monkeypatch.setattr(bw, "LONGEST", 64)
     assert removed(bw.dedup(odd)) == brute_removal(odd_rows)
+
+
+@pytest.mark.parametrize("n_chars", [500, 2000, 3800])
+@pytest.mark.parametrize("where", [0.0, 0.5, 1.0])
+def test_bands_propose_near_texts_wherever_they_differ(n_chars, where):
+    """Texts with a replaced head, middle or tail that are near by their likeness share a band."""
+    rng = random.Random(n_chars)
+    text = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(n // 3 + 1))[:n]
+    near = proposed = 0
+    for i in range(80):
+        t, k = text(n_chars), n_chars // (20 if i % 2 else 10)
+        at = int((n_chars - k) * where)
+        e = t[:at] + text(k) + t[at + k :]
+        p, q = ee.fingerprints([t, e])
+        if ee.likeness(p, q, len(t), len(e)) >= ee.NEAR:
+            near += 1
+            proposed += not set(ee.band_values(p, len(t))).isdisjoint(ee.band_values(q, len(e)))
+    assert near >= 30 and proposed >= 0.9 * near, (near, proposed)
