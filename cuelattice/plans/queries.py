@@ -333,6 +333,21 @@ def walk_candidates(spark, sf_dir):
     return found.select("qid", "candidate_id", "ord.branch", "ord.edge_seq")
 
 
+@query(", topics AS (SELECT 'content:doc:' || doc_id AS id FROM documents), " + """
+cue_part AS (SELECT t.id AS qid, n.id AS candidate_id, 0 AS branch, e.edge_seq FROM topics t JOIN edges e ON e.target_id = t.id AND e.edge_type = 'cue_of' JOIN nodes n ON n.id = e.source_id AND n.node_type = 'cue' AND n.status = 'active'),
+peer_part AS (SELECT t.id AS qid, c.id AS candidate_id, 1 AS branch, e.edge_seq FROM topics t JOIN edges e ON e.source_id = t.id AND e.edge_type = 'part_of_topic' LEFT JOIN redirects r ON r.id = e.target_id
+  JOIN nodes c ON c.id = coalesce(r.redirect_id, e.target_id) AND c.node_type = 'content' AND c.status = 'active')
+SELECT * FROM cue_part UNION ALL SELECT * FROM peer_part""")
+def walk_candidates_all(spark, sf_dir):
+    """Candidates of every document as a current node."""
+    from ..operators import walk
+
+    graph = projection.graph(spark, sf_dir)
+    current = table(spark, sf_dir, "documents").select(F.concat(F.lit("content:doc:"), F.col("doc_id").cast("string")).alias("id"))
+    found = walk.candidates(graph, current.withColumn("qid", F.col("id")))
+    return found.select("qid", "candidate_id", "ord.branch", "ord.edge_seq")
+
+
 @query()
 def reconstruct_rule(spark, sf_dir):
     """Walks of 100 vector queries, 3 seeds each, by the rule planner; as 3 steps of a depth-first state this has no oracle in SQL."""

@@ -37,3 +37,10 @@ def test_query(spark, sql, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     assert rows(got, columns) == rows(want, columns)
+
+
+def test_every_document_has_its_candidates(spark, sql):
+    """Every document with a source is a current node, and rows grow with edges: a document's topic is one candidate."""
+    got = QUERIES["walk_candidates_all"](spark, str(DATA)).toPandas()
+    sources = sql.sql("SELECT 'content:doc:' || doc_id AS id FROM documents WHERE source IS NOT NULL").df()
+    assert set(got.qid) >= set(sources.id) and (got.branch == 1).sum() == len(sources)
