@@ -19,6 +19,7 @@ from ..functions.scalar import cosine
 
 #: Queries that are sent to every task at once.
 BLOCK = 4096
+ROWS = 512
 DECIMALS = 6
 
 
@@ -47,9 +48,8 @@ def _partial(ids: list, queries: np.ndarray, k: int):
         names: list = []
         best = np.zeros((len(ids), 0))
         own = np.zeros((len(ids), 0), np.int64)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        # A block of queries times ROWS vectors at once, so that many queries fit into a worker.
+        for b in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             lists = b.column(1)
             vectors = np.asarray(lists.flatten(), np.float64).reshape(b.num_rows, -1)
             norms = np.linalg.norm(vectors, axis=1)

@@ -350,11 +350,11 @@ def walk_candidates_all(spark, sf_dir):
 
 @query()
 def reconstruct_rule(spark, sf_dir):
-    """Walks of 100 vector queries, 3 seeds each, by the rule planner; as 3 steps of a depth-first state this has no oracle in SQL."""
+    """Walks of all vectors as queries, 3 seeds each, by the rule planner; as 3 steps of a depth-first state this has no oracle in SQL."""
     from ..operators import walk
 
     graph = projection.graph(spark, sf_dir)
-    queries = table(spark, sf_dir, "embeddings").where("vec_id < 100").select(F.col("vec_id").cast("string").alias("qid"), "embedding")
+    queries = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("qid"), "embedding")
     hits = vector.knn_batch(graph.nodes, queries, 3, "cue")
     seeds = hits.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda h: h["node_id"]).alias("seeds"))
     return walk.reconstruct(graph, seeds, walk.rule_planner(), budget=3)

@@ -44,3 +44,11 @@ def test_every_document_has_its_candidates(spark, sql):
     got = QUERIES["walk_candidates_all"](spark, str(DATA)).toPandas()
     sources = sql.sql("SELECT 'content:doc:' || doc_id AS id FROM documents WHERE source IS NOT NULL").df()
     assert set(got.qid) >= set(sources.id) and (got.branch == 1).sum() == len(sources)
+
+
+def test_every_vector_walks(spark, sql):
+    """Vectors from the 100th on walk too."""
+    got = QUERIES["reconstruct_rule"](spark, str(DATA)).toPandas()
+    ids = {int(i) for i in got.qid}
+    everything = {i for (i,) in sql.sql("SELECT vec_id FROM embeddings").fetchall()}
+    assert ids <= everything and len(ids) > 100 and max(ids) >= 100
