@@ -52,3 +52,14 @@ def test_every_vector_walks(spark, sql):
     ids = {int(i) for i in got.qid}
     everything = {i for (i,) in sql.sql("SELECT vec_id FROM embeddings").fetchall()}
     assert ids <= everything and len(ids) > 100 and max(ids) >= 100
+
+
+def test_the_whole_package_is_extracted(spark, monkeypatch):
+    """Each source file of the package is parsed."""
+    import cuelattice
+    from cuelattice.operators import extract
+
+    seen, parse = [], extract.parse_files
+    monkeypatch.setattr(extract, "parse_files", lambda scanned: parse(seen.append(scanned) or scanned))
+    assert QUERIES["extract_sources"](spark, str(DATA)).count()
+    assert seen[0].count() == len(list(Path(cuelattice.__file__).parent.rglob("*.py")))
