@@ -26,9 +26,7 @@ anything; texts under 50 bytes stay; further columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, documents, drop_table, materialise, slices, text_or_empty
-from .suffix_tree import _pack, _runs, _unpack
+from .common import column, documents, drop_table, materialise, pack, runs, slices, text_or_empty, unpack
 
 LENGTH = 50
 GRAM = 20
@@ -257,7 +254,7 @@ def _send_anchors(parts: int):
                 lo, hi = bounds[p], bounds[p + 1]
                 if lo < hi:
                     t, n = np.unique(text[lo:hi], return_counts=True)
-                    rows.append((p, h1[t].tobytes(), _pack(n), key[lo:hi].tobytes()))
+                    rows.append((p, h1[t].tobytes(), pack(n), key[lo:hi].tobytes()))
             yield _batch(rows, ANCHORS)
 
     return run
@@ -270,9 +267,9 @@ def _find_shared(parts: int):
     """Of one partition of anchors, those that stand in different texts, sent on by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _runs(batches, "part", ["texts", "counts", "anchors"]):
+        for _, rows in runs(batches, "part", ["texts", "counts", "anchors"]):
             key = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
-            text = np.concatenate([np.repeat(np.frombuffer(r[0], np.int64), _unpack(r[1])) for r in rows])
+            text = np.concatenate([np.repeat(np.frombuffer(r[0], np.int64), unpack(r[1])) for r in rows])
             order = np.argsort(key)
             key, text = key[order], text[order]
             heads = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
@@ -293,7 +290,7 @@ BY_TEXT = "key long, shared binary"
 
 def _gather_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each text with shared anchors."""
-    for _, rows in _runs(batches, "part", ["texts", "anchors"]):
+    for _, rows in runs(batches, "part", ["texts", "anchors"]):
         text = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
         key = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
         order = np.lexsort((key, text))
@@ -347,10 +344,10 @@ def _send_snippets(buckets: int):
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
             number, sizes, least_docs = (task << 40) + count, np.array([len(s) for s in snippets], np.int64), np.array(least, np.int64)
             count += 1
-            rows = [(-1, number, b"", _pack(sizes[order]), b"", np.array(docs, np.int64).tobytes(), _pack(back[np.array(places)]), _pack(np.array(docs_at)) + b"".join([np.array(starts_at, "<u4").tobytes()]))]
+            rows = [(-1, number, b"", pack(sizes[order]), b"", np.array(docs, np.int64).tobytes(), pack(back[np.array(places)]), pack(np.array(docs_at)) + b"".join([np.array(starts_at, "<u4").tobytes()]))]
             for p in np.unique(bucket).tolist():
                 own = order[bounds[p] : bounds[p + 1]]
-                rows.append((p, number, squeeze.compress(b"".join([snippets[i] for i in own.tolist()])), _pack(sizes[own]), key[own].tobytes(), least_docs[own].tobytes(), b"", b""))
+                rows.append((p, number, squeeze.compress(b"".join([snippets[i] for i in own.tolist()])), pack(sizes[own]), key[own].tobytes(), least_docs[own].tobytes(), b"", b""))
             yield _batch(rows, SNIPPETS)
 
     return run
@@ -362,12 +359,12 @@ ANSWERS = "bucket int, slice long, least binary"
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The least document of every window of a bucket's snippets, slice by slice."""
     expand_bytes = zstandard.ZstdDecompressor().decompress
-    for bucket, rows in _runs(batches, "bucket", ["slice", "snippets", "sizes", "anchors", "docs"]):
+    for bucket, rows in runs(batches, "bucket", ["slice", "snippets", "sizes", "anchors", "docs"]):
         where: dict[bytes, int] = {}
         snippets, keys, least, uses = [], [], [], []
         for _, data, sizes, anchor, docs in rows:
             data = expand_bytes(data)
-            ends = np.cumsum(_unpack(sizes))
+            ends = np.cumsum(unpack(sizes))
             use = []
             for lo, hi, a, d in zip([0, *ends[:-1].tolist()], ends.tolist(), np.frombuffer(anchor, np.uint64).tolist(), np.frombuffer(docs, np.int64).tolist(), strict=True):
                 snippet = data[lo:hi]
@@ -399,14 +396,14 @@ RANGES = "h1 long, h2 long, doc_id long, starts binary, ends binary"
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The byte ranges to remove from each text of a slice."""
-    for _, rows in _runs(batches, "slice", ["bucket", "sizes", "docs", "places", "starts", "least"]):
+    for _, rows in runs(batches, "slice", ["bucket", "sizes", "docs", "places", "starts", "least"]):
         rows.sort(key=lambda r: r[0])
         _, sizes, docs, places, starts, _ = rows[0]
-        windows = _unpack(sizes) - LENGTH + 1
+        windows = unpack(sizes) - LENGTH + 1
         least = np.concatenate([np.frombuffer(r[5], np.int64) for r in rows[1:]])
-        docs, places = np.frombuffer(docs, np.int64).reshape(-1, 3), _unpack(places)
+        docs, places = np.frombuffer(docs, np.int64).reshape(-1, 3), unpack(places)
         at = 1 + starts[0] * len(places)
-        doc_of, starts = _unpack(starts[:at]), np.frombuffer(starts, "<u4", offset=at).astype(np.int64)
+        doc_of, starts = unpack(starts[:at]), np.frombuffer(starts, "<u4", offset=at).astype(np.int64)
         n = windows[places]
         inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         first = (np.cumsum(windows) - windows)[places]
@@ -482,28 +479,14 @@ def _removed(snippets: DataFrame, parts: int) -> str:
     return materialise(ranges, "ranges")[1]
 
 
-def _release(spark) -> None:
-    """Let Spark's cleaner drop shuffles that no plan refers to any more.
-
-    It learns of them by garbage collection: the first round frees what Python
-    held, the second what that held in turn.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, h1, h2, text), and for each text with removals its ranges."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _hashed(docs)
     path = _candidates(rows, parts)
-    _release(spark)
     ranges = _removed(spark.read.schema(SNIPPETS).parquet(path), parts)
     drop_table(spark, path)
-    _release(spark)
     return rows, spark.read.schema(RANGES).parquet(ranges)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, documents, drop_table, materialise, slices, text_or_empty
+from .common import column, documents, drop_table, materialise, remainder, slices, text_or_empty
 
 SAMPLE = 12_000
 LEAST_DOCS = 8
@@ -77,11 +77,6 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def remainder(doc_id, n: int):
-    """crc32 of the id as text, modulo n."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """At most ``sample`` labelled documents outside the held-out quarter: toxic, text."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
