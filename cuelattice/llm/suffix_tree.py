@@ -1,28 +1,40 @@
-"""Language-model scoring with a probabilistic suffix tree of bounded size.
-
-The query of this module uses :mod:`context_tables`, where the tree grows with
-the corpus; :func:`score` here is for a tree that fits into every task.
-
-Symbols are the words of a text (A-Z lowered) and one end.  The root of the
-tree has the smoothed distribution of all words.  Contexts are suffixes of the
-history, of one to ``DEPTH`` words, grown by levels:
-
-* a context is a candidate if it makes up ``LEAST_SHARE`` of the training
-  tokens or more, and so do its parts, which bounds a level to 1 / LEAST_SHARE
-  contexts and the tree to DEPTH times as many, at any size of corpus;
-* it is retained if its next symbols diverge from those of its parent (the
-  longest retained suffix): twice the log likelihood ratio must exceed the
-  number of its next symbols by ``LEAST_Z`` standard deviations of a chi-square.
-
-A context tells the frequent words (those with a share of LEAST_SHARE), the end
-and *any other word* apart; another word is then drawn as the root draws it.
-Distributions are smoothed by absolute discounting towards the parent.  A token
-is scored by its longest retained suffix.
-
-Words that are not frequent are unbounded in number.  Their counts stay
-distributed: batches of documents send each distinct word's hash, with its
-count and the places where it is needed, to the word's partition as packed
-arrays, where counts are summed and each document's log terms come back.
+"""Language-model scoring with a probabilistic suffix tree of the whole corpus.
+
+Symbols are all words of the texts (A-Z lowered) and one end.  The root has the
+smoothed distribution of all of them.  A context is the last one to ``DEPTH``
+words before a token.  With absolute counts, the same at every size of corpus,
+
+* a context is a candidate if it stands ``LEAST_CONTEXT`` times or more in the
+  training texts, and a next symbol is listed from ``LEAST_NEXT`` times on;
+* a candidate is retained if its next symbols diverge from those of its longest
+  retained suffix: twice the log likelihood ratio must exceed the number of its
+  listed symbols by ``LEAST_Z`` standard deviations of a chi-square.
+
+The probability at a retained context is its discounted share plus what it
+leaves times that of its longest retained suffix.  A token has the probability
+of its longest retained context.
+
+Nothing of the tree is in one place.  Batches of documents keep their tokens as
+places in a list of their own words, and ask for what they need of others:
+
+1. words: each distinct word goes to the partition of its hash, which gives it
+   a number and its count;
+2. contexts of one word: each distinct pair of a context and a next symbol goes
+   to the partition of the context, which gives back the pair's count and what
+   the context's test came to;
+3. longer contexts: a token whose last two words are a candidate goes, with the
+   words before it as far as candidates can reach, to the partition of these
+   two words.  All contexts that end with them are there, level by level, and
+   so are all tokens to score; what comes back is each document's sum.
+
+The words before a token reach back while neighbours stand together LEAST_CONTEXT
+times, and no further than a pair that stands just that often: a longer
+context would then hold the same tokens, and no test could tell it apart.
+
+A context with more than HOT tokens (a number that follows the corpus, so that
+there are MOST_HOT of them at most) is spread by what follows it: its pairs are
+asked for in step 2, at any level, and the sums of its test are added up by
+Spark and broadcast.
 
 Defined cases: null text counts as empty and is one end token; rows with equal
 doc_id are rows of their own; an empty table, or one without training rows,
@@ -31,31 +43,32 @@ gives scores from an untrained root; further columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHashes, column, documents, materialise, slices, text_or_empty
-from .toxicity import remainder
+from .common import Scratch, TokenHashes, column, dealt_by, documents, drop_table, expand, mix64, remainder, runs, shared_dir, shuffles_go, slices, squeeze, text_or_empty
 
-DEPTH = 2
-LEAST_SHARE = 1e-5
-#: Next symbols of a context are kept apart from this share of the training tokens on.
-LEAST_JOINT = 1e-6
+DEPTH = 8
+LEAST_CONTEXT = 2
+LEAST_NEXT = 2
 LEAST_Z = 4.0
 DISCOUNT = 0.75
 HELD_OUT = 10
-
-#: Numbers of the symbols that are not frequent words.
-END, OTHER = 0, 1
+#: A hot context holds so many training tokens, and this share of all of them.
+HOT, MOST_HOT = 1 << 20, 1 << 16
+#: Bytes of text of a batch.
+BATCH = 8 << 20
 
 _HASHES = TokenHashes()
+_END = 0x454E44
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -63,435 +76,587 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _text_keys(texts: list[bytes]) -> list[bytes]:
-    """128-bit hashes.  What a text's words come to is joined to its rows by these; partitions may differ when an input is read again."""
-    return [xxhash.xxh3_128_digest(t) for t in texts]
-
-
 def rows_of(docs: DataFrame) -> DataFrame:
     held = remainder(F.col("doc_id"), HELD_OUT) == 0
     return docs.select("doc_id", held.alias("held_out"), text_or_empty().alias("text"))
 
 
-# ------------------------------------------------------------------ counts of all words
+def _table(names: str, *values: list) -> pa.RecordBatch:
+    """A batch of rows by a schema of longs, ints, doubles and binaries."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
+    fields = [x.split() for x in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(values, fields, strict=True)], names=[n for n, _ in fields])
 
-#: A request holds a batch's word hashes of one partition and their training counts; the row with part -1 holds the
-#: batch's use of its words: the documents' text keys, how many distinct ones each document has, their places among the batch's, and how often.
-COUNTS = "part int, batch long, trained long, keys binary, counts binary, places binary, times binary"
-COUNT_KINDS = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
 
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix64(key.view(np.uint64)) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
-def _pack(a: np.ndarray) -> bytes:
-    """Non-negative numbers in as few bytes each as the largest needs."""
-    most = int(a.max()) if len(a) else 0
-    size = next(n for n in (1, 2, 4, 8) if most < 1 << (8 * n))
-    return bytes([size]) + a.astype(f"<u{size}").tobytes()
 
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
+# ------------------------------------------------------------------ words
 
-def _count_words(parts: int):
-    """Each batch's distinct words, packed by the partition of their hash, and its use of them."""
+#: words: the batch's distinct words by (partition, hash); counts: of them in its training texts; bounds: where each partition's begin; places: each token's word.
+BATCHES = "batch long, docs array<{kind}>, held array<boolean>, sizes binary, places binary, words binary, counts binary, bounds binary, trained long"
+
+
+def _read(parts: int):
+    """Batches of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, first = TaskContext.get().partitionId(), 0
-        for b in slices(batches, most=8 << 20):
-            words, sizes, times, train = [], [], [], []
-            texts = column(b, "text")
-            for t, h in zip(texts, column(b, "held_out"), strict=True):
-                c = Counter(tokens(t))
-                words += map(_HASHES.__getitem__, c)
-                times += c.values()
-                sizes.append(len(c))
-                train.append(not h)
-            key, use = np.unique(np.array(words, np.int64), return_inverse=True)
-            n, sizes = np.array(times, np.int64), np.array(sizes, np.int64)
-            counts = np.bincount(use, n * np.repeat(np.array(train), sizes), minlength=len(key)).astype(np.int64)
-            part = ((key.view(np.uint64) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        task, number = TaskContext.get().partitionId(), 0
+        for b in slices(batches, most=BATCH):
+            words, sizes = [], []
+            for t in column(b, "text"):
+                ws = tokens(t)
+                words += map(_HASHES.__getitem__, ws)
+                words.append(_END)
+                sizes.append(len(ws) + 1)
+            key, places = np.unique(np.array(words, np.int64), return_inverse=True)
+            part = _part(key, parts)
             order = np.argsort(part, kind="stable")
-            key, counts = key[order], counts[order]
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            back = np.empty(len(order), np.int64)
-            back[order] = np.arange(len(order))
-            # The places of a document's words ascend, so their differences are small.
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            by_doc = np.lexsort((back[use], doc))
-            place = back[use][by_doc]
-            steps = np.diff(place, prepend=0)
-            starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-            steps[starts] = place[starts]
-            batch = (task << 40) + first  # told apart within this one job
-            first += b.num_rows
-            rows = [(-1, batch, 0, b"".join(_text_keys(texts)), _pack(sizes), _pack(steps), _pack(n[by_doc]))]
-            for p in range(parts):
-                lo, hi = bounds[p], bounds[p + 1]
-                if lo < hi:
-                    rows.append((p, batch, int(counts[lo:hi].sum()), key[lo:hi].tobytes(), _pack(counts[lo:hi]), b"", b""))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), COUNT_KINDS, strict=True)], names=[x.split()[0] for x in COUNTS.split(", ")])
+            back = np.empty(len(order), np.uint32)
+            back[order] = np.arange(len(order), dtype=np.uint32)
+            places = back[places]
+            train = np.repeat(~np.array(column(b, "held_out"), bool), sizes)
+            counts = np.bincount(places[train], minlength=len(key)).astype(np.uint32)
+            bounds = np.searchsorted(part[order], np.arange(parts + 1)).astype(np.uint32)
+            own = [np.array(sizes, np.uint32), places, None, counts, bounds]
+            docs, held = (pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(b.schema.get_field_index(c))) for c in ("doc_id", "held_out"))
+            data = [pa.array([key[order].tobytes() if a is None else squeeze(a)], pa.binary()) for a in own]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([(task << 32) + number]), docs, held, *data, pa.array([int(train.sum())])],
+                names=[x.split()[0] for x in BATCHES.split(", ")],
+            )
+            number += 1
 
     return run
 
 
-ANSWERS = "part int, batch long, totals binary, distinct long, frequent binary, frequent_counts binary"
+ASKED = "part int, batch long, data binary"
+
+
+def _ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for batch, words, counts, bounds in zip(*(column(b, c) for c in ("batch", "words", "counts", "bounds")), strict=True):
+            words, counts, bounds = np.frombuffer(words, np.int64), expand(counts)[0], expand(bounds)[0]
+            used = np.flatnonzero(np.diff(bounds))
+            data = [squeeze(words[bounds[p] : bounds[p + 1]], counts[bounds[p] : bounds[p + 1]]) for p in used]
+            yield _table(ASKED, used, [batch] * len(used), data)
+
 
+COUNTED = "batch long, part int, data binary, kinds long"
 
-def _sum_words(least: float):
-    """Per partition of words, sums over all batches, given back to each batch in the order of its request; the words with ``least`` or more once."""
 
-    def finish(part: int, rows: list[tuple]) -> pa.RecordBatch:
-        keys = np.concatenate([np.frombuffer(r[1], np.int64) for r in rows])
-        counts = np.concatenate([_unpack(r[2]) for r in rows])
-        key, inverse = np.unique(keys, return_inverse=True)
-        total = np.bincount(inverse, counts, minlength=len(key)).astype(np.int64)
-        often = total >= least
-        out, at = [], 0
-        stats = (int((total > 0).sum()), key[often].tobytes(), total[often].tobytes())
-        for batch, k, _ in rows:
-            ids = inverse[at : at + len(k) // 8]
-            at += len(k) // 8
-            out.append((part, batch, _pack(total[ids]), *stats))
-            stats = (0, b"", b"")
-        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in ANSWERS.split(", ")])
+def _count_words(parts: int):
+    """Per partition of words: their numbers and counts, given back to each batch in its order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _runs(batches, "part", ["batch", "keys", "counts"]):
-            yield finish(part, rows)
+        for part, rows in runs(batches, "part", ["batch", "data"]):
+            asked = [expand(d) for _, d in rows]
+            key, inverse = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
+            total = np.bincount(inverse, np.concatenate([c for _, c in asked]), minlength=len(key)).astype(np.int64)
+            data, at = [], 0
+            for k, _ in asked:
+                mine = inverse[at : at + len(k)]
+                at += len(k)
+                data.append(squeeze(mine * parts + part + 1, total[mine]))
+            kinds = [int((total > 0).sum())] + [0] * (len(rows) - 1)
+            yield _table(COUNTED, [r[0] for r in rows], [part] * len(rows), data, kinds)
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], by: str, names: list[str]) -> Iterator[tuple]:
-    """Rows that follow each other with the same value of ``by``."""
-    at, held = None, []
-    for b in batches:
-        for value, *row in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in [by, *names]), strict=True):
-            if value != at and held:
-                yield at, held
-                held = []
-            at = value
-            held.append(tuple(row))
-    if held:
-        yield at, held
+#: tokens: sizes, places, numbers and counts of the words; open: places in the tokens that still look for a longer context, and their probability so far.
+STATE = "batch long, docs array<{kind}>, held array<boolean>, tokens binary, open binary"
 
 
-TERMS = "text_key binary, known long, unknown long, base double, rare double"
+def _by_part(answers: list) -> list[list[np.ndarray]]:
+    """A batch's answers, decoded, by partition."""
+    return [expand(a["data"]) for a in sorted(answers, key=lambda a: a["part"])]
 
 
-def _terms(least: float):
-    """Each document's sums over its tokens: known (c > 0) and unknown ones, log10(c + 0.1), and log10 of the root's numerator over known words that are not frequent."""
+def _joined(list_columns: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, dict]]:
+    """Each row with its documents as Arrow arrays and the rest as Python values."""
+    for b in list_columns:
+        rest = [c for c in b.schema.names if c not in ("docs", "held")]
+        for i in range(b.num_rows):
+            docs, held = (b.column(b.schema.get_field_index(c))[i].values for c in ("docs", "held"))
+            yield docs, held, {c: b.column(b.schema.get_field_index(c))[i].as_py() for c in rest}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _runs(batches, "batch", ["part", "totals", "keys", "sizes", "places", "times"]):
-            rows.sort(key=lambda r: r[0])
-            _, _, keys, sizes, places, times = rows[0]
-            total = np.concatenate([np.zeros(0, np.int64), *(_unpack(r[1]) for r in rows[1:])])
-            sizes, steps, times = _unpack(sizes), _unpack(places), _unpack(times)
-            some = sizes > 0
-            starts = (np.cumsum(sizes) - sizes)[some]
-            run_on = np.cumsum(steps)
-            use = total[run_on - np.repeat(run_on[starts] - steps[starts], sizes[some])]
-            rare = (use > 0) & (use < least)
-
-            def add(x: np.ndarray) -> np.ndarray:
-                out = np.zeros(len(sizes), (times * x).dtype)
-                if len(starts):
-                    out[some] = np.add.reduceat(times * x, starts)
-                return out
 
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[i : i + 16] for i in range(0, len(keys), 16)], pa.binary()), pa.array(add(use > 0)), pa.array(add(use == 0)), pa.array(add(np.log10(use + 0.1))), pa.array(add(np.where(rare, np.log10(np.maximum(use - DISCOUNT, 1e-300)), 0.0)))],
-                names=[x.split()[0] for x in TERMS.split(", ")],
-            )
+def _lists(values: list[pa.Array]) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values]
 
-    return run
 
+@dataclass(frozen=True)
+class _Plan:
+    """parts: number of partitions; hot: tokens of a hot context; depth: of the tree; states: (total, listed, kinds) of the hot contexts just tested, the last two 0 where one is not retained."""
 
-# ------------------------------------------------------------------ contexts
+    parts: int
+    hot: int
+    depth: int
+    states: dict[int, tuple] = field(default_factory=dict)
 
 
-class Words(dict):
-    """Word to symbol number: its place among the frequent words, or OTHER."""
+class _Root:
+    """The smoothed distribution of all words, by count."""
 
-    most = 150_000
+    def __init__(self, total: int, kinds: int):
+        self.total, self.kinds = total, kinds
 
-    def __init__(self, frequent: dict[int, int]):
-        super().__init__()
-        self.frequent = frequent
+    def probability(self, count: np.ndarray) -> np.ndarray:
+        if not self.total:
+            return np.ones(len(count))
+        return np.where(count > 0, (count - DISCOUNT) / self.total, DISCOUNT * self.kinds / self.total)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        found = self[word] = self.frequent.get(xxhash.xxh3_64_intdigest(word) - (1 << 63), OTHER)
-        return found
+    def base(self, count: np.ndarray) -> np.ndarray:
+        return np.log10(count + 0.1) - np.log10(self.total + 0.1 * (self.kinds + 1))
 
 
-def _symbols(texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each ended by END, and where each text ends (exclusive)."""
-    flat, ends, n = [], [], 0
-    for t in texts:
-        ws = tokens(t)
-        flat += map(words.__getitem__, ws)
-        flat.append(END)
-        n += len(ws) + 1
-        ends.append(n)
-    return np.array(flat, np.int64), np.array(ends, np.int64)
+def _learn_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the numbers and counts of their words, all tokens open."""
+    for docs, held, row in _joined(batches):
+        number, count = (np.concatenate(x) for x in zip(*_by_part(row["answers"]), strict=True))
+        (sizes,), (places,) = expand(row["sizes"]), expand(row["places"])
+        state = [squeeze(sizes, places, number, count), b""]  # level 1 starts from the root, whose probabilities follow from the counts
+        yield pa.RecordBatch.from_arrays([pa.array([row["batch"]]), *_lists([docs, held]), *(pa.array([x], pa.binary()) for x in state)], names=[x.split()[0] for x in STATE.split(", ")])
 
 
-def _history(symbols: np.ndarray, ends: np.ndarray, known: list[np.ndarray]) -> list[np.ndarray]:
-    """For each length from 1 on: the number of the context before each position among ``known`` of that length, or -1.
+# ------------------------------------------------------------------ pairs of a context and a next symbol
 
-    ``known[k - 1]`` holds sorted codes of the contexts of length k; a context's
-    code is (number of its suffix among the codes of length k - 1) * 2**32 + its
-    first symbol, for length 1 the symbol itself.
-    """
-    n = len(symbols)
-    starts = np.concatenate([[0], ends[:-1]])
-    out, suffix = [], None
-    for k, codes in enumerate(known, 1):
-        back = np.full(n, -1, np.int64)
-        back[k:] = symbols[:-k]
-        for j in range(k):
-            at = starts + j
-            back[at[at < ends]] = -1  # no history across the beginning of a text
-        if k == 1:
-            code = back
+
+class _Batch:
+    """The tokens of a batch."""
+
+    def __init__(self, row: dict, held: pa.Array, root: _Root):
+        self.sizes, self.places, self.number, self.count = expand(row["tokens"])
+        self.sizes = self.sizes.astype(np.int64)
+        self.starts = _starts(self.sizes)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.inside = np.arange(len(self.places)) - self.starts[self.doc]
+        self.train = ~np.asarray(held, bool)[self.doc]
+        self.words = self.number[self.places]
+        self.root = root
+        if row["open"]:
+            self.at, self.p = expand(row["open"])
         else:
-            code = np.where((suffix >= 0) & (back > OTHER), suffix * (1 << 32) + back, -1)
-        found = np.searchsorted(codes, code)
-        found[found == len(codes)] = 0
-        number = np.where((code > OTHER) & (codes[found] == code), found, -1) if len(codes) else np.full(n, -1)
-        out.append(number)
-        suffix = number
-    return out
+            self.at = np.flatnonzero((self.inside > 0) & (self.count[np.roll(self.places, 1)] >= LEAST_CONTEXT))
+            self.p = root.probability(self.count[self.places[self.at]])
+
+    def context(self, at: np.ndarray, level: int) -> np.ndarray:
+        """A number for the last ``level`` words before tokens."""
+        out = self.words[at - 1].astype(np.uint64)
+        for k in range(2, level + 1):
+            out = mix64(out) + self.words[at - k].astype(np.uint64)
+        return out.view(np.int64)
+
+    def pairs(self, level: int, plan: _Plan) -> dict:
+        """Distinct pairs of open tokens by (partition, context), each token's pair, and the contexts' places among the pairs."""
+        if level == 1:
+            context = self.words[self.at - 1].astype(np.int64)
+            heat = self.count[self.places[self.at - 1]] >= plan.hot
+        else:  # only hot contexts are asked for
+            context, heat = self.context(self.at, level), np.ones(len(self.at), bool)
+        symbol = self.words[self.at].astype(np.int64)
+        key = mix64(context.view(np.uint64)) + symbol.view(np.uint64)
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        part = _part(np.where(heat[first], key[first].view(np.int64), context[first]), plan.parts)
+        order = np.lexsort((symbol[first], context[first], part))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        first = first[order]
+        pair = back[inverse]
+        part, context, symbol, heat = part[order], context[first], symbol[first], heat[first]
+        new = np.ones(len(part), bool)
+        new[1:] = (context[1:] != context[:-1]) | (part[1:] != part[:-1])
+        n = np.bincount(pair, self.train[self.at], minlength=len(first)).astype(np.uint32)
+        return {"pair": pair, "first": first, "part": part, "context": context, "symbol": symbol, "n": n, "hot": heat, "new": new}
+
+
+def _ask_pairs(level: int, root: _Root, plan: _Plan):
+    """Each batch's pairs by partition: contexts, their heat and numbers of pairs; of the pairs, the symbols' places among distinct ones, and n; the distinct symbols, and the counts (at level 1) or the pairs' probabilities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held, row in _joined(batches):
+            b = _Batch(row, held, root)
+            if not len(b.at):
+                continue
+            x = b.pairs(level, plan)
+            used, lows = np.unique(x["part"], return_index=True)
+            data = []
+            for lo, hi in zip(lows, [*lows[1:], len(x["part"])], strict=True):
+                starts = np.flatnonzero(x["new"][lo:hi])
+                symbol, at = np.unique(x["symbol"][lo:hi], return_inverse=True)
+                sizes = np.diff([*starts, hi - lo])
+                if level == 1:
+                    count = np.zeros(len(symbol), np.int64)
+                    count[at] = b.count[b.places[b.at[x["first"][lo:hi]]]]
+                    more = count
+                else:
+                    more = b.p[x["first"][lo:hi]]
+                data.append(squeeze(x["context"][lo:hi][starts], x["hot"][lo:hi][starts].astype(np.uint8), sizes.astype(np.uint32), at.astype(np.uint32), x["n"][lo:hi], symbol, more))
+            yield _table(ASKED, used, [row["batch"]] * len(used), data)
 
+    return run
 
-def _count_next(frequent: dict[int, int], known: list[np.ndarray], flush: int = 1_000_000):
-    """(context of the longest known length, next symbol) pairs of training texts, with counts."""
 
+def tested(total, listed, kinds, gain, by_parent):
+    """Whether a context is retained, and what it leaves to its suffix: from its number of tokens, and of its listed symbols the tokens, the number, the sum of n log(n / p) and of p."""
+    rest = total - listed
+    with np.errstate(divide="ignore", invalid="ignore"):
+        by_rest = np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / np.maximum(total, 1) / np.maximum(1 - by_parent, 1e-12)), 0.0)
+        gain = gain - listed * np.log(np.maximum(total, 1)) + by_rest
+    return (total >= LEAST_CONTEXT) & (2 * gain > kinds + LEAST_Z * np.sqrt(2.0 * kinds) + LEAST_Z)
+
+
+class _Sums:
+    """Sums over the pairs of each context: context is each pair's context, n its training tokens, p its probability so far."""
+
+    def __init__(self, context: np.ndarray, contexts: int, n: np.ndarray, p: np.ndarray):
+        on = n >= LEAST_NEXT
+        c, m = context[on], n[on].astype(float)
+        add = lambda c, x=None: np.bincount(c, x, minlength=contexts)
+        self.total, self.listed, self.kinds = add(context, n), add(c, m), add(c).astype(float)
+        self.gain, self.by_parent = add(c, m * np.log(m / p[on])), add(c, p[on])
+
+    def all(self) -> list[np.ndarray]:
+        return [self.total, self.listed, self.kinds, self.gain, self.by_parent]
+
+
+#: data: the pairs' counts, and of the contexts the listed symbols and their tokens, both 0 where it is not retained (or hot); sums: of one hot context in this partition.
+ANSWERED = "batch long, part int, data binary, context long, sums array<double>, retained long, most long"
+
+
+def _answer_pairs(root: _Root, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = Words(frequent), [], 0
+        for part, rows in runs(batches, "part", ["batch", "data"]):
+            asked = [expand(d) for _, d in rows]
+            contexts, heat, sizes, at, n, symbols, more = zip(*asked, strict=True)
+            symbol = np.concatenate([s[a] for s, a in zip(symbols, at, strict=True)])
+            p = np.concatenate([root.probability(m[a]) if level == 1 else m for m, a in zip(more, at, strict=True)])
+            names, context = np.unique(np.concatenate(contexts), return_inverse=True)
+            hot = np.zeros(len(names), bool)
+            hot[context] = np.concatenate(heat).astype(bool)
+            context_of_chunk = np.split(context, np.cumsum([len(c) for c in contexts])[:-1])
+            context = np.repeat(context, np.concatenate(sizes))
+            key = mix64(context.astype(np.uint64)) + symbol.view(np.uint64)
+            _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            total = np.bincount(inverse, np.concatenate(n), minlength=len(first)).astype(np.int64)
+            sums = _Sums(context[first], len(names), total, p[first])
+            kept = tested(*sums.all()) & ~hot
+            kinds, listed = (np.where(kept, x, 0).astype(np.uint32) for x in (sums.kinds, sums.listed))
+            pieces = np.split(total[inverse], np.cumsum([len(x) for x in n])[:-1])
+            data = [squeeze(t, kinds[c], listed[c]) for t, c in zip(pieces, context_of_chunk, strict=True)]
+            k = len(rows)
+            yield _table(ANSWERED, [r[0] for r in rows], [part] * k, data, [None] * k, [None] * k, [int(kept.sum())] + [0] * (k - 1), [int(total.max(initial=0))] * k)
+            if hot.any():
+                some = np.flatnonzero(hot)
+                values = np.stack(sums.all(), 1)[some]
+                k = len(some)
+                yield _table(ANSWERED, [None] * k, [part] * k, [None] * k, names[some], values.tolist(), [0] * k, [0] * k)
 
-        def out() -> pa.RecordBatch:
-            pair, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([h[1] for h in held]), minlength=len(pair)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pair >> 32), pa.array(pair & 0xFFFFFFFF), pa.array(n)], names=["context", "symbol", "n"])
+    return run
 
-        for b in slices(batches):
-            texts = [t for t, h in zip(column(b, "text"), column(b, "held_out"), strict=True) if not h]
-            if not texts:
-                continue
-            symbols, ends = _symbols(texts, words)
-            number = _history(symbols, ends, known)[-1]
-            on = number >= 0
-            pair, n = np.unique(number[on] * (1 << 32) + symbols[on], return_counts=True)
-            held.append((pair, n))
-            size += len(pair)
-            if size > flush:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
+
+# ------------------------------------------------------------------ longer contexts
+
+#: A batch's own row has its documents and level 0; the others are chunks of windows, for the partition of their context of ``level`` words.
+WINDOWS = "part int, batch long, level int, docs array<{kind}>, held array<boolean>, data binary"
+
+
+class _Answered:
+    """A batch after the answers to its pairs of ``level`` words.
+
+    p: each token's probability so far; together: its count as the pair of its
+    context and itself, 0 if it was not open; pairs: the same of level 1;
+    longer: the tokens whose context of one word more may be a candidate, and
+    whether that is hot.
+    """
+
+    def __init__(self, b: _Batch, row: dict, level: int, plan: _Plan):
+        self.p = b.root.probability(b.count[b.places]) if level == 1 else np.ones(len(b.places))
+        self.together = np.zeros(len(b.places), np.int64)
+        if len(b.at):
+            self._look_up(b, row["answers"], level, plan)
+        self.pairs = self.together if level == 1 else expand(row["pairs"])[0]
+        longer = np.arange(len(b.places)) if level == 1 else b.at
+        longer = longer[b.inside[longer] > level] if level < plan.depth else longer[:0]
+        if level == 1:  # the context of two words is the pair of the token before
+            longer = longer[self.pairs[longer - 1] >= LEAST_CONTEXT]
+        self.longer, self.heat = longer, self.together[longer - 1] >= plan.hot
+
+    def _look_up(self, b: _Batch, answers: list, level: int, plan: _Plan) -> None:
+        x = b.pairs(level, plan)
+        n, kinds, listed = (np.concatenate(c) for c in zip(*_by_part(answers), strict=True))
+        of = np.cumsum(x["new"]) - 1
+        kinds, listed = kinds[of].astype(float), listed[of].astype(float)
+        total = b.count[b.places[b.at[x["first"]] - 1]].astype(float) if level == 1 else np.ones(len(n))
+        if plan.states:
+            known = np.array(sorted(plan.states), np.int64)
+            values = np.array([plan.states[c] for c in known.tolist()])
+            at = np.minimum(np.searchsorted(known, x["context"]), len(known) - 1)
+            hit = x["hot"] & (known[at] == x["context"])
+            total[hit], listed[hit], kinds[hit] = values[at[hit]].T
+        kept = kinds > 0
+        share = np.where(kept & (n >= LEAST_NEXT), (n - DISCOUNT) / np.maximum(total, 1), 0.0)
+        left = np.where(kept, 1 - (listed - DISCOUNT * kinds) / np.maximum(total, 1), 1.0)
+        self.p[b.at] = (share + left * b.p[x["first"]])[x["pair"]]
+        self.together[b.at] = n[x["pair"]]
+
+
+def _windows(level: int, root: _Root, plan: _Plan):
+    """After the answers to pairs of ``level`` words: each batch's own row (later: its sums), and windows of its tokens that reach further."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, held, row in _joined(batches):
+            schema = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("level", pa.int32()), ("docs", pa.list_(docs.type)), ("held", pa.list_(pa.bool_())), ("data", pa.binary())])
+            b = _Batch(row, held, root)
+            x = _Answered(b, row, level, plan)
+            closed = np.full(len(b.places), level == 1)
+            closed[b.at] = True
+            closed[x.longer] = False
+            logs = np.bincount(b.doc[closed], np.log10(x.p[closed]), minlength=len(b.sizes))
+            count = b.count[b.places]
+            if level == 1:
+                base, known = np.add.reduceat(root.base(count), b.starts), np.add.reduceat((count > 0).astype(np.int64), b.starts)
+                own, lists = squeeze(b.sizes.astype(np.uint32), known.astype(np.uint32), base, logs), _lists([docs, held])
+            else:
+                own, lists = squeeze(np.arange(len(logs), dtype=np.uint32), logs), [pa.nulls(1, schema.field(c).type) for c in ("docs", "held")]
+            yield pa.RecordBatch.from_arrays([pa.array([row["batch"] % plan.parts], pa.int32()), pa.array([row["batch"]]), pa.array([0], pa.int32()), *lists, pa.array([own], pa.binary())], schema=schema)
+            chunks = list(_cut(b, x.longer[~x.heat], x, level + 1, plan))
+            for lo in range(0, len(chunks), 64):
+                parts, data = zip(*chunks[lo : lo + 64], strict=True)
+                k = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([row["batch"]] * k), pa.array([level + 1] * k, pa.int32()), *(pa.nulls(k, schema.field(c).type) for c in ("docs", "held")), pa.array(data, pa.binary())], schema=schema)
 
     return run
 
 
-class Tree:
-    """The model that every scoring task gets: bounded by 1 / LEAST_SHARE contexts a level and 1 / LEAST_JOINT next symbols a level."""
-
-    def __init__(self):
-        self.frequent: dict[int, int] = {}  # word hash to symbol number
-        self.root = np.zeros(2)  # log10 probability of each symbol at the root
-        self.log_unseen = 0.0  # log10 probability of the class of words never seen
-        self.total = 0
-        self.known: list[np.ndarray] = []  # codes of the contexts by length
-        self.retained: list[np.ndarray] = []  # number of the retained state of each, or -1
-        self.state_other: np.ndarray = np.zeros(0)  # log10 of a state's weight for symbols it does not list, over the parent's
-        self.parent: np.ndarray = np.zeros(0, np.int64)  # a state's parent state, -1 for the root
-        self.entry_keys = np.zeros(0, np.int64)  # state * 2**32 + symbol, sorted
-        self.entry_logs = np.zeros(0)
-
-    def log_probability(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """log10 probability of symbols at states (-1: the root); OTHER as a whole."""
-        out, add = np.zeros(len(state)), np.zeros(len(state))
-        state, left = state.copy(), np.arange(len(state))
-        while len(left):
-            at = state[left]
-            root = at < 0
-            done = left[root]
-            out[done] = add[done] + self.root[symbol[done]]
-            left, at = left[~root], at[~root]
-            if not len(left):
-                break
-            key = at * (1 << 32) + symbol[left]
-            found = np.searchsorted(self.entry_keys, key)
-            found[found == len(self.entry_keys)] = 0
-            hit = self.entry_keys[found] == key if len(self.entry_keys) else np.zeros(len(key), bool)
-            out[left[hit]] = add[left[hit]] + self.entry_logs[found[hit]]
-            left, at = left[~hit], at[~hit]
-            add[left] += self.state_other[at]
-            state[left] = self.parent[at]
-        return out
-
-    def score(self, texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each text's log10 probability with OTHER words as one symbol, its tokens, and how many are OTHER."""
-        symbols, ends = _symbols(texts, words)
-        state = np.full(len(symbols), -1, np.int64)
-        for number, retained in zip(_history(symbols, ends, self.known), self.retained, strict=True):
-            found = np.where(number >= 0, retained[number] if len(retained) else -1, -1)
-            state = np.where(found >= 0, found, state)
-        pairs, inverse = np.unique(state * (1 << 32) + symbols, return_inverse=True)
-        logs = self.log_probability(pairs >> 32, pairs & 0xFFFFFFFF)[inverse]
-        starts = np.concatenate([[0], ends[:-1]])
-        return np.add.reduceat(logs, starts), ends - starts, np.add.reduceat((symbols == OTHER).astype(np.int64), starts)
-
-
-def _log10(x: np.ndarray) -> np.ndarray:
-    return np.log10(np.maximum(x, 1e-300))
-
-
-def _grow(tree: Tree, level: int, total: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> None:
-    """Test the contexts of one level and add those retained, with their listed next symbols (context, symbol, n)."""
-    codes = tree.known[level - 1]
-    # The parent: the longest retained proper suffix.
-    parent, suffix = np.full(len(codes), -1, np.int64), codes >> 32
-    for k in range(level - 1, 0, -1):
-        parent = np.where(parent < 0, tree.retained[k - 1][suffix], parent)
-        suffix = tree.known[k - 1][suffix] >> 32
-    log_parent = tree.log_probability(parent[context], symbol)
-    count = lambda x: np.bincount(context, x, minlength=len(codes))
-    listed, kinds, by_parent = count(n), count(np.ones(len(n))), count(10.0**log_parent)
-    rest = total - listed
-    gain = count(n * (np.log(n / total[context]) - log_parent * np.log(10)))
-    gain += np.where(rest > 0, rest * np.log(np.maximum(rest / np.maximum(total, 1), 1e-300) / np.maximum(1 - by_parent, 1e-12)), 0)
-    keep = (total > 0) & (2 * gain > kinds + LEAST_Z * np.sqrt(2.0 * kinds) + LEAST_Z)
-    number = np.full(len(codes), -1, np.int64)
-    number[keep] = np.arange(len(tree.parent), len(tree.parent) + keep.sum())
-    # Absolute discounting: what the listed symbols leave goes by the parent's distribution.
-    left = 1 - count(np.maximum(n - DISCOUNT, 0)) / np.maximum(total, 1)
-    kept = keep[context]
-    context, symbol, n, log_parent = context[kept], symbol[kept], n[kept], log_parent[kept]
-    logs = _log10(np.maximum(n - DISCOUNT, 0) / total[context] + left[context] * 10.0**log_parent)
-    keys = np.concatenate([tree.entry_keys, number[context] * (1 << 32) + symbol])
-    order = np.argsort(keys, kind="stable")
-    tree.entry_keys, tree.entry_logs = keys[order], np.concatenate([tree.entry_logs, logs])[order]
-    tree.retained.append(number)
-    tree.parent = np.concatenate([tree.parent, parent[keep]])
-    tree.state_other = np.concatenate([tree.state_other, _log10(left[keep])])
-
-
-def _longer(tree: Tree, level: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """Codes of the contexts of length level + 1 that end with ``symbol`` after ``context``, where their suffixes are known."""
-    sequence, at = [], context
-    for k in range(level, 0, -1):  # the context's symbols from its first on
-        code = tree.known[k - 1][at]
-        sequence.append(code & 0xFFFFFFFF)
-        at = code >> 32
-    sequence.append(symbol)
-    number, known = symbol - 2, symbol > OTHER
-    for k in range(2, level + 1):
-        code = number * (1 << 32) + sequence[-k]
-        found = np.minimum(np.searchsorted(tree.known[k - 1], code), len(tree.known[k - 1]) - 1)
-        known &= tree.known[k - 1][found] == code
-        number = found
-    return np.sort((number * (1 << 32) + sequence[0])[known])
-
-
-def train(rows: DataFrame, total: int, distinct: int, ends: int, hashes: np.ndarray, often: np.ndarray) -> Tree:
-    """The tree, from the totals, the frequent words' hashes (ascending) and counts, and counts of what follows each context."""
-    tree = Tree()
-    tree.total = total
-    tree.frequent = {int(h): i + 2 for i, h in enumerate(hashes)}
-    n = max(total, 1)
-    # The root: absolute discounting over words and the end; what that leaves is the probability of words never seen.
-    kinds = distinct + (ends > 0)
-    tree.log_unseen = float(np.log10(DISCOUNT * kinds / n)) if total else 0.0
-    rare = total - ends - often.sum() - DISCOUNT * (distinct - len(often)) + DISCOUNT * kinds
-    tree.root = _log10(np.concatenate([[max(ends - DISCOUNT, 0) / n, rare / n if total else 1.0], (often - DISCOUNT) / n]))
-    tree.known = [np.arange(2, len(hashes) + 2)]
-    least = max(2.0, LEAST_SHARE * total)
-    for level in range(1, DEPTH + 1):
-        if not len(tree.known[-1]):  # no context of this length
-            tree.known.pop()
-            break
-        pairs = rows.where("not held_out").mapInArrow(_count_next(tree.frequent, tree.known), "context long, symbol long, n long")
-        pairs = pairs.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-        listed = F.when(F.col("n") >= max(2.0, LEAST_JOINT * total), F.struct("symbol", "n"))
-        table = pairs.groupBy("context").agg(F.sum("n").alias("total"), F.collect_list(listed).alias("listed")).toArrow()
-        contexts, totals = np.array(table["context"], np.int64), np.array(table["total"], np.int64)
-        lists = table["listed"].combine_chunks()
-        context = np.repeat(contexts, np.diff(np.asarray(lists.offsets)) if len(lists) else [])
-        symbol, n = (np.asarray(x, np.int64) for x in lists.flatten().flatten()) if len(lists) else (np.zeros(0, np.int64),) * 2
-        by_context = np.zeros(len(tree.known[-1]), np.int64)
-        by_context[contexts] = totals
-        order = np.lexsort((symbol, context))
-        context, symbol, n = context[order], symbol[order], n[order]
-        _grow(tree, level, by_context, context, symbol, n)
-        if level < DEPTH:
-            common = n >= least
-            tree.known.append(_longer(tree, level, context[common], symbol[common]))
-    return tree
-
-
-def _score(tree) -> object:
+def _keep_hot(level: int, root: _Root, plan: _Plan):
+    """Batches in which the tokens with a hot context of level + 1 words are open, and the counts of all pairs of neighbours."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tree.value
-        words = Words(model.frequent)
-        for b in slices(batches):
-            texts = column(b, "text")
-            logs, sizes, others = model.score(texts, words)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_text_keys(texts), pa.binary()), pa.array(sizes), pa.array(others), pa.array(logs)], names=["doc_id", "held_out", "text_key", "n_tokens", "others", "logs"])
+        for docs, held, row in _joined(batches):
+            b = _Batch(row, held, root)
+            x = _Answered(b, row, level, plan)
+            at = x.longer[x.heat].astype(np.int64)
+            state = [row["tokens"], squeeze(at, x.p[at]), squeeze(x.pairs)]
+            yield pa.RecordBatch.from_arrays([pa.array([row["batch"]]), *_lists([docs, held]), *(pa.array([v], pa.binary()) for v in state)], names=[*(c.split()[0] for c in STATE.split(", ")), "pairs"])
 
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+def _short(p: np.ndarray) -> np.ndarray:
+    """Rounded to 28 bits after the first one: three planes of bytes are then empty."""
+    low = np.uint64(24)
+    return (((p.view(np.uint64) + np.uint64(1 << 23)) >> low) << low).view(np.float64)
+
+
+def _cut(b: _Batch, at: np.ndarray, x: _Answered, level: int, plan: _Plan) -> Iterator[tuple[int, bytes]]:
+    """Windows of the tokens ``at``, equal ones once, by the partition of their last ``level`` words."""
+    if not len(at):
+        return
+    reach = np.full(len(at), level)
+    going = np.ones(len(at), bool)
+    least = np.full(len(at), np.iinfo(np.int64).max)
+    key = np.zeros(len(at), np.uint64)
+    history = []
+    for k in range(1, plan.depth + 1):
+        if k > 1:
+            # The pair of the (k - 1)th and kth word before.
+            inside = b.inside[at] >= k
+            n = np.where(inside, x.pairs[np.where(inside, at - k + 1, 0)], 0)
+            if k > level:
+                going &= inside & (least > LEAST_CONTEXT) & (n >= LEAST_CONTEXT)
+            least = np.minimum(least, n)
+        words = np.where(going, b.words[np.where(going, at - k, 0)], 0).astype(np.int64)
+        reach[going] = k
+        key = mix64(key + words.view(np.uint64))
+        history.append(words)
+    route = history[0].astype(np.uint64)
+    for k in range(2, level + 1):
+        route = mix64(route) + history[k - 1].astype(np.uint64)
+    symbol = b.words[at].astype(np.int64)
+    key += symbol.view(np.uint64)
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    part = _part(route[first].view(np.int64), plan.parts)
+    order = np.lexsort((history[1][first], history[0][first], part))
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    window = back[inverse]
+    first, part = first[order], part[order]
+    by_window = np.argsort(window, kind="stable")
+    docs, times = b.doc[at][by_window].astype(np.uint32), np.bincount(window, minlength=len(first))
+    n = np.bincount(window, b.train[at], minlength=len(first)).astype(np.uint32)
+    ends = np.cumsum(times)
+    probability = _short(x.p[at][first])
+    used, lows = np.unique(part, return_index=True)
+    for which, lo, hi in zip(used.tolist(), lows, [*lows[1:], len(part)], strict=True):
+        rows = first[lo:hi]
+        symbols, place = np.unique(symbol[rows], return_inverse=True)
+        words = [history[k][rows][reach[rows] > k] for k in range(plan.depth)]
+        own = docs[ends[lo] - times[lo] : ends[hi - 1]]
+        yield which, squeeze(reach[rows].astype(np.uint8), *words, symbols, place.astype(np.uint32), probability[lo:hi], n[lo:hi], times[lo:hi].astype(np.uint32), own)
+
+
+SOLVED = "batch long, docs array<{kind}>, held array<boolean>, data binary, retained long"
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per partition: the contexts of all windows, level by level, and what each document's tokens come to.  Other rows go through."""
+    schema, held, at = None, [], None
+    for b in batches:
+        get = lambda c, b=b: b.column(b.schema.get_field_index(c))
+        schema = schema or pa.schema([("batch", pa.int64()), ("docs", get("docs").type), ("held", get("held").type), ("data", pa.binary()), ("retained", pa.int64())])
+        for i, (part, level, batch, data) in enumerate(zip(*(get(c).to_pylist() for c in ("part", "level", "batch", "data")), strict=True)):
+            if level == 0:
+                yield pa.RecordBatch.from_arrays([get("batch").slice(i, 1), get("docs").slice(i, 1), get("held").slice(i, 1), get("data").slice(i, 1), pa.array([0])], schema=schema)
+                continue
+            if held and at != (part, level):
+                yield _solved(at[1], held, schema)
+                held = []
+            at = part, level
+            held.append((batch, data))
+    if held:
+        yield _solved(at[1], held, schema)
+
+
+def _solved(level: int, rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    chunks = [expand(d) for _, d in rows]
+    reach = np.concatenate([c[0] for c in chunks])
+    symbol = np.concatenate([c[-6][c[-5]] for c in chunks])
+    p = np.concatenate([c[-4] for c in chunks])
+    n = np.concatenate([c[-3] for c in chunks])
+    retained, alive, code = 0, np.arange(len(reach)), np.zeros(len(reach), np.uint64)
+    for k in range(1, len(chunks[0]) - 6):
+        stay = reach[alive] >= k
+        alive, code = alive[stay], code[stay]
+        if not len(alive):
+            break
+        words = np.zeros(len(reach), np.int64)
+        words[reach >= k] = np.concatenate([c[k] for c in chunks])
+        code = mix64(code + words[alive].view(np.uint64))
+        if k < level:
+            continue
+        _, first, inverse = np.unique(mix64(code) + symbol[alive].view(np.uint64), return_index=True, return_inverse=True)
+        total = np.bincount(inverse, n[alive], minlength=len(first)).astype(np.int64)
+        names, context = np.unique(code[first], return_inverse=True)
+        before = p[alive][first]
+        sums = _Sums(context, len(names), total, before)
+        kept = tested(*sums.all())
+        retained += int(kept.sum())
+        left = np.where(kept, 1 - (sums.listed - DISCOUNT * sums.kinds) / np.maximum(sums.total, 1), 1.0)
+        share = np.where(kept[context] & (total >= LEAST_NEXT), (total - DISCOUNT) / np.maximum(sums.total, 1)[context], 0.0)
+        p[alive] = (share + left[context] * before)[inverse]
+        on = (sums.total >= LEAST_CONTEXT)[context][inverse]  # a rarer context has no longer ones
+        alive, code = alive[on], code[on]
+    logs, at, out = np.log10(p), 0, []
+    for i, (batch, c) in enumerate(zip((r[0] for r in rows), chunks, strict=True)):
+        windows = len(c[0])
+        docs = c[-1]
+        sums = np.bincount(docs, np.repeat(logs[at : at + windows], c[-2]))
+        at += windows
+        some = np.flatnonzero(np.bincount(docs))
+        out.append((batch, None, None, squeeze(some.astype(np.uint32), sums[some]), retained if i == 0 else 0))
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
+def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Own rows, each followed by the sums that were found for its documents."""
+    at, own, logs = None, None, None
+
+    def out() -> pa.RecordBatch:
+        docs, held, (sizes, known, base, _) = own
+        return pa.RecordBatch.from_arrays(
+            [docs, held, pa.array(sizes.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(logs)],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+        )
+
+    for b in batches:
+        docs, held = (b.column(b.schema.get_field_index(c)) for c in ("docs", "held"))
+        for i, (batch, data) in enumerate(zip(column(b, "batch"), column(b, "data"), strict=True)):
+            if docs[i].is_valid:
+                if own is not None:
+                    yield out()
+                at, own = batch, (docs[i].values, held[i].values, expand(data))
+                logs = own[2][3].copy()
+            else:
+                assert batch == at
+                some, sums = expand(data)
+                logs[some] += sums
+    if own is not None:
+        yield out()
+
+
+class _Bucketed:
+    """A table dealt to buckets of its batches, so that no join moves it again."""
+
+    def __init__(self, df: DataFrame, parts: int):
+        self.spark, self.name = df.sparkSession, f"suffix_tree_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self.spark)}/{self.name}"
+        with shuffles_go(self.spark):
+            df.write.bucketBy(parts, "batch").option("path", self.path).saveAsTable(self.name)
+        self.df = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        drop_table(self.spark, self.path)
+
+
+def _gathered(answers: DataFrame) -> DataFrame:
+    return answers.where("batch IS NOT NULL").groupBy("batch").agg(F.collect_list(F.struct("part", "data")).alias("answers"))
+
+
+def score(docs: DataFrame, depth: int = DEPTH, hot: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_states (of the whole tree) of every row."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows_of(docs)
-    counts, _ = materialise(rows.mapInArrow(_count_words(parts), COUNTS), "word-counts")
-    ends = rows.where("not held_out").count()
-    total = (counts.agg(F.sum("trained")).first()[0] or 0) + ends
-    least = max(2.0, LEAST_SHARE * total)
-    requests = counts.where("part >= 0").select("part", "batch", "keys", "counts")
-    answers, _ = materialise(requests.repartition(parts, "part").sortWithinPartitions("part", "batch").mapInArrow(_sum_words(least), ANSWERS), "word-totals")
-    distinct = answers.agg(F.sum("distinct")).first()[0] or 0
-    found = answers.where("length(frequent) > 0").select("frequent", "frequent_counts").toArrow().to_pydict()
-    hashes, often = (np.frombuffer(b"".join(found[c]), np.int64) for c in ("frequent", "frequent_counts"))
-    order = np.argsort(hashes)
-    tree = train(rows, total, distinct, ends, hashes[order], often[order])
-    nothing = F.lit(None).cast("binary")
-    uses = counts.where("part < 0").select("part", "batch", nothing.alias("totals"), "keys", F.col("counts").alias("sizes"), "places", "times")
-    dealt = uses.unionByName(answers.select("part", "batch", "totals", *[nothing.alias(c) for c in ("keys", "sizes", "places", "times")]))
-    terms = dealt.repartition(parts, "batch").sortWithinPartitions("batch", "part").mapInArrow(_terms(least), TERMS)
-    # One row for each text: its copies in other batches came to the same.
-    terms = terms.groupBy("text_key").agg(*[F.min(c).alias(c) for c in ("known", "unknown", "base", "rare")])
-    terms, _ = materialise(terms, "text-terms")  # the join below then has two plain sides, and Spark can split a text with very many copies
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(tree)), f"doc_id {kind}, held_out boolean, text_key binary, n_tokens long, others long, logs double")
-    joined = scored.join(terms, "text_key")
-    n, distinct = max(total, 0), distinct + (ends > 0)
-    denominator, log_n = float(np.log10(n + 0.1 * (distinct + 1))), float(np.log10(max(n, 1)))
-    # The end is a token too: its count is the number of training rows.
-    base = F.col("base") + float(np.log10(ends + 0.1)) - F.col("n_tokens") * denominator
-    model = F.col("logs") - F.col("others") * float(tree.root[OTHER]) + F.col("rare") - (F.col("others") - F.col("unknown")) * log_n + F.col("unknown") * tree.log_unseen
-    return joined.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + int(ends > 0)).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        model.alias("score"),
-        F.lit(len(tree.parent)).cast("long").alias("n_states"),
-    )
+    scratch = Scratch(spark)
+    batches = scratch.table(rows_of(docs).mapInArrow(_read(parts), BATCHES.format(kind=kind)), "batches")
+    total = batches.agg(F.sum("trained")).first()[0] or 0
+    plan = _Plan(parts, hot or max(HOT, total // MOST_HOT), depth)
+    asked = batches.select("batch", "words", "counts", "bounds").mapInArrow(_ask_words, ASKED)
+    counted = scratch.table(dealt_by(asked, parts, "part", "batch").mapInArrow(_count_words(parts), COUNTED), "word-counts")
+    root = _Root(total, counted.agg(F.sum("kinds")).first()[0] or 0)
+    joined = batches.select("batch", "docs", "held", "sizes", "places").join(_gathered(counted).hint("merge"), "batch")
+    state = _Bucketed(joined.mapInArrow(_learn_words, STATE.format(kind=kind)), parts)
+    scratch.drop(batches, counted)
+    level, states, solved = 1, 0, []
+    while state:
+        asked = state.df.mapInArrow(_ask_pairs(level, root, plan), ASKED)
+        answered = scratch.table(dealt_by(asked, parts, "part", "batch").mapInArrow(_answer_pairs(root, level), ANSWERED), f"pairs-{level}")
+        retained, most = answered.agg(F.sum("retained"), F.max("most")).first()
+        plan = replace(plan, states=_hot_states(answered))
+        states += (retained or 0) + sum(s[2] > 0 for s in plan.states.values())
+        joined = state.df.join(_gathered(answered).hint("merge"), "batch", "left")
+        windows = joined.mapInArrow(_windows(level, root, plan), WINDOWS.format(kind=kind))
+        solved.append(scratch.table(dealt_by(windows, parts, "part", "level", "batch").mapInArrow(_solve, SOLVED.format(kind=kind)), f"solved-{level}"))
+        following = None
+        if (most or 0) >= plan.hot and level < depth:
+            following = _Bucketed(joined.mapInArrow(_keep_hot(level, root, plan), STATE.format(kind=kind) + ", pairs binary"), parts)
+        state.drop()
+        scratch.drop(answered)
+        state, level = following, level + 1
+    sums = reduce(DataFrame.unionByName, solved)
+    states += sums.agg(F.sum("retained")).first()[0] or 0
+    sums = dealt_by(sums.withColumn("later", F.col("docs").isNull()), parts, "batch", "later")
+    rows = sums.select("batch", "docs", "held", "data").mapInArrow(_results, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.lit(states).cast("long").alias("n_states"))
+
+
+def _hot_states(answered: DataFrame) -> dict[int, tuple]:
+    """(total, listed, kinds) of each hot context, the last two 0 where it is not retained.  There are MOST_HOT at most."""
+    sums = answered.where("context IS NOT NULL").groupBy("context").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(5)]).collect()
+    out = {}
+    for c, *s in sums:
+        kept = bool(tested(*(np.array([x]) for x in s))[0])
+        out[c] = (s[0], s[1] if kept else 0.0, s[2] if kept else 0.0)
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Scores by the tree of the whole corpus; :func:`score` is of the bounded one."""
-    from . import context_tables
-
-    return context_tables.score(documents(spark, sf_dir))
+    return score(documents(spark, sf_dir))

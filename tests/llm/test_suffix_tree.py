@@ -7,13 +7,12 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from cuelattice.llm import context_tables as x
-from cuelattice.llm import suffix_tree
+from cuelattice.llm import suffix_tree as x
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def plain_model(texts):
+def plain_model(texts, most=x.DEPTH):
     """The model of the docstring with dictionaries, over all words: a function of one text, and the number of states."""
     lists = [t.encode().lower().split() + ["$"] for h, t in texts if not h]
     c = Counter(w for ws in lists for w in ws)
@@ -28,7 +27,7 @@ def plain_model(texts):
                 p = share.get(s, 0.0) + left * p
         return p
 
-    while True:
+    while depth < most:
         depth += 1
         follow, new = defaultdict(Counter), {}
         for ws in lists:
@@ -61,29 +60,42 @@ def held(doc):
     return zlib.crc32(("" if doc is None else str(doc)).encode()) % 10 == 0
 
 
-def test_query_against_the_plain_model(spark, tmp_path):
-    """Contexts of three words, and words that occur twice among 350,000: neither was in the tree when it was bounded."""
+@pytest.fixture(scope="module")
+def chain():
+    """Texts from a chain of the fourth order, rare words that occur twice or three times, and one that makes most of the tokens."""
     rng = random.Random(4)
     names = [f"n{i}" for i in range(4)]
     rows = []
-    for i in range(300):
-        ws = ["n0", "n1", "n2"]
-        for _ in range(rng.randrange(5, 40)):
-            known = [names.index(w) if w in names else 0 for w in ws[-3:]]
-            ws.append(names[(known[0] * 3 + known[1] + known[2] * 2 + 1) % 4] if rng.random() < 0.85 else rng.choice([*names, f"Rare{rng.randrange(500)}"]))
+    for i in range(400):
+        ws = ["n0", "n1", "n2", "n3"]
+        for _ in range(rng.randrange(5, 60)):
+            known = [names.index(w) if w in names else 0 for w in ws[-4:]]
+            ws.append(names[(known[0] * 3 + known[1] + known[2] * 2 + known[3] + 1) % 4] if rng.random() < 0.9 else rng.choice([*names, f"Rare{rng.randrange(500)}"]))
         rows.append((i, " ".join([*ws, f"seldom{i // 3} thread{i // 3}"]), "en", "s", 1))
-    rows += [(1000 + i, " ".join(["filler"] * 3500), "en", "s", 1) for i in range(100)]
-    spark.createDataFrame(rows, SCHEMA).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
-    measure, states, depth = plain_model([(held(d), t) for d, t, *_ in rows])
-    got = {r.doc_id: r for r in suffix_tree.query(spark, str(tmp_path)).collect()}
-    assert len(got) == len(rows) and depth > 2 and next(iter(got.values())).n_states == states
-    for d, t, *_ in [*rows[:300], rows[-1]]:
+    rows += [(1000 + i, " ".join(["filler"] * 1500), "en", "s", 1) for i in range(20)]
+    return rows
+
+
+@pytest.mark.parametrize(("depth", "hot"), [(1, None), (6, None), (6, 300)])
+def test_against_the_plain_model(spark, chain, depth, hot):
+    """hot: contexts from so many tokens on are spread over partitions, here at several levels."""
+    measure, states, deepest = plain_model([(held(d), t) for d, t, *_ in chain], depth)
+    got = {r.doc_id: r for r in x.score(spark.createDataFrame(chain, SCHEMA).repartition(5), depth, hot).collect()}
+    assert len(got) == len(chain) and deepest == min(depth, 6) and next(iter(got.values())).n_states == states
+    for d, t, *_ in [*chain[:400:3], chain[-1]]:
         logp, base, n, known, total = measure(t)
         r = got[d]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(d), n, known, total) and total > 300_000
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(d), n, known, total)
         assert r.base_score == pytest.approx(base, abs=1e-6) and r.score == pytest.approx(logp, abs=1e-6)
 
 
+def test_longer_contexts_pay(spark, chain):
+    """On texts that the model has not seen."""
+    docs = spark.createDataFrame(chain, SCHEMA).repartition(5)
+    gains = [sum(r.score for r in x.score(docs, depth).collect() if r.held_out and r.doc_id < 1000) for depth in (1, 4)]
+    assert gains[1] > gains[0]
+
+
 def test_odd_rows(spark, odd, odd_rows, empty):
     measure, _, _ = plain_model([(held(d), t or "") for d, t, *_ in odd_rows])
     order = lambda rows: sorted((d is None, d or 0, n, round(base, 4), round(logp, 4)) for d, logp, base, n in rows)
