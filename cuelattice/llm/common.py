@@ -72,7 +72,7 @@ def shuffles_go(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEAN_SHUFFLES, before)
 
 
-def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def materialise(df: DataFrame, name: str, **options) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it again, which cuts its lineage; its shuffle files go.
 
     Returns the table and its path.  The table goes when the driver ends, or
@@ -82,7 +82,7 @@ def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_cleanup, spark, path)
     with shuffles_go(spark):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -107,6 +107,14 @@ class Scratch:
         self.drop(*[out for out, _ in self.paths if not any(out is k for k in kept)])
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column of ``taken`` has it, whatever the case of letters."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def dealt_by(df: DataFrame, parts: int, key: str, *order: str) -> DataFrame:
     """Rows with the same key in one task, in order."""
     return df.repartition(parts, key).sortWithinPartitions(key, *order)
@@ -120,6 +128,11 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return c.to_pylist()
 
 
+def as_text(data: bytes) -> str:
+    """A text of :func:`column`.  Bytes that are no UTF-8 become the replacement character."""
+    return data.decode("utf-8", "replace")
+
+
 def slices(batches: Iterable[pa.RecordBatch], name: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most`` bytes of ``name`` at most (one row at least)."""
     for b in batches:

@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, TokenHashes, column, dealt_by, documents, drop_table, expand, mix64, remainder, runs, shared_dir, shuffles_go, slices, squeeze, text_or_empty
 
-DEPTH = 8
+DEPTH = 6
 LEAST_CONTEXT = 2
 LEAST_NEXT = 2
 LEAST_Z = 4.0
@@ -65,7 +65,7 @@ HELD_OUT = 10
 #: A hot context holds so many training tokens, and this share of all of them.
 HOT, MOST_HOT = 1 << 20, 1 << 16
 #: Bytes of text of a batch.
-BATCH = 8 << 20
+BATCH = 6 << 20
 
 _HASHES = TokenHashes()
 _END = 0x454E44
@@ -158,11 +158,14 @@ def _count_words(parts: int):
             asked = [expand(d) for _, d in rows]
             key, inverse = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
             total = np.bincount(inverse, np.concatenate([c for _, c in asked]), minlength=len(key)).astype(np.int64)
+            rank = np.empty(len(key), np.int64)
+            rank[np.argsort(-total, kind="stable")] = np.arange(len(key))
+            number = rank * parts + part + 1  # frequent words have small numbers, which take few bytes
             data, at = [], 0
             for k, _ in asked:
                 mine = inverse[at : at + len(k)]
                 at += len(k)
-                data.append(squeeze(mine * parts + part + 1, total[mine]))
+                data.append(squeeze(number[mine], total[mine]))
             kinds = [int((total > 0).sum())] + [0] * (len(rows) - 1)
             yield _table(COUNTED, [r[0] for r in rows], [part] * len(rows), data, kinds)
 
@@ -234,6 +237,8 @@ class _Batch:
     def __init__(self, row: dict, held: pa.Array, root: _Root):
         self.sizes, self.places, self.number, self.count = expand(row["tokens"])
         self.sizes = self.sizes.astype(np.int64)
+        if self.number.max(initial=0) < 1 << 32:
+            self.number = self.number.astype(np.uint32)
         self.starts = _starts(self.sizes)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.inside = np.arange(len(self.places)) - self.starts[self.doc]
@@ -385,7 +390,10 @@ class _Answered:
         longer = np.arange(len(b.places)) if level == 1 else b.at
         longer = longer[b.inside[longer] > level] if level < plan.depth else longer[:0]
         if level == 1:  # the context of two words is the pair of the token before
-            longer = longer[self.pairs[longer - 1] >= LEAST_CONTEXT]
+            count = self.pairs[longer - 1]
+            # Of two tokens after the same context, one that alone follows its last word differs from the other, so nothing is listed there.
+            alone = (count == LEAST_CONTEXT) & (self.pairs[longer] == 1) & b.train[longer] & (LEAST_CONTEXT == LEAST_NEXT == 2)
+            longer = longer[(count >= LEAST_CONTEXT) & ~alone]
         self.longer, self.heat = longer, self.together[longer - 1] >= plan.hot
 
     def _look_up(self, b: _Batch, answers: list, level: int, plan: _Plan) -> None:
@@ -472,15 +480,15 @@ def _cut(b: _Batch, at: np.ndarray, x: _Answered, level: int, plan: _Plan) -> It
             if k > level:
                 going &= inside & (least > LEAST_CONTEXT) & (n >= LEAST_CONTEXT)
             least = np.minimum(least, n)
-        words = np.where(going, b.words[np.where(going, at - k, 0)], 0).astype(np.int64)
+        words = np.where(going, b.words[np.where(going, at - k, 0)], b.words.dtype.type(0))
         reach[going] = k
-        key = mix64(key + words.view(np.uint64))
+        key = mix64(key + words.astype(np.uint64))
         history.append(words)
     route = history[0].astype(np.uint64)
     for k in range(2, level + 1):
         route = mix64(route) + history[k - 1].astype(np.uint64)
-    symbol = b.words[at].astype(np.int64)
-    key += symbol.view(np.uint64)
+    symbol = b.words[at]
+    key += symbol.astype(np.uint64)
     _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
     part = _part(route[first].view(np.int64), plan.parts)
     order = np.lexsort((history[1][first], history[0][first], part))
@@ -496,10 +504,9 @@ def _cut(b: _Batch, at: np.ndarray, x: _Answered, level: int, plan: _Plan) -> It
     used, lows = np.unique(part, return_index=True)
     for which, lo, hi in zip(used.tolist(), lows, [*lows[1:], len(part)], strict=True):
         rows = first[lo:hi]
-        symbols, place = np.unique(symbol[rows], return_inverse=True)
         words = [history[k][rows][reach[rows] > k] for k in range(plan.depth)]
         own = docs[ends[lo] - times[lo] : ends[hi - 1]]
-        yield which, squeeze(reach[rows].astype(np.uint8), *words, symbols, place.astype(np.uint32), probability[lo:hi], n[lo:hi], times[lo:hi].astype(np.uint32), own)
+        yield which, squeeze(reach[rows].astype(np.uint8), *words, symbol[rows], probability[lo:hi], n[lo:hi], times[lo:hi].astype(np.uint32), own)
 
 
 SOLVED = "batch long, docs array<{kind}>, held array<boolean>, data binary, retained long"
@@ -527,21 +534,21 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _solved(level: int, rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     chunks = [expand(d) for _, d in rows]
     reach = np.concatenate([c[0] for c in chunks])
-    symbol = np.concatenate([c[-6][c[-5]] for c in chunks])
+    symbol = np.concatenate([c[-5] for c in chunks]).astype(np.uint64)
     p = np.concatenate([c[-4] for c in chunks])
     n = np.concatenate([c[-3] for c in chunks])
     retained, alive, code = 0, np.arange(len(reach)), np.zeros(len(reach), np.uint64)
-    for k in range(1, len(chunks[0]) - 6):
+    for k in range(1, len(chunks[0]) - 5):
         stay = reach[alive] >= k
         alive, code = alive[stay], code[stay]
         if not len(alive):
             break
-        words = np.zeros(len(reach), np.int64)
+        words = np.zeros(len(reach), np.uint64)
         words[reach >= k] = np.concatenate([c[k] for c in chunks])
-        code = mix64(code + words[alive].view(np.uint64))
+        code = mix64(code + words[alive])
         if k < level:
             continue
-        _, first, inverse = np.unique(mix64(code) + symbol[alive].view(np.uint64), return_index=True, return_inverse=True)
+        _, first, inverse = np.unique(mix64(code) + symbol[alive], return_index=True, return_inverse=True)
         total = np.bincount(inverse, n[alive], minlength=len(first)).astype(np.int64)
         names, context = np.unique(code[first], return_inverse=True)
         before = p[alive][first]
