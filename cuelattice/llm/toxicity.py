@@ -1,15 +1,17 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences and only the bag has a label.  A sentence has
-the score sigmoid(bias + sum of the weights of its words); a document's score
+the score sigmoid(bias + sum of the weights of its words); a word's weight is
+that of the whole word and of its beginnings of 4 to 8 letters, so that a stem
+counts in all its forms, seldom ones too; a document's score
 is the noisy-or of its sentences with a leak, 1 - (1 - leak) * prod(1 - score),
 so one bad sentence suffices, and the leak takes up labels that no sentence
 explains.  Weights, bias and leak are trained on document labels by gradient
 ascent of the bag likelihood; the sentence scores then locate what offends.
 
 Training uses at most ``SAMPLE`` labelled documents, those with the least
-hashed ids; whole texts count.  Words enter if their documents' label rates
-differ by ``LEAST_Z`` standard errors, which bounds the model.
+hashed ids; whole texts count.  Words and beginnings enter if the label rate of
+their ``LEAST_DOCS`` documents or more differs by ``LEAST_Z`` standard errors.
 
 Defined cases: null and empty texts score the leak; a document that several
 label rows mark counts as toxic if any does; unlabelled and null-labelled rows
@@ -20,56 +22,91 @@ further columns are kept by :func:`reject` and ignored by :func:`score`.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, documents, drop_table, materialise, remainder, slices, text_or_empty
+from .common import Scratch, as_text, column, documents, remainder, slices, text_or_empty
 
 SAMPLE = 12_000
 LEAST_DOCS = 8
 LEAST_Z = 3.0
 STEPS = 400
-#: Words with less weight are left out of the trained model.
-LEAST_WEIGHT = 0.2
 THRESHOLD = 0.3
+#: Letters of the beginnings of words.
+SHORTEST, LONGEST = 4, 8
 #: Words, and what ends a sentence.
 PARTS = re.compile(r"[^\W\d_]+")
 ENDING = re.compile(r"[.!?\n]")
 
 
+def features(word: str) -> list[str]:
+    """The whole word, marked by its end, and its beginnings."""
+    return [word + "$", *(word[:n] for n in range(SHORTEST, min(LONGEST, len(word)) + 1))]
+
+
+class _Words(dict):
+    """What words come to, by ``make``; forgets all when it grows past ``most`` words."""
+
+    most = 150_000
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str):
+        if len(self) >= self.most:
+            self.clear()
+        found = self[word] = self.make(word)
+        return found
+
+
 @dataclass
 class Model:
+    """weights: of features, those that are not 0."""
+
     leak: float = 0.0
     bias: float = -20.0
     weights: dict[str, float] = field(default_factory=dict)
 
-    def sentence_scores(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, score) of the sentences that hold a word of the model."""
-        out, at = [], 0
+    def __post_init__(self):
+        self._words = _Words(self._weight)
+
+    def _weight(self, word: str) -> float | None:
+        hits = [self.weights[f] for f in features(word) if f in self.weights]
+        return sum(hits) if hits else None
+
+    def __getstate__(self) -> dict:
+        return {"leak": self.leak, "bias": self.bias, "weights": self.weights}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
+
+    def _sentences(self, text: str) -> Iterator[tuple[int, int, list[float], bool]]:
+        """(start, end, weights of the known words, whether there are words) of each sentence."""
+        at, look_up = 0, self._words.__getitem__
         for sentence in ENDING.split(text):
-            hits = [self.weights[w] for w in PARTS.findall(sentence.lower()) if w in self.weights]
-            if hits:
-                out.append((at, at + len(sentence), float(_sigmoid(self.bias + sum(hits)))))
+            words = PARTS.findall(sentence.lower())
+            yield at, at + len(sentence), [w for w in map(look_up, words) if w is not None], bool(words)
             at += len(sentence) + 1
-        return out
+
+    def sentence_scores(self, text: str) -> list[tuple[int, int, float]]:
+        """(start, end, score) of the sentences that hold a word of the model."""
+        return [(a, e, float(_sigmoid(self.bias + sum(hits)))) for a, e, hits, _ in self._sentences(text) if hits]
 
     def score(self, text: str) -> float:
-        text = text.lower()
-        clear, plain, weights = 1.0 - self.leak, 0, self.weights
-        known = weights.keys()
-        for sentence in ENDING.split(text):
-            words = PARTS.findall(sentence)
-            if not words:
-                continue
-            if known.isdisjoint(words):
-                plain += 1
+        clear, plain = 1.0 - self.leak, 0
+        for _, _, hits, some in self._sentences(text):
+            if hits:
+                clear *= 1.0 - float(_sigmoid(self.bias + sum(hits)))
             else:
-                clear *= 1.0 - float(_sigmoid(self.bias + sum(weights[w] for w in words if w in weights)))
+                plain += some
         return min(1.0, max(0.0, 1.0 - clear * (1.0 - float(_sigmoid(self.bias))) ** plain))
 
 
@@ -87,28 +124,31 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's distinct words with its label."""
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents have each feature, and how many toxic ones, by slices of the rows."""
+    cache = _Words(features)
     for b in slices(batches):
-        words, marks = [], []
+        n, k = Counter(), Counter()
         for toxic, t in zip(column(b, "toxic"), column(b, "text"), strict=True):
-            found = sorted(set(PARTS.findall(t.decode().lower())))
-            words += found
-            marks += [int(toxic > 0)] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(marks, pa.int32())], names=["word", "toxic"])
+            found = set(chain.from_iterable(map(cache.__getitem__, set(PARTS.findall(as_text(t).lower())))))
+            n.update(found)
+            if toxic > 0:
+                k.update(found)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([k[f] for f in n], pa.int64())], names=["feature", "n", "k"])
 
 
 def _bags(chosen: dict[str, int]):
-    """Each document's sentences with chosen words (their numbers, -1 between sentences) and its count of other sentences."""
+    """Each document's sentences with chosen features (their numbers, -1 between sentences) and its count of other sentences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Words(lambda w: [chosen[f] for f in features(w) if f in chosen])
         for b in slices(batches):
             rows = []
             for toxic, t in zip(column(b, "toxic"), column(b, "text"), strict=True):
                 bag, plain = [], 0
-                for sentence in ENDING.split(t.decode().lower()):
+                for sentence in ENDING.split(as_text(t).lower()):
                     words = PARTS.findall(sentence)
-                    hits = [chosen[w] for w in words if w in chosen]
+                    hits = list(chain.from_iterable(map(numbers.__getitem__, words)))
                     if hits:
                         bag += [*hits, -1]
                     else:
@@ -153,22 +193,24 @@ def fit(bags: list[bytes], plain: np.ndarray, labels: np.ndarray, words: int, st
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Words are chosen by executors; the driver gets the chosen ones and the sentences that hold them."""
-    rows, path = materialise(training_rows(docs, labels, sample).select("toxic", "text"), "toxic-sample")
+    """Features are chosen by executors; the driver gets the chosen ones and the sentences that hold them."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table(training_rows(docs, labels, sample).select("toxic", "text"), "toxic-sample")
     n, k = rows.agg(F.count(F.lit(1)), F.sum((F.col("toxic") > 0).cast("long"))).first()
     if not n or k in (0, n):
+        scratch.close()
         return Model(k / n if n else 0.0, -20.0, {})
     rate = k / n
-    counted = rows.mapInArrow(_words, "word string, toxic int").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
+    counted = rows.mapInArrow(_features, "feature string, n long, k long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     z = (F.col("k") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
-    chosen = sorted(r.word for r in counted.where((F.col("n") >= LEAST_DOCS) & (F.abs(z) >= LEAST_Z)).select("word").collect())
-    bags = rows.mapInArrow(_bags({w: i for i, w in enumerate(chosen)}), "toxic int, plain long, bag binary").toArrow().to_pydict()
-    drop_table(docs.sparkSession, path)
+    chosen = sorted(r.feature for r in counted.where((F.col("n") >= LEAST_DOCS) & (F.abs(z) >= LEAST_Z)).select("feature").collect())
+    bags = rows.mapInArrow(_bags({f: i for i, f in enumerate(chosen)}), "toxic int, plain long, bag binary").toArrow().to_pydict()
+    scratch.close()
     # The same sums whatever the order of arrival.
     order = sorted(range(n), key=lambda i: (bags["bag"][i], bags["plain"][i], bags["toxic"][i]))
     plain, toxic = (np.array(bags[c])[order] for c in ("plain", "toxic"))
     weights, bias, leak = fit([bags["bag"][i] for i in order], plain, toxic, len(chosen))
-    return Model(leak, bias, {w: float(x) for w, x in zip(chosen, weights, strict=True) if abs(x) >= LEAST_WEIGHT})
+    return Model(leak, bias, {f: float(w) for f, w in zip(chosen, weights, strict=True) if w})
 
 
 def _scored(docs: DataFrame, model: Model, schema, make) -> DataFrame:
@@ -185,7 +227,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def make(local: Model, b: pa.RecordBatch) -> pa.RecordBatch:
         scores, spans = [], []
         for t in column(b, "text"):
-            text = t.decode()
+            text = as_text(t)
             p = local.score(text)
             scores.append(p)
             spans.append(",".join(f"{a}:{e}" for a, e, q in local.sentence_scores(text) if q >= THRESHOLD) if p >= THRESHOLD else "")
@@ -204,7 +246,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
     """The rows that are not predicted toxic, with the columns of ``docs``."""
 
     def make(local: Model, b: pa.RecordBatch) -> pa.RecordBatch:
-        return b.filter(pa.array([local.score(t.decode()) < THRESHOLD for t in column(b, "text")], pa.bool_()))
+        return b.filter(pa.array([local.score(as_text(t)) < THRESHOLD for t in column(b, "text")], pa.bool_()))
 
     return _scored(docs, model, docs.schema, make)
 

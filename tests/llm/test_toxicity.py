@@ -107,3 +107,24 @@ def test_odd_rows(spark, odd, odd_rows, empty, corpus):
 def test_reject_drops_the_toxic(corpus):
     docs, labels, truth, _ = corpus
     assert {r.doc_id for r in x.reject(docs, x.train(docs, labels)).collect()} == {d for d, t in truth.items() if not t}
+
+
+def test_stems_count_in_forms_that_are_seldom(spark):
+    """No form stands in eight documents, so only the stem's letters can say it."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(600):
+        sentences = [words(rng, rng.randrange(3, 12), 80) for _ in range(rng.randrange(1, 6))]
+        toxic = i % 5 == 0
+        if toxic:
+            sentences.append("das achlich" + "".join(rng.choice("aeioubcd") for _ in range(5)) + " da")
+        rows.append((i, ". ".join(sentences), "de", "s", 1))
+        labels.append((i, 0, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = x.score(docs, x.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == (r.doc_id % 5 == 0) for r in held) >= 0.97 * len(held) and any(r.predicted for r in held)
+
+
+def test_words_and_beginnings():
+    assert x.features("ab") == ["ab$"] and x.features("abcde") == ["abcde$", "abcd", "abcde"] and len(x.features("a" * 30)) == 6
