@@ -8,12 +8,14 @@ each character).  A fingerprint keeps sampled steps, the same for all texts:
 all of the first 64, and 64 of each further doubling of the length.  A sampled
 step is kept as 4 hashed bits, one hexadecimal digit.
 
-``near_links`` finds near texts: bands of sampled digits propose candidates,
-which are verified by the likeness of their whole fingerprints.
+Near texts are found by bit-sampled banding and verification: bands of sampled
+digits propose candidates, which are verified by the likeness of their whole
+fingerprints.  The query gives the class and the number of links of every text
+beside its fingerprints.
 
 Defined cases: null text counts as empty and has the fingerprint ""; two empty
 texts have likeness 1; equal texts have equal fingerprints; documents follow
-each other by descending doc_id, nulls last, rows with the same doc_id by text;
+each other by descending doc_id (an integer), nulls last, rows with the same doc_id by text;
 a table of one row is its own next document; further columns are ignored.
 """
 
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, documents, materialise, mix64, slices, text_or_empty
+from .common import Scratch, as_text, column, documents, mix64, slices, text_or_empty
 from .components import components
 
 SAMPLES = 64
@@ -59,7 +61,7 @@ def sampled_steps(length: int) -> np.ndarray:
     return np.array(steps, np.int64)
 
 
-@lru_cache
+@lru_cache(maxsize=4096)
 def _strata(length: int) -> np.ndarray:
     """How many steps each sampled step stands for."""
     steps = sampled_steps(length)
@@ -134,6 +136,10 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
+def _text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """(part, ghost, doc_id, text) such that, sorted, each row of a part is followed by its next document.
 
@@ -177,7 +183,7 @@ def _range_number(doc_id, bounds: list[int]):
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
-    """Each text, its edited text and its next document: fingerprints and likeness."""
+    """Each text, its edited text and its next document: fingerprints and likeness; and a hash of the text."""
     ordered = in_order(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = ordered.repartition(parts, "part").sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), "text")
@@ -187,7 +193,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
         for b in slices(batches, "text", CHUNK):
             pairs = []
             for part, ghost, doc_id, raw in zip(column(b, "part"), column(b, "ghost"), column(b, "doc_id"), column(b, "text"), strict=True):
-                text = raw.decode()
+                text = as_text(raw)
                 if held is not None and held[0] == part:
                     pairs.append((held[1], held[2], text))
                 held = None if ghost else (part, doc_id, text)
@@ -211,18 +217,19 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
                 pa.array(theirs, pa.string()),
                 pa.array(near_edited, pa.float64()),
                 pa.array(near_next, pa.float64()),
+                pa.array([_text_hash(t) for _, t, _ in pairs], pa.int64()),
             ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text_hash"],
         )
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text_hash long"
     return ordered.mapInArrow(run, schema)
 
 
 # ------------------------------------------------------------------ near texts
 
 NEAR = 0.8
-BANDS, DIGITS = 24, 10
+BANDS, DIGITS = 14, 10
 #: Characters of fingerprints (and 100 for each text) of a block.
 BLOCK = 1_000_000
 
@@ -256,42 +263,69 @@ def band_values(fingerprint: str, n_chars: int) -> list[int]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text", CHUNK):
-        texts = [t.decode() for t in column(b, "text")]
+        texts = [as_text(t) for t in column(b, "text")]
         every = {t: i for i, t in enumerate(dict.fromkeys(texts))}
         prints = fingerprints(list(every))
-        mine = [prints[every[t]] for t in texts]
-        bands = [band_values(p, len(t)) for p, t in zip(mine, texts, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array(mine, pa.string()), pa.array(bands, pa.list_(pa.int64()))],
-            names=["doc_id", "text_hash", "n_chars", "fingerprint", "bands"],
+            [b.column(0), pa.array([_text_hash(t) for t in texts]), pa.array([len(t) for t in texts], pa.int64()), pa.array([prints[every[t]] for t in texts], pa.string())],
+            names=["doc_id", "text_hash", "n_chars", "fingerprint"],
         )
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each band of each text."""
+    for b in slices(batches, "fingerprint", 1 << 20):
+        bands = [band_values(p.decode(), n) for p, n in zip(column(b, "fingerprint"), column(b, "n_chars"), strict=True)]
+        names = np.repeat(np.array(column(b, "text_hash"), np.int64), [len(x) for x in bands])
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([x for row in bands for x in row], pa.int64())], names=["text_hash", "band"])
+
+
+def _verified(texts: list[tuple], keep) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts (hash, copies, fingerprint, n_chars, block): each one's links, and the place of a text of its tree.
+
+    ``keep`` says for a text and those before it which of them may be compared.
+    A text is compared with all shorter ones at once, by the weights of its own
+    length, as :func:`likeness` does.
+    """
+    width = max(len(t[2]) for t in texts)
+    digits = np.full((len(texts), width), 255, np.uint8)
+    for row, t in zip(digits, texts, strict=True):
+        row[: len(t[2])] = np.frombuffer(t[2].encode(), np.uint8)
+    copies, block = np.array([t[1] for t in texts], np.int64), np.array([t[4] for t in texts])
+    holders: dict[int, list[int]] = {}
+    links, tree = np.zeros(len(texts), np.int64), np.arange(len(texts))
+    for i, (_, _, mine, n, _) in enumerate(texts):
+        bands = band_values(mine, n)
+        before = [np.array(holders[x], np.int64) for x in bands if x in holders]
+        for x in bands:
+            holders.setdefault(x, []).append(i)
+        if not before:
+            continue
+        found = np.unique(np.concatenate(before))
+        found = found[keep(block[i], block[found])]
+        if not len(found):
+            continue
+        weight = _strata(2 * n)
+        size = min(len(mine), len(weight))
+        match = (digits[found, :size] == digits[i, :size]) @ weight[:size] / weight.sum()
+        found = found[(match - 1 / 16) * 16 / 15 >= NEAR]
+        if len(found):
+            links[i] += copies[found].sum()
+            links[found] += copies[i]
+            trees = np.unique(np.append(tree[found], tree[i]))
+            tree[np.isin(tree, trees)] = trees[0]
+    return links, tree
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of blocks: how many rows each text is linked to, and a text of its tree of links."""
     for (_, first, second), rows in _pairs_of_blocks(batches):
-        texts = list({r[0]: r for r in rows}.values())
-        shared = [set(band_values(r[2], r[3])) for r in texts]
-        links, parent = [0] * len(texts), list(range(len(texts)))
-
-        def root(x: int, parent: list[int] = parent) -> int:
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for i, x in enumerate(texts):
-            for k in range(i):
-                y = texts[k]
-                # A pair within one block belongs to the task of that block alone.
-                if {x[4], y[4]} != {first, second} or shared[i].isdisjoint(shared[k]) or likeness(x[2], y[2], x[3], y[3]) < NEAR:
-                    continue
-                links[i] += y[1]
-                links[k] += x[1]
-                a, b = root(i), root(k)
-                parent[max(a, b)] = min(a, b)
-        found = [(r[0], n, texts[root(i)][0]) for i, (r, n) in enumerate(zip(texts, links, strict=True)) if n]
-        keys, counts, ties = zip(*found, strict=True) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(ties, pa.int64())], names=["text_hash", "links", "tie"])
+        texts = sorted({r[0]: r for r in rows}.values(), key=lambda r: (r[3], r[0]))
+        # A pair within one block belongs to the task of that block alone.
+        links, tree = _verified(texts, lambda a, b, pair=(first, second): (np.minimum(a, b) == pair[0]) & (np.maximum(a, b) == pair[1]))
+        some = np.flatnonzero(links)
+        names = np.array([r[0] for r in texts], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(links[some]), pa.array(names[tree[some]])], names=["text_hash", "links", "tie"])
 
 
 def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -308,36 +342,51 @@ def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield at, held
 
 
-def near_links(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id and n_links: rows whose texts' fingerprints have a likeness of NEAR or more, copies included.
+def link(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """text_hash, class_id and n_links of the texts of (doc_id, text_hash, n_chars, fingerprint); see :func:`near_links`.
 
     Distinct texts (by 64-bit hash) are banded; each is tied to the least text
     of its bands, the components of the ties are dealt to blocks, and each pair
-    of blocks is verified in one task.  A class is named by its least doc_id.
+    of blocks is verified in one task.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
-    signed, _ = materialise(rows.mapInArrow(_sign, f"doc_id {kind}, text_hash long, n_chars long, fingerprint string, bands array<bigint>"), "fingerprints")
-    texts = signed.groupBy("text_hash").agg(F.min(F.struct("n_chars", "fingerprint", "bands")).alias("t"), F.count(F.lit(1)).alias("copies"))
-    texts, _ = materialise(texts.select("text_hash", "copies", "t.*"), "near-texts")
-    banded = texts.select("text_hash", F.explode("bands").alias("band"))
+    copies = signed.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"))
+    texts = scratch.table(signed.select("text_hash", "n_chars", "fingerprint").dropDuplicates(["text_hash"]).join(copies, "text_hash"), "near-texts")
+    banded = texts.select("text_hash", "n_chars", "fingerprint").mapInArrow(_bands, "text_hash long, band long")
     least = banded.groupBy("band").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least <> most").select("band", "least")
-    ties = banded.join(least, "band").select(F.col("text_hash").alias("u"), F.col("least").alias("v"))
-    members = texts.drop("bands").join(components(ties).withColumnRenamed("node", "text_hash"), "text_hash")
+    ties = banded.join(least, "band").where("text_hash <> least").select(F.col("text_hash").alias("u"), F.col("least").alias("v")).distinct()
+    ties = scratch.table(ties, "near-ties")
+    members = texts.select("text_hash", "copies", "n_chars", "fingerprint").join(components(ties).withColumnRenamed("node", "text_hash"), "text_hash")
+    members = scratch.table(members, "near-members")
     blocks = members.groupBy("label").agg(F.ceil(F.sum(F.length("fingerprint") + 100) / BLOCK).cast("int").alias("blocks"))
     members = members.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("text_hash"), F.col("blocks")).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")}).drop("other", "blocks")
     dealt = dealt.repartition("label", "first", "second").sortWithinPartitions("label", "first", "second", "text_hash")
-    found, _ = materialise(dealt.mapInArrow(_verify, "text_hash long, links long, tie long"), "near-found")
+    found = scratch.table(dealt.mapInArrow(_verify, "text_hash long, links long, tie long"), "near-found")
     classes = components(found.select(F.col("text_hash").alias("u"), F.col("tie").alias("v"))).withColumnRenamed("node", "text_hash")
     counts = found.groupBy("text_hash").agg(F.sum("links").alias("links"))
-    texts = texts.select("text_hash", "copies").join(classes, "text_hash", "left").join(counts, "text_hash", "left")
-    texts = texts.select("text_hash", F.coalesce("label", "text_hash").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = signed.select("doc_id", "text_hash").join(texts, "text_hash")
-    named = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(named, "label").select("doc_id", "class_id", "n_links")
+    texts = texts.select("text_hash", "copies", "doc_id").join(classes, "text_hash", "left").join(counts, "text_hash", "left")
+    texts = texts.select("text_hash", "doc_id", F.coalesce("label", "text_hash").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = texts.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    linked = scratch.table(texts.join(named, "label").select("text_hash", "class_id", "n_links"), "near-classes")
+    scratch.close(linked, signed)
+    return linked
+
+
+def near_links(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id and n_links: rows whose texts' fingerprints have a likeness of NEAR or more, copies included.
+
+    A class is named by its least doc_id.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    signed = scratch.table(rows.mapInArrow(_sign, f"doc_id {kind}, text_hash long, n_chars long, fingerprint string"), "fingerprints")
+    return signed.select("doc_id", "text_hash").join(link(signed, scratch), "text_hash").select("doc_id", "class_id", "n_links")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return fingerprint_pairs(documents(spark, sf_dir))
+    """Fingerprints of every text and its edited text, and the class and links of every text."""
+    scratch = Scratch(spark)
+    pairs = scratch.table(fingerprint_pairs(documents(spark, sf_dir)), "fingerprint-pairs")
+    return pairs.join(link(pairs, scratch), "text_hash").drop("text_hash")
