@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import column, documents, slices, text_or_empty
+from .common import column, documents, materialise, slices, text_or_empty
 
 
 def _zigzag() -> np.ndarray:
@@ -70,8 +70,9 @@ def _table(kind: str) -> tuple[bytes, np.ndarray, np.ndarray]:
     if kind == "dc":
         weights = {s: 2.0 ** -abs(s - 4) for s in range(12)}
     else:
-        weights = {s: 2.0 ** (-2 * abs(s - 6)) for s in range(1, 11)}
-        weights |= {16 * r + s: 2.0**-12 for r in range(1, 16) for s in range(1, 11)}
+        # Letters have two or three bits besides the lowest, white space and digits six.
+        sizes = {1: 0.08, 2: 0.27, 3: 0.29, 4: 0.015, 5: 0.03, 6: 0.23, 7: 0.01} | dict.fromkeys((8, 9, 10), 2.0**-12)
+        weights = {16 * r + s: max(w * 2.0 ** (-5 * min(r, 2)), 2.0**-12) for r in range(16) for s, w in sizes.items()}
         weights |= {0x00: 2.0**-6, 0xF0: 2.0**-12}
         if kind == "refine":
             weights = {0x00: 1.0, 0xF0: 2.0**-6} | {16 * r + 1: 2.0**-6 for r in range(16)}
@@ -256,14 +257,18 @@ def _tables() -> bytes:
     return quantisation + huffman + _segment(0xDD, struct.pack(">H", RESTART))
 
 
+#: The byte that becomes the coefficient 0, amid the small letters, so that most coefficients are small.
+CENTRE = 110
+
+
 def to_coefficients(payload: np.ndarray) -> np.ndarray:
-    """Bytes, as signed numbers moved away from zero by one (0 stays), so that magnitudes are never 1."""
-    v = payload.view(np.int8).astype(np.int32)
+    """Bytes, as signed numbers around CENTRE moved away from zero by one (0 stays), so that magnitudes are never 1."""
+    v = (payload - np.uint8(CENTRE)).view(np.int8).astype(np.int32)
     return v + np.sign(v)
 
 
 def from_coefficients(coef: np.ndarray) -> np.ndarray:
-    return (coef - np.sign(coef)).astype(np.int8).view(np.uint8)
+    return (coef - np.sign(coef)).astype(np.int8).view(np.uint8) + np.uint8(CENTRE)
 
 
 def write_images(texts: list[bytes]) -> list[bytes]:
@@ -271,10 +276,11 @@ def write_images(texts: list[bytes]) -> list[bytes]:
     sizes = [max(64, -(-len(t) // 64) * 64) for t in texts]
     layouts = [layout(n // 64) for n in sizes]
     blocks = np.array([6 * w * h for w, h in layouts])
-    buffer = np.zeros(int(blocks.sum()) * 64, np.uint8)
+    buffer = np.full(int(blocks.sum()) * 64, CENTRE, np.uint8)
     starts = np.cumsum(blocks) - blocks
-    for t, s in zip(texts, starts, strict=True):
+    for t, n, s in zip(texts, sizes, starts, strict=True):
         buffer[64 * s : 64 * s + len(t)] = np.frombuffer(t, np.uint8)
+        buffer[64 * s + len(t) : 64 * s + n] = 0
     coef = to_coefficients(buffer).reshape(-1, 64)
     mcus = blocks // 6
     parts: list[list[bytes]] = []
@@ -684,5 +690,11 @@ def decode_media(media: DataFrame, tensors: bool = True) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, " + ", ".join(fields))
 
 
+#: Files of many small images repeat their headers, which the table's compression takes up.
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    return decode_media(encode_media(documents(spark, sf_dir)), tensors=False)
+    """The media column is stored as a table in the shared folder and read back from there; figures, features and RGB tensors come from what was read."""
+    media, _ = materialise(encode_media(documents(spark, sf_dir)), "media", **STORED)
+    return decode_media(media)
