@@ -13,9 +13,13 @@ took away.  Written out, the arcs would number tokens times tokens; instead the
 gadgets are kept (a time and two parts for each token, a time for each removed
 arc), and an arc is looked up through them once and then kept in the table.
 
-A word has one path through the automaton whose labels spell it.  Each prefix
-of a word has one path too, so a search that takes the longest label first and
-marks the places where it failed never enters a place twice.
+A word has one path through the automaton whose labels spell it, and each prefix
+of a word has one path too.  So the automaton runs in step with one that reads
+base symbols: the table of transitions by (state, symbol) over all labels, whose
+states name the labels that end there (Aho and Corasick's).  After each symbol,
+the one label that may follow where it begins is the last of the prefix's path.
+Every symbol is read once, without a way back; the path is read off from its
+end.
 
 Defined cases: null and empty texts have no tokens; special tokens found in a
 text become their ids, as the library does; any further columns are ignored by
@@ -30,15 +34,18 @@ import re
 from collections.abc import Iterator
 from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, documents, slices, text_or_empty
+from .common import as_text, column, documents, free_name, slices, text_or_empty
 from .presplit import WORD_LEVEL, byte_symbols, is_latin1
 
 NEVER = 1 << 60
+#: Follows the last symbol of a word; no vocabulary has it.
+END = "\uffff"
 
 
 class Automaton:
@@ -69,8 +76,6 @@ class Automaton:
         #: Tokens by their spelling: those inside a word, and those that end it (without the suffix).
         self.inner = {t: vocab[t] for t in made if vocab[t] not in final}
         self.final = {t[: len(t) - len(suffix)]: vocab[t] for t in made if vocab[t] in final} if suffix else self.inner
-        self.longest = max(map(len, self.inner), default=0)
-        self.longest_final = max(map(len, self.final), default=0)
 
     def _arc_at(self, a: int, b: int, time: int) -> bool:
         """Whether token b may follow token a, once the gadgets up to ``time`` are in."""
@@ -95,36 +100,46 @@ class Automaton:
             found = self.arcs[key] = self._arc_at(a, b, NEVER - 1)
         return found
 
+    @cached_property
+    def symbols(self) -> ahocorasick.Automaton:
+        """Transitions over base symbols; labels that end a word are followed by END, if the vocabulary tells them apart."""
+        table = ahocorasick.Automaton()
+        for t, i in self.inner.items():
+            table.add_word(t, (len(t), i))
+        if self.suffix:
+            for t, i in self.final.items():
+                table.add_word(t + END, (len(t) + 1, i))
+        table.make_automaton()
+        return table
+
     def encode_word(self, word: str) -> list[int]:
         """The labels' ids on the one path that spells ``word`` (in the vocabulary's symbols, without the suffix)."""
-        n, inner, final, arc = len(word), self.inner, self.final, self.arc
-        if not n:
+        if not word:
             return []
-        path: list[int] = []
-        ends = [0]
-        dead = set()
-        reach = min(n, max(self.longest, self.longest_final))
-        while True:
-            at = ends[-1]
-            last = path[-1] if path else None
-            for size in range(min(reach, n - at), 0, -1):
-                end = at + size
-                if end in dead:
+        if (whole := self.final.get(word)) is not None:
+            return [whole]
+        if self.suffix:
+            word += END
+        n, arcs, arc = len(word), self.arcs, self.arc
+        last: list[int | None] = [None] * (n + 1)
+        begins = [0] * (n + 1)
+        for at, (size, t) in self.symbols.iter(word):
+            start = at + 1 - size
+            if start:
+                before = last[start]
+                if before is None:
                     continue
-                t = (final if end == n else inner).get(word[at:end])
-                if t is not None and (last is None or arc(last, t)):
-                    path.append(t)
-                    ends.append(end)
-                    if end == n:
-                        return path
-                    reach = min(n, max(self.longest, self.longest_final))
-                    break
-            else:
-                if not path:
-                    raise ValueError(f"no path spells {word!r}")
-                # This prefix's only path leads no further: take a shorter label before.
-                dead.add(ends.pop())
-                path.pop()
+                follows = arcs.get((before, t))
+                if not (arc(before, t) if follows is None else follows):
+                    continue
+            last[at + 1], begins[at + 1] = t, start
+        path, at = [], n
+        while at:
+            if last[at] is None:
+                raise ValueError(f"no path spells {word!r}")
+            path.append(last[at])
+            at = begins[at]
+        return path[::-1]
 
 
 class Tokenizer:
@@ -185,7 +200,7 @@ class Tokenizer:
 
     def pieces(self, text: str) -> list[tuple[str, str]]:
         """(ids joined by a space, labels joined by a space) of each word."""
-        if "<" not in text:
+        if not any(s in text for s in self.special):
             return self._plain(text)
         out = []
         for piece in self.split_special.split(text):
@@ -209,15 +224,16 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 def _with(docs: DataFrame, path: str, name: str, kind: str, arrow: pa.DataType, work) -> DataFrame:
+    kept, source = [c for c in docs.columns if c != name], free_name("given", docs.columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for b in slices(batches, "__given") if name == "ids" else batches:
+        for b in slices(batches, source) if name == "ids" else batches:
             values = pa.array([work(t, x) for x in b.column(0).to_pylist()], arrow)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], values], names=[*b.schema.names[1:], name])
 
-    kept = [c for c in docs.columns if c != name]
     given = "text" if name == "ids" else "ids"
-    inner = docs.select(F.col(f"`{given}`").alias("__given"), *[F.col(f"`{c}`") for c in kept])
+    inner = docs.select(F.col(f"`{given}`").alias(source), *[F.col(f"`{c}`") for c in kept])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[1:]), f"`{name}` {kind}"])
     return inner.mapInArrow(run, schema)
 
@@ -240,7 +256,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         for b in slices(batches):
             counts, ids_sha, decoded_sha = [], [], []
             for text in column(b, "text"):
-                pieces = t.pieces(text.decode())
+                pieces = t.pieces(as_text(text))
                 ids = " ".join([p[0] for p in pieces])
                 counts.append(ids.count(" ") + 1 if ids else 0)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
@@ -263,7 +279,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
         for b in slices(batches):
             ids, digests = [], []
             for text in column(b, "text"):
-                pieces = t.pieces(text.decode())
+                pieces = t.pieces(as_text(text))
                 joined = " ".join([p[0] for p in pieces])
                 ids.append(np.fromstring(joined, np.int32, sep=" ") if joined else np.zeros(0, np.int32))
                 digests.append(hashlib.sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
