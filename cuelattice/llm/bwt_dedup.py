@@ -5,7 +5,9 @@ smaller doc_id.  The work is brought to where equal strings meet:
 
 1. Every 50-byte window has an *anchor*, the least hash of its 20-byte
    substrings.  Equal windows have equal anchors, so only runs of windows whose
-   anchor stands in two different texts go on.
+   anchor stands in two different texts go on.  An anchor of more than HOT texts
+   is parted by a second one, the least of another hash of the same substrings,
+   which equal windows share as well.
 2. Such a run of windows is a snippet.  Slices of documents send each distinct
    snippet once, with its least doc_id, to the bucket of its anchor.
 3. A bucket joins its distinct snippets to one string, builds the transform and
@@ -36,16 +38,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, documents, drop_table, materialise, pack, runs, slices, text_or_empty, unpack
+from .common import column, documents, drop_table, materialise, mix64, pack, runs, slices, text_or_empty, unpack
 
 LENGTH = 50
 GRAM = 20
 #: Windows of one snippet at most; longer runs are cut, with their windows whole.
 LONGEST = 4096
-#: Symbols of one transform (a single anchor's snippets are never parted).
+#: Symbols of one transform (the snippets of one key are never parted).
 BLOCK = 2 << 20
 SLICE = 8 << 20
 BUCKETS = 8
+#: Texts of an anchor from which on it is parted.
+HOT = 256
 
 
 # ----------------------------------------------------------------- anchors
@@ -60,8 +64,8 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[: len(a) - rest], a[rest:]) if rest else a
 
 
-def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """The anchor of each window of the text."""
+def _grams(text: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """A hash of each 20-byte substring, if the text has a window."""
     n = len(text) - gram + 1
     if len(text) < length:
         return np.zeros(0, np.uint64)
@@ -75,7 +79,34 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     h += at[gram - 8 : gram - 8 + n]
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(31)
-    return _sliding_min(h, length - gram + 1)
+    return h
+
+
+def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """The anchor of each window of the text."""
+    h = _grams(text, length, gram)
+    return _sliding_min(h, length - gram + 1) if len(h) else h
+
+
+def second_anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    h = _grams(text, length, gram)
+    return _sliding_min(mix64(h), length - gram + 1) if len(h) else h
+
+
+def _parted(text: bytes, keys: list[int], starts: list[int], sizes: list[int], hot: list[bool]) -> list[tuple[int, int, int]]:
+    """Runs (key, first window, windows), the hot ones cut where their windows' second anchor changes."""
+    if not any(hot):
+        return list(zip(keys, starts, sizes, strict=True))
+    second, out = second_anchors(text), []
+    for key, start, size, part in zip(keys, starts, sizes, hot, strict=True):
+        if not part:
+            out.append((key, start, size))
+            continue
+        inner = second[start : start + size]
+        cuts = [0, *(np.flatnonzero(inner[1:] != inner[:-1]) + 1).tolist(), size]
+        both = mix64(inner[cuts[:-1]] ^ mix64(np.array([key], np.uint64)))
+        out += [(k, start + lo, hi - lo) for k, lo, hi in zip(both.tolist(), cuts[:-1], cuts[1:], strict=True)]
+    return out
 
 
 def _anchor_runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,11 +291,11 @@ def _send_anchors(parts: int):
     return run
 
 
-SHARED = "part int, texts binary, anchors binary"
+SHARED = "part int, texts binary, anchors binary, hot binary"
 
 
-def _find_shared(parts: int):
-    """Of one partition of anchors, those that stand in different texts, sent on by text."""
+def _find_shared(parts: int, most: int):
+    """Of one partition of anchors, those that stand in different texts and whether they are hot, sent on by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in runs(batches, "part", ["texts", "counts", "anchors"]):
@@ -274,30 +305,32 @@ def _find_shared(parts: int):
             key, text = key[order], text[order]
             heads = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
             differ = np.minimum.reduceat(text, heads) != np.maximum.reduceat(text, heads)
-            shared = np.repeat(differ, np.diff(np.concatenate([heads, [len(key)]])))
-            key, text = key[shared], text[shared]
+            times = np.diff(np.concatenate([heads, [len(key)]]))
+            shared, hot = np.repeat(differ, times), np.repeat(times > most, times)
+            key, text, hot = key[shared], text[shared], hot[shared]
             part = (text.view(np.uint64) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            key, text = key[order], text[order]
+            key, text, hot = key[order], text[order], hot[order]
             bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            yield _batch([(p, text[lo:hi].tobytes(), key[lo:hi].tobytes()) for p, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if lo < hi], SHARED)
+            yield _batch([(p, text[lo:hi].tobytes(), key[lo:hi].tobytes(), hot[lo:hi].tobytes()) for p, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if lo < hi], SHARED)
 
     return run
 
 
-BY_TEXT = "key long, shared binary"
+BY_TEXT = "key long, shared binary, hot binary"
 
 
 def _gather_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each text with shared anchors."""
-    for _, rows in runs(batches, "part", ["texts", "anchors"]):
+    for _, rows in runs(batches, "part", ["texts", "anchors", "hot"]):
         text = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
         key = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
+        hot = np.concatenate([np.frombuffer(r[2], bool) for r in rows])
         order = np.lexsort((key, text))
-        text, key = text[order], key[order]
+        text, key, hot = text[order], key[order], hot[order]
         heads = np.concatenate([[0], np.flatnonzero(text[1:] != text[:-1]) + 1])
         ends = np.concatenate([heads[1:], [len(text)]])
-        yield _batch([(int(text[lo]), key[lo:hi].tobytes()) for lo, hi in zip(heads, ends, strict=True)], BY_TEXT)
+        yield _batch([(int(text[lo]), key[lo:hi].tobytes(), hot[lo:hi].tobytes()) for lo, hi in zip(heads, ends, strict=True)], BY_TEXT)
 
 
 #: A request holds distinct snippets of a slice for one bucket; the row with bucket -1 holds the slice's documents and where its snippets stand.
@@ -311,18 +344,20 @@ def _send_snippets(buckets: int):
         for b in slices(batches, most=SLICE):
             where: dict[bytes, int] = {}
             snippets, keys, least, places, docs_at, starts_at, docs = [], [], [], [], [], [], []
-            for h1, h2, doc, text, shared in zip(*(column(b, c) for c in ("h1", "h2", "doc_id", "text", "shared")), strict=True):
+            for h1, h2, doc, text, shared, hot in zip(*(column(b, c) for c in ("h1", "h2", "doc_id", "text", "shared", "hot")), strict=True):
                 if (h1, h2) == last:  # the same text; rows are sorted by doc_id
                     continue
                 last = (h1, h2)
                 anchor, starts, sizes = _anchor_runs(text)
                 known = np.frombuffer(shared, np.uint64)
-                kept = np.flatnonzero(known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor) if len(anchor) else []
+                found = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
+                kept = np.flatnonzero(known[found] == anchor) if len(anchor) else []
                 if not len(kept):
                     continue
+                heat = np.frombuffer(hot, bool)[found[kept]].tolist()
                 index = len(docs) // 3
                 docs += [h1, h2, doc]
-                for a, s, n in zip(anchor[kept].tolist(), starts[kept].tolist(), sizes[kept].tolist(), strict=True):
+                for a, s, n in _parted(text, anchor[kept].tolist(), starts[kept].tolist(), sizes[kept].tolist(), heat):
                     snippet = text[s : s + n + LENGTH - 1]
                     place = where.setdefault(snippet, len(snippets))
                     if place == len(snippets):
@@ -449,14 +484,14 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
 
 
-def _candidates(rows: DataFrame, parts: int) -> str:
+def _candidates(rows: DataFrame, parts: int, hot: int) -> str:
     """Write the snippets of all slices; returns the table's path.
 
     Nothing that refers to the shuffles behind the table is left when this returns.
     """
     known = rows.where("doc_id IS NOT NULL").select("h1", "h2", "doc_id", "text")
     sent = known.mapInArrow(_send_anchors(parts), ANCHORS)
-    shared = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_find_shared(parts), SHARED)
+    shared = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_find_shared(parts, hot), SHARED)
     by_text = shared.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_gather_shared, BY_TEXT)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,20 +514,20 @@ def _removed(snippets: DataFrame, parts: int) -> str:
     return materialise(ranges, "ranges")[1]
 
 
-def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, h1, h2, text), and for each text with removals its ranges."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _hashed(docs)
-    path = _candidates(rows, parts)
+    path = _candidates(rows, parts, hot)
     ranges = _removed(spark.read.schema(SNIPPETS).parquet(path), parts)
     drop_table(spark, path)
     return rows, spark.read.schema(RANGES).parquet(ranges)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    rows, ranges = removals(docs)
+    rows, ranges = removals(docs, hot)
     first = rows.where("doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
     # Written, so that the join below has two plain sides and Spark can split a text with very many copies.
     # Slices may have held one text under several doc_ids: the ranges of its least one count.

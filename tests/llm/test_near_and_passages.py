@@ -239,6 +239,46 @@ def test_near_links(spark, near_rows, odd, odd_rows, empty, block, monkeypatch):
     assert ee.near_links(empty).count() == 0
 
 
+def full_distance(a, b):
+    """Share of equal steps of two whole walks over the longer text's steps: no samples, no hashes."""
+    x, y, n = walk(a), walk(b), 2 * max(len(a), len(b))
+    return sum(p == q for p, q in zip(x[:n], y[:n], strict=False)) / n
+
+
+def test_likeness_estimates_the_whole_walk():
+    rng = random.Random(21)
+    errors = []
+    for i in range(60):
+        t = words(rng, rng.randrange(80, 400))
+        e = list(t)
+        for _ in range(rng.choice([0, 2, 10, 60])):
+            e[rng.randrange(len(e))] = rng.choice("qxyz ")
+        e = "".join(e)
+        p, q = ee.fingerprints([t, e])
+        errors.append(ee.likeness(p, q, len(t), len(e)) - full_distance(t, e))
+    assert abs(np.mean(errors)) < 0.03 and max(map(abs, errors)) < 0.2
+
+
+def test_query_finds_planted_near_copies(spark, tmp_path):
+    """Classes and links beside the fingerprints; recall of planted near copies, precision against unrelated texts."""
+    rng = random.Random(5)
+    rows, pairs = [], []
+    for i in range(60):
+        t = words(rng, 200 + 10 * i, 3000)
+        e = t.split()
+        for k in rng.sample(range(len(e)), len(e) // 60):
+            e[k] = "changed"
+        rows += [(2 * i, t, "en", "s", 1), (2 * i + 1, " ".join(e), "en", "s", 1)]
+        pairs.append((2 * i, 2 * i + 1))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in ee.query(spark, str(tmp_path)).collect()}
+    prints = {d: ee.fingerprints([t])[0] for d, t, *_ in rows}
+    near = [(a, b) for a, b in pairs if ee.likeness(prints[a], prints[b], len(rows[a][1]), len(rows[b][1])) >= ee.NEAR]
+    found = [(a, b) for a, b in near if got[a].class_id == got[b].class_id == a and got[a].n_links == 1]
+    assert len(near) >= 30 and len(found) >= 0.95 * len(near)
+    assert all(r.class_id in (d, d - d % 2) for d, r in got.items()) and all(got[d].fingerprint == p for d, p in prints.items())
+
+
 # ------------------------------------------------------------------ passages
 
 
@@ -297,6 +337,19 @@ def test_expand_finds_all_boundaries():
                     assert edge[i]
 
 
+def test_hot_anchors_are_parted(odd, odd_rows):
+    """Every anchor of two texts or more, by the second one."""
+    assert removed(bw.dedup(odd, hot=1)) == brute_removal(odd_rows)
+    text = (b"some words that come again and again, " * 9)[:300]
+    anchor, starts, sizes = bw._anchor_runs(text)
+    cut = bw._parted(text, anchor.tolist(), starts.tolist(), sizes.tolist(), [True] * len(anchor))
+    assert sum(n for _, _, n in cut) == 251 and sorted(s for _, s, _ in cut)[0] == 0
+    windows = {}
+    for key, s, n in cut:
+        for i in range(s, s + n):
+            assert windows.setdefault(text[i : i + 50], key) == key  # equal windows meet
+
+
 def test_small_blocks(monkeypatch, odd, odd_rows):
     monkeypatch.setattr(bw, "BLOCK", 300)
     monkeypatch.setattr(bw, "LONGEST", 64)
