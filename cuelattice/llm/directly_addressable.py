@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, documents, materialise, slices, text_or_empty
+from .common import as_text, column, documents, materialise, slices, text_or_empty
 from .presplit import BYTE_LEVEL, byte_symbols, is_latin1
 
 MAGIC = b"DAC1"
@@ -173,6 +173,9 @@ def word_ids(path: str) -> WordIds:
     return _WORDS[path]
 
 
+#: File images stand in the table as they are, each in a row group of its own: one is found and read without the others.
+STORED = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": "65536", "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+
 FILES = "part int, seq int, ids_before long, n_ids long, n_docs long, content binary"
 
 
@@ -196,7 +199,7 @@ def _writer(path: str, end_id: int, file_ids: int):
 
         for b in slices(batches):
             for doc_id, text in zip(column(b, "doc_id"), column(b, "text"), strict=True):
-                ids = words.encode(text.decode()) + end
+                ids = words.encode(as_text(text)) + end
                 doc_ids.append(doc_id)
                 parts.append(ids)
                 counts.append(len(ids) // 4)
@@ -212,7 +215,7 @@ def _writer(path: str, end_id: int, file_ids: int):
 def write_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> tuple[DataFrame, str]:
     """Encode the documents in ascending doc_id order and write them as DAC files; returns the table of files and its path."""
     rows = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(rows.mapInArrow(_writer(tokenizer, end_id, file_ids), FILES), "dac-files")
+    return materialise(rows.mapInArrow(_writer(tokenizer, end_id, file_ids), FILES), "dac-files", **STORED)
 
 
 def read_documents(files: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHashes, column, documents, materialise, mix64, slices, text_or_empty
+from .common import TokenHashes, column, documents, free_name, materialise, mix64, slices, text_or_empty
 from .components import components
 
 WORDS = 5
@@ -285,9 +285,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = sets.groupBy("label").agg(F.min("rep").alias("rep"))
     # Ids as text that is never null: the join and the removal of repeated rows then share one exchange of the texts.
     name = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
-    kept = kept.select(name(F.col("rep.doc_id")).alias("__doc"), F.col("rep.text_hash").alias("__text_hash"))
-    rows = docs.withColumns({"__doc": name(F.col("doc_id")), "__text_hash": F.xxhash64(text_or_empty())})
-    rows = rows.join(kept, ["__doc", "__text_hash"]).dropDuplicates(["__doc", "__text_hash"])
+    doc = free_name("doc", docs.columns)
+    text = free_name("text_hash", [*docs.columns, doc])
+    kept = kept.select(name(F.col("rep.doc_id")).alias(doc), F.col("rep.text_hash").alias(text))
+    rows = docs.withColumns({doc: name(F.col("doc_id")), text: F.xxhash64(text_or_empty())})
+    rows = rows.join(kept, [doc, text]).dropDuplicates([doc, text])
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, documents, slices, text_or_empty
+from .common import as_text, column, documents, slices, text_or_empty
 
 #: The fixed patterns, in the order of the kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -167,7 +167,7 @@ def scan(docs: DataFrame, vocabulary: str) -> DataFrame:
         for b in slices(batches):
             counts, base, spans = [[], [], [], []], [], []
             for text in column(b, "text"):
-                found = find(text.decode(), measure)
+                found = find(as_text(text), measure)
                 kinds = [k for _, k, _ in found]
                 for k in range(4):
                     counts[k].append(kinds.count(k))

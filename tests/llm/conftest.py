@@ -34,7 +34,7 @@ def odd_rows():
 
 
 #: Names that operators use inside.
-CLASH = ["size", "key", "h1", "h2", "ids", "part", "shared", "first", "label", "score", "spans", "row", "rep", "source_size", "key_range", "ghost", "n_tokens", "text_hash", "block"]
+CLASH = ["size", "key", "h1", "h2", "ids", "part", "shared", "first", "label", "score", "spans", "row", "rep", "source_size", "key_range", "ghost", "n_tokens", "text_hash", "block", "__doc", "__text_hash", "__given", "given", "doc"]
 
 
 @pytest.fixture(scope="session")
