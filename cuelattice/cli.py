@@ -1,34 +1,21 @@
 """Command line: index, status, doctor, search, reconstruct and serve over a repository's workspace.
 
-Embeddings come from the offline hash embedder unless the caller of :func:`main`
-injects another; ``reconstruct`` uses the rule planner in the same way.
+Embedder, planner and store are those that the configuration names (see
+:mod:`cuelattice.factories`); the model ``hash-sha256-d32`` is the offline
+embedder and the chat model ``rule`` the planner without a model.
 """
 
 from __future__ import annotations
 
 import argparse
-import hashlib
 import logging
-import math
 import os
 import sys
 
-from .config import resolve
-from .functions.scalar import hash_embedding
+from . import factories
+from .config import ConfigError, resolve
 from .server import serve
 
-HASH_MODEL, HASH_DIM = "hash-sha256-d32", 32
-
-
-def hash_vectors(texts: list[str]) -> list[list[float]]:
-    """The offline embedder on the driver; the same numbers as the column expression."""
-    out = []
-    for t in texts:
-        raw = [b - 128.0 for b in hashlib.sha256(t.encode()).digest()]
-        length = math.sqrt(sum(x * x for x in raw)) or 1.0
-        out.append([x / length for x in raw])
-    return out
-
 
 def configure_logging(verbose: bool = False) -> None:
     """Log to stderr; called again, it only sets the level."""
@@ -58,40 +45,48 @@ def build_parser() -> argparse.ArgumentParser:
     return parser
 
 
-def main(argv: list[str] | None = None, spark=None, planner=None, out=print) -> int:
+def main(argv: list[str] | None = None, spark=None, planner=None, out=print, env=os.environ) -> int:
     args = build_parser().parse_args(argv)
     configure_logging(args.verbose)
-    from pyspark.sql import SparkSession
-
     from . import service as sv
     from .index import index_repository
-    from .operators.walk import rule_planner
-    from .sources.store import Store
 
-    config = resolve(os.environ, args.repo)
-    workspace, manifest = config.workspace, config.workspace.load_manifest()
+    config = resolve(env, args.repo)
+    manifest = config.workspace.load_manifest()
     if args.command == "doctor":
-        checks = sv.doctor(workspace, manifest, config.embed_model)
+        checks = sv.doctor(config.workspace, manifest, config.embed_model)
         out(sv.render_doctor(checks))
         return 0 if all(c.ok for c in checks) else 1
-    spark = spark or SparkSession.builder.appName("cuelattice").getOrCreate()
-    workspace.ensure_dirs()
-    store = Store(spark, workspace.store_path, HASH_MODEL, HASH_DIM)
-    store.initialize()
-    if args.command == "index":
-        out(sv.render_stats(index_repository(store, args.repo, hash_embedding, HASH_MODEL, HASH_DIM)))
-    elif args.command == "status":
-        out(sv.render_status(HASH_MODEL, HASH_DIM, store.indexed_files, manifest))
+    try:
+        spark = spark or _session()
+        store = factories.store(spark, config)
+        if args.command == "status":
+            out(sv.render_status(config.embed_model, config.embed_dim, store.indexed_files, manifest))
+            return 0
+        embedder = factories.embedder(config)
+        if args.command == "index":
+            out(sv.render_stats(index_repository(store, args.repo, embedder.column, embedder.model, embedder.dimensions)))
+            return 0
+        needs_planner = args.command == "reconstruct" or config.settings.llm_model
+        planner = planner or (factories.planner(config.settings) if needs_planner else None)
+    except (ConfigError, RuntimeError, ValueError) as e:
+        out(f"error: {e}")
+        return 2
+    service = sv.Service(store.graph, embedder.embed, planner, factories.references(spark, config), getattr(args, "k", 5))
+    if args.command == "serve":
+        serve(service)
+    elif args.command == "search":
+        out(sv.render_search(service.search(args.query, args.k)))
     else:
-        service = sv.Service(store.graph, hash_vectors, planner or rule_planner(), sv.open_references(spark, workspace.scip_path), getattr(args, "k", 5))
-        if args.command == "serve":
-            serve(service)
-        elif args.command == "search":
-            out(sv.render_search(service.search(args.query, args.k)))
-        else:
-            out(sv.render_reconstruct(service.reconstruct(args.query, args.budget)))
+        out(sv.render_reconstruct(service.reconstruct(args.query, args.budget)))
     return 0
 
 
+def _session():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.builder.appName("cuelattice").getOrCreate()
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -6,10 +6,11 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from pathlib import Path
 
+from .functions.scalar import HASH_DIM, HASH_MODEL
 from .sources.workspace import PREFIX, Workspace, load_dotenv
 
 DEFAULT_MODEL, DEFAULT_DIM = "nomic-embed-text", 768
-#: Dimensions of well-known embedding models.
+#: Dimensions of well-known embedding models.
 KNOWN_DIMS = {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536}
 TRUE, FALSE = {"1", "true", "yes", "on", "y", "t"}, {"0", "false", "no", "off", "n", "f"}
 
@@ -70,7 +71,12 @@ def resolve(env: Mapping[str, str], root: str | Path = ".") -> Config:
     settings = Settings.from_mapping(merged(env, root))
     manifest = workspace.load_manifest()
     model = settings.embed_model or (manifest.embed_model if manifest else DEFAULT_MODEL)
-    dim = settings.embed_dim if settings.embed_dim is not None else (manifest.embed_dim if manifest else DEFAULT_DIM)
+    if settings.embed_dim is not None:
+        dim = settings.embed_dim
+    elif model == HASH_MODEL:
+        dim = HASH_DIM
+    else:
+        dim = manifest.embed_dim if manifest and manifest.embed_model == model else KNOWN_DIMS.get(model, DEFAULT_DIM)
     return Config(workspace, settings, model, dim)
 
 

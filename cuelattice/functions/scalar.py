@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SNIPPET_LIMIT = 500
+#: Name and dimension of the offline embedder, :func:`hash_embedding`.
+HASH_MODEL, HASH_DIM = "hash-sha256-d32", 32
 ELLIPSIS = "…"
 
 

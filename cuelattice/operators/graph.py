@@ -51,8 +51,8 @@ def neighbors(graph: Graph, ids: DataFrame, edge_type: str | None = None, direct
 
 
 def redirects(graph: Graph) -> DataFrame:
-    """(id, redirect_id): each node's first redirect whose target exists."""
-    hops = graph.edges.where("edge_type = 'redirects_to'").join(graph.nodes.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    """(id, redirect_id): each node's first redirect.  Writes and deletes keep edges only where both ends exist."""
+    hops = graph.edges.where("edge_type = 'redirects_to'")
     return hops.groupBy(F.col("source_id").alias("id")).agg(F.min_by("target_id", "edge_seq").alias("redirect_id"))
 
 

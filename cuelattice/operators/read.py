@@ -23,8 +23,7 @@ def active_contents(graph: Graph) -> DataFrame:
 def expand_contents(graph: Graph, ids: DataFrame, edge_type: str, tags: list[tuple[str, str]] | None = None) -> DataFrame:
     """(ord, id, edge_seq, content_id): contents one typed hop away, after redirects, active and with all tags."""
     hop = neighbor_ids(graph.edges, ids, edge_type).withColumnRenamed("neighbor_id", "content_id")
-    # A dangling edge has no neighbour to redirect.
-    hop = hop.join(graph.nodes.select(F.col("id").alias("content_id")), "content_id", "left_semi")
+    # The join with active contents below drops dangling ends too; edges never begin at a missing node.
     hop = resolve_redirects(graph, hop, "content_id")
     hop = hop.join(active_contents(graph).select(F.col("id").alias("content_id")), "content_id", "left_semi")
     return with_all_tags(graph, hop, tags or [])
@@ -61,4 +60,4 @@ def content_summaries(graph: Graph, contents: DataFrame | None = None) -> DataFr
 
 def content_details(nodes: DataFrame) -> DataFrame:
     """Full contents; vectors are never returned."""
-    return nodes.where("node_type = 'content'").select("id", "status", "source_file", "kind", "memory_layer", "symbol_name", "signature", "docstring", "body")
+    return nodes.where("node_type = 'content'").select("id", "status", "source_file", "git_sha", "kind", "memory_layer", "symbol_name", "signature", "docstring", "body")

@@ -2,7 +2,8 @@
 
 ``occurrences``: relative_path, doc_idx, occ_idx, symbol, symbol_roles,
 single_line, multi_line, range.  ``relationships``: relative_path (null:
-external), sym_idx, symbol, target and four flags.
+external), sym_idx, symbol, target and four flags; a symbol without
+relationships has one row with a null target, so that a lookup ends there.
 """
 
 from __future__ import annotations
@@ -38,14 +39,19 @@ def references(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.join(symbols, "symbol")
 
 
+def symbol_infos(relationships: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Relationships of symbols (symbol, relative_path): the file's first entry, else the external one."""
+    rows = relationships.join(wanted.withColumnRenamed("relative_path", "__file"), "symbol").where(F.col("relative_path").eqNullSafe(F.col("__file")) | F.col("relative_path").isNull())
+    rows = rows.withColumn("external", F.col("relative_path").isNull())
+    first = F.min(F.struct("external", "sym_idx")).over(Window.partitionBy("symbol", "__file"))
+    rows = rows.withColumn("__first", first).where((F.col("external") == F.col("__first.external")) & (F.col("sym_idx") == F.col("__first.sym_idx")))
+    return rows.where("target IS NOT NULL").drop("__first", "__file", "external")
+
+
 def symbol_info(relationships: DataFrame, symbol: str, relative_path: str | None = None) -> DataFrame:
-    """Relationships of a symbol: its file's first entry, else the external one."""
-    rows = relationships.where(F.col("symbol") == symbol)
-    local = (F.col("relative_path") == relative_path) if relative_path is not None else F.lit(False)
-    rows = rows.where(local | F.col("relative_path").isNull())
-    first = Window.partitionBy("symbol").orderBy(F.col("relative_path").isNull(), "sym_idx")
-    best = F.first(F.struct(F.col("relative_path").isNull().alias("e"), "sym_idx")).over(first)
-    return rows.withColumn("__best", best).where((F.col("relative_path").isNull() == F.col("__best.e")) & (F.col("sym_idx") == F.col("__best.sym_idx"))).drop("__best")
+    """Relationships of one symbol."""
+    wanted = relationships.sparkSession.createDataFrame([(symbol, relative_path)], "symbol string, relative_path string")
+    return symbol_infos(relationships, wanted)
 
 
 def content_references(nodes: DataFrame, occurrences: DataFrame, content_ids: DataFrame) -> DataFrame:
@@ -57,10 +63,7 @@ def content_references(nodes: DataFrame, occurrences: DataFrame, content_ids: Da
 def content_relations(nodes: DataFrame, relationships: DataFrame, content_ids: DataFrame, flag: str) -> DataFrame:
     """Relationships of contents with a flag (is_implementation, is_type_definition), looked up in the contents' files, else externally."""
     contents = nodes.where("node_type = 'content'").select(F.col("id").alias("symbol"), "source_file").join(content_ids.select(F.col("content_id").alias("symbol")), "symbol")
-    rows = contents.join(relationships, "symbol").where((F.col("relative_path") == F.col("source_file")) | F.col("relative_path").isNull())
-    rows = rows.withColumn("external", F.col("relative_path").isNull())
-    first = F.min(F.struct("external", "sym_idx")).over(Window.partitionBy("symbol"))
-    rows = rows.withColumn("__first", first).where((F.col("external") == F.col("__first.external")) & (F.col("sym_idx") == F.col("__first.sym_idx")))
+    rows = symbol_infos(relationships, contents.withColumnRenamed("source_file", "relative_path"))
     return rows.where(F.col(flag)).select("symbol", "target", "is_reference", "is_implementation", "is_type_definition", "is_definition")
 
 

@@ -90,7 +90,7 @@ def reconstruct(graph: Graph, seeds: DataFrame, planner: Planner | None, budget:
         found = cut(candidates(graph, active, tags))
         decisions = cut(planner(_requests(graph, active, found, queries)))
         ok = decisions.where("NOT coalesce(error, false)")
-        picks = ok.select("qid", F.posexplode("collect").alias("k", "pick")).select("qid", F.col("pick.id").alias("picked"), F.col("pick.relevance").alias("relevance"), (F.lit(hop) * 1_000_000 + F.col("k")).cast("long").alias("discovery"))
+        picks = ok.select("qid", F.posexplode("collect").alias("k", "pick")).select("qid", F.col("pick.id").alias("picked"), F.col("pick.relevance").alias("relevance"), F.struct(F.lit(hop).alias("hop"), "k").alias("discovery"))
         picks = picks.join(found.select("qid", F.col("candidate_id").alias("picked")), ["qid", "picked"], "left_semi")
         collected = cut(_as_contents(graph, picks))
         found_all = collected if found_all is None else found_all.unionByName(collected)

@@ -3,25 +3,20 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder of our own where it is not set (as in tests)."""
+    """spark.checkpoint.dir, or else a folder in the warehouse; never one of this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", "")
-    if found:
-        return found.rstrip("/")
-    if "dir" not in _OWN:
-        _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="cuelattice-")
-    return _OWN["dir"]
+    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -29,9 +24,34 @@ def _drop(spark: SparkSession, path: str) -> None:
         return
 
 
+_OPEN: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`cut` makes inside go at the end, so what leaves must have been written or collected."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for owner, path in _OPEN.pop():
+            drop(owner, path)
+
+
+def saved(df: DataFrame, by: str) -> DataFrame:
+    """The same rows, read back from a table with a folder for each value of a column; it goes when the driver ends."""
+    path = f"{shared_folder(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    atexit.register(drop, df.sparkSession, path)
+    df.write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a table."""
+    """The same rows, read back from a table; it goes with the innermost :func:`scope`, else when the driver ends."""
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, df.sparkSession, path)
+    if _OPEN:
+        _OPEN[-1].append((df.sparkSession, path))
+    else:
+        atexit.register(drop, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

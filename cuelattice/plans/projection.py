@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
 from ..schema import as_edges, as_nodes
+from . import lineage
 
 #: Edge sequences start here for each kind, so that kinds keep their order.
 TAGGED, TOPIC, REDIRECT = 10**12, 2 * 10**12, 3 * 10**12
@@ -30,7 +31,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("toxic") == 1, "deleted").otherwise("active")
     contents = docs.join(labels, "doc_id", "left").select(
         _doc(F.col("doc_id")).alias("id"), F.lit("content").alias("node_type"), status.alias("status"), F.col("source").alias("source_file"), F.lit("function").alias("kind"),
-        F.lit("semantic").alias("memory_layer"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("symbol_name"), F.col("text").alias("body"), F.col("doc_id").alias("node_seq"),
+        F.lit("semantic").alias("memory_layer"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("symbol_name"), F.col("text").alias("body"), F.sha1(F.col("doc_id").cast("string").cast("binary")).alias("git_sha"), F.col("doc_id").alias("node_seq"),
     )
     active = F.lit("active").alias("status")
     topics = docs.select("source").distinct().select(
@@ -89,8 +90,23 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+_SAVED: dict[tuple, Graph] = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """When the tables were last written, so that a changed table is not taken for the saved one."""
+    names = ("documents", "labels", "conversations", "embeddings")
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{n}.parquet") for n in names]
+    return tuple(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime() for p in paths)
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(nodes(spark, sf_dir), edges(spark, sf_dir))
+    """The graph as saved tables, nodes and edges each in a folder by type: built once in a session, then only read."""
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir))
+    if key not in _SAVED:
+        kept = lineage.saved(nodes(spark, sf_dir), "node_type"), lineage.saved(edges(spark, sf_dir), "edge_type")
+        _SAVED[key] = Graph(*kept)
+    return _SAVED[key]
 
 
 #: The same mapping in DuckDB SQL, as common table expressions.
@@ -102,11 +118,11 @@ tag_rows AS (
   UNION ALL SELECT doc_id, 2, 'pattern_type', 'quality:' || quality FROM doc_rows WHERE quality IS NOT NULL),
 nodes AS (
   SELECT 'content:doc:' || doc_id AS id, 'content' AS node_type, CASE WHEN toxic = 1 THEN 'deleted' ELSE 'active' END AS status, source AS source_file, 'function' AS kind,
-         'semantic' AS memory_layer, 'doc_' || doc_id AS symbol_name, NULL AS signature, text AS body, NULL AS text, NULL AS category, NULL AS value, NULL::DOUBLE[] AS embedding, doc_id AS node_seq FROM doc_rows
-  UNION ALL SELECT DISTINCT 'content:src:' || source, 'content', 'active', source, 'module', 'topic', source, NULL, '', NULL, NULL, NULL, NULL, NULL::BIGINT FROM documents
-  UNION ALL SELECT 'content:conv:' || conv_id || ':' || turn, 'content', 'active', NULL, 'commit', 'episodic', NULL, role, text, NULL, NULL, NULL, NULL, NULL FROM conversations
-  UNION ALL SELECT 'cue:vec:' || vec_id, 'cue', 'active', NULL, NULL, NULL, NULL, NULL, NULL, 'concept ' || label, NULL, NULL, embedding::DOUBLE[], vec_id FROM embeddings
-  UNION ALL SELECT DISTINCT 'tag:' || category || ':' || value, 'tag', 'active', NULL, NULL, NULL, NULL, NULL, NULL, NULL, category, value, NULL, NULL FROM tag_rows),
+         'semantic' AS memory_layer, 'doc_' || doc_id AS symbol_name, NULL AS signature, text AS body, NULL AS text, NULL AS category, NULL AS value, NULL::DOUBLE[] AS embedding, doc_id AS node_seq, sha1(CAST(doc_id AS VARCHAR)) AS git_sha FROM doc_rows
+  UNION ALL SELECT DISTINCT 'content:src:' || source, 'content', 'active', source, 'module', 'topic', source, NULL, '', NULL, NULL, NULL, NULL, NULL::BIGINT, NULL FROM documents
+  UNION ALL SELECT 'content:conv:' || conv_id || ':' || turn, 'content', 'active', NULL, 'commit', 'episodic', NULL, role, text, NULL, NULL, NULL, NULL, NULL, NULL FROM conversations
+  UNION ALL SELECT 'cue:vec:' || vec_id, 'cue', 'active', NULL, NULL, NULL, NULL, NULL, NULL, 'concept ' || label, NULL, NULL, embedding::DOUBLE[], vec_id, NULL FROM embeddings
+  UNION ALL SELECT DISTINCT 'tag:' || category || ':' || value, 'tag', 'active', NULL, NULL, NULL, NULL, NULL, NULL, NULL, category, value, NULL, NULL, NULL FROM tag_rows),
 n_docs AS (SELECT count(*) AS n FROM documents),
 edges AS (
   SELECT 'cue:vec:' || vec_id AS source_id, 'content:doc:' || (vec_id % n) AS target_id, 'cue_of' AS edge_type, NULL AS source_file, vec_id * 2 AS edge_seq FROM embeddings, n_docs

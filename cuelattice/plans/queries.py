@@ -153,10 +153,10 @@ def content_tags(spark, sf_dir):
 _FETCH_IDS = ", wanted AS (SELECT event_id AS ord, 'content:doc:' || (user_id * 3) AS id FROM events)"
 
 
-@query(_FETCH_IDS + " SELECT w.ord, w.id, c.symbol_name, length(c.body) AS body_length FROM wanted w JOIN nodes c ON c.id = w.id AND c.node_type = 'content' AND c.status = 'active'")
+@query(_FETCH_IDS + " SELECT w.ord, w.id, c.git_sha, c.symbol_name, length(c.body) AS body_length FROM wanted w JOIN nodes c ON c.id = w.id AND c.node_type = 'content' AND c.status = 'active'")
 def fetch(spark, sf_dir):
     ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.concat(F.lit("content:doc:"), (F.col("user_id") * 3).cast("string")).alias("id"))
-    return read.fetch(projection.graph(spark, sf_dir), ids).select("ord", "id", "symbol_name", F.length("body").cast("long").alias("body_length"))
+    return read.fetch(projection.graph(spark, sf_dir), ids).select("ord", "id", "git_sha", "symbol_name", F.length("body").cast("long").alias("body_length"))
 
 
 @query(""" SELECT c.id, 'content' AS node_kind, coalesce(nullif(c.signature, ''), nullif(c.symbol_name, ''), c.kind) AS label,
@@ -167,10 +167,10 @@ def node_summaries(spark, sf_dir):
     return read.content_summaries(projection.graph(spark, sf_dir)).withColumn("tags", F.array_join("tags", ","))
 
 
-@query(" SELECT id, status, source_file, kind, memory_layer, symbol_name, signature, length(body) AS body_length FROM nodes WHERE node_type = 'content'")
+@query(" SELECT id, status, source_file, git_sha, kind, memory_layer, symbol_name, signature, length(body) AS body_length FROM nodes WHERE node_type = 'content'")
 def content_detail(spark, sf_dir):
     rows = read.content_details(projection.nodes(spark, sf_dir))
-    return rows.select("id", "status", "source_file", "kind", "memory_layer", "symbol_name", "signature", F.length("body").cast("long").alias("body_length"))
+    return rows.select("id", "status", "source_file", "git_sha", "kind", "memory_layer", "symbol_name", "signature", F.length("body").cast("long").alias("body_length"))
 
 
 @query(" SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count")
@@ -465,15 +465,15 @@ def remove_vectors(spark, sf_dir):
     return left.select("id", F.col("embedding").isNotNull().alias("has_vector"))
 
 
-@plain("SELECT file_path, arg_max(sha, moment) AS git_sha FROM (SELECT 'src/' || user_id || '.py' AS file_path, event_type || event_id AS sha, {'t': ts, 'e': event_id} AS moment FROM events) GROUP BY file_path")
+@plain("SELECT file_path, arg_max(sha, moment) AS git_sha FROM (SELECT 'src/' || user_id || '.py' AS file_path, event_type || event_id AS sha, {'odd': event_id % 2, 't': ts, 'e': event_id} AS moment FROM events) GROUP BY file_path")
 def record_files(spark, sf_dir):
-    """Events as file versions: even ones are in the manifest, odd ones arrive; the latest of a file stays."""
-    at = F.col("ts").cast("timestamp_ntz")
-    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("src/"), F.col("user_id").cast("string"), F.lit(".py")).alias("file_path"), F.concat("event_type", F.col("event_id").cast("string")).alias("git_sha"), at.alias("indexed_at"), "event_id")
-    # Versions of one moment: the last event counts, so that the manifest's times are unique for a file.
-    rows = g.first_by(rows, ["file_path", "indexed_at"], [F.desc("event_id")])
+    """Events as file versions: even ones are recorded first, odd ones then; the last write of a file stays, whatever its time."""
+    from ..schema import INDEXED_FILES
+
+    rows = _versions(spark, sf_dir).select(F.concat(F.lit("src/"), F.col("user_id").cast("string"), F.lit(".py")).alias("file_path"), F.concat("event_type", F.col("event_id").cast("string")).alias("git_sha"), F.col("ts").cast("timestamp_ntz").alias("indexed_at"), "version", "event_id")
     even = F.col("event_id") % 2 == 0
-    return mutate.record_files(rows.where(even).drop("event_id"), rows.where(~even).drop("event_id")).select("file_path", "git_sha")
+    manifest = mutate.record_files(spark.createDataFrame([], INDEXED_FILES), rows.where(even))
+    return mutate.record_files(manifest, rows.where(~even)).select("file_path", "git_sha")
 
 
 @plain("SELECT item_id, 'cue:error:f' || item_id || '.py::' || substr(sha1(text), 1, 12) AS error_cue, 'tag:language:python' AS tag, CASE WHEN item_id % 2 = 0 THEN 'sym ' || item_id ELSE 'content:f' || item_id || '.py::C.m' END AS content FROM benchmark")

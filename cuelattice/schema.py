@@ -40,7 +40,7 @@ NODES = _fields(
     "embedding_model_version STRING, node_seq BIGINT"
 )
 EDGES = _fields("source_id STRING, target_id STRING, edge_type STRING, source_file STRING, git_sha STRING, indexed_at TIMESTAMP_NTZ, edge_seq BIGINT")
-INDEXED_FILES = _fields("file_path STRING, git_sha STRING, indexed_at TIMESTAMP_NTZ")
+INDEXED_FILES = _fields("file_path STRING, git_sha STRING, indexed_at TIMESTAMP_NTZ, file_seq BIGINT")
 
 
 def as_nodes(df: DataFrame) -> DataFrame:
@@ -54,28 +54,37 @@ def as_edges(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in EDGES])
 
 
-def _must(ok: Column, message: Column, keep: str) -> Column:
-    return F.when(F.coalesce(ok, F.lit(False)), F.col(keep)).otherwise(F.raise_error(message).cast("string"))
-
-
-def checked_nodes(df: DataFrame, embedding_model: str | None = None, embedding_dim: int | None = None) -> DataFrame:
-    """The nodes, raising at run time on a value outside a vocabulary or an embedding that does not fit the store."""
+def node_fault(embedding_model: str | None = None, embedding_dim: int | None = None) -> Column:
+    """What is wrong with a node row, or null: a value outside a vocabulary, or an embedding that does not fit the store."""
     ok = F.col("id").isNotNull() & F.col("node_type").isin(VOCABULARY["node_type"]) & F.col("status").isin(VOCABULARY["status"])
     for name in ("cue_type", "category", "kind", "memory_layer"):
         ok = ok & (F.col(name).isNull() | F.col(name).isin(VOCABULARY[name]))
-    df = df.withColumn("id", _must(ok, F.concat(F.lit("invalid node: "), F.coalesce("id", F.lit("null"))), "id"))
-    has = F.col("embedding").isNotNull()
-    fits = ~has | (F.col("embedding_model").isNotNull())
+    fits = F.col("embedding_model").isNotNull()
     if embedding_model is not None:
-        fits = fits & (~has | (F.col("embedding_model") == embedding_model))
+        fits = fits & (F.col("embedding_model") == embedding_model)
     if embedding_dim is not None:
-        fits = fits & (~has | (F.size("embedding") == embedding_dim))
-    return df.withColumn("id", _must(fits, F.concat(F.lit("embedding does not fit the store: "), F.col("id")), "id"))
+        fits = fits & (F.size("embedding") == embedding_dim)
+    name = F.coalesce("id", F.lit("null"))
+    return (
+        F.when(~F.coalesce(ok, F.lit(False)), F.concat(F.lit("invalid node: "), name))
+        .when(F.col("embedding").isNotNull() & ~F.coalesce(fits, F.lit(False)), F.concat(F.lit("embedding does not fit the store: "), name))
+    )
 
 
-def checked_edges(df: DataFrame) -> DataFrame:
+def checked_nodes(df: DataFrame, embedding_model: str | None = None, embedding_dim: int | None = None) -> DataFrame:
+    """The nodes, raising at run time on the first fault."""
+    fault = node_fault(embedding_model, embedding_dim)
+    return df.withColumn("id", F.when(fault.isNull(), F.col("id")).otherwise(F.raise_error(fault).cast("string")))
+
+
+def edge_fault() -> Column:
     ok = F.col("source_id").isNotNull() & F.col("target_id").isNotNull() & F.col("edge_type").isin(VOCABULARY["edge_type"])
-    return df.withColumn("source_id", _must(ok, F.lit("invalid edge"), "source_id"))
+    return F.when(~F.coalesce(ok, F.lit(False)), F.lit("invalid edge"))
+
+
+def checked_edges(df: DataFrame) -> DataFrame:
+    fault = edge_fault()
+    return df.withColumn("source_id", F.when(fault.isNull(), F.col("source_id")).otherwise(F.raise_error(fault).cast("string")))
 
 
 def parse_tag_filters(pairs: list[tuple[str, str]] | None) -> list[tuple[str, str]]:

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.scalar import content_label
+from .functions.scalar import content_label, short_sha
 from .index import IndexStats
 from .operators import graph as g
 from .operators import read, scip, walk
@@ -54,11 +54,12 @@ class Service:
 
     def traverse_reverse(self, content_ids: list[str]) -> DataFrame:
         found = read.traverse_reverse(self.graph, ordered_ids(self._spark, content_ids))
-        return found.orderBy("ord", "edge_seq").select(F.col("cue_id").alias("id"), F.lit("cue").alias("node_kind"), F.col("text").alias("label"))
+        rows = read.cue_summaries(self.graph.nodes).join(found.select(F.col("cue_id").alias("id"), "ord", "edge_seq"), "id")
+        return rows.orderBy("ord", "edge_seq").drop("ord", "edge_seq")
 
     def fetch(self, ids: list[str]) -> DataFrame:
         rows = read.fetch(self.graph, ordered_ids(self._spark, ids))
-        return rows.orderBy("ord").select("id", "status", "source_file", "kind", "memory_layer", "symbol_name", "signature", "docstring", "body")
+        return rows.orderBy("ord").select("id", "status", "source_file", "git_sha", "kind", "memory_layer", "symbol_name", "signature", "docstring", "body")
 
     def content_tags(self, content_id: str) -> list[str]:
         row = g.content_tags(self.graph).where(F.col("id") == content_id).head()
@@ -152,8 +153,13 @@ def render_stats(stats: IndexStats) -> str:
     return "\n".join(lines + [f"failed: {f}" for f in stats.failed_files])
 
 
+def status_rows(files: DataFrame) -> DataFrame:
+    """Indexed files with a short hash and the time of their indexing, to the second."""
+    return files.select("file_path", short_sha("git_sha").alias("sha"), F.date_format("indexed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
+
+
 def render_status(embed_model: str, embed_dim: int, files: DataFrame, manifest: RunManifest | None) -> str:
-    rows = files.select("file_path", F.substring("git_sha", 1, 7).alias("sha"), F.date_format("indexed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("at")).orderBy("file_path").collect()  # for a person to read
+    rows = status_rows(files).orderBy("file_path").collect()  # for a person to read
     state = "no run manifest" if manifest is None else f"cross-references {manifest.scip_status}, " + ("consistent" if manifest.is_consistent else "stale")
     lines = [f"embedding: {embed_model}, dimension {embed_dim}", state, f"{len(rows)} file{'' if len(rows) == 1 else 's'} indexed"]
     return "\n".join(lines + [f"  {r.sha}  {r.at}  {r.file_path}" for r in rows])

@@ -141,6 +141,10 @@ def _relationships(data: memoryview) -> tuple[str, list[dict]]:
     return symbol, out
 
 
+#: What stands for a symbol that has no relationships.
+NO_RELATIONSHIP = {"target": None, "is_reference": False, "is_implementation": False, "is_type_definition": False, "is_definition": False}
+
+
 def decode_document(data: bytes, doc_idx: int) -> tuple[str, list[dict], list[dict]]:
     """Path, occurrence rows and relationship rows of one document message."""
     path, occurrences, relations = "", [], []
@@ -152,21 +156,13 @@ def decode_document(data: bytes, doc_idx: int) -> tuple[str, list[dict], list[di
             occurrences.append({**_occurrence(value), "doc_idx": doc_idx, "occ_idx": len(occurrences)})
         elif number == DOCUMENT["symbols"]:
             symbol, found = _relationships(value)
-            relations += [{**r, "symbol": symbol, "sym_idx": symbols} for r in found]
+            relations += [{**r, "symbol": symbol, "sym_idx": symbols} for r in found or [NO_RELATIONSHIP]]
             symbols += 1
     return path, [{**o, "relative_path": path} for o in occurrences], [{**r, "relative_path": path} for r in relations]
 
 
-def read(spark: SparkSession, path: str | Path) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, relationships) of a file.  The driver cuts it into documents; executors decode them."""
-    documents, external = [], []
-    for number, value in fields(memoryview(Path(path).read_bytes())):
-        if number == INDEX["documents"]:
-            documents.append((len(documents), bytearray(value)))
-        elif number == INDEX["external_symbols"]:
-            symbol, found = _relationships(value)
-            external += [{**r, "symbol": symbol, "sym_idx": len(external), "relative_path": None} for r in found]
-    raw = spark.createDataFrame(documents, "doc_idx int, data binary")
+def decode_documents(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, relationships) of document messages (doc_idx, data), decoded by executors."""
 
     def rows(which: int, schema: str):
         names = [f.split()[0].strip("`") for f in _split(schema)]
@@ -176,11 +172,24 @@ def read(spark: SparkSession, path: str | Path) -> tuple[DataFrame, DataFrame]:
                 out = [r for i, data in frame.itertuples(index=False) for r in decode_document(bytes(data), i)[which]]
                 yield pd.DataFrame([[r[n] for n in names] for r in out], columns=names)
 
-        return raw.mapInPandas(run, schema)
+        return raw.select("doc_idx", "data").mapInPandas(run, schema)
 
+    return rows(1, OCCURRENCES), rows(2, RELATIONSHIPS)
+
+
+def read(spark: SparkSession, path: str | Path) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, relationships) of a file.  The driver cuts it into documents; executors decode them."""
+    documents, external = [], []
+    for number, value in fields(memoryview(Path(path).read_bytes())):
+        if number == INDEX["documents"]:
+            documents.append((len(documents), bytearray(value)))
+        elif number == INDEX["external_symbols"]:
+            symbol, found = _relationships(value)
+            external += [{**r, "symbol": symbol, "sym_idx": len(external), "relative_path": None} for r in found or [NO_RELATIONSHIP]]
+    occurrences, relationships = decode_documents(spark.createDataFrame(documents, "doc_idx int, data binary"))
     names = [f.split()[0] for f in _split(RELATIONSHIPS)]
     outside = spark.createDataFrame([tuple(r[n] for n in names) for r in external], RELATIONSHIPS)
-    return rows(1, OCCURRENCES), rows(2, RELATIONSHIPS).unionByName(outside)
+    return occurrences, relationships.unionByName(outside)
 
 
 def _split(schema: str) -> list[str]:

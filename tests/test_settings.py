@@ -4,7 +4,7 @@ import logging
 
 import pytest
 
-from cuelattice import cli, config
+from cuelattice import cli, config, factories
 from cuelattice.service import doctor, reconstruct_prompt, render_doctor
 from cuelattice.sources.workspace import RunManifest, Workspace, load_dotenv
 
@@ -71,3 +71,28 @@ def test_logging_is_set_once():
     cli.configure_logging(True)
     log = logging.getLogger("cuelattice")
     assert len(log.handlers) == 1 and log.level == logging.DEBUG
+
+
+def test_factories(spark, tmp_path):
+    config_of = lambda **env: config.resolve({f"CUELATTICE_{k}": v for k, v in env.items()}, tmp_path)
+    with pytest.raises(config.ConfigError, match="EMBED_API_KEY"):
+        factories.embedder(config_of())
+    endpoint = factories.embedder(config_of(EMBED_MODEL="text-embedding-3-small", EMBED_API_KEY="k"))
+    assert (endpoint.model, endpoint.dimensions) == ("text-embedding-3-small", 1536)
+    offline = factories.embedder(config_of(EMBED_MODEL="hash-sha256-d32"))
+    assert (offline.dimensions, len(offline.embed(["a"])[0])) == (32, 32)
+    with pytest.raises(RuntimeError, match="LLM_MODEL"):
+        factories.planner(config.Settings())
+    assert callable(factories.planner(config.Settings(llm_model="chat"))) and callable(factories.planner(config.Settings(llm_model="rule")))
+    store = factories.store(spark, config_of(EMBED_MODEL="m", EMBED_DIM="4"))
+    with store.transaction():
+        store.upsert_nodes(spark.createDataFrame([("a", "cue", "active", [1.0, 0.0, 0.0, 0.0], "m", 1)], "id string, node_type string, status string, embedding array<double>, embedding_model string, version long"))
+    for model, dim in (("n", "4"), ("m", "5")):
+        with pytest.raises(RuntimeError, match="index"):
+            factories.store(spark, config_of(EMBED_MODEL=model, EMBED_DIM=dim))
+    assert factories.references(spark, config_of()) is None
+
+
+def test_a_wrong_model_stops_the_command_line(spark, tmp_path):
+    said = []
+    assert cli.main(["search", "x", "--repo", str(tmp_path)], spark, out=said.append, env={}) == 2 and "EMBED_API_KEY" in said[0]
