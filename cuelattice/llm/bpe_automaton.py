@@ -286,10 +286,15 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
             counts = np.array([len(i) for i in ids], np.int64)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], lists, pa.array(counts), pa.array(digests, pa.string())], names=[*kept, "ids", "n_tokens", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[1:], lists, pa.array(counts), pa.array(digests, pa.string())],
+                names=[*kept, "ids", "n_tokens", "decoded_sha256"],
+            )
 
     inner = docs.select("text", *[F.col(f"`{c}`") for c in kept])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[1:]), "ids array<int>, n_tokens long, decoded_sha256 string"])
+    schema = ", ".join(
+        [*(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[1:]), "ids array<int>, n_tokens long, decoded_sha256 string"]
+    )
     return inner.mapInArrow(run, schema)
 
 

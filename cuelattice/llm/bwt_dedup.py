@@ -312,7 +312,13 @@ def _find_shared(parts: int, most: int):
             order = np.argsort(part, kind="stable")
             key, text, hot = key[order], text[order], hot[order]
             bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            yield _batch([(p, text[lo:hi].tobytes(), key[lo:hi].tobytes(), hot[lo:hi].tobytes()) for p, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if lo < hi], SHARED)
+            yield _batch(
+                [
+                    (p, text[lo:hi].tobytes(), key[lo:hi].tobytes(), hot[lo:hi].tobytes()) for p,
+                    (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if lo < hi
+                ],
+                SHARED,
+            )
 
     return run
 
@@ -379,10 +385,32 @@ def _send_snippets(buckets: int):
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
             number, sizes, least_docs = (task << 40) + count, np.array([len(s) for s in snippets], np.int64), np.array(least, np.int64)
             count += 1
-            rows = [(-1, number, b"", pack(sizes[order]), b"", np.array(docs, np.int64).tobytes(), pack(back[np.array(places)]), pack(np.array(docs_at)) + b"".join([np.array(starts_at, "<u4").tobytes()]))]
+            rows = [
+                (
+                    -1,
+                    number,
+                    b"",
+                    pack(sizes[order]),
+                    b"",
+                    np.array(docs, np.int64).tobytes(),
+                    pack(back[np.array(places)]),
+                    pack(np.array(docs_at)) + b"".join([np.array(starts_at, "<u4").tobytes()]),
+                )
+            ]
             for p in np.unique(bucket).tolist():
                 own = order[bounds[p] : bounds[p + 1]]
-                rows.append((p, number, squeeze.compress(b"".join([snippets[i] for i in own.tolist()])), pack(sizes[own]), key[own].tobytes(), least_docs[own].tobytes(), b"", b""))
+                rows.append(
+                    (
+                        p,
+                        number,
+                        squeeze.compress(b"".join([snippets[i] for i in own.tolist()])),
+                        pack(sizes[own]),
+                        key[own].tobytes(),
+                        least_docs[own].tobytes(),
+                        b"",
+                        b"",
+                    )
+                )
             yield _batch(rows, SNIPPETS)
 
     return run
@@ -401,7 +429,13 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = expand_bytes(data)
             ends = np.cumsum(unpack(sizes))
             use = []
-            for lo, hi, a, d in zip([0, *ends[:-1].tolist()], ends.tolist(), np.frombuffer(anchor, np.uint64).tolist(), np.frombuffer(docs, np.int64).tolist(), strict=True):
+            for lo, hi, a, d in zip(
+                [0, *ends[:-1].tolist()],
+                ends.tolist(),
+                np.frombuffer(anchor, np.uint64).tolist(),
+                np.frombuffer(docs, np.int64).tolist(),
+                strict=True,
+            ):
                 snippet = data[lo:hi]
                 place = where.setdefault(snippet, len(snippets))
                 if place == len(snippets):
@@ -481,7 +515,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hashed(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(text).alias("h1"),
+        F.xxhash64(F.lit(1), text).alias("h2"),
+        text.alias("text"),
+    )
 
 
 def _candidates(rows: DataFrame, parts: int, hot: int) -> str:

@@ -174,7 +174,13 @@ def word_ids(path: str) -> WordIds:
 
 
 #: File images stand in the table as they are, each in a row group of its own: one is found and read without the others.
-STORED = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": "65536", "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+STORED = {
+    "compression": "none",
+    "parquet.enable.dictionary": "false",
+    "parquet.block.size": "65536",
+    "parquet.block.size.row.check.min": "1",
+    "parquet.page.size.row.check.min": "1",
+}
 
 FILES = "part int, seq int, ids_before long, n_ids long, n_docs long, content binary"
 
@@ -191,7 +197,14 @@ def _writer(path: str, end_id: int, file_ids: int):
             nonlocal seq, before, doc_ids, parts, counts, held
             content = pack_file(doc_ids, counts, np.frombuffer(b"".join(parts), "<u4"))
             row = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before]), pa.array([held]), pa.array([len(doc_ids)]), pa.array([content], pa.binary())],
+                [
+                    pa.array([part], pa.int32()),
+                    pa.array([seq], pa.int32()),
+                    pa.array([before]),
+                    pa.array([held]),
+                    pa.array([len(doc_ids)]),
+                    pa.array([content], pa.binary()),
+                ],
                 names=["part", "seq", "ids_before", "n_ids", "n_docs", "content"],
             )
             seq, before, doc_ids, parts, counts, held = seq + 1, before + held, [], [], [], 0
@@ -237,13 +250,56 @@ def read_documents(files: DataFrame) -> DataFrame:
                 firsts = ends - counts
                 crcs = [zlib.crc32(levels.slice(int(lo), int(hi)).astype("<u4", copy=False).tobytes()) for lo, hi in zip(firsts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(firsts + (starts[part] + before)), pa.array(counts.astype(np.int64)), pa.array(crcs, pa.int64())],
+                    [
+                        pa.array(doc_ids, pa.int64()),
+                        pa.array(firsts + (starts[part] + before)),
+                        pa.array(counts.astype(np.int64)),
+                        pa.array(crcs, pa.int64()),
+                    ],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
     return files.select("part", "ids_before", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def index_of(files: DataFrame) -> DataFrame:
+    """doc_id, part, seq, first and n_tokens: where in which file each document's ids begin, from the files' headers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "content"):
+            for part, seq, content in zip(column(b, "part"), column(b, "seq"), column(b, "content"), strict=True):
+                doc_ids, counts, _ = unpack_file(content)
+                counts = counts.astype(np.int64)
+                n = len(doc_ids)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc_ids, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(np.cumsum(counts) - counts), pa.array(counts)],
+                    names=["doc_id", "part", "seq", "first", "n_tokens"],
+                )
+
+    return files.select("part", "seq", "content").mapInArrow(run, "doc_id long, part int, seq int, first long, n_tokens long")
+
+
+def lookup(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ids at places of documents (doc_id, nth from 0 on): doc_id, nth, id.  Places that a document does not have give nothing.
+
+    Each id is read by itself, from one byte a level and the rank directories.
+    """
+    at = wanted.select("doc_id", "nth").join(index_of(files), "doc_id").where("nth >= 0 AND nth < n_tokens")
+    asked = at.groupBy("part", "seq").agg(F.collect_list(F.struct("doc_id", "nth", (F.col("first") + F.col("nth")).alias("at"))).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "content"):
+            for content, places in zip(column(b, "content"), column(b, "asked"), strict=True):
+                levels = unpack_file(content)[2]
+                found = [levels.access(p["at"]) for p in places]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p["doc_id"] for p in places], pa.int64()), pa.array([p["nth"] for p in places], pa.int64()), pa.array(found, pa.int64())],
+                    names=["doc_id", "nth", "id"],
+                )
+
+    return files.select("part", "seq", "content").join(asked, ["part", "seq"]).select("content", "asked").mapInArrow(run, "doc_id long, nth long, id long")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -96,7 +96,13 @@ def apply_mix(docs: DataFrame, most_epochs: int = MOST_EPOCHS) -> DataFrame:
     source at which the budget ends gives the words up to it.
     """
     columns = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc_row"), "doc_id", "source", word_count(text_or_empty()).alias("size"), hash_key(F.col("doc_id")).alias("key"))
+    inner = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc_row"),
+        "doc_id",
+        "source",
+        word_count(text_or_empty()).alias("size"),
+        hash_key(F.col("doc_id")).alias("key"),
+    )
     inner, _ = materialise(inner, "mix-rows")
     rows = cut(inner, most_epochs).where("taken > 0")
     whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")

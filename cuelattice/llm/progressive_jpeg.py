@@ -678,11 +678,30 @@ def decode_media(media: DataFrame, tensors: bool = True) -> DataFrame:
             for file, image, coef in zip(files, images, read_coefficients(images), strict=True):
                 payload, n = payload_of(image, coef)
                 rgb = tensor(image, coef)
-                row = [n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature_of(rgb)]
+                row = [
+                    n,
+                    len(payload),
+                    hashlib.sha256(payload).hexdigest(),
+                    zlib.crc32(payload[-64:]),
+                    len(file),
+                    hashlib.sha256(file).hexdigest(),
+                    feature_of(rgb),
+                ]
                 rows.append([*row, rgb.shape[0], rgb.shape[1], rgb.tobytes()] if tensors else row)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", *names])
-
-    fields = ["n_bytes long", "payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string"]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))],
+                names=["doc_id", *names],
+            )
+
+    fields = [
+        "n_bytes long",
+        "payload_bytes long",
+        "payload_sha256 string",
+        "tail_crc32 long",
+        "media_bytes long",
+        "media_sha256 string",
+        "feature string",
+    ]
     if tensors:
         fields += ["height int", "width int", "tensor binary"]
     arrow = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}

@@ -42,7 +42,9 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LEAST_RUN = 20
 RATIO = 2.0
 PIECE = 512
-DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|sha(?:256|384|512)-[A-Za-z0-9+/=]+")
+DIGEST = re.compile(
+    r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|sha(?:256|384|512)-[A-Za-z0-9+/=]+"
+)
 IDENTIFIER = re.compile(r"[+/_=-]*(?:(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)(?:[+/_=-]+|\Z))+")
 
 #: Digests within a run, and the parts of a run; a part of up to SHORT characters may stand within a key.  Long parts are also tested in windows of LEAST_RUN.

@@ -124,7 +124,9 @@ def _read(parts: int):
             counts = np.bincount(places[train], minlength=len(key)).astype(np.uint32)
             bounds = np.searchsorted(part[order], np.arange(parts + 1)).astype(np.uint32)
             own = [np.array(sizes, np.uint32), places, None, counts, bounds]
-            docs, held = (pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(b.schema.get_field_index(c))) for c in ("doc_id", "held_out"))
+            docs, held = (
+                pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(b.schema.get_field_index(c))) for c in ("doc_id", "held_out")
+            )
             data = [pa.array([key[order].tobytes() if a is None else squeeze(a)], pa.binary()) for a in own]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([(task << 32) + number]), docs, held, *data, pa.array([int(train.sum())])],
@@ -225,7 +227,10 @@ def _learn_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, count = (np.concatenate(x) for x in zip(*_by_part(row["answers"]), strict=True))
         (sizes,), (places,) = expand(row["sizes"]), expand(row["places"])
         state = [squeeze(sizes, places, number, count), b""]  # level 1 starts from the root, whose probabilities follow from the counts
-        yield pa.RecordBatch.from_arrays([pa.array([row["batch"]]), *_lists([docs, held]), *(pa.array([x], pa.binary()) for x in state)], names=[x.split()[0] for x in STATE.split(", ")])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([row["batch"]]), *_lists([docs, held]), *(pa.array([x], pa.binary()) for x in state)],
+            names=[x.split()[0] for x in STATE.split(", ")],
+        )
 
 
 # ------------------------------------------------------------------ pairs of a context and a next symbol
@@ -302,7 +307,17 @@ def _ask_pairs(level: int, root: _Root, plan: _Plan):
                     more = count
                 else:
                     more = b.p[x["first"][lo:hi]]
-                data.append(squeeze(x["context"][lo:hi][starts], x["hot"][lo:hi][starts].astype(np.uint8), sizes.astype(np.uint32), at.astype(np.uint32), x["n"][lo:hi], symbol, more))
+                data.append(
+                    squeeze(
+                        x["context"][lo:hi][starts],
+                        x["hot"][lo:hi][starts].astype(np.uint8),
+                        sizes.astype(np.uint32),
+                        at.astype(np.uint32),
+                        x["n"][lo:hi],
+                        symbol,
+                        more,
+                    )
+                )
             yield _table(ASKED, used, [row["batch"]] * len(used), data)
 
     return run
@@ -356,7 +371,16 @@ def _answer_pairs(root: _Root, level: int):
             pieces = np.split(total[inverse], np.cumsum([len(x) for x in n])[:-1])
             data = [squeeze(t, kinds[c], listed[c]) for t, c in zip(pieces, context_of_chunk, strict=True)]
             k = len(rows)
-            yield _table(ANSWERED, [r[0] for r in rows], [part] * k, data, [None] * k, [None] * k, [int(kept.sum())] + [0] * (k - 1), [int(total.max(initial=0))] * k)
+            yield _table(
+                ANSWERED,
+                [r[0] for r in rows],
+                [part] * k,
+                data,
+                [None] * k,
+                [None] * k,
+                [int(kept.sum())] + [0] * (k - 1),
+                [int(total.max(initial=0))] * k,
+            )
             if hot.any():
                 some = np.flatnonzero(hot)
                 values = np.stack(sums.all(), 1)[some]
@@ -420,7 +444,16 @@ def _windows(level: int, root: _Root, plan: _Plan):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs, held, row in _joined(batches):
-            schema = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("level", pa.int32()), ("docs", pa.list_(docs.type)), ("held", pa.list_(pa.bool_())), ("data", pa.binary())])
+            schema = pa.schema(
+                [
+                    ("part", pa.int32()),
+                    ("batch", pa.int64()),
+                    ("level", pa.int32()),
+                    ("docs", pa.list_(docs.type)),
+                    ("held", pa.list_(pa.bool_())),
+                    ("data", pa.binary()),
+                ]
+            )
             b = _Batch(row, held, root)
             x = _Answered(b, row, level, plan)
             closed = np.full(len(b.places), level == 1)
@@ -433,12 +466,30 @@ def _windows(level: int, root: _Root, plan: _Plan):
                 own, lists = squeeze(b.sizes.astype(np.uint32), known.astype(np.uint32), base, logs), _lists([docs, held])
             else:
                 own, lists = squeeze(np.arange(len(logs), dtype=np.uint32), logs), [pa.nulls(1, schema.field(c).type) for c in ("docs", "held")]
-            yield pa.RecordBatch.from_arrays([pa.array([row["batch"] % plan.parts], pa.int32()), pa.array([row["batch"]]), pa.array([0], pa.int32()), *lists, pa.array([own], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([row["batch"] % plan.parts], pa.int32()),
+                    pa.array([row["batch"]]),
+                    pa.array([0], pa.int32()),
+                    *lists,
+                    pa.array([own], pa.binary()),
+                ],
+                schema=schema,
+            )
             chunks = list(_cut(b, x.longer[~x.heat], x, level + 1, plan))
             for lo in range(0, len(chunks), 64):
                 parts, data = zip(*chunks[lo : lo + 64], strict=True)
                 k = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([row["batch"]] * k), pa.array([level + 1] * k, pa.int32()), *(pa.nulls(k, schema.field(c).type) for c in ("docs", "held")), pa.array(data, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(parts, pa.int32()),
+                        pa.array([row["batch"]] * k),
+                        pa.array([level + 1] * k, pa.int32()),
+                        *(pa.nulls(k, schema.field(c).type) for c in ("docs", "held")),
+                        pa.array(data, pa.binary()),
+                    ],
+                    schema=schema,
+                )
 
     return run
 
@@ -452,7 +503,10 @@ def _keep_hot(level: int, root: _Root, plan: _Plan):
             x = _Answered(b, row, level, plan)
             at = x.longer[x.heat].astype(np.int64)
             state = [row["tokens"], squeeze(at, x.p[at]), squeeze(x.pairs)]
-            yield pa.RecordBatch.from_arrays([pa.array([row["batch"]]), *_lists([docs, held]), *(pa.array([v], pa.binary()) for v in state)], names=[*(c.split()[0] for c in STATE.split(", ")), "pairs"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row["batch"]]), *_lists([docs, held]), *(pa.array([v], pa.binary()) for v in state)],
+                names=[*(c.split()[0] for c in STATE.split(", ")), "pairs"],
+            )
 
     return run
 
@@ -517,10 +571,15 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema, held, at = None, [], None
     for b in batches:
         get = lambda c, b=b: b.column(b.schema.get_field_index(c))
-        schema = schema or pa.schema([("batch", pa.int64()), ("docs", get("docs").type), ("held", get("held").type), ("data", pa.binary()), ("retained", pa.int64())])
+        schema = schema or pa.schema(
+            [("batch", pa.int64()), ("docs", get("docs").type), ("held", get("held").type), ("data", pa.binary()), ("retained", pa.int64())]
+        )
         for i, (part, level, batch, data) in enumerate(zip(*(get(c).to_pylist() for c in ("part", "level", "batch", "data")), strict=True)):
             if level == 0:
-                yield pa.RecordBatch.from_arrays([get("batch").slice(i, 1), get("docs").slice(i, 1), get("held").slice(i, 1), get("data").slice(i, 1), pa.array([0])], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [get("batch").slice(i, 1), get("docs").slice(i, 1), get("held").slice(i, 1), get("data").slice(i, 1), pa.array([0])],
+                    schema=schema,
+                )
                 continue
             if held and at != (part, level):
                 yield _solved(at[1], held, schema)
@@ -641,7 +700,9 @@ def score(docs: DataFrame, depth: int = DEPTH, hot: int | None = None) -> DataFr
         states += (retained or 0) + sum(s[2] > 0 for s in plan.states.values())
         joined = state.df.join(_gathered(answered).hint("merge"), "batch", "left")
         windows = joined.mapInArrow(_windows(level, root, plan), WINDOWS.format(kind=kind))
-        solved.append(scratch.table(dealt_by(windows, parts, "part", "level", "batch").mapInArrow(_solve, SOLVED.format(kind=kind)), f"solved-{level}"))
+        solved.append(
+            scratch.table(dealt_by(windows, parts, "part", "level", "batch").mapInArrow(_solve, SOLVED.format(kind=kind)), f"solved-{level}")
+        )
         following = None
         if (most or 0) >= plan.hot and level < depth:
             following = _Bucketed(joined.mapInArrow(_keep_hot(level, root, plan), STATE.format(kind=kind) + ", pairs binary"), parts)
@@ -651,8 +712,20 @@ def score(docs: DataFrame, depth: int = DEPTH, hot: int | None = None) -> DataFr
     sums = reduce(DataFrame.unionByName, solved)
     states += sums.agg(F.sum("retained")).first()[0] or 0
     sums = dealt_by(sums.withColumn("later", F.col("docs").isNull()), parts, "batch", "later")
-    rows = sums.select("batch", "docs", "held", "data").mapInArrow(_results, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.lit(states).cast("long").alias("n_states"))
+    rows = sums.select("batch", "docs", "held", "data").mapInArrow(
+        _results,
+        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
+    )
+    return rows.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        "n_known",
+        F.lit(total).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+        F.lit(states).cast("long").alias("n_states"),
+    )
 
 
 def _hot_states(answered: DataFrame) -> dict[int, tuple]:

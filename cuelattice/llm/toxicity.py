@@ -134,7 +134,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.update(found)
             if toxic > 0:
                 k.update(found)
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([k[f] for f in n], pa.int64())], names=["feature", "n", "k"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([k[f] for f in n], pa.int64())],
+            names=["feature", "n", "k"],
+        )
 
 
 def _bags(chosen: dict[str, int]):
@@ -155,7 +158,10 @@ def _bags(chosen: dict[str, int]):
                         plain += bool(words)
                 rows.append((int(toxic > 0), plain, np.array(bag, np.int32).tobytes()))
             toxic, plain, bags = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(plain, pa.int64()), pa.array(bags, pa.binary())], names=["toxic", "plain", "bag"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(toxic, pa.int32()), pa.array(plain, pa.int64()), pa.array(bags, pa.binary())],
+                names=["toxic", "plain", "bag"],
+            )
 
     return run
 
@@ -186,7 +192,9 @@ def fit(bags: list[bytes], plain: np.ndarray, labels: np.ndarray, words: int, st
         # d log likelihood / d (-log clear)
         g = y * (1 - score) / score - (1 - y)
         by_sentence = g[sentence_doc] * p
-        grad = np.concatenate([np.bincount(f, by_sentence[s], minlength=words) - 0.5 * weights, [by_sentence.sum() + (g * plain * p0).sum(), (g * leak).sum()]])
+        grad = np.concatenate(
+            [np.bincount(f, by_sentence[s], minlength=words) - 0.5 * weights, [by_sentence.sum() + (g * plain * p0).sum(), (g * leak).sum()]]
+        )
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return theta[:-2], float(theta[-2]), float(_sigmoid(theta[-1]))

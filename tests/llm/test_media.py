@@ -224,3 +224,15 @@ def test_random_order_is_harmless():
     rng = random.Random(2)
     texts = [rng.randbytes(rng.randrange(400)) for _ in range(20)]
     assert j.write_images(texts) == [j.write_images([t])[0] for t in texts]
+
+
+def test_query_keeps_tensors_of_stored_media(spark, tmp_path):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc de.é") for _ in range(rng.randrange(900))) for _ in range(12)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in j.query(spark, str(tmp_path)).collect():
+        (file,) = j.write_images([texts[r.doc_id].encode()])
+        rgb = np.frombuffer(r.tensor, np.uint8).reshape(r.height, r.width, 3)
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(file), hashlib.sha256(file).hexdigest(), j.feature_of(rgb))
+        image = j.Image(file)
+        assert (rgb == j.tensor(image, j.read_coefficients([image])[0])).all()

@@ -146,3 +146,12 @@ def test_files_of_odd_rows(odd, odd_rows, empty, library, file_ids):
         at += len(ids)
     assert got == want
     assert d.read_documents(d.write_files(empty, BYTE)[0]).count() == 0
+
+
+def test_lookup_of_single_ids(spark, sample, library):
+    docs = spark.createDataFrame([(int(i), t) for i, t in zip(sample.doc_id, sample.text, strict=True)], "doc_id long, text string")
+    files, _ = d.write_files(docs, BYTE, file_ids=500)
+    ids = {int(i): library[BYTE].encode(t or "", add_special_tokens=False).ids + [2] for i, t in zip(sample.doc_id, sample.text, strict=True)}
+    wanted = [(i, k) for i in list(ids)[::7] for k in (0, len(ids[i]) // 2, len(ids[i]) - 1, len(ids[i]), -1)]
+    got = d.lookup(files, spark.createDataFrame(wanted, "doc_id long, nth long")).collect()
+    assert sorted((r.doc_id, r.nth, r.id) for r in got) == sorted((i, k, ids[i][k]) for i, k in wanted if 0 <= k < len(ids[i]))
