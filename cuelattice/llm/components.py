@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise
+from .common import Scratch
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -20,38 +20,39 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges; a node with very many edges is an aggregate's key or a join's
     repeated key, never a group held by one task.
     """
-    spark = edges.sparkSession
-    current, path = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    labels, labels_path = None, None
+    scratch = Scratch(edges.sparkSession)
+    current = scratch.table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    labels = None
     for turn in range(rounds):
         if current.isEmpty():
             break
-        ends = current.select(F.col("u").alias("node"), F.col("v").alias("near")).unionByName(current.select(F.col("v").alias("node"), F.col("u").alias("near")))
+        ends = current.select(F.col("u").alias("node"), F.col("v").alias("near"))
+        ends = ends.unionByName(current.select(F.col("v").alias("node"), F.col("u").alias("near")))
         if turn % 2:
             rank = lambda c, t=turn: F.struct(F.xxhash64(F.lit(t), c).alias("h"), F.col(c).alias("n"))
             image = ends.groupBy("node").agg(F.min(rank("near")).alias("near")).select("node", F.least(rank("node"), "near")["n"].alias("image"))
         else:
             image = ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("image"))
-        image, image_path = materialise(image, "images")
+        image = scratch.table(image, "images")
         if labels is None:
-            labels, labels_path = image.select("node", F.col("image").alias("label")), None
-            first_path = image_path
+            labels = scratch.table(image.select("node", F.col("image").alias("label")), "labels")
         else:
-            moved = labels.join(image.select(F.col("node").alias("label"), "image"), "label", "left").select("node", F.coalesce("image", "label").alias("label"))
-            moved, moved_path = materialise(moved, "labels")
-            drop_table(spark, labels_path or first_path)
-            labels, labels_path = moved, moved_path
+            moved = labels.join(image.select(F.col("node").alias("label"), "image"), "label", "left")
+            moved = scratch.table(moved.select("node", F.coalesce("image", "label").alias("label")), "labels")
+            scratch.drop(labels)
+            labels = moved
         u = image.select(F.col("node").alias("u"), F.col("image").alias("u2"))
         v = image.select(F.col("node").alias("v"), F.col("image").alias("v2"))
         after = current.join(u, "u").join(v, "v").where("u2 <> v2")
-        after, after_path = materialise(after.select(F.greatest("u2", "v2").alias("u"), F.least("u2", "v2").alias("v")).distinct(), "edges")
-        drop_table(spark, path)
-        if image_path not in (labels_path, first_path):
-            drop_table(spark, image_path)
-        current, path = after, after_path
+        after = scratch.table(after.select(F.greatest("u2", "v2").alias("u"), F.least("u2", "v2").alias("v")).distinct(), "edges")
+        scratch.drop(current, image)
+        current = after
     else:
         raise RuntimeError("components did not settle")
     if labels is None:
+        scratch.close()
         return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).limit(0)
     least = labels.groupBy("label").agg(F.min("node").alias("least"))
-    return labels.join(least, "label").select("node", F.col("least").alias("label"))
+    out = scratch.table(labels.join(least, "label").select("node", F.col("least").alias("label")), "components")
+    scratch.close(out)
+    return out

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHashes, column, documents, free_name, materialise, mix64, slices, text_or_empty
+from .common import Scratch, TokenHashes, column, documents, free_name, mix64, slices, text_or_empty
 from .components import components
 
 WORDS = 5
@@ -211,7 +211,10 @@ def _join_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         keys, counts, trees = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(trees, pa.binary())], names=["key", "links", "tree"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(trees, pa.binary())],
+            names=["key", "links", "tree"],
+        )
 
     at, held, done = None, [], []
     for b in slices(batches):
@@ -237,32 +240,64 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, key), and one row for each key: rep (doc_id, text_hash), copies, label, links."""
+    scratch = Scratch(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = _hashed(docs).mapInArrow(_signatures, f"doc_id {kind}, text_hash long, key binary, size long, minhash binary")
-    signed, _ = materialise(signed, "minhash")
-    sets = signed.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "size", "minhash")).alias("rep"), F.count(F.lit(1)).alias("copies"))
-    sets, _ = materialise(sets, "sets")
+    signed = scratch.table(signed, "minhash")
+    sets = signed.groupBy("key").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "size", "minhash")).alias("rep"),
+        F.count(F.lit(1)).alias("copies"),
+    )
+    sets = scratch.table(sets, "sets")
     # Ties: of those that agree on a band, each to the least.
     width = 4 * ROWS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("rep.minhash"), i * width + 1, F.lit(width))))
+    bands = F.transform(
+        F.sequence(F.lit(0), F.lit(BANDS - 1)),
+        lambda i: F.xxhash64(i, F.substring(F.col("rep.minhash"), i * width + 1, F.lit(width))),
+    )
     banded = sets.where("rep.size > 0").select("key", F.explode(bands).alias("band"))
     least = banded.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("band", "least")
     ties = banded.join(least, "band").where("key <> least").select(F.col("key").alias("u"), F.col("least").alias("v"))
     clusters = components(ties).withColumnRenamed("node", "key").withColumnRenamed("label", "cluster")
-    members, _ = materialise(sets.join(clusters, "key").select("key", "copies", "cluster", "rep.doc_id", "rep.text_hash", "rep.size"), "members")
+    members = scratch.table(sets.join(clusters, "key").select("key", "copies", "cluster", "rep.doc_id", "rep.text_hash", "rep.size"), "members")
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum(F.col("size") + 100) / BLOCK).alias("blocks"))
     members = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    texts = _hashed(docs).alias("d").join(members.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_hash") == F.col("m.text_hash")))
+    texts = _hashed(docs).alias("d").join(
+        members.alias("m"),
+        F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_hash") == F.col("m.text_hash")),
+    )
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("m.blocks").cast("int") - 1), lambda i: i)).alias("other")
-    dealt = texts.select(F.col("m.cluster").alias("label"), other, F.col("m.block").alias("block"), F.col("m.key").alias("key"), F.col("m.copies").alias("weight"), F.col("d.text").alias("text"))
-    dealt = dealt.select("label", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "key", "weight", "text", "block")
+    dealt = texts.select(
+        F.col("m.cluster").alias("label"),
+        other,
+        F.col("m.block").alias("block"),
+        F.col("m.key").alias("key"),
+        F.col("m.copies").alias("weight"),
+        F.col("d.text").alias("text"),
+    )
+    dealt = dealt.select(
+        "label",
+        F.least("block", "other").alias("first"),
+        F.greatest("block", "other").alias("second"),
+        "key",
+        "weight",
+        "text",
+        "block",
+    )
     dealt = dealt.repartition("label", "first", "second").sortWithinPartitions("label", "first", "second", "key")
-    found, _ = materialise(dealt.mapInArrow(_join_tasks, "key binary, links long, tree binary"), "links")
+    found = scratch.table(dealt.mapInArrow(_join_tasks, "key binary, links long, tree binary"), "links")
     trees = components(found.select(F.col("key").alias("u"), F.col("tree").alias("v"))).withColumnRenamed("node", "key")
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     sets = sets.join(trees, "key", "left").join(counts, "key", "left")
-    sets = sets.select("key", F.struct("rep.no_id", "rep.doc_id", "rep.text_hash").alias("rep"), "copies", F.coalesce("label", "key").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    sets, _ = materialise(sets, "classes")
+    sets = sets.select(
+        "key",
+        F.struct("rep.no_id", "rep.doc_id", "rep.text_hash").alias("rep"),
+        "copies",
+        F.coalesce("label", "key").alias("label"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    )
+    sets = scratch.table(sets, "classes")
+    scratch.close(signed, sets)
     return signed.select("doc_id", "text_hash", "key"), sets
 
 
