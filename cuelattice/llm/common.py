@@ -82,7 +82,7 @@ def materialise(df: DataFrame, name: str, **options) -> tuple[DataFrame, str]:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_cleanup, spark, path)
     with shuffles_go(spark):
-        df.write.options(**options).parquet(path)
+        df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

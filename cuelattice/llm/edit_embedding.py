@@ -151,7 +151,9 @@ def in_order(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select("doc_id")
-    bounds = sorted({int(q) for q in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts)}) if ids.schema["doc_id"].dataType.simpleString() != "void" else []
+    bounds = sorted(
+        {int(q) for q in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts)}
+    ) if ids.schema["doc_id"].dataType.simpleString() != "void" else []
     part = _range_number(F.col("doc_id"), bounds)
     firsts = {r.part: r.first for r in ids.groupBy(part.alias("part")).agg(F.max("doc_id").alias("first")).collect()}
     used = sorted(firsts)
@@ -161,7 +163,12 @@ def in_order(docs: DataFrame) -> DataFrame:
     # A ghost goes to the range before its own; the very first row goes to the last range.
     pairs = [(used[i - 1], firsts[p]) for i, p in enumerate(used)]
     known = spark.createDataFrame([(p, f) for p, f in pairs if f is not None] or [(-1, None)], "to_part int, first long")
-    ghosts = rows.join(F.broadcast(known), F.col("doc_id") == F.col("first")).select("doc_id", "text", F.col("to_part").alias("part"), F.lit(1).alias("ghost"))
+    ghosts = rows.join(F.broadcast(known), F.col("doc_id") == F.col("first")).select(
+        "doc_id",
+        "text",
+        F.col("to_part").alias("part"),
+        F.lit(1).alias("ghost"),
+    )
     if None in firsts.values():
         to = next(p for p, f in pairs if f is None)
         nulls = rows.where("doc_id IS NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
@@ -229,7 +236,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ near texts
 
 NEAR = 0.8
-BANDS, DIGITS = 14, 10
+BANDS, DIGITS = 12, 10
 #: Characters of fingerprints (and 100 for each text) of a block.
 BLOCK = 1_000_000
 
@@ -267,7 +274,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = {t: i for i, t in enumerate(dict.fromkeys(texts))}
         prints = fingerprints(list(every))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([_text_hash(t) for t in texts]), pa.array([len(t) for t in texts], pa.int64()), pa.array([prints[every[t]] for t in texts], pa.string())],
+            [
+                b.column(0),
+                pa.array([_text_hash(t) for t in texts]),
+                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([prints[every[t]] for t in texts], pa.string()),
+            ],
             names=["doc_id", "text_hash", "n_chars", "fingerprint"],
         )
 
@@ -325,7 +337,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links, tree = _verified(texts, lambda a, b, pair=(first, second): (np.minimum(a, b) == pair[0]) & (np.maximum(a, b) == pair[1]))
         some = np.flatnonzero(links)
         names = np.array([r[0] for r in texts], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(links[some]), pa.array(names[tree[some]])], names=["text_hash", "links", "tie"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names[some]), pa.array(links[some]), pa.array(names[tree[some]])],
+            names=["text_hash", "links", "tie"],
+        )
 
 
 def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -352,7 +367,10 @@ def link(signed: DataFrame, scratch: Scratch) -> DataFrame:
     copies = signed.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"))
     texts = scratch.table(signed.select("text_hash", "n_chars", "fingerprint").dropDuplicates(["text_hash"]).join(copies, "text_hash"), "near-texts")
     banded = texts.select("text_hash", "n_chars", "fingerprint").mapInArrow(_bands, "text_hash long, band long")
-    least = banded.groupBy("band").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least <> most").select("band", "least")
+    least = banded.groupBy("band").agg(
+        F.min("text_hash").alias("least"),
+        F.max("text_hash").alias("most"),
+    ).where("least <> most").select("band", "least")
     ties = banded.join(least, "band").where("text_hash <> least").select(F.col("text_hash").alias("u"), F.col("least").alias("v")).distinct()
     ties = scratch.table(ties, "near-ties")
     members = texts.select("text_hash", "copies", "n_chars", "fingerprint").join(components(ties).withColumnRenamed("node", "text_hash"), "text_hash")
@@ -366,7 +384,12 @@ def link(signed: DataFrame, scratch: Scratch) -> DataFrame:
     classes = components(found.select(F.col("text_hash").alias("u"), F.col("tie").alias("v"))).withColumnRenamed("node", "text_hash")
     counts = found.groupBy("text_hash").agg(F.sum("links").alias("links"))
     texts = texts.select("text_hash", "copies", "doc_id").join(classes, "text_hash", "left").join(counts, "text_hash", "left")
-    texts = texts.select("text_hash", "doc_id", F.coalesce("label", "text_hash").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    texts = texts.select(
+        "text_hash",
+        "doc_id",
+        F.coalesce("label", "text_hash").alias("label"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    )
     named = texts.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     linked = scratch.table(texts.join(named, "label").select("text_hash", "class_id", "n_links"), "near-classes")
     scratch.close(linked, signed)
