@@ -103,7 +103,12 @@ def decoded_range() -> Column:
     """(start_line, start_character, end_line, end_character) of an occurrence: single-line form, multi-line form, then the older array of 3 or 4, else zeros."""
 
     def four(a, b, c, d):
-        return F.struct(a.cast("int").alias("start_line"), b.cast("int").alias("start_character"), c.cast("int").alias("end_line"), d.cast("int").alias("end_character"))
+        return F.struct(
+            a.cast("int").alias("start_line"),
+            b.cast("int").alias("start_character"),
+            c.cast("int").alias("end_line"),
+            d.cast("int").alias("end_character"),
+        )
 
     single, multi, old = F.col("single_line"), F.col("multi_line"), F.col("range")
     zero = F.lit(0)

@@ -65,7 +65,11 @@ def resolve_redirects(graph: Graph, ids: DataFrame, column: str) -> DataFrame:
 def tag_pairs(graph: Graph) -> DataFrame:
     """(id, category, value): distinct tags of every node that has any."""
     tags = graph.nodes.where("node_type = 'tag'").select(F.col("id").alias("target_id"), "category", "value")
-    return graph.edges.where("edge_type = 'tagged_with'").join(tags, "target_id").select(F.col("source_id").alias("id"), "category", "value").distinct()
+    return graph.edges.where("edge_type = 'tagged_with'").join(tags, "target_id").select(
+        F.col("source_id").alias("id"),
+        "category",
+        "value",
+    ).distinct()
 
 
 def content_tags(graph: Graph) -> DataFrame:
@@ -105,4 +109,8 @@ def nodes_for_file(graph: Graph, source_file: str) -> DataFrame:
 def index_metadata(graph: Graph) -> DataFrame:
     """Vectors, their dimension and model."""
     has = graph.nodes.where("embedding IS NOT NULL")
-    return has.agg(F.count(F.lit(1)).alias("size"), F.max(F.size("embedding")).alias("embedding_dim"), F.max("embedding_model").alias("embedding_model"))
+    return has.agg(
+        F.count(F.lit(1)).alias("size"),
+        F.max(F.size("embedding")).alias("embedding_dim"),
+        F.max("embedding_model").alias("embedding_model"),
+    )

@@ -48,16 +48,39 @@ def fetch(graph: Graph, ids: DataFrame) -> DataFrame:
 
 def cue_summaries(nodes: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
-    return nodes.where("node_type = 'cue'").select("id", F.lit("cue").alias("node_kind"), F.col("text").alias("label"), F.lit(None).cast("string").alias("snippet"), empty.alias("tags"))
+    return nodes.where("node_type = 'cue'").select(
+        "id",
+        F.lit("cue").alias("node_kind"),
+        F.col("text").alias("label"),
+        F.lit(None).cast("string").alias("snippet"),
+        empty.alias("tags"),
+    )
 
 
 def content_summaries(graph: Graph, contents: DataFrame | None = None) -> DataFrame:
     """id, node_kind, label, snippet and tags of contents."""
     rows = graph.nodes.where("node_type = 'content'") if contents is None else contents
     rows = rows.join(content_tags(graph), "id", "left")
-    return rows.select("id", F.lit("content").alias("node_kind"), content_label().alias("label"), content_snippet().alias("snippet"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    return rows.select(
+        "id",
+        F.lit("content").alias("node_kind"),
+        content_label().alias("label"),
+        content_snippet().alias("snippet"),
+        F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
+    )
 
 
 def content_details(nodes: DataFrame) -> DataFrame:
     """Full contents; vectors are never returned."""
-    return nodes.where("node_type = 'content'").select("id", "status", "source_file", "git_sha", "kind", "memory_layer", "symbol_name", "signature", "docstring", "body")
+    return nodes.where("node_type = 'content'").select(
+        "id",
+        "status",
+        "source_file",
+        "git_sha",
+        "kind",
+        "memory_layer",
+        "symbol_name",
+        "signature",
+        "docstring",
+        "body",
+    )

@@ -41,7 +41,9 @@ def references(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def symbol_infos(relationships: DataFrame, wanted: DataFrame) -> DataFrame:
     """Relationships of symbols (symbol, relative_path): the file's first entry, else the external one."""
-    rows = relationships.join(wanted.withColumnRenamed("relative_path", "__file"), "symbol").where(F.col("relative_path").eqNullSafe(F.col("__file")) | F.col("relative_path").isNull())
+    rows = relationships.join(wanted.withColumnRenamed("relative_path", "__file"), "symbol").where(
+        F.col("relative_path").eqNullSafe(F.col("__file")) | F.col("relative_path").isNull()
+    )
     rows = rows.withColumn("external", F.col("relative_path").isNull())
     first = F.min(F.struct("external", "sym_idx")).over(Window.partitionBy("symbol", "__file"))
     rows = rows.withColumn("__first", first).where((F.col("external") == F.col("__first.external")) & (F.col("sym_idx") == F.col("__first.sym_idx")))
@@ -56,13 +58,19 @@ def symbol_info(relationships: DataFrame, symbol: str, relative_path: str | None
 
 def content_references(nodes: DataFrame, occurrences: DataFrame, content_ids: DataFrame) -> DataFrame:
     """References of contents (content_id); a content's id is its symbol."""
-    symbols = nodes.where("node_type = 'content'").select(F.col("id").alias("symbol")).join(content_ids.select(F.col("content_id").alias("symbol")), "symbol")
+    symbols = nodes.where("node_type = 'content'").select(F.col("id").alias("symbol")).join(
+        content_ids.select(F.col("content_id").alias("symbol")),
+        "symbol",
+    )
     return references(occurrences, symbols)
 
 
 def content_relations(nodes: DataFrame, relationships: DataFrame, content_ids: DataFrame, flag: str) -> DataFrame:
     """Relationships of contents with a flag (is_implementation, is_type_definition), looked up in the contents' files, else externally."""
-    contents = nodes.where("node_type = 'content'").select(F.col("id").alias("symbol"), "source_file").join(content_ids.select(F.col("content_id").alias("symbol")), "symbol")
+    contents = nodes.where("node_type = 'content'").select(F.col("id").alias("symbol"), "source_file").join(
+        content_ids.select(F.col("content_id").alias("symbol")),
+        "symbol",
+    )
     rows = symbol_infos(relationships, contents.withColumnRenamed("source_file", "relative_path"))
     return rows.where(F.col(flag)).select("symbol", "target", "is_reference", "is_implementation", "is_type_definition", "is_definition")
 
@@ -74,4 +82,7 @@ def files(occurrences: DataFrame) -> DataFrame:
 def line_symbols(occurrences: DataFrame) -> DataFrame:
     """(source_file, lineno, scip_symbol): the symbol defined on each line, counted from 1; the last of a line wins (of equal places the greater symbol)."""
     rows = definitions(occurrences)
-    return rows.groupBy(F.col("relative_path").alias("source_file"), (F.col("start_line") + 1).alias("lineno")).agg(F.max_by("symbol", F.struct("occ_idx", "symbol")).alias("scip_symbol"))
+    return rows.groupBy(
+        F.col("relative_path").alias("source_file"),
+        (F.col("start_line") + 1).alias("lineno"),
+    ).agg(F.max_by("symbol", F.struct("occ_idx", "symbol")).alias("scip_symbol"))

@@ -72,7 +72,11 @@ def _partial(ids: list, queries: np.ndarray, k: int):
         if names:
             q = np.repeat(np.arange(len(ids)), best.shape[1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in q], pa.string()), pa.array([names[i] for i in own.ravel()], pa.string()), pa.array(best.ravel(), pa.float64())],
+                [
+                    pa.array([ids[i] for i in q], pa.string()),
+                    pa.array([names[i] for i in own.ravel()], pa.string()),
+                    pa.array(best.ravel(), pa.float64()),
+                ],
                 names=["qid", "node_id", "score"],
             )
 

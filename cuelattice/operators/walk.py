@@ -36,8 +36,18 @@ def candidates(graph: Graph, current: DataFrame, tags: list[tuple[str, str]] | N
     kinds = graph.nodes.select("id", "node_type")
     at = current.select("qid", "id").join(kinds, "id")
     start = at.select(F.lit(0).alias("ord"), "id", "qid", "node_type")
-    forward = expand_contents(graph, start.where("node_type = 'cue'"), "cue_of", tags).select("qid", "content_id", F.lit(0).alias("branch"), "edge_seq")
-    peers = expand_contents(graph, start.where("node_type = 'content'"), "part_of_topic", tags).select("qid", "content_id", F.lit(1).alias("branch"), "edge_seq")
+    forward = expand_contents(graph, start.where("node_type = 'cue'"), "cue_of", tags).select(
+        "qid",
+        "content_id",
+        F.lit(0).alias("branch"),
+        "edge_seq",
+    )
+    peers = expand_contents(
+        graph,
+        start.where("node_type = 'content'"),
+        "part_of_topic",
+        tags,
+    ).select("qid", "content_id", F.lit(1).alias("branch"), "edge_seq")
     cues = neighbors(graph, start.where("node_type = 'content'"), "cue_of", "incoming").where("n_node_type = 'cue' AND n_status = 'active'")
     cues = cues.select("qid", F.col("n_id").alias("content_id"), F.lit(0).alias("branch"), "edge_seq")
     rows = first_by(forward.unionByName(peers), ["qid", "content_id"], ["branch", "edge_seq"]).unionByName(cues)
@@ -54,7 +64,14 @@ def _requests(graph: Graph, active: DataFrame, found: DataFrame, queries: DataFr
     item = F.struct("ord", F.col("candidate_id").alias("id"), "node_kind", "label", "snippet", "tags")
     lists = rows.groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("candidates"))
     out = active.join(lists, "qid", "left").join(queries, "qid", "left")
-    return out.select("qid", "query", "hop", F.col("left").alias("hops_left"), F.col("id").alias("current"), F.coalesce("candidates", F.array().cast(lists.schema["candidates"].dataType)).alias("candidates"))
+    return out.select(
+        "qid",
+        "query",
+        "hop",
+        F.col("left").alias("hops_left"),
+        F.col("id").alias("current"),
+        F.coalesce("candidates", F.array().cast(lists.schema["candidates"].dataType)).alias("candidates"),
+    )
 
 
 def _as_contents(graph: Graph, collected: DataFrame) -> DataFrame:
@@ -69,7 +86,14 @@ def _as_contents(graph: Graph, collected: DataFrame) -> DataFrame:
     return direct.select(*columns).unionByName(via.select(*columns))
 
 
-def reconstruct(graph: Graph, seeds: DataFrame, planner: Planner | None, budget: int = 3, tag_filters: list[tuple[str, str]] | None = None, queries: DataFrame | None = None) -> DataFrame:
+def reconstruct(
+    graph: Graph,
+    seeds: DataFrame,
+    planner: Planner | None,
+    budget: int = 3,
+    tag_filters: list[tuple[str, str]] | None = None,
+    queries: DataFrame | None = None,
+) -> DataFrame:
     """(qid, content_id, relevance, place) found from seeds (qid, seeds array of cue ids by rank).
 
     Ranked by the best relevance a content was collected with, ties by first
@@ -90,7 +114,12 @@ def reconstruct(graph: Graph, seeds: DataFrame, planner: Planner | None, budget:
         found = cut(candidates(graph, active, tags))
         decisions = cut(planner(_requests(graph, active, found, queries)))
         ok = decisions.where("NOT coalesce(error, false)")
-        picks = ok.select("qid", F.posexplode("collect").alias("k", "pick")).select("qid", F.col("pick.id").alias("picked"), F.col("pick.relevance").alias("relevance"), F.struct(F.lit(hop).alias("hop"), "k").alias("discovery"))
+        picks = ok.select("qid", F.posexplode("collect").alias("k", "pick")).select(
+            "qid",
+            F.col("pick.id").alias("picked"),
+            F.col("pick.relevance").alias("relevance"),
+            F.struct(F.lit(hop).alias("hop"), "k").alias("discovery"),
+        )
         picks = picks.join(found.select("qid", F.col("candidate_id").alias("picked")), ["qid", "picked"], "left_semi")
         collected = cut(_as_contents(graph, picks))
         found_all = collected if found_all is None else found_all.unionByName(collected)
@@ -104,9 +133,15 @@ def reconstruct(graph: Graph, seeds: DataFrame, planner: Planner | None, budget:
         moved = rows.select(
             "qid",
             F.when(ends, F.col("id")).when(down, F.col("descend_into")).when(back, F.element_at("stack", -1)).when(next_seed, seed).otherwise(F.col("id")).alias("id"),
-            F.when(ends, F.col("stack")).when(down, F.concat("stack", F.array("id"))).when(back, F.slice("stack", F.lit(1), F.size("stack") - 1)).otherwise(F.col("stack")).alias("stack"),
+            F.when(ends, F.col("stack")).when(down, F.concat("stack", F.array("id"))).when(
+                back,
+                F.slice("stack", F.lit(1), F.size("stack") - 1),
+            ).otherwise(F.col("stack")).alias("stack"),
             F.when(ends | down | back | ~next_seed, F.col("queue")).otherwise(F.slice("queue", F.lit(2), F.size("queue"))).alias("queue"),
-            F.when(ends, F.col("visited")).when(down, F.concat("visited", F.array("descend_into"))).when(back | ~next_seed, F.col("visited")).otherwise(F.concat("visited", F.array(seed))).alias("visited"),
+            F.when(ends, F.col("visited")).when(
+                down,
+                F.concat("visited", F.array("descend_into")),
+            ).when(back | ~next_seed, F.col("visited")).otherwise(F.concat("visited", F.array(seed))).alias("visited"),
             (ends | ~(down | back | next_seed)).alias("done"),
         )
         state = cut(moved.unionByName(state.where("done")))
@@ -128,7 +163,13 @@ def scripted_planner(decisions: DataFrame) -> Planner:
     def plan(requests: DataFrame) -> DataFrame:
         rows = requests.select("qid", "hop").join(decisions, ["qid", "hop"], "left")
         nothing = F.array().cast("array<struct<id:string,relevance:double>>")
-        return rows.select("qid", F.coalesce("collect", nothing).alias("collect"), "descend_into", F.coalesce("stop", F.col("collect").isNull()).alias("stop"), F.coalesce("error", F.lit(False)).alias("error"))
+        return rows.select(
+            "qid",
+            F.coalesce("collect", nothing).alias("collect"),
+            "descend_into",
+            F.coalesce("stop", F.col("collect").isNull()).alias("stop"),
+            F.coalesce("error", F.lit(False)).alias("error"),
+        )
 
     return plan
 
@@ -139,7 +180,13 @@ def rule_planner() -> Planner:
     def plan(requests: DataFrame) -> DataFrame:
         contents = F.filter("candidates", lambda c: c["node_kind"] == "content")
         collect = F.transform(contents, lambda c, i: F.struct(c["id"].alias("id"), (F.lit(1.0) / (i + 1)).alias("relevance")))
-        return requests.select("qid", collect.alias("collect"), F.get("candidates", F.lit(0))["id"].alias("descend_into"), (F.size("candidates") == 0).alias("stop"), F.lit(False).alias("error"))
+        return requests.select(
+            "qid",
+            collect.alias("collect"),
+            F.get("candidates", F.lit(0))["id"].alias("descend_into"),
+            (F.size("candidates") == 0).alias("stop"),
+            F.lit(False).alias("error"),
+        )
 
     return plan
 

@@ -38,7 +38,12 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("content:src:"), "source").alias("id"), F.lit("content").alias("node_type"), active, F.col("source").alias("source_file"), F.lit("module").alias("kind"), F.lit("topic").alias("memory_layer"), F.col("source").alias("symbol_name"), F.lit("").alias("body"),
     )
     turns = table(spark, sf_dir, "conversations").select(
-        F.concat(F.lit("content:conv:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("id"), F.lit("content").alias("node_type"), active, F.lit("commit").alias("kind"), F.lit("episodic").alias("memory_layer"), F.col("role").alias("signature"), F.col("text").alias("body"),
+        F.concat(
+            F.lit("content:conv:"),
+            F.col("conv_id").cast("string"),
+            F.lit(":"),
+            F.col("turn").cast("string"),
+        ).alias("id"), F.lit("content").alias("node_type"), active, F.lit("commit").alias("kind"), F.lit("episodic").alias("memory_layer"), F.col("role").alias("signature"), F.col("text").alias("body"),
     )
     cues = table(spark, sf_dir, "embeddings").select(
         F.concat(F.lit("cue:vec:"), F.col("vec_id").cast("string")).alias("id"), F.lit("cue").alias("node_type"), active, F.lit("concept").alias("cue_type"), F.concat(F.lit("concept "), F.col("label").cast("string")).alias("text"),
@@ -68,12 +73,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = docs.count()  # a count from the footers
     vec = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     first, second = F.pmod("vec_id", F.lit(n)), F.pmod(F.col("vec_id") * 7 + F.col("label"), F.lit(n))
-    ends = F.when(first == second, F.array(F.struct(F.lit(0).alias("k"), first.alias("doc")))).otherwise(F.array(F.struct(F.lit(0).alias("k"), first.alias("doc")), F.struct(F.lit(1).alias("k"), second.alias("doc"))))
+    ends = F.when(first == second, F.array(F.struct(F.lit(0).alias("k"), first.alias("doc")))).otherwise(
+        F.array(F.struct(F.lit(0).alias("k"), first.alias("doc")), F.struct(F.lit(1).alias("k"), second.alias("doc")))
+    )
     cue_of = vec.select("vec_id", F.explode(ends).alias("e")).select(
         F.concat(F.lit("cue:vec:"), F.col("vec_id").cast("string")).alias("source_id"), _doc(F.col("e.doc")).alias("target_id"), F.lit("cue_of").alias("edge_type"), (F.col("vec_id") * 2 + F.col("e.k")).alias("edge_seq"),
     )
     tagged = tag_rows(spark, sf_dir).select(
-        _doc(F.col("doc_id")).alias("source_id"), F.concat_ws(":", F.lit("tag"), "category", "value").alias("target_id"), F.lit("tagged_with").alias("edge_type"), (F.lit(TAGGED) + F.col("doc_id") * 4 + F.col("place")).alias("edge_seq"),
+        _doc(F.col("doc_id")).alias("source_id"), F.concat_ws(":", F.lit("tag"), "category", "value").alias("target_id"), F.lit("tagged_with").alias("edge_type"), (
+            F.lit(TAGGED) + F.col("doc_id") * 4 + F.col("place")
+        ).alias("edge_seq"),
     )
     topic = docs.where("source IS NOT NULL").select(
         _doc(F.col("doc_id")).alias("source_id"), F.concat(F.lit("content:src:"), "source").alias("target_id"), F.lit("part_of_topic").alias("edge_type"), F.col("source").alias("source_file"), (F.lit(TOPIC) + F.col("doc_id")).alias("edge_seq"),
@@ -118,19 +127,30 @@ tag_rows AS (
   UNION ALL SELECT doc_id, 2, 'pattern_type', 'quality:' || quality FROM doc_rows WHERE quality IS NOT NULL),
 nodes AS (
   SELECT 'content:doc:' || doc_id AS id, 'content' AS node_type, CASE WHEN toxic = 1 THEN 'deleted' ELSE 'active' END AS status, source AS source_file, 'function' AS kind,
-         'semantic' AS memory_layer, 'doc_' || doc_id AS symbol_name, NULL AS signature, text AS body, NULL AS text, NULL AS category, NULL AS value, NULL::DOUBLE[] AS embedding, doc_id AS node_seq, sha1(CAST(doc_id AS VARCHAR)) AS git_sha FROM doc_rows
-  UNION ALL SELECT DISTINCT 'content:src:' || source, 'content', 'active', source, 'module', 'topic', source, NULL, '', NULL, NULL, NULL, NULL, NULL::BIGINT, NULL FROM documents
-  UNION ALL SELECT 'content:conv:' || conv_id || ':' || turn, 'content', 'active', NULL, 'commit', 'episodic', NULL, role, text, NULL, NULL, NULL, NULL, NULL, NULL FROM conversations
-  UNION ALL SELECT 'cue:vec:' || vec_id, 'cue', 'active', NULL, NULL, NULL, NULL, NULL, NULL, 'concept ' || label, NULL, NULL, embedding::DOUBLE[], vec_id, NULL FROM embeddings
-  UNION ALL SELECT DISTINCT 'tag:' || category || ':' || value, 'tag', 'active', NULL, NULL, NULL, NULL, NULL, NULL, NULL, category, value, NULL, NULL, NULL FROM tag_rows),
+         'semantic' AS memory_layer, 'doc_' || doc_id AS symbol_name, NULL AS signature, text AS body, NULL AS text, NULL AS category, NULL AS value, NULL::DOUBLE[] AS embedding, doc_id AS node_seq, sha1(CAST(doc_id AS VARCHAR)) AS git_sha
+           FROM doc_rows
+  UNION ALL SELECT DISTINCT 'content:src:' || source, 'content', 'active', source, 'module', 'topic', source, NULL, '', NULL, NULL, NULL, NULL, NULL::BIGINT, NULL
+    FROM documents
+  UNION ALL SELECT 'content:conv:' || conv_id || ':' || turn, 'content', 'active', NULL, 'commit', 'episodic', NULL, role, text, NULL, NULL, NULL, NULL, NULL, NULL
+    FROM conversations
+  UNION ALL SELECT 'cue:vec:' || vec_id, 'cue', 'active', NULL, NULL, NULL, NULL, NULL, NULL, 'concept ' || label, NULL, NULL, embedding::DOUBLE[], vec_id, NULL
+    FROM embeddings
+  UNION ALL SELECT DISTINCT 'tag:' || category || ':' || value, 'tag', 'active', NULL, NULL, NULL, NULL, NULL, NULL, NULL, category, value, NULL, NULL, NULL
+    FROM tag_rows),
 n_docs AS (SELECT count(*) AS n FROM documents),
 edges AS (
-  SELECT 'cue:vec:' || vec_id AS source_id, 'content:doc:' || (vec_id % n) AS target_id, 'cue_of' AS edge_type, NULL AS source_file, vec_id * 2 AS edge_seq FROM embeddings, n_docs
-  UNION ALL SELECT 'cue:vec:' || vec_id, 'content:doc:' || ((vec_id * 7 + label) % n), 'cue_of', NULL, vec_id * 2 + 1 FROM embeddings, n_docs WHERE vec_id % n <> (vec_id * 7 + label) % n
-  UNION ALL SELECT 'content:doc:' || doc_id, 'tag:' || category || ':' || value, 'tagged_with', NULL, 1000000000000 + doc_id * 4 + place FROM tag_rows
-  UNION ALL SELECT 'content:doc:' || doc_id, 'content:src:' || source, 'part_of_topic', source, 2000000000000 + doc_id FROM documents WHERE source IS NOT NULL
+  SELECT 'cue:vec:' || vec_id AS source_id, 'content:doc:' || (vec_id % n) AS target_id, 'cue_of' AS edge_type, NULL AS source_file, vec_id * 2 AS edge_seq
+    FROM embeddings, n_docs
+  UNION ALL SELECT 'cue:vec:' || vec_id, 'content:doc:' || ((vec_id * 7 + label) % n), 'cue_of', NULL, vec_id * 2 + 1
+    FROM embeddings, n_docs WHERE vec_id % n <> (vec_id * 7 + label) % n
+  UNION ALL SELECT 'content:doc:' || doc_id, 'tag:' || category || ':' || value, 'tagged_with', NULL, 1000000000000 + doc_id * 4 + place
+    FROM tag_rows
+  UNION ALL SELECT 'content:doc:' || doc_id, 'content:src:' || source, 'part_of_topic', source, 2000000000000 + doc_id FROM documents
+    WHERE source IS NOT NULL
   UNION ALL SELECT 'content:doc:' || doc_id, 'content:doc:' || first, 'redirects_to', NULL, 3000000000000 + doc_id
     FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id <> first),
-redirects AS (SELECT source_id AS id, arg_min(target_id, edge_seq) AS redirect_id FROM edges WHERE edge_type = 'redirects_to' GROUP BY source_id),
-tags_of AS (SELECT DISTINCT e.source_id AS id, t.category, t.value FROM edges e JOIN nodes t ON t.id = e.target_id AND t.node_type = 'tag' WHERE e.edge_type = 'tagged_with')
+redirects AS (SELECT source_id AS id, arg_min(target_id, edge_seq) AS redirect_id FROM edges WHERE edge_type = 'redirects_to'
+  GROUP BY source_id),
+tags_of AS (SELECT DISTINCT e.source_id AS id, t.category, t.value FROM edges e JOIN nodes t ON t.id = e.target_id AND t.node_type = 'tag'
+  WHERE e.edge_type = 'tagged_with')
 """

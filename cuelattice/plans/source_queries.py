@@ -67,23 +67,32 @@ pieces AS (
   SELECT p_partkey AS k, p_size AS s, p_brand AS b, 'pkg' || p_size || '/mod_' || p_partkey || '.py' AS source_file, 'pkg' || p_size || '.mod_' || p_partkey AS module_path,
     p_partkey % 7 = 0 AS bad, {", ".join(f'{_sql_text(t)} AS "{n}"' for n, t in PIECES.items())} FROM part),
 files AS (
-  SELECT *, "head" || "run" || "gap" || "box" || "size" || "between" || "test" || "tail" || CASE WHEN k % 5 = 0 THEN "broken" ELSE '' END AS source FROM pieces),
+  SELECT *, "head" || "run" || "gap" || "box" || "size" || "between" || "test" || "tail" || CASE WHEN k % 5 = 0 THEN "broken" ELSE '' END AS source
+    FROM pieces),
 shas AS (
   SELECT source_file, sha1(encode('blob ' || octet_length(bytes)) || '\\x00'::BLOB || bytes) AS git_sha
   FROM (SELECT source_file, CASE WHEN bad THEN '\\xff\\xfe'::BLOB || encode(source) ELSE encode(source) END AS bytes FROM files)),
 good AS (SELECT * FROM files WHERE NOT bad),
 definitions AS (
   SELECT k, source_file, module_path, 0 AS place, 'run_' || k AS name, 'run_' || k AS qualified_name, 'function' AS kind, 'def run_' || k || '(a: int, b=1) -> str' AS signature,
-         'Run ' || b || '.' AS docstring, "run" AS source, 6 AS lineno, 'deco(' || k || ')' AS decorators, 'no ' || b AS error_messages, false AS is_test FROM good
-  UNION ALL SELECT k, source_file, module_path, 1, 'Box' || k, 'Box' || k, 'class', 'class Box' || k || '(Base, Mixin)', 'Box.', rtrim("box", ' ') || '    ' || "size" || "between" || "test", 11, '', '', false FROM good
-  UNION ALL SELECT k, source_file, module_path, 2, 'size', 'Box' || k || '.size', 'method', 'def size(self) -> int', NULL, "size", 14, '', 'lost ' || k, false FROM good
-  UNION ALL SELECT k, source_file, module_path, 3, 'test_open', 'Box' || k || '.test_open', 'async_method', 'async def test_open(self)', NULL, "test", 17, '', '', true FROM good),
+         'Run ' || b || '.' AS docstring, "run" AS source, 6 AS lineno, 'deco(' || k || ')' AS decorators, 'no ' || b AS error_messages, false AS is_test
+           FROM good
+  UNION ALL SELECT k, source_file, module_path, 1, 'Box' || k, 'Box' || k, 'class', 'class Box' || k || '(Base, Mixin)', 'Box.', rtrim("box", ' ') || '    ' || "size" || "between" || "test", 11, '', '', false
+    FROM good
+  UNION ALL SELECT k, source_file, module_path, 2, 'size', 'Box' || k || '.size', 'method', 'def size(self) -> int', NULL, "size", 14, '', 'lost ' || k, false
+    FROM good
+  UNION ALL SELECT k, source_file, module_path, 3, 'test_open', 'Box' || k || '.test_open', 'async_method', 'async def test_open(self)', NULL, "test", 17, '', '', true
+    FROM good),
 contents AS (
-  SELECT 'content:' || source_file || '::<module>' AS id, source_file, 'module' AS kind, 'topic' AS memory_layer, module_path AS symbol_name, NULL AS signature, 'Module ' || k || ' of ' || b || '.' AS docstring, source AS body, module_path, 'module' AS construct FROM good
-  UNION ALL SELECT 'content:' || source_file || '::' || qualified_name, source_file, CASE WHEN is_test THEN 'test' WHEN kind = 'class' THEN 'class' ELSE 'function' END, 'semantic', qualified_name, signature, docstring, source, module_path, kind FROM definitions),
+  SELECT 'content:' || source_file || '::<module>' AS id, source_file, 'module' AS kind, 'topic' AS memory_layer, module_path AS symbol_name, NULL AS signature, 'Module ' || k || ' of ' || b || '.' AS docstring, source AS body, module_path, 'module' AS construct
+    FROM good
+  UNION ALL SELECT 'content:' || source_file || '::' || qualified_name, source_file, CASE WHEN is_test THEN 'test' WHEN kind = 'class' THEN 'class' ELSE 'function' END, 'semantic', qualified_name, signature, docstring, source, module_path, kind
+    FROM definitions),
 cues AS (
-  SELECT 'cue:symbol:' || source_file || '::' || qualified_name AS id, source_file, 'symbol' AS cue_type, name AS text, 'content:' || source_file || '::' || qualified_name AS target FROM definitions
-  UNION ALL SELECT 'cue:error:' || source_file || '::' || substr(sha1(error_messages), 1, 12), source_file, 'error_message', error_messages, 'content:' || source_file || '::' || qualified_name FROM definitions WHERE error_messages <> ''),
+  SELECT 'cue:symbol:' || source_file || '::' || qualified_name AS id, source_file, 'symbol' AS cue_type, name AS text, 'content:' || source_file || '::' || qualified_name AS target
+    FROM definitions
+  UNION ALL SELECT 'cue:error:' || source_file || '::' || substr(sha1(error_messages), 1, 12), source_file, 'error_message', error_messages, 'content:' || source_file || '::' || qualified_name
+    FROM definitions WHERE error_messages <> ''),
 tags AS (
   SELECT id, source_file, 'language' AS category, 'python' AS value FROM contents
   UNION ALL SELECT id, source_file, 'module_path', module_path FROM contents
@@ -100,14 +109,20 @@ def _extracted(spark, sf_dir: str, symbols: DataFrame | None = None) -> Graph:
     return extract.extract(extract.parse_files(source_files(spark, sf_dir)), AT, symbols)
 
 
-@sources("SELECT source_file, name, qualified_name, kind, signature, docstring, source, lineno, decorators, error_messages, is_test FROM definitions")
+@sources("""SELECT source_file, name, qualified_name, kind, signature, docstring, source, lineno, decorators, error_messages, is_test FROM definitions""")
 def parse_definitions(spark, sf_dir):
     """Definitions of every file: names, signatures, docstrings, sources, lines, decorators, messages, tests."""
-    rows = extract.parse_files(source_files(spark, sf_dir)).where("error IS NULL").select("source_file", F.explode("definitions").alias("d")).select("source_file", "d.*")
+    rows = extract.parse_files(source_files(spark, sf_dir)).where("error IS NULL").select(
+        "source_file",
+        F.explode("definitions").alias("d"),
+    ).select("source_file", "d.*")
     return rows.withColumns({"decorators": F.array_join("decorators", "|"), "error_messages": F.array_join("error_messages", "|")})
 
 
-@sources("SELECT f.source_file, h.git_sha, f.module_path, f.bad AS failed, CASE WHEN NOT f.bad THEN 'Module ' || f.k || ' of ' || f.b || '.' END AS docstring FROM files f JOIN shas h ON h.source_file = f.source_file")
+@sources(
+    """SELECT f.source_file, h.git_sha, f.module_path, f.bad AS failed, CASE WHEN NOT f.bad THEN 'Module ' || f.k || ' of ' || f.b || '.' END AS docstring
+  FROM files f JOIN shas h ON h.source_file = f.source_file"""
+)
 def parse_modules(spark, sf_dir):
     """Every file with its hash, module, docstring and whether it is not UTF-8."""
     rows = extract.parse_files(source_files(spark, sf_dir))
@@ -116,15 +131,32 @@ def parse_modules(spark, sf_dir):
 
 @sources("""SELECT c.id, 'content' AS node_type, c.kind, c.memory_layer, c.symbol_name, c.signature, c.docstring, c.body, h.git_sha, CAST(NULL AS VARCHAR) AS cue_type, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS value
 FROM contents c JOIN shas h ON h.source_file = c.source_file
-UNION ALL SELECT u.id, 'cue', NULL, NULL, NULL, NULL, NULL, NULL, h.git_sha, cue_type, text, NULL, NULL FROM cues u JOIN shas h ON h.source_file = u.source_file
-UNION ALL SELECT DISTINCT 'tag:' || category || ':' || value, 'tag', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, category, value FROM tags""")
+UNION ALL SELECT u.id, 'cue', NULL, NULL, NULL, NULL, NULL, NULL, h.git_sha, cue_type, text, NULL, NULL FROM cues u
+  JOIN shas h ON h.source_file = u.source_file
+UNION ALL SELECT DISTINCT 'tag:' || category || ':' || value, 'tag', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, category, value
+  FROM tags""")
 def extract_nodes(spark, sf_dir):
     """Module, definition, cue and tag rows of every file."""
-    return _extracted(spark, sf_dir).nodes.select("id", "node_type", "kind", "memory_layer", "symbol_name", "signature", "docstring", "body", "git_sha", "cue_type", "text", "category", "value")
+    return _extracted(spark, sf_dir).nodes.select(
+        "id",
+        "node_type",
+        "kind",
+        "memory_layer",
+        "symbol_name",
+        "signature",
+        "docstring",
+        "body",
+        "git_sha",
+        "cue_type",
+        "text",
+        "category",
+        "value",
+    )
 
 
 @sources("""SELECT id AS source_id, 'tag:' || category || ':' || value AS target_id, 'tagged_with' AS edge_type, source_file FROM tags
-UNION ALL SELECT 'content:' || source_file || '::' || qualified_name, 'content:' || source_file || '::<module>', 'part_of_topic', source_file FROM definitions
+UNION ALL SELECT 'content:' || source_file || '::' || qualified_name, 'content:' || source_file || '::<module>', 'part_of_topic', source_file
+  FROM definitions
 UNION ALL SELECT id, target, 'cue_of', source_file FROM cues""")
 def extract_edges(spark, sf_dir):
     return _extracted(spark, sf_dir).edges.select("source_id", "target_id", "edge_type", "source_file")
@@ -134,7 +166,8 @@ def extract_edges(spark, sf_dir):
   SELECT id, source_file, -1 AS place, 0 AS step FROM contents WHERE kind = 'module'
   UNION ALL SELECT 'content:' || source_file || '::' || qualified_name, source_file, place, 0 FROM definitions
   UNION ALL SELECT 'cue:symbol:' || source_file || '::' || qualified_name, source_file, place, 1 FROM definitions
-  UNION ALL SELECT 'cue:error:' || source_file || '::' || substr(sha1(error_messages), 1, 12), source_file, place, 2 FROM definitions WHERE error_messages <> '')""")
+  UNION ALL SELECT 'cue:error:' || source_file || '::' || substr(sha1(error_messages), 1, 12), source_file, place, 2 FROM definitions
+    WHERE error_messages <> '')""")
 def extract_order(spark, sf_dir):
     """The order in which a file's contents and cues are first inserted."""
     from pyspark.sql import Window
@@ -143,7 +176,10 @@ def extract_order(spark, sf_dir):
     return _extracted(spark, sf_dir).nodes.where("node_type <> 'tag'").select("id", nth.cast("long").alias("nth"))
 
 
-@sources("SELECT CASE WHEN kind = 'class' AND k % 2 = 0 THEN 'sym Box' || k || '#' ELSE 'content:' || source_file || '::' || qualified_name END AS id, kind, qualified_name FROM definitions")
+@sources(
+    """SELECT CASE WHEN kind = 'class' AND k % 2 = 0 THEN 'sym Box' || k || '#' ELSE 'content:' || source_file || '::' || qualified_name END AS id, kind, qualified_name
+  FROM definitions"""
+)
 def extract_symbol_ids(spark, sf_dir):
     """Cross-reference symbols, by line, in place of content ids; empty ones do not count."""
     key = F.col("p_partkey")
@@ -152,18 +188,30 @@ def extract_symbol_ids(spark, sf_dir):
     symbols = table(spark, sf_dir, "part").select(file.alias("source_file"), F.lit(11).alias("lineno"), symbol.alias("scip_symbol"))
     nodes = _extracted(spark, sf_dir, symbols).nodes.where("memory_layer = 'semantic'")
     tags = _extracted(spark, sf_dir, symbols)
-    constructs = tags.edges.where("edge_type = 'tagged_with' AND target_id LIKE 'tag:lang_construct:%'").select(F.col("source_id").alias("id"), F.replace("target_id", F.lit("tag:lang_construct:"), F.lit("")).alias("kind"))
+    constructs = tags.edges.where("edge_type = 'tagged_with' AND target_id LIKE 'tag:lang_construct:%'").select(
+        F.col("source_id").alias("id"),
+        F.replace("target_id", F.lit("tag:lang_construct:"), F.lit("")).alias("kind"),
+    )
     return nodes.select("id", F.col("symbol_name").alias("qualified_name")).join(constructs, "id").select("id", "kind", "qualified_name")
 
 
 _BYTES = "list_transform(range(0, 32), lambda i: CAST(CAST('0x' || substr(sha256(text), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT) AS DOUBLE) - 128.0)"
 
 
-@sources(f"SELECT id, '{scalar.HASH_MODEL}' AS embedding_model, 32 AS dim, round(v[1] / sqrt(list_inner_product(v, v)), 9) AS v0, round(v[32] / sqrt(list_inner_product(v, v)), 9) AS v31 FROM (SELECT id, {_BYTES} AS v FROM cues)")
+@sources(
+    f"""SELECT id, '{scalar.HASH_MODEL}' AS embedding_model, 32 AS dim, round(v[1] / sqrt(list_inner_product(v, v)), 9) AS v0, round(v[32] / sqrt(list_inner_product(v, v)), 9) AS v31
+  FROM (SELECT id, {_BYTES} AS v FROM cues)"""
+)
 def attach_embeddings(spark, sf_dir):
     """Vectors of all cues, each distinct text embedded once."""
     nodes = extract.attach_embeddings(_extracted(spark, sf_dir).nodes, scalar.hash_embedding, scalar.HASH_MODEL).where("embedding IS NOT NULL")
-    return nodes.select("id", "embedding_model", F.size("embedding").alias("dim"), F.round(F.col("embedding")[0], 9).alias("v0"), F.round(F.col("embedding")[31], 9).alias("v31"))
+    return nodes.select(
+        "id",
+        "embedding_model",
+        F.size("embedding").alias("dim"),
+        F.round(F.col("embedding")[0], 9).alias("v0"),
+        F.round(F.col("embedding")[31], 9).alias("v31"),
+    )
 
 
 # ------------------------------------------------------------------ store
@@ -186,10 +234,13 @@ def _written(changes) -> list:
 
 
 @sources("""SELECT 1 AS run, (SELECT count(*) FROM good) AS indexed, 0 AS skipped, (SELECT count(*) FROM files WHERE bad) AS failed,
-  (SELECT count(*) FROM contents) + (SELECT count(*) FROM cues) + (SELECT count(*) FROM (SELECT DISTINCT category, value FROM tags)) AS nodes, (SELECT count(*) FROM tags) + (SELECT count(*) FROM definitions) + (SELECT count(*) FROM cues) AS edges,
+  (SELECT count(*) FROM contents) + (SELECT count(*) FROM cues) + (SELECT count(*) FROM (SELECT DISTINCT category, value
+    FROM tags)) AS nodes, (SELECT count(*) FROM tags) + (SELECT count(*) FROM definitions) + (SELECT count(*) FROM cues) AS edges,
   (SELECT count(*) FROM good) AS files
-UNION ALL SELECT 2, (SELECT count(*) FROM good WHERE k % 3 = 0), (SELECT count(*) FROM good WHERE k % 3 <> 0), (SELECT count(*) FROM files WHERE bad),
-  (SELECT count(*) FROM contents) + (SELECT count(*) FROM cues) + (SELECT count(*) FROM (SELECT DISTINCT category, value FROM tags)), (SELECT count(*) FROM tags) + (SELECT count(*) FROM definitions) + (SELECT count(*) FROM cues), (SELECT count(*) FROM good)""")
+UNION ALL SELECT 2, (SELECT count(*) FROM good WHERE k % 3 = 0), (SELECT count(*) FROM good WHERE k % 3 <> 0), (SELECT count(*) FROM files
+  WHERE bad),
+  (SELECT count(*) FROM contents) + (SELECT count(*) FROM cues) + (SELECT count(*) FROM (SELECT DISTINCT category, value
+    FROM tags)), (SELECT count(*) FROM tags) + (SELECT count(*) FROM definitions) + (SELECT count(*) FROM cues), (SELECT count(*) FROM good)""")
 def index_run(spark, sf_dir):
     """Index all files into a store, change each third and index again: what each run did, and what the store then holds."""
     store, rows = _store(spark, scalar.HASH_MODEL, scalar.HASH_DIM), []
@@ -216,12 +267,15 @@ def store_round_trip(spark, sf_dir):
     return _finish(store, _written(_kinds(again.graph)), "what string, kind string, n long")
 
 
-@query(""", gone AS (SELECT 'content:doc:' || doc_id AS id FROM documents WHERE lang = 'fr'), kept_nodes AS (SELECT * FROM nodes WHERE id NOT IN (SELECT id FROM gone)),
+@query(""", gone AS (SELECT 'content:doc:' || doc_id AS id FROM documents WHERE lang = 'fr'), kept_nodes AS (SELECT * FROM nodes
+  WHERE id NOT IN (SELECT id FROM gone)),
 kept_edges AS (SELECT * FROM edges WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone)) """ + _KINDS)
 def store_transactions(spark, sf_dir):
     """A commit that deletes, an uncommitted delete that is rolled back, and one that an exception undoes."""
     graph, store = projection.graph(spark, sf_dir), _store(spark, "driver-d64", 64)
-    doc = lambda lang: table(spark, sf_dir, "documents").where(F.col("lang") == lang).select(F.concat(F.lit("content:doc:"), F.col("doc_id").cast("string")).alias("id"))
+    doc = lambda lang: table(spark, sf_dir, "documents").where(F.col("lang") == lang).select(
+        F.concat(F.lit("content:doc:"), F.col("doc_id").cast("string")).alias("id")
+    )
     with store.transaction():
         store.upsert_nodes(graph.nodes.withColumn("version", F.xxhash64("id")))
         store.upsert_edges(graph.edges.withColumn("version", F.xxhash64("source_id", "target_id", "edge_type")), check=False)
@@ -241,15 +295,22 @@ def store_transactions(spark, sf_dir):
     return _finish(store, _written(_kinds(again.graph)), "what string, kind string, n long")
 
 
-@plain("""WITH writes AS (SELECT 'src/' || user_id || '.py' AS file_path, event_type || event_id AS git_sha, row_number() OVER (ORDER BY event_id % 2, ts, event_id) AS nth FROM events)
-SELECT file_path, git_sha, row_number() OVER (ORDER BY first) AS place FROM (SELECT file_path, arg_max(git_sha, nth) AS git_sha, min(nth) AS first FROM writes GROUP BY file_path)""")
+@plain("""WITH writes AS (SELECT 'src/' || user_id || '.py' AS file_path, event_type || event_id AS git_sha, row_number() OVER (ORDER BY event_id % 2, ts, event_id) AS nth
+  FROM events)
+SELECT file_path, git_sha, row_number() OVER (ORDER BY first) AS place
+  FROM (SELECT file_path, arg_max(git_sha, nth) AS git_sha, min(nth) AS first FROM writes GROUP BY file_path)""")
 def manifest_list(spark, sf_dir):
     """Files recorded in two calls, even events and then odd ones: the last write stays, in the order of first insertion."""
     store = _store(spark)
     events = table(spark, sf_dir, "events")
     for rest in (0, 1):
         mine = events.where(F.col("event_id") % 2 == rest)
-        rows = mine.select(F.concat(F.lit("src/"), F.col("user_id").cast("string"), F.lit(".py")).alias("file_path"), F.concat("event_type", F.col("event_id").cast("string")).alias("git_sha"), F.col("ts").cast("timestamp_ntz").alias("indexed_at"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.pmod("event_id", F.lit(1000))).alias("version"))
+        rows = mine.select(
+            F.concat(F.lit("src/"), F.col("user_id").cast("string"), F.lit(".py")).alias("file_path"),
+            F.concat("event_type", F.col("event_id").cast("string")).alias("git_sha"),
+            F.col("ts").cast("timestamp_ntz").alias("indexed_at"),
+            (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.pmod("event_id", F.lit(1000))).alias("version"),
+        )
         with store.transaction():
             store.record_files(rows)
     listed = [(r.file_path, r.git_sha, i + 1) for i, r in enumerate(store.list_files().collect())]  # a row a file, for a person to read
@@ -257,11 +318,15 @@ def manifest_list(spark, sf_dir):
 
 
 @query(""", delta AS (SELECT 'cue:vec:' || event_id AS source_id, 'content:doc:' || (user_id * 10) AS target_id FROM events)
-SELECT source_id, target_id, 'source' AS missing FROM delta WHERE source_id NOT IN (SELECT id FROM nodes) UNION ALL SELECT source_id, target_id, 'target' FROM delta WHERE target_id NOT IN (SELECT id FROM nodes)""")
+SELECT source_id, target_id, 'source' AS missing FROM delta WHERE source_id NOT IN (SELECT id FROM nodes)
+  UNION ALL SELECT source_id, target_id, 'target' FROM delta WHERE target_id NOT IN (SELECT id FROM nodes)""")
 def missing_endpoints(spark, sf_dir):
     """Edges of a delta that lack a source or a target among the nodes."""
     graph = projection.graph(spark, sf_dir)
-    delta = table(spark, sf_dir, "events").select(F.concat(F.lit("cue:vec:"), F.col("event_id").cast("string")).alias("source_id"), F.concat(F.lit("content:doc:"), (F.col("user_id") * 10).cast("string")).alias("target_id"))
+    delta = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("cue:vec:"), F.col("event_id").cast("string")).alias("source_id"),
+        F.concat(F.lit("content:doc:"), (F.col("user_id") * 10).cast("string")).alias("target_id"),
+    )
     return mutate.missing_endpoints(graph, delta).select("source_id", "target_id", "missing")
 
 
@@ -283,10 +348,14 @@ def node_guards(spark, sf_dir):
     return nodes.select("event_id", node_fault("m", 2).alias("fault"))
 
 
-@plain("SELECT 'src/' || event_id || '.py' AS file_path, substr(sha1(event_type), 1, 7) AS sha, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM events")
+@plain("""SELECT 'src/' || event_id || '.py' AS file_path, substr(sha1(event_type), 1, 7) AS sha, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM events""")
 def status_rows(spark, sf_dir):
     """The status report's rows: short hashes and times to the second."""
     from ..service import status_rows as report
 
-    files = table(spark, sf_dir, "events").select(F.concat(F.lit("src/"), F.col("event_id").cast("string"), F.lit(".py")).alias("file_path"), F.sha1(F.col("event_type").cast("binary")).alias("git_sha"), F.col("ts").cast("timestamp_ntz").alias("indexed_at"))
+    files = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("src/"), F.col("event_id").cast("string"), F.lit(".py")).alias("file_path"),
+        F.sha1(F.col("event_type").cast("binary")).alias("git_sha"),
+        F.col("ts").cast("timestamp_ntz").alias("indexed_at"),
+    )
     return report(files)

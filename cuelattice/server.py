@@ -26,7 +26,11 @@ ARGUMENTS = {
 def _tool(name: str, method) -> dict:
     parameters = inspect.signature(method).parameters
     required = [p for p, v in parameters.items() if v.default is inspect.Parameter.empty]
-    return {"name": name, "description": (inspect.getdoc(method) or name).split("\n")[0], "inputSchema": {"type": "object", "properties": {p: ARGUMENTS[p] for p in parameters}, "required": required}}
+    return {
+        "name": name,
+        "description": (inspect.getdoc(method) or name).split("\n")[0],
+        "inputSchema": {"type": "object", "properties": {p: ARGUMENTS[p] for p in parameters}, "required": required},
+    }
 
 
 def handle(service: Service, message: dict) -> dict | None:
@@ -37,7 +41,13 @@ def handle(service: Service, message: dict) -> dict | None:
     answer = {"jsonrpc": "2.0", "id": message["id"]}
     tools = service.tools()
     if method == "initialize":
-        return answer | {"result": {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}, "prompts": {}}, "serverInfo": {"name": "cuelattice", "version": "1"}}}
+        return answer | {
+            "result": {
+                "protocolVersion": PROTOCOL,
+                "capabilities": {"tools": {}, "prompts": {}},
+                "serverInfo": {"name": "cuelattice", "version": "1"},
+            }
+        }
     if method == "ping":
         return answer | {"result": {}}
     if method == "tools/list":
@@ -52,7 +62,11 @@ def handle(service: Service, message: dict) -> dict | None:
         except Exception as e:  # noqa: BLE001 - a tool's failure is its answer
             return answer | {"result": {"content": [{"type": "text", "text": f"{type(e).__name__}: {e}"}], "isError": True}}
     if method == "prompts/list":
-        return answer | {"result": {"prompts": [{"name": "reconstruct", "arguments": [{"name": "query", "required": True}, {"name": "budget", "required": False}]}]}}
+        return answer | {
+            "result": {
+                "prompts": [{"name": "reconstruct", "arguments": [{"name": "query", "required": True}, {"name": "budget", "required": False}]}]
+            }
+        }
     if method == "prompts/get" and params.get("name") == "reconstruct":
         given = params.get("arguments") or {}
         text = reconstruct_prompt(given.get("query", ""), int(given.get("budget", 3)))

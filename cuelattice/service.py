@@ -45,7 +45,14 @@ class Service:
         except Exception as e:
             raise RuntimeError(f"search failed: {e}; check the embedding endpoint and that the index was built with the same model") from e
         empty = F.array().cast("array<string>")
-        return hits.select("id", F.lit("cue").alias("node_kind"), F.col("text").alias("label"), F.lit(None).cast("string").alias("snippet"), empty.alias("tags"), "score").orderBy(F.desc("score"), "id")
+        return hits.select(
+            "id",
+            F.lit("cue").alias("node_kind"),
+            F.col("text").alias("label"),
+            F.lit(None).cast("string").alias("snippet"),
+            empty.alias("tags"),
+            "score",
+        ).orderBy(F.desc("score"), "id")
 
     def traverse_forward(self, cue_ids: list[str], tag_filters: list[tuple[str, str]] | None = None) -> DataFrame:
         found = read.traverse_forward(self.graph, ordered_ids(self._spark, cue_ids), parse_tag_filters(tag_filters))
@@ -59,7 +66,18 @@ class Service:
 
     def fetch(self, ids: list[str]) -> DataFrame:
         rows = read.fetch(self.graph, ordered_ids(self._spark, ids))
-        return rows.orderBy("ord").select("id", "status", "source_file", "git_sha", "kind", "memory_layer", "symbol_name", "signature", "docstring", "body")
+        return rows.orderBy("ord").select(
+            "id",
+            "status",
+            "source_file",
+            "git_sha",
+            "kind",
+            "memory_layer",
+            "symbol_name",
+            "signature",
+            "docstring",
+            "body",
+        )
 
     def content_tags(self, content_id: str) -> list[str]:
         row = g.content_tags(self.graph).where(F.col("id") == content_id).head()
@@ -72,7 +90,14 @@ class Service:
         seeds = [r.id for r in self.search(query, self.seeds).collect()]
         spark = self._spark
         state = spark.createDataFrame([("q", seeds)] if seeds else [], "qid string, seeds array<string>")
-        found = walk.reconstruct(self.graph, state, self.planner, budget, tag_filters, spark.createDataFrame([("q", query)], "qid string, query string"))
+        found = walk.reconstruct(
+            self.graph,
+            state,
+            self.planner,
+            budget,
+            tag_filters,
+            spark.createDataFrame([("q", query)], "qid string, query string"),
+        )
         rows = self.graph.nodes.join(found.select(F.col("content_id").alias("id"), "relevance", "place"), "id")
         return rows.orderBy("place").select("id", "memory_layer", "source_file", content_label().alias("label"), "relevance", "body")
 
@@ -104,20 +129,28 @@ class Service:
         return {n: getattr(self, n) for n in names}
 
 
+#: What each read tool takes and gives, as the walk prompt lists them.
+TOOL_NOTES = {
+    "search": "text -> cues with a score; start here",
+    "traverse_forward": "cue ids (and category=value tags) -> contents with label, snippet and tags",
+    "traverse_reverse": "content ids -> every cue that points at them",
+    "fetch": "content ids -> whole bodies with their file and git_sha",
+    "references": "one content id -> where its symbol is used",
+    "implementations": "one content id -> symbols that implement it",
+    "type_definition": "one content id -> the symbols of its type",
+}
+
+
 def reconstruct_prompt(query: str, budget: int = 3) -> str:
     """Instructions for an agent that plans the walk itself with the read tools."""
-    return "\n".join([
-        "Collect what the memory graph knows about the question below. You decide every step.",
-        f"Question: {query}",
-        f"You may take {budget} steps through the graph.",
-        "- search finds cues to begin with.",
-        "- traverse_forward leads from cues to contents; tag filters narrow them.",
-        "- Go deep before wide: follow the one best candidate, and turn back when a branch has nothing more.",
-        "- traverse_reverse shows the other cues of a content that matters.",
-        "- fetch gives the full text of the ids you keep.",
-        "- references, implementations and type_definition follow code symbols where that helps.",
-        f"Stop after {budget} steps or as soon as candidates stop being relevant, then answer from what you fetched.",
-    ])
+    tools = "\n".join(f"  {name}: {note}" for name, note in TOOL_NOTES.items())
+    return (
+        f"Question: {query}\nBudget: {budget} steps, where a step is one traverse call.\n\nTools\n{tools}\n\n"
+        "Keep a list of (content id, relevance from 0 to 1) and a stack of ids to return to.\n"
+        "In every step, rate the new contents, push the current id and move to the best one; if none is better than what is listed, pop.\n"
+        "The walk ends with the budget, with an empty stack, or when two steps in a row add nothing.\n"
+        "Then fetch the listed ids in order of relevance and answer from their bodies alone, naming the ids used."
+    )
 
 
 # ------------------------------------------------------------------ renderings
@@ -131,25 +164,34 @@ class Check:
 
 
 def doctor(workspace: Workspace, manifest: RunManifest | None, embed_model: str) -> list[Check]:
-    """Checks of a workspace, in order; without a run manifest the last ones are left out."""
-    checks = [
-        Check(f"{TOOL} on PATH", tool_available(), "needed for cross-references"),
-        Check("workspace folder", workspace.dir.is_dir(), str(workspace.dir)),
-        Check("graph store", workspace.store_path.is_dir(), f"index {workspace.root} first"),
-        Check("run manifest", manifest is not None, f"embedding model {embed_model}, dimension {manifest.embed_dim}" if manifest else "none; index first"),
+    """What a search needs, from the folder up; what cross-references need comes last, once something is indexed."""
+    found = [
+        Check(f"{TOOL} tool", tool_available(), "optional, for cross-references"),
+        Check("workspace", workspace.dir.is_dir(), str(workspace.dir)),
+        Check("store", workspace.store_path.is_dir(), str(workspace.store_path)),
+        Check("run manifest", manifest is not None, f"{embed_model}, {manifest.embed_dim} dimensions" if manifest else "nothing is indexed"),
     ]
-    if manifest is not None:
-        checks.append(Check("cross-references", workspace.scip_path.is_file(), f"status {manifest.scip_status}"))
-        checks.append(Check("graph and cross-references agree", manifest.is_consistent, "same run" if manifest.is_consistent else "from different runs; index again"))
-    return checks
+    if manifest is None:
+        return found
+    runs = "one run" if manifest.is_consistent else f"graph {manifest.run_id[:8]}, references {(manifest.scip_run_id or 'none')[:8]}"
+    return [*found, Check("reference file", workspace.scip_path.is_file(), manifest.scip_status), Check("same run", manifest.is_consistent, runs)]
+
+
+def _columns(rows: list[tuple]) -> str:
+    """Rows as left-aligned columns."""
+    widths = [max(len(r[i]) for r in rows) for i in range(len(rows[0]))]
+    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in rows)
 
 
 def render_doctor(checks: list[Check]) -> str:
-    return "\n".join(f"{'ok  ' if c.ok else 'FAIL'} {c.name}" + (f" ({c.detail})" if c.detail else "") for c in checks)
+    return _columns([("check", "state", "detail"), *((c.name, "ok" if c.ok else "FAIL", c.detail) for c in checks)])
 
 
 def render_stats(stats: IndexStats) -> str:
-    lines = [f"files: {stats.indexed_files} indexed, {stats.skipped_files} skipped, {len(stats.failed_files)} failed", f"rows: {stats.nodes_written} nodes, {stats.edges_written} edges"]
+    lines = [
+        f"files: {stats.indexed_files} indexed, {stats.skipped_files} skipped, {len(stats.failed_files)} failed",
+        f"rows: {stats.nodes_written} nodes, {stats.edges_written} edges",
+    ]
     return "\n".join(lines + [f"failed: {f}" for f in stats.failed_files])
 
 
@@ -160,19 +202,21 @@ def status_rows(files: DataFrame) -> DataFrame:
 
 def render_status(embed_model: str, embed_dim: int, files: DataFrame, manifest: RunManifest | None) -> str:
     rows = status_rows(files).orderBy("file_path").collect()  # for a person to read
-    state = "no run manifest" if manifest is None else f"cross-references {manifest.scip_status}, " + ("consistent" if manifest.is_consistent else "stale")
+    state = "no run manifest" if manifest is None else f"cross-references {manifest.scip_status}, " + (
+        "consistent" if manifest.is_consistent else "stale"
+    )
     lines = [f"embedding: {embed_model}, dimension {embed_dim}", state, f"{len(rows)} file{'' if len(rows) == 1 else 's'} indexed"]
     return "\n".join(lines + [f"  {r.sha}  {r.at}  {r.file_path}" for r in rows])
 
 
 def render_search(hits: DataFrame) -> str:
-    rows = hits.collect()
-    return "\n".join(f"  {r.id}  {r.label}" for r in rows) or "no matching cues"
+    rows = [(str(i), f"{r.score:.4f}", r.id, r.label) for i, r in enumerate(hits.collect(), 1)]
+    return _columns([("rank", "score", "cue", "text"), *rows]) if rows else "no matching cues"
 
 
 def render_reconstruct(contents: DataFrame) -> str:
-    rows = contents.collect()
-    return "\n".join(f"  {r.id}  [{r.memory_layer}] {r.source_file}: {r.label}" for r in rows) or "nothing found"
+    rows = [(f"{r.relevance:.3f}", r.memory_layer, r.id, r.source_file or "", r.label) for r in contents.collect()]
+    return _columns([("relevance", "layer", "content", "file", "label"), *rows]) if rows else "nothing found"
 
 
 def open_references(spark, path: str | Path) -> tuple[DataFrame, DataFrame] | None:

@@ -57,7 +57,15 @@ DECISION_SCHEMA = {
     "additionalProperties": False,
     "required": ["collect", "descend_into", "stop"],
     "properties": {
-        "collect": {"type": "array", "items": {"type": "object", "additionalProperties": False, "required": ["id", "relevance"], "properties": {"id": {"type": "string"}, "relevance": {"type": "number", "minimum": 0, "maximum": 1}}}},
+        "collect": {
+            "type": "array",
+            "items": {
+                "type": "object",
+                "additionalProperties": False,
+                "required": ["id", "relevance"],
+                "properties": {"id": {"type": "string"}, "relevance": {"type": "number", "minimum": 0, "maximum": 1}},
+            },
+        },
         "descend_into": {"type": ["string", "null"]},
         "stop": {"type": "boolean"},
     },

@@ -44,7 +44,13 @@ def generate(root: str | Path, output: str | Path, project: str | None = None, t
         raise GenerationError(f"{TOOL} is not on PATH")
     out.parent.mkdir(parents=True, exist_ok=True)
     try:
-        subprocess.run([tool, "index", "--project-name", project or Path(root).name, "--output", str(out), "--cwd", str(root)], check=True, capture_output=True, text=True, timeout=timeout)
+        subprocess.run(
+            [tool, "index", "--project-name", project or Path(root).name, "--output", str(out), "--cwd", str(root)],
+            check=True,
+            capture_output=True,
+            text=True,
+            timeout=timeout,
+        )
     except subprocess.TimeoutExpired as e:
         raise GenerationError(f"{TOOL} took more than {timeout:.0f} s") from e
     except (subprocess.CalledProcessError, OSError) as e:

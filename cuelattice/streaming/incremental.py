@@ -24,7 +24,14 @@ def file_versions(spark, folder: str) -> DataFrame:
     return spark.readStream.schema(SCHEMA).parquet(folder)
 
 
-def start(stream: DataFrame, store: Store, embed: Callable[[Column], Column], model: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def start(
+    stream: DataFrame,
+    store: Store,
+    embed: Callable[[Column], Column],
+    model: str,
+    checkpoint: str,
+    available_now: bool = True,
+) -> StreamingQuery:
     def apply(batch: DataFrame, _: int) -> None:
         last = batch.groupBy("source_file").agg(F.max_by("content", "version").alias("content"))
         index_files(store, last, embed, model)
