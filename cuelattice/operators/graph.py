@@ -17,6 +17,10 @@ class Graph:
     nodes: DataFrame
     edges: DataFrame
 
+    def __post_init__(self):
+        # Spark 4.1 takes a union of sides that are partitioned alike for partitioned itself, and fails when it coalesces the sides differently.
+        self.nodes.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+
 
 def ordered_ids(spark, ids: list[str], name: str = "id") -> DataFrame:
     """A caller's ids with their ordinals."""
