@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, TokenHashes, column, dealt_by, documents, drop_table, expand, mix64, remainder, runs, shared_dir, shuffles_go, slices, squeeze, text_or_empty
 
-DEPTH = 6
+DEPTH = 8
 LEAST_CONTEXT = 2
 LEAST_NEXT = 2
 LEAST_Z = 4.0
