@@ -47,7 +47,8 @@ LONGEST = 4096
 #: Symbols of one transform (the snippets of one key are never parted).
 BLOCK = 2 << 20
 SLICE = 8 << 20
-BUCKETS = 8
+#: Bytes of input text for each bucket.
+BUCKET_BYTES = 1 << 20
 #: Texts of an anchor from which on it is parted.
 HOT = 256
 
@@ -523,7 +524,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(rows: DataFrame, parts: int, hot: int) -> str:
+def _candidates(rows: DataFrame, parts: int, buckets: int, hot: int) -> str:
     """Write the snippets of all slices; returns the table's path.
 
     Nothing that refers to the shuffles behind the table is left when this returns.
@@ -538,14 +539,14 @@ def _candidates(rows: DataFrame, parts: int, hot: int) -> str:
             yield _batch([(*h, d, t) for h, d, t in zip(hashes, least, texts, strict=True)], TEXTS)
 
     texts = known.mapInArrow(distinct, TEXTS).join(by_text, F.col("h1") == F.col("key")).drop("key")
-    snippets = texts.sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(_send_snippets(parts * BUCKETS), SNIPPETS)
+    snippets = texts.sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(_send_snippets(buckets), SNIPPETS)
     return materialise(snippets, "snippets")[1]
 
 
-def _removed(snippets: DataFrame, parts: int) -> str:
+def _removed(snippets: DataFrame, parts: int, buckets: int) -> str:
     """Write the ranges to remove from each text; returns the table's path."""
     requests = snippets.where("bucket >= 0").select("bucket", "slice", "snippets", "sizes", "anchors", "docs")
-    answers = requests.repartition(parts * BUCKETS, "bucket").sortWithinPartitions("bucket", "slice").mapInArrow(_answer, ANSWERS)
+    answers = requests.repartition(buckets, "bucket").sortWithinPartitions("bucket", "slice").mapInArrow(_answer, ANSWERS)
     nothing = F.lit(None).cast("binary")
     states = snippets.where("bucket < 0").select("bucket", "slice", "sizes", "docs", "places", "starts", nothing.alias("least"))
     answers = answers.select("bucket", "slice", *[nothing.alias(c) for c in ("sizes", "docs", "places", "starts")], "least")
@@ -558,8 +559,11 @@ def removals(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _hashed(docs)
-    path = _candidates(rows, parts, hot)
-    ranges = _removed(spark.read.schema(SNIPPETS).parquet(path), parts)
+    # By bytes, not by partitions: slices and buckets exchange one row each, which many small partitions would multiply.
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    path = _candidates(rows, parts, buckets, hot)
+    ranges = _removed(spark.read.schema(SNIPPETS).parquet(path), parts, buckets)
     drop_table(spark, path)
     return rows, spark.read.schema(RANGES).parquet(ranges)
 
