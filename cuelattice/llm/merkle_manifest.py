@@ -350,8 +350,8 @@ WITH RECURSIVE crc_table AS (
 docs AS (
   SELECT doc_id, source, lang, n_chars, text, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS tree,
     list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
-      lambda c, b: xor(c >> 8, (SELECT t FROM crc_table)[(xor(c, b) & 255) + 1])) & 1 = 1 AS touched
-  FROM documents
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])) & 1 = 1 AS touched
+  FROM documents CROSS JOIN crc_table
 ),
 leaves AS (
   SELECT doc_id, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n,
