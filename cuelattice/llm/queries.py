@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, bwt_dedup, directly_addressable, edit_embedding, jaccard_join, merkle_manifest, mixing, progressive_jpeg, secrets, suffix_tree, toxicity
+from . import bpe_automaton, bwt_dedup, directly_addressable, edit_embedding, html_extract, jaccard_join, merkle_manifest, mixing, progressive_jpeg, secrets, suffix_tree, toxicity
 
 QUERIES = {
     "op2_suffix_tree": suffix_tree.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bwt_dedup": bwt_dedup.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_directly_addressable": directly_addressable.query,
+    "op11_html_extract": html_extract.query,
     "op12_merkle_manifest": merkle_manifest.query,
 }
 
