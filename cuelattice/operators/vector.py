@@ -19,7 +19,7 @@ from ..functions.scalar import cosine
 
 #: Queries that are sent to every task at once.
 BLOCK = 4096
-ROWS = 512
+ROWS = 1024
 DECIMALS = 6
 
 
@@ -39,50 +39,67 @@ def knn(nodes: DataFrame, query: list[float], k: int, node_type: str | None = No
     return scored.orderBy(F.desc("score"), "node_id").limit(k)
 
 
-def _partial(ids: list, queries: np.ndarray, k: int):
+class _Best:
+    """The k best (score descending, id ascending) so far of each of n queries."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, -np.inf)
+        self.rows, self.scores, self.ids = np.empty(0, np.int64), np.empty(0), np.empty(0, object)
+
+    def add(self, queries: np.ndarray | None, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of some queries (all if None) by ids.  Ids are compared among those that can still be of the k best."""
+        least = self.least if queries is None else self.least[queries]
+        if scores.shape[1] > self.k:
+            least = np.maximum(least, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
+        row, col = np.nonzero(scores >= least[:, None])
+        if not len(row):
+            return
+        self.scores = np.concatenate([self.scores, scores[row, col]])
+        self.ids = np.concatenate([self.ids, ids[col]])
+        self.rows = np.concatenate([self.rows, row if queries is None else queries[row]])
+        _, place = np.unique(self.ids.astype(str), return_inverse=True)  # by code point, as Spark orders
+        order = np.lexsort([place, -self.scores, self.rows])
+        rows = self.rows[order]
+        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        order = order[nth < self.k]
+        self.rows, self.scores, self.ids = self.rows[order], self.scores[order], self.ids[order]
+        full = rows[nth == self.k - 1]
+        self.least[full] = self.scores[np.searchsorted(self.rows, full) + self.k - 1]
+
+
+def scored(qids: list, queries: np.ndarray, k: int, by_cell: dict[int, np.ndarray] | None = None):
+    """For mapInArrow over (id, embedding[, cell]): each task's k best for each query; with cells, only for the queries that open a vector's."""
     lengths = np.linalg.norm(queries, axis=1)
     lengths[lengths == 0] = 1.0
     unit = queries / lengths[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list = []
-        best = np.zeros((len(ids), 0))
-        own = np.zeros((len(ids), 0), np.int64)
+        best = _Best(len(qids), k)
         # A block of queries times ROWS vectors at once, so that many queries fit into a worker.
         for b in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
-            lists = b.column(1)
-            vectors = np.asarray(lists.flatten(), np.float64).reshape(b.num_rows, -1)
+            vectors = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
             norms = np.linalg.norm(vectors, axis=1)
             norms[norms == 0] = 1.0
-            scores = np.round((unit @ vectors.T) / norms, DECIMALS) + 0.0
-            batch_ids = b.column(0).to_pylist()
-            index = np.arange(len(names), len(names) + b.num_rows)
-            names += batch_ids
-            best = np.concatenate([best, scores], 1)
-            own = np.concatenate([own, np.broadcast_to(index, scores.shape)], 1)
-            # One whole number orders by score (in steps of its last decimal), then by id: only k of a row are chosen, none sorted.
-            rank = np.empty(len(names), np.int64)
-            rank[np.argsort(np.array(names, dtype=object))] = np.arange(len(names))
-            keys = -np.rint(best * 10**DECIMALS).astype(np.int64) * len(names) + rank[own]
-            if best.shape[1] > k:
-                top = np.argpartition(keys, k - 1, axis=1)[:, :k]
-                best, own = np.take_along_axis(best, top, 1), np.take_along_axis(own, top, 1)
-            used, own = np.unique(own, return_inverse=True)
-            names, own = [names[i] for i in used], own.reshape(best.shape)
-        if names:
-            q = np.repeat(np.arange(len(ids)), best.shape[1])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids[i] for i in q], pa.string()),
-                    pa.array([names[i] for i in own.ravel()], pa.string()),
-                    pa.array(best.ravel(), pa.float64()),
-                ],
-                names=["qid", "node_id", "score"],
-            )
+            ids = np.array(b.column(0).to_pylist(), dtype=object)
+            if by_cell is None:
+                best.add(None, np.round((unit @ vectors.T) / norms, DECIMALS) + 0.0, ids)
+                continue
+            cells = np.asarray(b.column(2))
+            for cell in np.unique(cells):
+                own, asked = np.flatnonzero(cells == cell), by_cell[int(cell)]
+                best.add(asked, np.round((unit[asked] @ vectors[own].T) / norms[own], DECIMALS) + 0.0, ids[own])
+        if len(best.rows):
+            yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in best.rows], pa.string()), pa.array(best.ids.tolist(), pa.string()), pa.array(best.scores)], names=["qid", "node_id", "score"])
 
     return run
 
 
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query's hits, with their rank."""
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "node_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def knn_batch(nodes: DataFrame, queries: DataFrame, k: int, node_type: str | None = None) -> DataFrame:
     """(qid, node_id, score, rank) of the k best for each of queries (qid string, embedding)."""
     rows = eligible(nodes, node_type).select("id", "embedding")
@@ -95,9 +112,8 @@ def knn_batch(nodes: DataFrame, queries: DataFrame, k: int, node_type: str | Non
         if not found:
             continue
         matrix = np.array([r.embedding for r in found], np.float64)
-        part = rows.mapInArrow(_partial([r.qid for r in found], matrix, k), "qid string, node_id string, score double")
+        part = rows.mapInArrow(scored([r.qid for r in found], matrix, k), "qid string, node_id string, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return nodes.sparkSession.createDataFrame([], "qid string, node_id string, score double, rank int")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "node_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked(out, k)

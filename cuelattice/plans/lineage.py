@@ -11,9 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or else a folder in the warehouse; never one of this machine alone."""
+    """spark.checkpoint.dir, or else a folder in the warehouse.  On a cluster, one of this machine alone raises."""
     found = spark.conf.get("spark.checkpoint.dir", "")
-    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
+    if found:
+        return found.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse + "/intermediate"
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -24,6 +29,13 @@ def drop(spark: SparkSession, path: str) -> None:
         return
 
 
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(drop, spark, path)
+    return path
+
+
 _OPEN: list[list[tuple[SparkSession, str]]] = []
 
 

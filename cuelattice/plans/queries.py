@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import graph as g
-from ..operators import mutate, read, vector
+from ..operators import mutate, read, vector, vector_index
 from ..operators.graph import Graph
-from . import projection
+from . import lineage, projection
 from .projection import table
 
 QUERIES: dict = {}
@@ -97,6 +97,16 @@ def knn_batch(spark, sf_dir):
     return vector.knn_batch(projection.nodes(spark, sf_dir), queries, 5, "cue")
 
 
+@plain(f"""SELECT qid, node_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node_id) AS rank FROM (
+  SELECT CAST(q.vec_id AS VARCHAR) AS qid, 'cue:vec:' || c.vec_id AS node_id, round({_COSINE.format(a="c.embedding::DOUBLE[]", b="q.embedding::DOUBLE[]")}, 6) AS score
+  FROM embeddings c, embeddings q)) WHERE rank <= 10""")
+def knn_indexed(spark, sf_dir):
+    """The ten nearest cues of every cue, through an index that is built, saved and loaded; exact."""
+    index = vector_index.build(projection.nodes(spark, sf_dir), lineage.kept_path(spark, "vectors"))
+    queries = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("qid"), "embedding")
+    return vector_index.knn_indexed(vector_index.load(spark, index.path), queries, 10, "cue")
+
+
 @query("," + _HITS.format(k=5) + " SELECT id, 'cue' AS node_kind, text AS label, score FROM hits")
 def semantic_search(spark, sf_dir):
     graph = projection.graph(spark, sf_dir)

@@ -138,6 +138,28 @@ def test_stream(spark, tmp_path):
     assert found == {"newer", "b"}
 
 
+def test_stream_out_of_order(spark, tmp_path):
+    """Older versions that come in a later batch, replays and deletions: the newest version is what the store has."""
+    store = Store(spark, tmp_path / "store", scalar.HASH_MODEL, scalar.HASH_DIM)
+    store.initialize()
+    folder = str(tmp_path / "in")
+
+    def batch(*rows):
+        data = [(f, None if c is None else bytearray(c.encode()), v) for f, c, v in rows]
+        spark.createDataFrame(data, incremental.SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        incremental.start(incremental.file_versions(spark, folder), store, scalar.hash_embedding, scalar.HASH_MODEL, str(tmp_path / "cp")).awaitTermination()
+        return {r.symbol_name for r in store.graph.nodes.where("kind = 'function'").collect()}
+
+    assert batch(("a.py", "def new(): pass", 5), ("b.py", "def b(): pass", 1), (None, "def x(): pass", 9), ("c.py", "def c(): pass", None)) == {"new", "b"}
+    version = store.folder.read("CURRENT")
+    assert batch(("a.py", "def old(): pass", 2), ("b.py", "def b(): pass", 1), ("b.py", "def b(): pass", 3)) == {"new", "b"}
+    assert store.folder.read("CURRENT") == version  # older, repeated and unchanged versions write nothing
+    assert batch(("a.py", None, 6), ("b.py", None, 2)) == {"b"}
+    assert [r.file_path for r in store.list_files().collect()] == ["b.py"]
+    assert batch(("a.py", "def late(): pass", 4), ("d.py", None, 1)) == {"b"}
+    assert batch(("a.py", "def again(): pass", 7)) == {"b", "again"}
+
+
 # ------------------------------------------------------------------ cross-references
 
 
