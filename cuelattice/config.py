@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Mapping
 from dataclasses import dataclass
 from pathlib import Path
@@ -24,11 +25,11 @@ class Settings:
     embed_model: str | None = None
     embed_dim: int | None = None
     embed_base_url: str | None = None
-    embed_api_key: str | None = None
+    embed_api_key: str | None = dataclasses.field(default=None, repr=False)
     embed_send_dim: bool = False
     llm_model: str | None = None
     llm_base_url: str | None = None
-    llm_api_key: str | None = None
+    llm_api_key: str | None = dataclasses.field(default=None, repr=False)
 
     @classmethod
     def from_mapping(cls, values: Mapping[str, str]) -> Settings:

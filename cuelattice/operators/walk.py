@@ -14,12 +14,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from ..schema import parse_tag_filters
 from .graph import Graph, first_by, neighbors
+from .packed import Packed, has_tags
 from .read import content_summaries, cue_summaries, expand_contents
 
 DECISION = "qid string, collect array<struct<id:string,relevance:double>>, descend_into string, stop boolean, error boolean"
@@ -86,6 +87,39 @@ def _as_contents(graph: Graph, collected: DataFrame) -> DataFrame:
     return direct.select(*columns).unionByName(via.select(*columns))
 
 
+def _moved(rows: DataFrame, ends: Column, down: Column) -> DataFrame:
+    """States after a hop: down to the decision's candidate, else back along the stack, else to the next seed, else done."""
+    back, next_seed = F.size("stack") > 0, F.size("queue") > 0
+    seed = F.get("queue", F.lit(0))
+    return rows.select(
+        "qid",
+        F.when(ends, F.col("id")).when(down, F.col("descend_into")).when(back, F.element_at("stack", -1)).when(next_seed, seed).otherwise(F.col("id")).alias("id"),
+        F.when(ends, F.col("stack")).when(down, F.concat("stack", F.array("id"))).when(
+            back,
+            F.slice("stack", F.lit(1), F.size("stack") - 1),
+        ).otherwise(F.col("stack")).alias("stack"),
+        F.when(ends | down | back | ~next_seed, F.col("queue")).otherwise(F.slice("queue", F.lit(2), F.size("queue"))).alias("queue"),
+        F.when(ends, F.col("visited")).when(
+            down,
+            F.concat("visited", F.array("descend_into")),
+        ).when(back | ~next_seed, F.col("visited")).otherwise(F.concat("visited", F.array(seed))).alias("visited"),
+        (ends | ~(down | back | next_seed)).alias("done"),
+    )
+
+
+def _started(seeds: DataFrame) -> DataFrame:
+    return seeds.where(F.size("seeds") > 0).select(
+        "qid", F.col("seeds")[0].alias("id"), F.array().cast("array<string>").alias("stack"), F.slice("seeds", 2, F.greatest(F.size("seeds"), F.lit(1))).alias("queue"), F.array(F.col("seeds")[0]).alias("visited"), F.lit(False).alias("done"),
+    )
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    """Contents by their best relevance, ties by first discovery."""
+    best = found.groupBy("qid", "content_id").agg(F.max("relevance").alias("relevance"), F.min("discovery").alias("discovery"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("relevance"), "discovery"))
+    return best.select("qid", "content_id", "relevance", place.alias("place"))
+
+
 def reconstruct(
     graph: Graph,
     seeds: DataFrame,
@@ -102,10 +136,7 @@ def reconstruct(
     if planner is None:
         raise RuntimeError("reconstruct needs a planner and none is set")
     tags = parse_tag_filters(tag_filters)
-    state = seeds.where(F.size("seeds") > 0).select(
-        "qid", F.col("seeds")[0].alias("id"), F.array().cast("array<string>").alias("stack"), F.slice("seeds", 2, F.greatest(F.size("seeds"), F.lit(1))).alias("queue"), F.array(F.col("seeds")[0]).alias("visited"), F.lit(False).alias("done"),
-    )
-    state = cut(state)
+    state = cut(_started(seeds))
     if queries is None:
         queries = state.select("qid", F.lit(None).cast("string").alias("query"))
     found_all: DataFrame | None = None
@@ -128,30 +159,61 @@ def reconstruct(
         rows = state.where("NOT done").join(moves, "qid", "left")
         ends = F.coalesce("error", F.lit(True)) | F.coalesce("stop", F.lit(False))  # no decision at all ends a walk too
         down = F.coalesce("known", F.lit(False)) & ~F.array_contains("visited", F.coalesce("descend_into", F.lit("")))
-        back, next_seed = F.size("stack") > 0, F.size("queue") > 0
-        seed = F.get("queue", F.lit(0))
-        moved = rows.select(
-            "qid",
-            F.when(ends, F.col("id")).when(down, F.col("descend_into")).when(back, F.element_at("stack", -1)).when(next_seed, seed).otherwise(F.col("id")).alias("id"),
-            F.when(ends, F.col("stack")).when(down, F.concat("stack", F.array("id"))).when(
-                back,
-                F.slice("stack", F.lit(1), F.size("stack") - 1),
-            ).otherwise(F.col("stack")).alias("stack"),
-            F.when(ends | down | back | ~next_seed, F.col("queue")).otherwise(F.slice("queue", F.lit(2), F.size("queue"))).alias("queue"),
-            F.when(ends, F.col("visited")).when(
-                down,
-                F.concat("visited", F.array("descend_into")),
-            ).when(back | ~next_seed, F.col("visited")).otherwise(F.concat("visited", F.array(seed))).alias("visited"),
-            (ends | ~(down | back | next_seed)).alias("done"),
-        )
+        moved = _moved(rows, ends, down)
         state = cut(moved.unionByName(state.where("done")))
         if state.where("NOT done").isEmpty():
             break
     if found_all is None:
         return seeds.select("qid", F.lit("").alias("content_id"), F.lit(0.0).alias("relevance"), F.lit(0).alias("place")).limit(0)
-    best = found_all.groupBy("qid", "content_id").agg(F.max("relevance").alias("relevance"), F.min("discovery").alias("discovery"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("relevance"), "discovery"))
-    return best.select("qid", "content_id", "relevance", place.alias("place"))
+    return _ranked(found_all)
+
+
+def _lists(packed: Packed, active: DataFrame, tags: list[tuple[str, str]]) -> DataFrame:
+    """(qid, candidates): the candidates of each walk's current node, in order; contents have all tags."""
+    rows = active.select("qid", "id").join(packed.candidates.select("id", "candidates"), "id")
+    lists = rows.groupBy("qid").agg(F.array_sort(F.flatten(F.collect_list("candidates"))).alias("candidates"))
+    return lists.withColumn("candidates", F.filter("candidates", lambda c: (c["node_kind"] == "cue") | has_tags(tags, c["tags"]))) if tags else lists
+
+
+def reconstruct_packed(
+    packed: Packed,
+    seeds: DataFrame,
+    planner: Planner | None,
+    budget: int = 3,
+    tag_filters: list[tuple[str, str]] | None = None,
+    queries: DataFrame | None = None,
+) -> DataFrame:
+    """:func:`reconstruct` over a packed graph: a hop is one join with the candidate table, and writes one table.
+
+    The table of a hop has for each walk its state, its decision, and the ids of its candidates with the contents
+    that they stand for; the next states and what was collected are read from it.
+    """
+    if planner is None:
+        raise RuntimeError("reconstruct needs a planner and none is set")
+    tags = parse_tag_filters(tag_filters)
+    state, found_all = cut(_started(seeds)), None
+    if queries is None:
+        queries = state.select("qid", F.lit(None).cast("string").alias("query"))
+    for hop in range(budget):
+        at = state.join(_lists(packed, state, tags), "qid", "left")
+        none = F.array().cast(packed.candidates.schema["candidates"].dataType)
+        told = F.transform(F.coalesce("candidates", none), lambda c: c.dropFields("content"))
+        requests = at.join(queries, "qid", "left").select("qid", "query", F.lit(hop).alias("hop"), F.lit(budget - hop).alias("hops_left"), F.col("id").alias("current"), told.alias("candidates"))
+        standing = F.transform(F.coalesce("candidates", none), lambda c: F.struct(c["id"].alias("id"), c["content"].alias("content"))).alias("standing")
+        step = cut(at.select("qid", "id", "stack", "queue", "visited", standing).join(planner(requests).select("qid", "collect", "descend_into", "stop", "error"), "qid", "left"))
+        picks = step.where("NOT coalesce(error, false)").select("qid", F.posexplode("collect").alias("k", "pick"))
+        known = step.select("qid", F.explode("standing").alias("c")).select("qid", F.col("c.id").alias("picked"), F.col("c.content").alias("content_id")).where("content_id IS NOT NULL")
+        picks = picks.select("qid", F.col("pick.id").alias("picked"), F.col("pick.relevance").alias("relevance"), F.struct(F.lit(hop).alias("hop"), "k").alias("discovery"))
+        collected = picks.join(known, ["qid", "picked"]).select("qid", "content_id", "relevance", "discovery")
+        found_all = collected if found_all is None else found_all.unionByName(collected)
+        ends = F.coalesce("error", F.col("descend_into").isNull() & F.col("collect").isNull() & F.col("stop").isNull()) | F.coalesce("stop", F.lit(False))
+        down = F.exists("standing", lambda c: c["id"] == F.col("descend_into")) & ~F.array_contains("visited", F.coalesce("descend_into", F.lit("")))
+        state = _moved(step, ends, F.coalesce(down, F.lit(False))).where("NOT done")
+        if hop + 1 < budget and state.isEmpty():
+            break
+    if found_all is None:
+        return seeds.select("qid", F.lit("").alias("content_id"), F.lit(0.0).alias("relevance"), F.lit(0).alias("place")).limit(0)
+    return _ranked(found_all)
 
 
 # ------------------------------------------------------------------ planners

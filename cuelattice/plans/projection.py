@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
+from ..operators.packed import Packed, pack
 from ..schema import as_edges, as_nodes
 from . import lineage
 
@@ -118,6 +119,17 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return _SAVED[key]
 
 
+_PACKED: dict[tuple, Packed] = {}
+
+
+def packed(spark: SparkSession, sf_dir: str) -> Packed:
+    """The graph packed for reading: once in a session, then only read."""
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir))
+    if key not in _PACKED:
+        _PACKED[key] = pack(graph(spark, sf_dir))
+    return _PACKED[key]
+
+
 #: The same mapping in DuckDB SQL, as common table expressions.
 ORACLE = """
 doc_rows AS (SELECT d.doc_id, d.text, d.lang, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),

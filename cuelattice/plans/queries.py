@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import graph as g
-from ..operators import mutate, read, vector, vector_index
+from ..operators import mutate, packed, read, vector, vector_index
 from ..operators.graph import Graph
 from . import lineage, projection
 from .projection import table
@@ -141,6 +141,24 @@ def neighbors_typed(spark, sf_dir):
     return g.neighbors(graph, ids, "tagged_with").select("id", "edge_seq", F.col("n_id").alias("neighbor"))
 
 
+@query(""" SELECT s.id, 'outgoing' AS direction, e.edge_type, e.edge_seq, e.target_id AS neighbor FROM nodes s JOIN edges e ON e.source_id = s.id
+UNION ALL SELECT s.id, 'incoming', e.edge_type, e.edge_seq, e.source_id FROM nodes s JOIN edges e ON e.target_id = s.id""")
+def neighbors_packed(spark, sf_dir):
+    """All neighbours of all nodes, both ways, from the packed adjacency."""
+    ids = projection.graph(spark, sf_dir).nodes.select("id")
+    rows = [packed.neighbors(projection.packed(spark, sf_dir), ids, direction=d).withColumn("direction", F.lit(d)) for d in ("outgoing", "incoming")]
+    return rows[0].unionByName(rows[1]).select("id", "direction", "edge_type", "edge_seq", F.col("neighbor_id").alias("neighbor"))
+
+
+@query("," + _CUES + "," + _FORWARD.format(start="cues") + """ SELECT ord, edge_seq, content_id FROM firsts WHERE place = 1 AND content_id IN (
+  SELECT id FROM tags_of WHERE (category = 'language' AND value = 'en') OR (category = 'pattern_type' AND value = 'quality:1')
+    GROUP BY id HAVING count(*) = 2)""")
+def traverse_packed_tags(spark, sf_dir):
+    """Contents of every cue that have two tags, from the packed candidates."""
+    wanted = [("language", "en"), ("pattern_type", "quality:1")]
+    return packed.traverse_forward(projection.packed(spark, sf_dir), _some_cues(spark, sf_dir), wanted)
+
+
 @query("," + _CUES + "," + _FORWARD.format(start="cues") + " SELECT ord, edge_seq, content_id FROM firsts WHERE place = 1")
 def traverse_forward(spark, sf_dir):
     return read.traverse_forward(projection.graph(spark, sf_dir), _some_cues(spark, sf_dir))
@@ -304,13 +322,31 @@ def upsert_edges(spark, sf_dir):
 
 _GONE = """, gone AS (SELECT 'cue:vec:' || vec_id AS id FROM embeddings WHERE label = 3 UNION SELECT 'content:doc:' || doc_id FROM documents
   WHERE lang = 'es')"""
-_KINDS = """SELECT 'node' AS what, node_type AS kind, count(*) AS n FROM kept_nodes GROUP BY node_type UNION ALL SELECT 'edge', edge_type, count(*)
-  FROM kept_edges GROUP BY edge_type"""
+def _row_hash_sql(columns: list[str]) -> str:
+    """The sum over rows of a hash of all their columns, so that a wrong value in any of them shows."""
+    texts = ", ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+    return f"CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {texts})), 1, 8) AS BIGINT)) AS BIGINT)"
+
+
+_NODE_COLUMNS = ["id", "node_type", "status", "source_file", "git_sha", "text", "category", "value", "kind", "memory_layer", "symbol_name", "signature", "body"]
+_EDGE_COLUMNS = ["source_id", "target_id", "edge_type", "source_file"]
+_VECTOR = "list_sum(list_transform(embedding, lambda x, i: CAST(round(x * 1000000) AS BIGINT) * i))"
+_KINDS = f"""SELECT 'node' AS what, node_type AS kind, count(*) AS n, {_row_hash_sql([*_NODE_COLUMNS, _VECTOR])} AS rows_hash FROM kept_nodes GROUP BY node_type
+  UNION ALL SELECT 'edge', edge_type, count(*), {_row_hash_sql(_EDGE_COLUMNS)} FROM kept_edges GROUP BY edge_type"""
+KINDS = "what string, kind string, n long, rows_hash long"
+
+
+def _row_hash(columns: list) -> F.Column:
+    text = F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns])
+    return F.sum(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")).alias("rows_hash")
 
 
 def _kinds(graph: Graph) -> DataFrame:
-    nodes = graph.nodes.groupBy(F.lit("node").alias("what"), F.col("node_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    return nodes.unionByName(graph.edges.groupBy(F.lit("edge").alias("what"), F.col("edge_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
+    """Nodes and edges by type: how many, and a hash of all their columns."""
+    vector = F.aggregate(F.transform("embedding", lambda x, i: F.round(x * 1000000).cast("long") * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    nodes = graph.nodes.groupBy(F.lit("node").alias("what"), F.col("node_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), _row_hash([*_NODE_COLUMNS, vector]))
+    edges = graph.edges.groupBy(F.lit("edge").alias("what"), F.col("edge_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), _row_hash(_EDGE_COLUMNS))
+    return nodes.unionByName(edges)
 
 
 @query(

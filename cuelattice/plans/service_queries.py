@@ -200,6 +200,15 @@ def reconstruct_six_hops(spark, sf_dir):
     return _walks(spark, sf_dir, 6)
 
 
+@query(_walk_sql(6))
+def reconstruct_packed_six_hops(spark, sf_dir):
+    """The same walks over the packed graph."""
+    queries = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("qid"), "embedding")
+    hits = vector.knn_batch(projection.graph(spark, sf_dir).nodes, queries, 3, "cue")
+    seeds = hits.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda h: h["node_id"]).alias("seeds"))
+    return walk.reconstruct_packed(projection.packed(spark, sf_dir), seeds, walk.rule_planner(), budget=6)
+
+
 def _scripted_sql() -> str:
     start = _walk_sql(0).split("s0 AS (")[0].rstrip().rstrip(",")
     return start + """,

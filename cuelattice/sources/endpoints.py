@@ -7,6 +7,8 @@ for other transports; the default speaks HTTP with the standard library.
 from __future__ import annotations
 
 import json
+import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -18,10 +20,22 @@ BASE_URL = "https://api.openai.com/v1"
 Post = Callable[[str, dict, dict], dict]
 
 
+#: Seconds to wait before each further try of a request.
+WAITS = (1, 4, 16)
+
+
 def http_post(url: str, headers: dict, body: dict) -> dict:
+    """One request, tried again where the endpoint is busy, fails or cannot be reached."""
     request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
-    with urllib.request.urlopen(request, timeout=120) as response:
-        return json.load(response)
+    for wait in (*WAITS, None):
+        try:
+            with urllib.request.urlopen(request, timeout=120) as response:
+                return json.load(response)
+        except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
+            if wait is None or isinstance(e, urllib.error.HTTPError) and e.code != 429 and e.code < 500:
+                raise
+            time.sleep(wait)
+    raise AssertionError("not reached")
 
 
 @dataclass
@@ -33,8 +47,10 @@ class EndpointEmbedder:
     send_dimensions: bool = True
     model_version: str | None = None
     base_url: str | None = None
-    api_key: str = ""
+    api_key: str = field(default="", repr=False)
     post: Post = field(default=http_post, repr=False)
+    #: Texts of one request at most.
+    batch: int = 256
 
     def __post_init__(self):
         given = self.dimensions is not None
@@ -43,8 +59,9 @@ class EndpointEmbedder:
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         """One vector a text, in the texts' order whatever order the endpoint answers in."""
-        if not texts:
-            return []
+        return [v for lo in range(0, len(texts), self.batch) for v in self._request(texts[lo : lo + self.batch])]
+
+    def _request(self, texts: list[str]) -> list[list[float]]:
         body = {"model": self.model, "input": list(texts)} | ({"dimensions": self.dimensions} if self.send_dimensions else {})
         found = self.post(f"{(self.base_url or BASE_URL).rstrip('/')}/embeddings", {"Authorization": f"Bearer {self.api_key}"}, body)["data"]
         if len(found) != len(texts):
@@ -82,7 +99,7 @@ class EndpointPlanner:
 
     model: str
     base_url: str | None = None
-    api_key: str = ""
+    api_key: str = field(default="", repr=False)
     post: Post = field(default=http_post, repr=False)
 
     def decide(self, request: dict) -> dict | None:

@@ -7,6 +7,8 @@ import pytest
 
 from cuelattice import server
 from cuelattice.service import Service
+from cuelattice.config import Settings
+from cuelattice.sources import endpoints
 from cuelattice.sources.endpoints import EndpointEmbedder, EndpointPlanner
 from helpers import unit
 
@@ -31,6 +33,46 @@ def test_embedder():
         EndpointEmbedder("own", 2, post=lambda *a: {"data": []}).embed(["a"])
 
 
+def test_requests_are_cut():
+    """Many texts are several requests, and their vectors come in the texts' order."""
+    sizes = []
+
+    def post(url, headers, body):
+        sizes.append(len(body["input"]))
+        return {"data": [{"index": i, "embedding": [int(t)]} for i, t in enumerate(body["input"])]}
+
+    got = EndpointEmbedder("own", 1, post=post, batch=300).embed([str(i) for i in range(1000)])
+    assert sizes == [300, 300, 300, 100] and got == [[float(i)] for i in range(1000)]
+
+
+def test_requests_are_tried_again(monkeypatch):
+    """A busy or unreachable endpoint is tried again a few times; a refusal is not."""
+    answers, waited = [], []
+
+    def urlopen(request, timeout):
+        answer = answers.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return io.BytesIO(json.dumps(answer).encode())
+
+    monkeypatch.setattr(endpoints.urllib.request, "urlopen", urlopen)
+    monkeypatch.setattr(endpoints.time, "sleep", waited.append)
+    error = lambda code: endpoints.urllib.error.HTTPError("http://x", code, "", {}, None)
+    answers[:] = [error(429), error(503), ConnectionResetError(), {"ok": 1}]
+    assert endpoints.http_post("http://x", {}, {}) == {"ok": 1} and waited == [1, 4, 16]
+    answers[:] = [error(401), {"ok": 1}]
+    with pytest.raises(endpoints.urllib.error.HTTPError):
+        endpoints.http_post("http://x", {}, {})
+    answers[:] = [error(500)] * 4
+    with pytest.raises(endpoints.urllib.error.HTTPError):
+        endpoints.http_post("http://x", {}, {})
+
+
+def test_keys_do_not_print():
+    shown = repr([EndpointEmbedder("own", 1, api_key="hush"), EndpointPlanner("m", api_key="hush"), Settings(embed_api_key="hush", llm_api_key="hush")])
+    assert "hush" not in shown
+
+
 def test_planner():
     answer = {"content": json.dumps({"collect": [{"id": "x", "relevance": 0.5}], "descend_into": None, "stop": False})}
     planner = EndpointPlanner("chat", post=lambda url, h, body: {"choices": [{"message": answer}]})

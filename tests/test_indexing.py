@@ -9,7 +9,7 @@ from cuelattice import cli, factories
 from cuelattice.functions import scalar
 from cuelattice.functions.parsing import parse_module
 from cuelattice.index import index_files, index_repository
-from cuelattice.operators import scip
+from cuelattice.operators import extract, scip
 from cuelattice.service import Service, open_references
 from cuelattice.sources import files
 from cuelattice.sources import scip as scip_source
@@ -138,6 +138,78 @@ def test_stream(spark, tmp_path):
     assert found == {"newer", "b"}
 
 
+def test_broken_members():
+    """A method, a function or a header that does not parse hides neither its siblings nor its class."""
+    source = """class A(Base):
+    \"\"\"Doc.\"\"\"
+    def one(self): return 1
+
+    @prop
+    def two(self, a=3) -> str:
+        raise ValueError("bad")
+        return (a
+
+    def three(self:
+        pass
+
+    async def test_four(self):
+        raise KeyError("four")
+
+
+def a(x): return (x
+
+
+def old():
+    print "hello"
+    raise OSError("old")
+
+
+def after():
+    s = \"\"\"
+def not_me():
+\"\"\"
+"""
+    found = {d.qualified_name: d for d in parse_module(source).definitions}
+    assert list(found) == ["A", "A.one", "A.two", "A.test_four", "a", "old", "after"]
+    assert [d.lineno for d in found.values()] == [1, 3, 6, 13, 17, 20, 25]
+    two = found["A.two"]
+    assert (two.signature, two.decorators, two.error_messages, two.kind) == ("def two(self, a=3) -> str", ["prop"], ["bad"], "method")
+    assert two.source.endswith("return (a") and found["A"].docstring == "Doc." and found["A"].signature == "class A(Base)"
+    assert found["a"].signature == "def a(x)" and found["old"].error_messages == ["old"] and found["A.test_four"].is_test
+    assert [d.qualified_name for d in parse_module('class B:\n    def f(self):\n        """open\n    def g(self): pass\n').definitions] == ["B", "B.f", "B.g"]
+    assert parse_module("def f(").definitions == []
+
+
+def test_no_text_is_embedded_twice(spark, tmp_path):
+    """A second run asks for the texts that are new alone; another model asks for all."""
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    log = str(asked)
+
+    def embed(texts):
+        import uuid
+
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    def run(model, **files):
+        scan = spark.createDataFrame([(f"{n}.py", bytearray(c.encode())) for n, c in files.items()], "source_file string, content binary")
+        index_files(store, scan, extract.embedder_udf(embed), model)
+        seen = sorted(x for p in asked.iterdir() for x in p.read_text().split("\n"))
+        for p in asked.iterdir():
+            p.unlink()
+        return seen
+
+    store = Store(spark, tmp_path / "store", None, 2)
+    store.initialize()
+    assert run("m", a="def one(): pass\ndef two(): pass") == ["one", "two"]
+    assert run("m", a="def two(): pass\ndef three(): pass", b="def one(): pass") == ["three"]
+    assert store.graph.nodes.where("text = 'one'").head().embedding == [3.0, 1.0]
+    assert run("m", a="def two(): pass\ndef three(): return 1") == []
+    assert extract.known_vectors(store.graph.nodes, "other").isEmpty()
+
+
 def test_stream_out_of_order(spark, tmp_path):
     """Older versions that come in a later batch, replays and deletions: the newest version is what the store has."""
     store = Store(spark, tmp_path / "store", scalar.HASH_MODEL, scalar.HASH_DIM)
