@@ -13,17 +13,19 @@ took away.  Written out, the arcs would number tokens times tokens; instead the
 gadgets are kept (a time and two parts for each token, a time for each removed
 arc), and an arc is looked up through them once and then kept in the table.
 
-A word has one path through the automaton whose labels spell it, and each prefix
-of a word has one path too.  So the automaton runs in step with one that reads
-base symbols: the table of transitions by (state, symbol) over all labels, whose
-states name the labels that end there (Aho and Corasick's).  After each symbol,
-the one label that may follow where it begins is the last of the prefix's path.
-Every symbol is read once, without a way back; the path is read off from its
-end.
+A word has one path through the automaton whose labels spell it, and so has each
+of its prefixes.  Read by base symbols, the automaton is made deterministic: a
+state holds, for each place where a label may have begun, the label before it,
+the symbols read since, and the labels that are not yet sure; a transition on a
+symbol gives the next state and emits the labels on which all of these agree.
+Transitions are worked out when they are first taken and kept in a table of
+bounded size, so encoding a word is one look-up a symbol, from left to right.
 
 Defined cases: null and empty texts have no tokens; special tokens found in a
 text become their ids, as the library does; any further columns are ignored by
-the digests and kept by :func:`encode` and :func:`decode`.
+the digests and kept by :func:`encode`, :func:`decode` and :func:`tokenize`,
+except that columns which have the name of a result are replaced: ``ids``,
+``decoded``, and for the last ``ids``, ``n_tokens`` and ``decoded_sha256``.
 """
 
 from __future__ import annotations
@@ -34,7 +36,6 @@ import re
 from collections.abc import Iterator
 from functools import cached_property
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,13 +45,16 @@ from .common import as_text, column, documents, free_name, slices, text_or_empty
 from .presplit import WORD_LEVEL, byte_symbols, is_latin1
 
 NEVER = 1 << 60
-#: Follows the last symbol of a word; no vocabulary has it.
-END = "\uffff"
+#: Follows the last symbol of a word; no symbol is empty.
+END = ""
 
 
 class Automaton:
     """The tokenization automaton of a vocabulary and its ordered merges."""
 
+    #: Transitions that the table holds at most, about; then it is filled anew.
+    most = 200_000
+
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         self.labels = {i: t for t, i in vocab.items()}
         self.suffix = suffix
@@ -76,6 +80,8 @@ class Automaton:
         #: Tokens by their spelling: those inside a word, and those that end it (without the suffix).
         self.inner = {t: vocab[t] for t in made if vocab[t] not in final}
         self.final = {t[: len(t) - len(suffix)]: vocab[t] for t in made if vocab[t] in final} if suffix else self.inner
+        self.prefixes = {t[:i] for t in {*self.inner, *self.final} for i in range(1, len(t) + 1)}
+        self._restart()
 
     def _arc_at(self, a: int, b: int, time: int) -> bool:
         """Whether token b may follow token a, once the gadgets up to ``time`` are in."""
@@ -100,46 +106,67 @@ class Automaton:
             found = self.arcs[key] = self._arc_at(a, b, NEVER - 1)
         return found
 
-    @cached_property
-    def symbols(self) -> ahocorasick.Automaton:
-        """Transitions over base symbols; labels that end a word are followed by END, if the vocabulary tells them apart."""
-        table = ahocorasick.Automaton()
-        for t, i in self.inner.items():
-            table.add_word(t, (len(t), i))
-        if self.suffix:
-            for t, i in self.final.items():
-                table.add_word(t + END, (len(t) + 1, i))
-        table.make_automaton()
-        return table
+    def _restart(self) -> None:
+        start = ((None, "", ()),)
+        self.states, self.numbers = [start], {start: 0}
+        self.table: list[dict[str, tuple[int, tuple[int, ...]]]] = [{}]
+        self.filled = 0
+
+    def _transition(self, state: int, symbol: str) -> tuple[int, tuple[int, ...]]:
+        """The next state and the labels emitted.  At the end of a word all labels are sure."""
+        places = self.states[state]
+        if symbol == END:
+            for before, read, unsure in places:
+                if self.suffix:
+                    label = self.final.get(read)
+                    if label is not None and (before is None or self.arc(before, label)):
+                        return 0, (*unsure, label)
+                elif not read:
+                    return 0, unsure
+            raise ValueError("no path spells the word")
+        after, ended = [], None
+        for before, read, unsure in places:
+            read += symbol
+            if read in self.prefixes:
+                after.append((before, read, unsure))
+            if ended is None:
+                label = self.inner.get(read)
+                if label is not None and (before is None or self.arc(before, label)):
+                    ended = (label, "", (*unsure, label))  # the one path of this prefix
+        if ended is not None:
+            after.append(ended)
+        if not after:
+            raise ValueError(f"no path goes on with {symbol!r}")
+        shortest, longest = min(x[2] for x in after), max(x[2] for x in after)  # what these two share, all do
+        sure = next((i for i, (x, y) in enumerate(zip(shortest, longest, strict=False)) if x != y), min(len(shortest), len(longest)))
+        places = tuple((before, read, unsure[sure:]) for before, read, unsure in after)
+        to = self.numbers.get(places)
+        if to is None:
+            to = self.numbers[places] = len(self.states)
+            self.states.append(places)
+            self.table.append({})
+        self.filled += 1
+        return to, shortest[:sure]
 
     def encode_word(self, word: str) -> list[int]:
         """The labels' ids on the one path that spells ``word`` (in the vocabulary's symbols, without the suffix)."""
         if not word:
             return []
-        if (whole := self.final.get(word)) is not None:
-            return [whole]
-        if self.suffix:
-            word += END
-        n, arcs, arc = len(word), self.arcs, self.arc
-        last: list[int | None] = [None] * (n + 1)
-        begins = [0] * (n + 1)
-        for at, (size, t) in self.symbols.iter(word):
-            start = at + 1 - size
-            if start:
-                before = last[start]
-                if before is None:
-                    continue
-                follows = arcs.get((before, t))
-                if not (arc(before, t) if follows is None else follows):
-                    continue
-            last[at + 1], begins[at + 1] = t, start
-        path, at = [], n
-        while at:
-            if last[at] is None:
-                raise ValueError(f"no path spells {word!r}")
-            path.append(last[at])
-            at = begins[at]
-        return path[::-1]
+        if self.filled > self.most:
+            self._restart()
+        state, out, table = 0, [], self.table
+        for symbol in (*word, END):
+            row = table[state]
+            step = row.get(symbol)
+            if step is None:
+                try:
+                    step = row[symbol] = self._transition(state, symbol)
+                except ValueError as e:
+                    raise ValueError(f"{e}: {word!r}") from None
+            state, labels = step
+            if labels:
+                out += labels
+        return out
 
 
 class Tokenizer:

@@ -23,7 +23,7 @@ many documents share moves once per slice, not once per document.
 Defined cases: null text counts as empty; rows with equal text are settled by
 their least doc_id (all bytes of the later ones go); rows with equal doc_id
 take nothing from each other; a row with a null doc_id neither gives nor loses
-anything; texts under 50 bytes stay; further columns are ignored.
+anything; texts under 50 bytes stay; further columns are ignored.  doc_id must be an integer.
 """
 
 from __future__ import annotations
@@ -47,8 +47,10 @@ LONGEST = 4096
 #: Symbols of one transform (the snippets of one key are never parted).
 BLOCK = 2 << 20
 SLICE = 8 << 20
-#: Bytes of input text for each bucket.
-BUCKET_BYTES = 1 << 20
+#: Bytes of input text for each bucket of snippets.  A task holds one, with 8 bytes a window in the worst case.
+BUCKET_BYTES = 16 << 20
+#: Bytes of input text for each partition of anchors, which a task holds at once.
+PART_BYTES = 64 << 20
 #: Texts of an anchor from which on it is parted.
 HOT = 256
 
@@ -264,6 +266,13 @@ def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tu
         yield list(found), [v[0] for v in found.values()], [v[1] for v in found.values()]
 
 
+def _bounds(a: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """The values of a sorted array and where each begins and ends, whatever the number of values that it might have."""
+    heads = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]]).tolist() if len(a) else []
+    for lo, hi in zip(heads, heads[1:], strict=False):
+        yield int(a[lo]), lo, hi
+
+
 ANCHORS = "part int, texts binary, counts binary, anchors binary"
 TEXTS = "h1 long, h2 long, doc_id long, text binary"
 
@@ -279,14 +288,11 @@ def _send_anchors(parts: int):
             part = ((key >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((text, part))
             part, text, key = part[order], text[order], key[order]
-            bounds = np.searchsorted(part, np.arange(parts + 1))
             h1 = np.array([h for h, _ in hashes], np.int64)
             rows = []
-            for p in range(parts):
-                lo, hi = bounds[p], bounds[p + 1]
-                if lo < hi:
-                    t, n = np.unique(text[lo:hi], return_counts=True)
-                    rows.append((p, h1[t].tobytes(), pack(n), key[lo:hi].tobytes()))
+            for p, lo, hi in _bounds(part):
+                t, n = np.unique(text[lo:hi], return_counts=True)
+                rows.append((p, h1[t].tobytes(), pack(n), key[lo:hi].tobytes()))
             yield _batch(rows, ANCHORS)
 
     return run
@@ -312,14 +318,7 @@ def _find_shared(parts: int, most: int):
             part = (text.view(np.uint64) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             key, text, hot = key[order], text[order], hot[order]
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            yield _batch(
-                [
-                    (p, text[lo:hi].tobytes(), key[lo:hi].tobytes(), hot[lo:hi].tobytes()) for p,
-                    (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if lo < hi
-                ],
-                SHARED,
-            )
+            yield _batch([(p, text[lo:hi].tobytes(), key[lo:hi].tobytes(), hot[lo:hi].tobytes()) for p, lo, hi in _bounds(part[order])], SHARED)
 
     return run
 
@@ -383,7 +382,6 @@ def _send_snippets(buckets: int):
             order = np.argsort(bucket, kind="stable")
             back = np.empty(len(order), np.int64)
             back[order] = np.arange(len(order))
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
             number, sizes, least_docs = (task << 40) + count, np.array([len(s) for s in snippets], np.int64), np.array(least, np.int64)
             count += 1
             rows = [
@@ -398,8 +396,8 @@ def _send_snippets(buckets: int):
                     pack(np.array(docs_at)) + b"".join([np.array(starts_at, "<u4").tobytes()]),
                 )
             ]
-            for p in np.unique(bucket).tolist():
-                own = order[bounds[p] : bounds[p + 1]]
+            for p, lo, hi in _bounds(bucket[order]):
+                own = order[lo:hi]
                 rows.append(
                     (
                         p,
@@ -557,11 +555,12 @@ def _removed(snippets: DataFrame, parts: int, buckets: int) -> str:
 def removals(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, h1, h2, text), and for each text with removals its ranges."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _hashed(docs)
-    # By bytes, not by partitions: slices and buckets exchange one row each, which many small partitions would multiply.
+    # By bytes, so that what a task holds does not grow with the input.  A slice and a bucket exchange one row each: small inputs have small buckets, but no more than partitions.
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET_BYTES))
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(shuffles, -(-size // PART_BYTES))
+    buckets = max(1, -(-size // BUCKET_BYTES), min(shuffles, size >> 20))
     path = _candidates(rows, parts, buckets, hot)
     ranges = _removed(spark.read.schema(SNIPPETS).parquet(path), parts, buckets)
     drop_table(spark, path)

@@ -11,8 +11,11 @@ token counts, and the levels.  :func:`write_files` puts the file images in rows
 of a Parquet table, in ascending order of doc_id, because only Spark's writers
 reach every store; ``content`` is the image of one file.
 
-Defined cases: null text counts as empty (its only id is the end id); a null
-doc_id comes first; rows with equal doc_id are ordered by text; an empty table
+Beside each image stand its documents' places, so that :func:`lookup` reads the
+images of the files that it needs and no others.
+
+Defined cases: doc_id must be an integer; null text counts as empty (its only id
+is the end id); a null doc_id comes first; rows with equal doc_id are ordered by text; an empty table
 gives no files; further columns are ignored.
 """
 
@@ -182,7 +185,7 @@ STORED = {
     "parquet.page.size.row.check.min": "1",
 }
 
-FILES = "part int, seq int, ids_before long, n_ids long, n_docs long, content binary"
+FILES = "part int, seq int, ids_before long, n_ids long, n_docs long, docs array<struct<doc_id:long,first:long,n_tokens:long>>, content binary"
 
 
 def _writer(path: str, end_id: int, file_ids: int):
@@ -196,6 +199,8 @@ def _writer(path: str, end_id: int, file_ids: int):
         def flush() -> pa.RecordBatch:
             nonlocal seq, before, doc_ids, parts, counts, held
             content = pack_file(doc_ids, counts, np.frombuffer(b"".join(parts), "<u4"))
+            ends = np.cumsum(counts, dtype=np.int64)
+            docs = pa.StructArray.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ends - counts), pa.array(counts, pa.int64())], names=["doc_id", "first", "n_tokens"])
             row = pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()),
@@ -203,9 +208,10 @@ def _writer(path: str, end_id: int, file_ids: int):
                     pa.array([before]),
                     pa.array([held]),
                     pa.array([len(doc_ids)]),
+                    pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), docs),
                     pa.array([content], pa.binary()),
                 ],
-                names=["part", "seq", "ids_before", "n_ids", "n_docs", "content"],
+                names=["part", "seq", "ids_before", "n_ids", "n_docs", "docs", "content"],
             )
             seq, before, doc_ids, parts, counts, held = seq + 1, before + held, [], [], [], 0
             return row
@@ -227,7 +233,9 @@ def _writer(path: str, end_id: int, file_ids: int):
 
 def write_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> tuple[DataFrame, str]:
     """Encode the documents in ascending doc_id order and write them as DAC files; returns the table of files and its path."""
-    rows = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    # The beginning of the text parts rows of one doc_id, or without any, in the order that they have.
+    rows = rows.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     return materialise(rows.mapInArrow(_writer(tokenizer, end_id, file_ids), FILES), "dac-files", **STORED)
 
 
@@ -263,29 +271,28 @@ def read_documents(files: DataFrame) -> DataFrame:
 
 
 def index_of(files: DataFrame) -> DataFrame:
-    """doc_id, part, seq, first and n_tokens: where in which file each document's ids begin, from the files' headers."""
+    """doc_id, part, seq, first and n_tokens: where in which file each document's ids begin.  The files themselves are not read."""
+    return files.select("part", "seq", F.explode("docs").alias("d")).select("d.doc_id", "part", "seq", "d.first", "d.n_tokens")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "content"):
-            for part, seq, content in zip(column(b, "part"), column(b, "seq"), column(b, "content"), strict=True):
-                doc_ids, counts, _ = unpack_file(content)
-                counts = counts.astype(np.int64)
-                n = len(doc_ids)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(np.cumsum(counts) - counts), pa.array(counts)],
-                    names=["doc_id", "part", "seq", "first", "n_tokens"],
-                )
 
-    return files.select("part", "seq", "content").mapInArrow(run, "doc_id long, part int, seq int, first long, n_tokens long")
+#: So many files are named to the scan, which then skips the row groups of all others.
+NAMED = 1000
 
 
 def lookup(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """The ids at places of documents (doc_id, nth from 0 on): doc_id, nth, id.  Places that a document does not have give nothing.
 
     Each id is read by itself, from one byte a level and the rank directories.
+    Of documents that share a doc_id, or have none, each gives its id.
     """
-    at = wanted.select("doc_id", "nth").join(index_of(files), "doc_id").where("nth >= 0 AND nth < n_tokens")
+    index = index_of(files).withColumnRenamed("doc_id", "of")
+    at = wanted.select("doc_id", "nth").join(index, F.col("doc_id").eqNullSafe(F.col("of"))).where("nth >= 0 AND nth < n_tokens")
     asked = at.groupBy("part", "seq").agg(F.collect_list(F.struct("doc_id", "nth", (F.col("first") + F.col("nth")).alias("at"))).alias("asked"))
+    asked, _ = materialise(asked, "dac-asked")
+    hits = asked.select("part", "seq").limit(NAMED + 1).collect()
+    images = files.select("part", "seq", "content")
+    if len(hits) <= NAMED:
+        images = images.where(F.col("part").isin([h.part for h in hits]) & F.col("seq").isin([h.seq for h in hits]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "content"):
@@ -297,7 +304,16 @@ def lookup(files: DataFrame, wanted: DataFrame) -> DataFrame:
                     names=["doc_id", "nth", "id"],
                 )
 
-    return files.select("part", "seq", "content").join(asked, ["part", "seq"]).select("content", "asked").mapInArrow(run, "doc_id long, nth long, id long")
+    return images.join(asked, ["part", "seq"]).select("content", "asked").mapInArrow(run, "doc_id long, nth long, id long")
+
+
+def lookup_query(spark, sf_dir: str) -> DataFrame:
+    """The first, middle and end id of every document, each read by itself."""
+    import public_tokenizers
+
+    files, _ = write_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    n = index_of(files).select("doc_id", "n_tokens")
+    return lookup(files, n.select("doc_id", F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), F.floor(F.col("n_tokens") / 2), F.col("n_tokens") - 1))).alias("nth")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

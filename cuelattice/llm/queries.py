@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bwt_dedup": bwt_dedup.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_directly_addressable": directly_addressable.query,
+    "dac_lookup": directly_addressable.lookup_query,
     "op11_html_extract": html_extract.query,
     "op12_merkle_manifest": merkle_manifest.query,
 }

@@ -337,6 +337,14 @@ def test_expand_finds_all_boundaries():
                     assert edge[i]
 
 
+@pytest.mark.parametrize("part, bucket", [(1 << 10, 1 << 30), (1 << 30, 1 << 10), (3000, 3000)])
+def test_tiny_partitions_remove_the_same(odd, odd_rows, monkeypatch, part, bucket):
+    """Many more partitions or buckets than the session has, and only one bucket."""
+    monkeypatch.setattr(bw, "PART_BYTES", part)
+    monkeypatch.setattr(bw, "BUCKET_BYTES", bucket)
+    assert removed(bw.dedup(odd)) == brute_removal(odd_rows)
+
+
 def test_hot_anchors_are_parted(odd, odd_rows):
     """Every anchor of two texts or more, by the second one."""
     assert removed(bw.dedup(odd, hot=1)) == brute_removal(odd_rows)

@@ -89,6 +89,31 @@ def test_small_automata():
                 assert [tokens[i] for i in automaton.encode_word(word)] == plain_bpe(word, ranks), (merges, word)
 
 
+@pytest.mark.parametrize("most", [3, 50, 100_000])
+def test_the_table_is_bounded(most):
+    """However few transitions are kept, words have the same ids; with a suffix that ends them, too."""
+    import random
+
+    rng = random.Random(5)
+    tokens = ["a", "b", "a.", "b."]
+    merges = [("a", "b"), ("ab", "a."), ("a", "a"), ("aa", "b."), ("ab", "ab"), ("b", "b."), ("aa", "ab.")]
+    tokens += ["ab", "aba.", "aa", "aab.", "abab", "bb."]
+    automaton, ranks = b.Automaton({t: i for i, t in enumerate(tokens)}, merges[:6], "."), {m: i for i, m in enumerate(merges[:6])}
+    automaton.most = most
+    for _ in range(500):
+        word = [rng.choice("ab") for _ in range(rng.randrange(1, 30))]
+        assert [tokens[i] for i in automaton.encode_word("".join(word))] == plain_bpe([*word[:-1], word[-1] + "."], ranks)
+        assert automaton.filled <= most + 31
+
+
+def test_a_word_without_a_path():
+    automaton = b.Automaton({"a": 0}, [])
+    for word in ("x", "ax"):
+        with pytest.raises(ValueError, match="no path"):
+            automaton.encode_word(word)
+    assert automaton.encode_word("aa") == [0, 0] and automaton.encode_word("") == []
+
+
 def test_digests_of_odd_rows(odd, odd_rows, empty, library):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.ids_sha256, r.n_tokens, r.decoded_sha256) for r in b.digests(odd, WORD).collect())
     want = []
@@ -155,3 +180,16 @@ def test_lookup_of_single_ids(spark, sample, library):
     wanted = [(i, k) for i in list(ids)[::7] for k in (0, len(ids[i]) // 2, len(ids[i]) - 1, len(ids[i]), -1)]
     got = d.lookup(files, spark.createDataFrame(wanted, "doc_id long, nth long")).collect()
     assert sorted((r.doc_id, r.nth, r.id) for r in got) == sorted((i, k, ids[i][k]) for i, k in wanted if 0 <= k < len(ids[i]))
+
+
+def test_lookup_reads_few_files(spark, library):
+    """Rows that share a doc_id, or have none, each give their id, and only files that hold one are read."""
+    rows = [(i, f"text number {i} " * 20) for i in range(40)] + [(7, "another seven"), (None, "no id"), (None, "none either")]
+    files, _ = d.write_files(spark.createDataFrame(rows, "doc_id long, text string"), BYTE, file_ids=50)
+    got = d.lookup(files, spark.createDataFrame([(7, 0), (None, 1), (99, 0)], "doc_id long, nth long"))
+    ids = lambda t: library[BYTE].encode(t, add_special_tokens=False).ids
+    want = [(7, 0, ids(rows[7][1])[0]), (7, 0, ids("another seven")[0]), (None, 1, ids("no id")[1]), (None, 1, ids("none either")[1])]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "In(part" in plan or "EqualTo(part" in plan
+    assert "content" not in d.index_of(files)._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
