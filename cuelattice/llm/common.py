@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import shared_folder
+
 #: A word: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,9 +37,9 @@ def remainder(doc_id, n: int):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or else one in the warehouse.  Never a folder of this machine alone."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
+    """The folder all executors share: spark.checkpoint.dir, or else one in the warehouse; on a cluster, a folder of one machine raises."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    return found.rstrip("/") if found else shared_folder(spark)
 
 
 def drop_table(spark: SparkSession, path: str) -> None:

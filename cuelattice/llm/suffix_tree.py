@@ -43,6 +43,7 @@ gives scores from an untrained root; further columns are ignored.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -66,6 +67,8 @@ HELD_OUT = 10
 HOT, MOST_HOT = 1 << 20, 1 << 16
 #: Bytes of text of a batch.
 BATCH = 6 << 20
+#: Bytes of text for each partition of words, pairs and windows, which a task holds at once; and how many buckets Spark allows a table.
+PART_BYTES, MOST_BUCKETS = 32 << 20, 100_000
 
 _HASHES = TokenHashes()
 _END = 0x454E44
@@ -663,13 +666,18 @@ class _Bucketed:
     def __init__(self, df: DataFrame, parts: int):
         self.spark, self.name = df.sparkSession, f"suffix_tree_{uuid.uuid4().hex}"
         self.path = f"{shared_dir(self.spark)}/{self.name}"
+        atexit.register(self.drop)  # in case the computation fails
         with shuffles_go(self.spark):
-            df.write.bucketBy(parts, "batch").option("path", self.path).saveAsTable(self.name)
+            df.write.bucketBy(min(parts, MOST_BUCKETS), "batch").option("path", self.path).saveAsTable(self.name)
         self.df = self.spark.table(self.name)
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        drop_table(self.spark, self.path)
+        atexit.unregister(self.drop)
+        try:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+            drop_table(self.spark, self.path)
+        except Exception:  # noqa: BLE001 - at exit the session may be gone
+            return
 
 
 def _gathered(answers: DataFrame) -> DataFrame:
@@ -679,7 +687,8 @@ def _gathered(answers: DataFrame) -> DataFrame:
 def score(docs: DataFrame, depth: int = DEPTH, hot: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_states (of the whole tree) of every row."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))  # what a task holds does not grow with the input
     kind = docs.schema["doc_id"].dataType.simpleString()
     scratch = Scratch(spark)
     batches = scratch.table(rows_of(docs).mapInArrow(_read(parts), BATCHES.format(kind=kind)), "batches")
