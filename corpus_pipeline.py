@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cuelattice.llm import bpe_automaton, jaccard_join, mixing, secrets, toxicity
-from cuelattice.llm.common import materialise
+from cuelattice.llm.common import drop_table, materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:  # each stage is done once, whatever the next one reads twice
-        docs, _ = materialise(stage(spark, docs, sf_dir), name)
+        docs, path = materialise(stage(spark, docs, sf_dir), name)
+        if before is not None:  # nothing reads the stage before any more
+            drop_table(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
