@@ -38,7 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, documents, drop_table, materialise, mix64, pack, runs, slices, text_or_empty, unpack
+from .common import column, documents, drop_table, materialise, mix64, pack, runs, slices, squeeze, text_or_empty, unpack
+from .common import expand as expand_arrays
 
 LENGTH = 50
 GRAM = 20
@@ -46,8 +47,8 @@ GRAM = 20
 LONGEST = 4096
 #: Symbols of one transform (the snippets of one key are never parted).
 BLOCK = 2 << 20
-SLICE = 8 << 20
-#: Bytes of input text for each bucket of snippets.  A task holds one, with 8 bytes a window in the worst case.
+SLICE = 4 << 20
+#: Bytes of input text for each bucket of snippets; a task holds one.
 BUCKET_BYTES = 16 << 20
 #: Bytes of input text for each partition of anchors, which a task holds at once.
 PART_BYTES = 64 << 20
@@ -346,7 +347,7 @@ SNIPPETS = "bucket int, slice long, snippets binary, sizes binary, anchors binar
 def _send_snippets(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count, last = TaskContext.get().partitionId(), 0, None
-        squeeze = zstandard.ZstdCompressor(level=1)
+        compress = zstandard.ZstdCompressor(level=1).compress
         for b in slices(batches, most=SLICE):
             where: dict[bytes, int] = {}
             snippets, keys, least, places, docs_at, starts_at, docs = [], [], [], [], [], [], []
@@ -402,7 +403,7 @@ def _send_snippets(buckets: int):
                     (
                         p,
                         number,
-                        squeeze.compress(b"".join([snippets[i] for i in own.tolist()])),
+                        compress(b"".join([snippets[i] for i in own.tolist()])),
                         pack(sizes[own]),
                         key[own].tobytes(),
                         least_docs[own].tobytes(),
@@ -418,6 +419,12 @@ def _send_snippets(buckets: int):
 ANSWERS = "bucket int, slice long, least binary"
 
 
+def _in_runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of runs: windows that follow each other mostly have one least document."""
+    heads = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    return a[heads], np.diff(np.concatenate([heads, [len(a)]])).astype(np.uint32)
+
+
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The least document of every window of a bucket's snippets, slice by slice."""
     expand_bytes = zstandard.ZstdDecompressor().decompress
@@ -455,8 +462,10 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = np.array(least, np.int64)
         for own in np.split(order, cuts):
             for i, windows in zip(own.tolist(), least_documents([snippets[i] for i in own.tolist()], docs[own]), strict=True):
-                found[i] = windows
-        yield _batch([(bucket, r[0], np.concatenate([found[i] for i in use]).tobytes()) for r, use in zip(rows, uses, strict=True)], ANSWERS)
+                found[i] = _in_runs(windows)
+        for r, use in zip(rows, uses, strict=True):
+            values, lengths = (np.concatenate(x) for x in zip(*(found[i] for i in use), strict=True))
+            yield _batch([(bucket, r[0], squeeze(values, lengths))], ANSWERS)
 
 
 RANGES = "h1 long, h2 long, doc_id long, starts binary, ends binary"
@@ -468,7 +477,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows.sort(key=lambda r: r[0])
         _, sizes, docs, places, starts, _ = rows[0]
         windows = unpack(sizes) - LENGTH + 1
-        least = np.concatenate([np.frombuffer(r[5], np.int64) for r in rows[1:]])
+        least = np.concatenate([np.repeat(*expand_arrays(r[5])) for r in rows[1:]])
         docs, places = np.frombuffer(docs, np.int64).reshape(-1, 3), unpack(places)
         at = 1 + starts[0] * len(places)
         doc_of, starts = unpack(starts[:at]), np.frombuffer(starts, "<u4", offset=at).astype(np.int64)
