@@ -30,6 +30,7 @@ except that columns which have the name of a result are replaced: ``ids``,
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -53,7 +54,7 @@ class Automaton:
     """The tokenization automaton of a vocabulary and its ordered merges."""
 
     #: Transitions that the table holds at most, about; then it is filled anew.
-    most = 200_000
+    most = 400_000
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         self.labels = {i: t for t, i in vocab.items()}
@@ -80,7 +81,8 @@ class Automaton:
         #: Tokens by their spelling: those inside a word, and those that end it (without the suffix).
         self.inner = {t: vocab[t] for t in made if vocab[t] not in final}
         self.final = {t[: len(t) - len(suffix)]: vocab[t] for t in made if vocab[t] in final} if suffix else self.inner
-        self.prefixes = {t[:i] for t in {*self.inner, *self.final} for i in range(1, len(t) + 1)}
+        #: Every beginning of a label, and the label that it is, if any.
+        self.readable = {t[:i]: self.inner.get(t[:i]) for t in {*self.inner, *self.final} for i in range(1, len(t) + 1)}
         self._restart()
 
     def _arc_at(self, a: int, b: int, time: int) -> bool:
@@ -124,15 +126,15 @@ class Automaton:
                 elif not read:
                     return 0, unsure
             raise ValueError("no path spells the word")
-        after, ended = [], None
+        after, ended, readable = [], None, self.readable
         for before, read, unsure in places:
             read += symbol
-            if read in self.prefixes:
+            if read in readable:
                 after.append((before, read, unsure))
-            if ended is None:
-                label = self.inner.get(read)
-                if label is not None and (before is None or self.arc(before, label)):
-                    ended = (label, "", (*unsure, label))  # the one path of this prefix
+                if ended is None:
+                    label = readable[read]
+                    if label is not None and (before is None or self.arc(before, label)):
+                        ended = (label, "", (*unsure, label))  # the one path of this prefix
         if ended is not None:
             after.append(ended)
         if not after:
@@ -172,7 +174,7 @@ class Automaton:
 class Tokenizer:
     """Text to ids and back for a tokenizer file with word-level BPE (pre-splitting as the file says)."""
 
-    most = 150_000
+    most = 300_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -186,7 +188,9 @@ class Tokenizer:
         self.split_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         self.path = path
         self.symbols = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
+        #: Words seen of late, and those seen before them; when the first are too many, they replace the second.
         self.words: dict[str, tuple[str, str]] = {}
+        self.former: dict[str, tuple[str, str]] = {}
         self.rare: dict[str, tuple[str, str]] = {}
 
     @cached_property
@@ -211,9 +215,11 @@ class Tokenizer:
             for w in WORD_LEVEL.findall(text.lower()):
                 found = words.get(w)
                 if found is None:
+                    found = self.former.get(w) or self._word(w.encode().decode("latin-1").translate(self.symbols))
                     if len(words) >= self.most:
-                        words.clear()
-                    found = words[w] = self._word(w.encode().decode("latin-1").translate(self.symbols))
+                        self.former, words = words, {}
+                        self.words = words
+                    words[w] = found
                 out.append(found)
             return out
         for symbols, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text)):
@@ -247,6 +253,9 @@ _LOADED: dict[str, Tokenizer] = {}
 def tokenizer(path: str) -> Tokenizer:
     if path not in _LOADED:
         _LOADED[path] = Tokenizer(path)
+        # Tables of hundreds of thousands of small tuples, none in a cycle, would be searched for cycles again and again.
+        gc.freeze()
+        gc.set_threshold(200_000, 50, 50)
     return _LOADED[path]
 
 
