@@ -100,7 +100,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_SAVED: dict[tuple, Graph] = {}
+_SAVED: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
 def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
@@ -114,9 +114,8 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph as saved tables, nodes and edges each in a folder by type: built once in a session, then only read."""
     key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir))
     if key not in _SAVED:
-        kept = lineage.saved(nodes(spark, sf_dir), "node_type"), lineage.saved(edges(spark, sf_dir), "edge_type")
-        _SAVED[key] = Graph(*kept)
-    return _SAVED[key]
+        _SAVED[key] = lineage.saved(nodes(spark, sf_dir), "node_type"), lineage.saved(edges(spark, sf_dir), "edge_type")
+    return Graph(*_SAVED[key])  # anew, as a graph sees to the session's settings
 
 
 _PACKED: dict[tuple, Packed] = {}
@@ -124,9 +123,9 @@ _PACKED: dict[tuple, Packed] = {}
 
 def packed(spark: SparkSession, sf_dir: str) -> Packed:
     """The graph packed for reading: once in a session, then only read."""
-    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir))
+    key, plain = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir)), graph(spark, sf_dir)
     if key not in _PACKED:
-        _PACKED[key] = pack(graph(spark, sf_dir))
+        _PACKED[key] = pack(plain)
     return _PACKED[key]
 
 

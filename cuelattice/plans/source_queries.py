@@ -152,6 +152,21 @@ def parse_modules(spark, sf_dir):
     return rows.select("source_file", "git_sha", "module_path", F.col("error").isNotNull().alias("failed"), "docstring")
 
 
+_TWICE = 'def run():\n    """First."""\n    return {k}\n\n\ndef run():\n    raise ValueError("no {b}")\n'
+
+
+@plain(f"""WITH f AS (SELECT 'f' || p_partkey || '.py' AS file, p_partkey, p_brand, {_sql_text(_TWICE)} AS body FROM part)
+SELECT 'content:' || file || '::<module>' AS id, 'content' AS node_type, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS VARCHAR) AS docstring, body FROM f
+UNION ALL SELECT 'content:' || file || '::run', 'content', NULL, NULL, 'def run():' || chr(10) || '    raise ValueError("no ' || p_brand || '")' FROM f
+UNION ALL SELECT 'cue:symbol:' || file || '::run', 'cue', 'run', NULL, NULL FROM f
+UNION ALL SELECT 'cue:error:' || file || '::' || substr(sha1('no ' || p_brand), 1, 12), 'cue', 'no ' || p_brand, NULL, NULL FROM f""")
+def extract_duplicates(spark, sf_dir):
+    """Files that define a function twice: one content and one cue of that name, with the last one's values."""
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("source_file"), _spark_text(_TWICE).cast("binary").alias("content"))
+    nodes = extract.extract(extract.parse_files(files), AT).nodes
+    return nodes.where("node_type <> 'tag'").select("id", "node_type", "text", "docstring", "body")
+
+
 @sources("""SELECT c.id, 'content' AS node_type, c.kind, c.memory_layer, c.symbol_name, c.signature, c.docstring, c.body, h.git_sha, CAST(NULL AS VARCHAR) AS cue_type, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS value
 FROM contents c JOIN shas h ON h.source_file = c.source_file
 UNION ALL SELECT u.id, 'cue', NULL, NULL, NULL, NULL, NULL, NULL, h.git_sha, cue_type, text, NULL, NULL FROM cues u

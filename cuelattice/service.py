@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,25 +160,27 @@ def reconstruct_prompt(query: str, budget: int = 3) -> str:
 # ------------------------------------------------------------------ renderings
 
 
-@dataclass(frozen=True)
-class Check:
-    name: str
+class Part(NamedTuple):
+    """A part of the setup, whether it is there, and a remark."""
+
+    part: str
     ok: bool
-    detail: str = ""
+    remark: str
 
 
-def doctor(workspace: Workspace, manifest: RunManifest | None, embed_model: str) -> list[Check]:
+def doctor(workspace: Workspace, manifest: RunManifest | None, embed_model: str) -> list[Part]:
     """What a search needs, from the folder up; what cross-references need comes last, once something is indexed."""
-    found = [
-        Check(f"{TOOL} tool", tool_available(), "optional, for cross-references"),
-        Check("workspace", workspace.dir.is_dir(), str(workspace.dir)),
-        Check("store", workspace.store_path.is_dir(), str(workspace.store_path)),
-        Check("run manifest", manifest is not None, f"{embed_model}, {manifest.embed_dim} dimensions" if manifest else "nothing is indexed"),
+    built = f"{embed_model}, {manifest.embed_dim} dimensions" if manifest else "nothing is indexed"
+    parts = [
+        (f"{TOOL} tool", tool_available(), "optional, for cross-references"),
+        ("workspace", workspace.dir.is_dir(), str(workspace.dir)),
+        ("store", workspace.store_path.is_dir(), str(workspace.store_path)),
+        ("run manifest", manifest is not None, built),
     ]
-    if manifest is None:
-        return found
-    runs = "one run" if manifest.is_consistent else f"graph {manifest.run_id[:8]}, references {(manifest.scip_run_id or 'none')[:8]}"
-    return [*found, Check("reference file", workspace.scip_path.is_file(), manifest.scip_status), Check("same run", manifest.is_consistent, runs)]
+    if manifest is not None:
+        runs = "one run" if manifest.is_consistent else f"graph {manifest.run_id[:8]}, references {(manifest.scip_run_id or 'none')[:8]}"
+        parts += [("reference file", workspace.scip_path.is_file(), manifest.scip_status), ("same run", manifest.is_consistent, runs)]
+    return [Part(*p) for p in parts]
 
 
 def _columns(rows: list[tuple]) -> str:
@@ -186,8 +189,8 @@ def _columns(rows: list[tuple]) -> str:
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in rows)
 
 
-def render_doctor(checks: list[Check]) -> str:
-    return _columns([("check", "state", "detail"), *((c.name, "ok" if c.ok else "FAIL", c.detail) for c in checks)])
+def render_doctor(parts: list[Part]) -> str:
+    return _columns([("part", "there", "remark"), *((p.part, "yes" if p.ok else "FAIL", p.remark) for p in parts)])
 
 
 def render_stats(stats: IndexStats) -> str:
@@ -208,13 +211,13 @@ def render_status(embed_model: str, embed_dim: int, files: DataFrame, manifest:
     state = "no run manifest" if manifest is None else f"cross-references {manifest.scip_status}, " + (
         "consistent" if manifest.is_consistent else "stale"
     )
-    lines = [f"embedding: {embed_model}, dimension {embed_dim}", state, f"{len(rows)} file{'' if len(rows) == 1 else 's'} indexed"]
+    lines = [f"embedding: {embed_model}, dimension {embed_dim}", state, f"files: {len(rows)}"]
     return "\n".join(lines + [f"  {r.sha}  {r.at}  {r.file_path}" for r in rows])
 
 
 def render_search(hits: DataFrame) -> str:
     rows = [(str(i), f"{r.score:.4f}", r.id, r.label) for i, r in enumerate(hits.collect(), 1)]
-    return _columns([("rank", "score", "cue", "text"), *rows]) if rows else "no matching cues"
+    return _columns([("rank", "score", "cue", "text"), *rows]) if rows else "nothing is near the query"
 
 
 def render_reconstruct(contents: DataFrame) -> str:

@@ -5,12 +5,26 @@ from __future__ import annotations
 import argparse
 import json
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+@contextmanager
+def kept_setting(spark: SparkSession, name: str) -> Iterator[None]:
+    """A setting of the session is afterwards what it was before."""
+    before = spark.conf.get(name, None)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def main(name: str, job: Callable[..., None], doc: str | None, argv: list[str] | None = None) -> None:
     """Run a job with the settings of its config file; ``--set key=value`` replaces one.  The session ends with the job."""
     parser = argparse.ArgumentParser(prog=f"python -m jobs.{name}", description=doc, formatter_class=argparse.RawDescriptionHelpFormatter)

@@ -21,11 +21,18 @@ from cuelattice.operators import read, vector
 from cuelattice.operators.graph import Graph, first_by
 from cuelattice.plans import projection
 
+from .common import kept_setting
+
 logger = logging.getLogger("jobs.context_packs")
 
 
 def run(spark: SparkSession, tables: str, output: str, k: int = 5, budget: int = 2000, every: int = 100) -> int:
     """Write the packs of the vectors whose id ``every`` divides; returns the number of rows written."""
+    with kept_setting(spark, "spark.sql.unionOutputPartitioning"):  # which graphs switch off
+        return _run(spark, tables, output, k, budget, every)
+
+
+def _run(spark: SparkSession, tables: str, output: str, k: int, budget: int, every: int) -> int:
     graph = projection.graph(spark, tables)
     queries = projection.table(spark, tables, "embeddings").where(F.col("vec_id") % every == 0).select(F.col("vec_id").cast("string").alias("qid"), "embedding", "label")
     hits = vector.knn_batch(graph.nodes, queries, k, "cue").select("qid", F.col("rank").alias("ord"), F.col("node_id").alias("id"), "score")
@@ -53,6 +60,6 @@ def read_packs(spark: SparkSession, output: str):
 
 
 if __name__ == "__main__":
-    from jobs.common import main
+    from .common import main
 
     main("context_packs", run, __doc__)

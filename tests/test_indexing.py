@@ -123,7 +123,7 @@ def test_cli(spark, repo):
     said = []
     for argv in (["index", str(repo)], ["status", "--repo", str(repo)], ["search", "fetch", "-k", "1", "--repo", str(repo)], ["reconstruct", "fetch", "--repo", str(repo)], ["doctor", "--repo", str(repo)]):
         cli.main(argv, spark, out=said.append, env={"CUELATTICE_EMBED_MODEL": scalar.HASH_MODEL, "CUELATTICE_LLM_MODEL": "rule"})
-    assert "3 indexed" in said[0] and "3 files indexed" in said[1] and "cue:symbol:pkg/mod.py::fetch" in said[2] and "content:pkg/mod.py::fetch" in said[3] and "run manifest" in said[4]
+    assert "3 indexed" in said[0] and "files: 3" in said[1] and "cue:symbol:pkg/mod.py::fetch" in said[2] and "content:pkg/mod.py::fetch" in said[3] and "run manifest" in said[4]
 
 
 def test_stream(spark, tmp_path):

@@ -116,7 +116,11 @@ def test_against_sql(spark, name):
 def test_packs_keep_the_budget(spark, tmp_path):
     """A pack holds at least one content and otherwise no more words than the budget; a rerun writes the same."""
     out = str(tmp_path / "packs")
+    before = spark.conf.get("spark.sql.unionOutputPartitioning")
+    spark.conf.set("spark.sql.unionOutputPartitioning", "true")
     n = context_packs.run(spark, str(DATA), out, k=8, budget=300, every=10)
+    assert spark.conf.get("spark.sql.unionOutputPartitioning") == "true"
+    spark.conf.set("spark.sql.unionOutputPartitioning", before)
     rows = context_packs.read_packs(spark, out).collect()
     assert len(rows) == n and all(r.place == 1 or r.running_words <= 300 for r in rows)
     assert len({(r.qid, r.content_id) for r in rows}) == n
