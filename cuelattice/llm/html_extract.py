@@ -60,15 +60,17 @@ BORDERS = frozenset("ul ol dl table select menu article body".split())
 NO_ARTICLE = frozenset("nav footer aside form head script style noscript template menu dialog button select textarea title iframe noembed noframes object svg canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 BESIDE = frozenset(
-    "ad ads adbox advert adverts advertisement advertising advertisements adsense adsbygoogle sponsor sponsored sponsors promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars aside "
-    "footer masthead cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond related "
-    "recommended recommendations share sharing social widget widgets pagination pager copyright disclaimer toolbar".split()
+    "ad ads adbox adslot adunit adbanner advert adverts advertisement advertising advertisements adsense adsbygoogle affiliate sponsor sponsored sponsors promo promotion outbrain taboola banner "
+    "nav navbar navigation navlinks mainnav topnav sidenav subnav menu menubar mainmenu submenu navmenu breadcrumb breadcrumbs topbar toolbar pagination pager "
+    "sidebar sidebars sidepanel sidecol rail aside widget widgets footer sitefooter pagefooter colophon siteheader masthead copyright disclaimer "
+    "cookie cookies consent gdpr notice notices notification alert announcement infobar popup modal overlay paywall newsletter subscribe subscription signup login optin "
+    "comment comments commentlist commentbox commentsection usercomments disqus reply replies respond responses feedback related recommended recommendations share sharing social".split()
 )
 #: An ``article`` element of one of these exact classes is none.
 NO_ARTICLE_CLASS = frozenset("comment comments reply teaser card related ad ads advert advertisement sponsored promo widget sidebar notice".split())
 #: Names that only speak of a part elsewhere: has-sidebar, comments-open.
 QUALIFIERS = frozenset("has with without no open closed enabled disabled".split())
-BODY_NAMES = frozenset("article article-body articlebody article-content post-content post-body entry-content main-content story-body".split())
+BODY_NAMES = frozenset("article article-body articlebody article-content article-text post post-content post-body post-text entry entry-content story story-body content main main-content maincontent page-content".split())
 
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*>?|</[^>]*>?""", re.S)
 ATTRIBUTES = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -95,7 +97,7 @@ def _what(tag: str, attributes: str) -> tuple[int, int]:
         return (NAMED if any(n.lower() in NO_ARTICLE_CLASS for n in names) else why), root
     if not root and tag not in HEADINGS and ("articlebody" in found.get("itemprop", "").lower() or any(n.lower() in BODY_NAMES for n in names)):
         root = 3
-    if tag not in ("html", "body", "main") and not why:
+    if tag not in ("html", "body", "main", *HEADINGS) and not why:  # ids of headings are made of their words
         for name in names:
             words = {w.lower() for w in [*WORDS.findall(name), *re.split(r"[-_:.]+", name)]}
             if words & BESIDE and not words & QUALIFIERS:
@@ -110,6 +112,7 @@ class Page:
 
     def __init__(self, html: str):
         self.pieces: list[str | None] = []
+        self.linked: list[bool] = []  # whether a piece is within a link
         #: start, end, hash, tag, why, root: elements that hold text, inner ones first.
         self.elements: list[tuple[int, int, int, str, int, int]] = []
         self._open: list[tuple[str, int, list[bytes], int, int]] = []
@@ -137,9 +140,13 @@ class Page:
         while self._open:
             self._close()
 
+    def _add(self, piece: str | None) -> None:
+        self.pieces.append(piece)
+        self.linked.append(self._n.get("a", 0) > 0)
+
     def _text(self, raw: str) -> None:
         text = unescape(raw) if "&" in raw else raw
-        self.pieces.append(text)
+        self._add(text)
         if self._open and (words := text.split()):
             self._open[-1][2].append(" ".join(words).encode("utf-8", "replace"))
 
@@ -152,9 +159,9 @@ class Page:
             for other in ENDS.get(tag, ()):
                 self._end(other, BORDERS)
         if tag == "br":
-            self.pieces.append(" ")
+            self._add(" ")
         elif tag not in NO_BREAK:
-            self.pieces.append(None)
+            self._add(None)
         if tag not in VOID:
             self._n[tag] = self._n.get(tag, 0) + 1
             self._open.append((tag, len(self.pieces), [], *_what(tag, attributes)))
@@ -181,7 +188,7 @@ class Page:
             if self._open:
                 self._open[-1][2].append(b"\1" + digest.to_bytes(8, "little", signed=True))
         if tag not in NO_BREAK:
-            self.pieces.append(None)
+            self._add(None)
 
     def article(self) -> tuple[bytearray, bool]:
         """Which pieces are the article's by what the page itself says, and whether an element marks it."""
@@ -202,6 +209,11 @@ class Page:
             kept, marked = bytearray(n), False
         if not marked:
             kept = bytearray(b"\1" * n)
+            for start, end, _, tag, _, _ in self.elements:  # lists of links alone are menus
+                if tag in ("ul", "ol"):
+                    held = [self.linked[i] for i in range(start, end) if (p := self.pieces[i]) and not p.isspace()]
+                    if len(held) >= 3 and all(held):
+                        gone[start:end] = b"\1" * (end - start)
         for start, end, _, tag, why, _ in self.elements:
             if why == HEADER and tag != "article" and not (first is not None and start <= first < end):
                 stays = bytearray(end - start)

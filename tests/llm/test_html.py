@@ -43,6 +43,10 @@ def alone(page: str) -> str:
         ("<main><h1>H</h1><p>t</p></main><div>beside</div>", "H\nt"),
         ("<div>top</div><div class='entry-content'><p>t</p></div>", "t"),
         ("<article></article><div>only here</div>", "only here"),
+        ("<ul><li><a>x</a><li><a>y</a><li><a>z</a></ul><p>t <a>u</a></p><ul><li><a>v</a><li>w</ul>", "t u\nv\nw"),
+        ("<article><ul><li><a>x</a><li><a>y</a><li><a>z</a></ul></article>", "x\ny\nz"),
+        ("<article><h2 id='related-work'>Related work</h2><p>t</p></article>", "Related work\nt"),
+        ("<div class='topnav'>m</div><div id='content'><p>t</p><div class='adSlot'>b</div></div><div class='rail'>r</div><p>beside", "t"),
         ("<article>a</article><article class='comment'>b</article><article>c</article>", "a\nc"),
     ],
 )
