@@ -30,6 +30,7 @@ except that columns which have the name of a result are replaced: ``ids``,
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import hashlib
 import json
@@ -83,7 +84,7 @@ class Automaton:
         self.final = {t[: len(t) - len(suffix)]: vocab[t] for t in made if vocab[t] in final} if suffix else self.inner
         #: Every beginning of a label, and the label that it is, if any.
         self.readable = {t[:i]: self.inner.get(t[:i]) for t in {*self.inner, *self.final} for i in range(1, len(t) + 1)}
-        self._restart()
+        self.restart()
 
     def _arc_at(self, a: int, b: int, time: int) -> bool:
         """Whether token b may follow token a, once the gadgets up to ``time`` are in."""
@@ -108,7 +109,7 @@ class Automaton:
             found = self.arcs[key] = self._arc_at(a, b, NEVER - 1)
         return found
 
-    def _restart(self) -> None:
+    def restart(self) -> None:
         start = ((None, "", ()),)
         self.states, self.numbers = [start], {start: 0}
         self.table: list[dict[str, tuple[int, tuple[int, ...]]]] = [{}]
@@ -155,7 +156,7 @@ class Automaton:
         if not word:
             return []
         if self.filled > self.most:
-            self._restart()
+            self.restart()
         state, out, table = 0, [], self.table
         for symbol in (*word, END):
             row = table[state]
@@ -193,6 +194,11 @@ class Tokenizer:
         self.former: dict[str, tuple[str, str]] = {}
         self.rare: dict[str, tuple[str, str]] = {}
 
+    def forget(self) -> None:
+        self.words, self.former, self.rare = {}, {}, {}
+        self.automaton.arcs.clear()
+        self.automaton.restart()
+
     @cached_property
     def library(self):
         """The library's tokenizer, for its normaliser and pre-splitter alone; read when a text is beyond Latin-1."""
@@ -253,20 +259,31 @@ _LOADED: dict[str, Tokenizer] = {}
 def tokenizer(path: str) -> Tokenizer:
     if path not in _LOADED:
         _LOADED[path] = Tokenizer(path)
-        # Tables of hundreds of thousands of small tuples, none in a cycle, would be searched for cycles again and again.
-        gc.freeze()
-        gc.set_threshold(200_000, 50, 50)
     return _LOADED[path]
 
 
+@contextlib.contextmanager
+def at_work(path: str, keep: bool = False) -> Iterator[Tokenizer]:
+    """A tokenizer for one task.  What it knows of the words goes at the end, unless it is kept for further tasks of the same kind in this worker."""
+    t, before = tokenizer(path), gc.get_threshold()
+    # Tables of hundreds of thousands of small tuples, none in a cycle, would be searched for cycles again and again.
+    gc.set_threshold(200_000, 50, 50)
+    try:
+        yield t
+    finally:
+        gc.set_threshold(*before)
+        if not keep:
+            t.forget()
+
+
 def _with(docs: DataFrame, path: str, name: str, kind: str, arrow: pa.DataType, work) -> DataFrame:
     kept, source = [c for c in docs.columns if c != name], free_name("given", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        for b in slices(batches, source) if name == "ids" else batches:
-            values = pa.array([work(t, x) for x in b.column(0).to_pylist()], arrow)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], values], names=[*b.schema.names[1:], name])
+        with at_work(path) as t:
+            for b in slices(batches, source) if name == "ids" else batches:
+                values = pa.array([work(t, x) for x in b.column(0).to_pylist()], arrow)
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], values], names=[*b.schema.names[1:], name])
 
     given = "text" if name == "ids" else "ids"
     inner = docs.select(F.col(f"`{given}`").alias(source), *[F.col(f"`{c}`") for c in kept])
@@ -288,19 +305,19 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        for b in slices(batches):
-            counts, ids_sha, decoded_sha = [], [], []
-            for text in column(b, "text"):
-                pieces = t.pieces(as_text(text))
-                ids = " ".join([p[0] for p in pieces])
-                counts.append(ids.count(" ") + 1 if ids else 0)
-                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        with at_work(path, keep=True) as t:
+            for b in slices(batches):
+                counts, ids_sha, decoded_sha = [], [], []
+                for text in column(b, "text"):
+                    pieces = t.pieces(as_text(text))
+                    ids = " ".join([p[0] for p in pieces])
+                    counts.append(ids.count(" ") + 1 if ids else 0)
+                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                    decoded_sha.append(hashlib.sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -311,21 +328,21 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded_sha256")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        for b in slices(batches):
-            ids, digests = [], []
-            for text in column(b, "text"):
-                pieces = t.pieces(as_text(text))
-                joined = " ".join([p[0] for p in pieces])
-                ids.append(np.fromstring(joined, np.int32, sep=" ") if joined else np.zeros(0, np.int32))
-                digests.append(hashlib.sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
-            counts = np.array([len(i) for i in ids], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[1:], lists, pa.array(counts), pa.array(digests, pa.string())],
-                names=[*kept, "ids", "n_tokens", "decoded_sha256"],
-            )
+        with at_work(path) as t:
+            for b in slices(batches):
+                ids, digests = [], []
+                for text in column(b, "text"):
+                    pieces = t.pieces(as_text(text))
+                    joined = " ".join([p[0] for p in pieces])
+                    ids.append(np.fromstring(joined, np.int32, sep=" ") if joined else np.zeros(0, np.int32))
+                    digests.append(hashlib.sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
+                counts = np.array([len(i) for i in ids], np.int64)
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns[1:], lists, pa.array(counts), pa.array(digests, pa.string())],
+                    names=[*kept, "ids", "n_tokens", "decoded_sha256"],
+                )
 
     inner = docs.select("text", *[F.col(f"`{c}`") for c in kept])
     schema = ", ".join(

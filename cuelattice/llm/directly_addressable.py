@@ -11,8 +11,8 @@ token counts, and the levels.  :func:`write_files` puts the file images in rows
 of a Parquet table, in ascending order of doc_id, because only Spark's writers
 reach every store; ``content`` is the image of one file.
 
-Beside each image stand its documents' places, so that :func:`lookup` reads the
-images of the files that it needs and no others.
+Beside each image stands its head (documents and token counts), so that
+:func:`lookup` reads the images of the files that it needs and no others.
 
 Defined cases: doc_id must be an integer; null text counts as empty (its only id
 is the end id); a null doc_id comes first; rows with equal doc_id are ordered by text; an empty table
@@ -124,15 +124,25 @@ def pack_file(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) ->
     return head + known.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(counts, "<u4").tobytes() + encode_levels(ids)
 
 
-def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, Levels]:
-    """doc_ids, token counts and the addressable ids of a file."""
+def head_size(n: int) -> int:
+    """Bytes of a file before its levels, with n documents."""
+    return 8 + 13 * n
+
+
+def unpack_head(data: bytes) -> tuple[list[int | None], np.ndarray]:
+    """doc_ids and token counts of a file, or of its head alone."""
     if data[:4] != MAGIC:
         raise ValueError("not a DAC file")
     (n,) = struct.unpack_from("<I", data, 4)
     known = np.frombuffer(data, np.uint8, n, 8)
     doc_ids = np.frombuffer(data, "<i8", n, 8 + n)
-    counts = np.frombuffer(data, "<u4", n, 8 + 9 * n)
-    return [int(d) if k else None for d, k in zip(doc_ids, known, strict=True)], counts, Levels(data, 8 + 13 * n)
+    return [int(d) if k else None for d, k in zip(doc_ids, known, strict=True)], np.frombuffer(data, "<u4", n, 8 + 9 * n)
+
+
+def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, Levels]:
+    """doc_ids, token counts and the addressable ids of a file."""
+    doc_ids, counts = unpack_head(data)
+    return doc_ids, counts, Levels(data, head_size(len(doc_ids)))
 
 
 class WordIds(dict):
@@ -185,7 +195,7 @@ STORED = {
     "parquet.page.size.row.check.min": "1",
 }
 
-FILES = "part int, seq int, ids_before long, n_ids long, n_docs long, docs array<struct<doc_id:long,first:long,n_tokens:long>>, content binary"
+FILES = "part int, seq int, ids_before long, n_ids long, n_docs long, head binary, content binary"
 
 
 def _writer(path: str, end_id: int, file_ids: int):
@@ -199,8 +209,6 @@ def _writer(path: str, end_id: int, file_ids: int):
         def flush() -> pa.RecordBatch:
             nonlocal seq, before, doc_ids, parts, counts, held
             content = pack_file(doc_ids, counts, np.frombuffer(b"".join(parts), "<u4"))
-            ends = np.cumsum(counts, dtype=np.int64)
-            docs = pa.StructArray.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ends - counts), pa.array(counts, pa.int64())], names=["doc_id", "first", "n_tokens"])
             row = pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()),
@@ -208,10 +216,10 @@ def _writer(path: str, end_id: int, file_ids: int):
                     pa.array([before]),
                     pa.array([held]),
                     pa.array([len(doc_ids)]),
-                    pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), docs),
+                    pa.array([content[: head_size(len(doc_ids))]], pa.binary()),
                     pa.array([content], pa.binary()),
                 ],
-                names=["part", "seq", "ids_before", "n_ids", "n_docs", "docs", "content"],
+                names=["part", "seq", "ids_before", "n_ids", "n_docs", "head", "content"],
             )
             seq, before, doc_ids, parts, counts, held = seq + 1, before + held, [], [], [], 0
             return row
@@ -271,8 +279,19 @@ def read_documents(files: DataFrame) -> DataFrame:
 
 
 def index_of(files: DataFrame) -> DataFrame:
-    """doc_id, part, seq, first and n_tokens: where in which file each document's ids begin.  The files themselves are not read."""
-    return files.select("part", "seq", F.explode("docs").alias("d")).select("d.doc_id", "part", "seq", "d.first", "d.n_tokens")
+    """doc_id, part, seq, first and n_tokens: where in which file each document's ids begin.  Only the files' heads are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "head"):
+            for part, seq, head in zip(column(b, "part"), column(b, "seq"), column(b, "head"), strict=True):
+                doc_ids, counts = unpack_head(head)
+                counts, n = counts.astype(np.int64), len(doc_ids)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc_ids, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(np.cumsum(counts) - counts), pa.array(counts)],
+                    names=["doc_id", "part", "seq", "first", "n_tokens"],
+                )
+
+    return files.select("part", "seq", "head").mapInArrow(run, "doc_id long, part int, seq int, first long, n_tokens long")
 
 
 #: So many files are named to the scan, which then skips the row groups of all others.
