@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cuelattice.plans import projection
 from cuelattice.plans.lineage import shared_folder
@@ -17,11 +18,11 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def job1_content_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as the feed has them after two runs; the second one finds nothing new."""
+    """All documents as the feed has them after two runs; the second one finds nothing new.  Tags come as one text."""
     at = _folder(spark, "job1")
     for _ in range(2):
         content_feed.run(spark, f"{sf_dir}/documents.parquet", f"{at}/feed", f"{at}/checkpoint")
-    return content_feed.read_feed(spark, f"{at}/feed")
+    return content_feed.read_feed(spark, f"{at}/feed").withColumn("tags", F.array_join("tags", ","))
 
 
 def job2_context_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ ORACLES = {
 WITH docs AS (SELECT *, {_TEXT} AS body, split_part({_TEXT}, chr(10), 1) AS line, {_SHA} AS git_sha FROM documents)
 SELECT doc_id, 'content:doc:' || coalesce(doc_id::VARCHAR, '') AS content_id, 'added' AS change, sha1({_JSON}) AS fingerprint, git_sha, source,
   CASE WHEN length(line) > 80 THEN line[1:80] || '…' ELSE line END AS label, CASE WHEN length(body) > 500 THEN body[1:500] || '…' ELSE body END AS snippet,
-  list_filter(['language=' || lang, 'module_path=' || source], lambda x: x IS NOT NULL) AS tags,
+  concat_ws(',', 'language=' || lang, 'module_path=' || source) AS tags,
   len(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_words, 0::BIGINT AS batch, lang
 FROM docs""",
     "job2_context_packs": f"""
