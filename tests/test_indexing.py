@@ -5,6 +5,8 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import NOW
+
 from cuelattice import cli, factories
 from cuelattice.functions import scalar
 from cuelattice.functions.parsing import parse_module
@@ -305,3 +307,36 @@ def test_scip_generation_is_optional(tmp_path):
     if not scip_source.tool_available():
         with pytest.raises(scip_source.GenerationError):
             scip_source.generate(tmp_path, tmp_path / "x")
+
+
+def _parts(rows):
+    return rows.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_files_of_one_block_are_parsed_on_all_cores(spark):
+    files_ = spark.range(400).select(F.concat("id", F.lit(".py")).alias("source_file"), F.lit(b"def f(): pass\n").alias("content")).coalesce(1)
+    parsed = extract.parse_files(files_)
+    assert _parts(parsed) > 1 and parsed.count() == 400
+
+
+def test_raised_messages_of_all_blocks():
+    text = """def f(x):
+    try:
+        with x:
+            raise A("with")
+    except E:
+        raise B("except")
+    else:
+        raise C("else")
+    finally:
+        for i in x:
+            raise D("for")
+    match x:
+        case 1:
+            raise G("case") from H("cause")
+    def g():
+        raise I("inner")
+    raise J("first")
+"""
+    # level by level, as a walk over all nodes finds them
+    assert parse_module(text).definitions[0].error_messages == ["first", "else", "inner", "with", "except", "for", "case", "cause"]
