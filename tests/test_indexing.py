@@ -319,6 +319,14 @@ def test_files_of_one_block_are_parsed_on_all_cores(spark):
     assert _parts(parsed) > 1 and parsed.count() == 400
 
 
+def test_extracted_files_are_parsed_once(spark):
+    files_ = spark.createDataFrame([("a.py", bytearray(b"def f(): pass\n")), ("b.py", bytearray(b"\xff"))], "source_file string, content binary")
+    graph = extract.extract_files(files_, NOW)
+    for rows in (graph.nodes, graph.edges):  # both read what was written
+        assert "MapInPandas" not in rows._jdf.queryExecution().toString()
+    assert sorted(r.id for r in graph.nodes.where("node_type <> 'tag'").collect()) == ["content:a.py::<module>", "content:a.py::f", "cue:symbol:a.py::f"]
+
+
 def test_raised_messages_of_all_blocks():
     text = """def f(x):
     try:
