@@ -12,6 +12,7 @@ from cuelattice.functions import scalar
 from cuelattice.functions.parsing import parse_module
 from cuelattice.index import index_files, index_repository
 from cuelattice.operators import extract, scip
+from cuelattice.schema import as_nodes
 from cuelattice.service import Service, open_references
 from cuelattice.sources import files
 from cuelattice.sources import scip as scip_source
@@ -327,6 +328,30 @@ def test_extracted_files_are_parsed_once(spark):
     assert sorted(r.id for r in graph.nodes.where("node_type <> 'tag'").collect()) == ["content:a.py::<module>", "content:a.py::f", "cue:symbol:a.py::f"]
 
 
+def test_hash_embedding_hashes_once_a_text(spark):
+    plan = spark.range(3).select(scalar.hash_embedding(F.col("id").cast("string")).alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("sha2(") == 1  # it stood in the lambdas of the norm too, and was computed for each of 32 elements there
+    zero = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<double>").select(scalar.l2_normalise("v").alias("u"))
+    assert [r.u for r in zero.collect()] == [[0.0, 0.0], [0.6, 0.8]]
+
+
+def test_rows_without_vectors_do_not_meet_in_one_task(spark):
+    rows = spark.range(200).select(F.concat(F.lit("content:"), "id").alias("id"), F.lit("content").alias("node_type"), F.lit(None).cast("string").alias("text"))
+    cue = spark.createDataFrame([("cue:1", "cue", "hello"), ("cue:2", "cue", None)], "id string, node_type string, text string")
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in zip(names, ("false", "-1"), strict=True):
+            spark.conf.set(n, v)
+        out = extract.attach_embeddings(as_nodes(rows.unionByName(cue)), scalar.hash_embedding, scalar.HASH_MODEL)
+        assert _parts(out.where("node_type = 'content'")) > 1
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    found = {r.id: r.embedding for r in out.where("embedding IS NOT NULL OR node_type = 'cue'").collect()}
+    assert len(found["cue:1"]) == 32 and found["cue:2"] is None and len(found) == 2 and out.count() == 202
+
+
 def test_raised_messages_of_all_blocks():
     text = """def f(x):
     try:
