@@ -88,8 +88,9 @@ def candidates(graph: Graph, labels: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def pack(graph: Graph, most: int = MOST) -> Packed:
-    labels = bucketed(summaries(graph), "summaries", "id")
-    return Packed(bucketed(adjacency(graph, most), "adjacency", "id"), labels, bucketed(candidates(graph, labels, most), "candidates", "id"))
+    n = graph.nodes.count()  # each table has a row a node, and few more for hubs
+    labels = bucketed(summaries(graph), "summaries", "id", n)
+    return Packed(bucketed(adjacency(graph, most), "adjacency", "id", n), labels, bucketed(candidates(graph, labels, most), "candidates", "id", n))
 
 
 def has_tags(tags: list[tuple[str, str]], column: Column | str = "tags") -> Column:

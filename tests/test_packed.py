@@ -88,3 +88,11 @@ def test_one_table_a_hop(spark, mixed, monkeypatch):
     seeds = spark.createDataFrame([("q", ["cue1", "cue2"])], "qid string, seeds array<string>")
     walk.reconstruct_packed(found, seeds, walk.rule_planner(), 4)
     assert len(written) == 5  # the start, and one for each hop
+
+
+def test_packed_tables_are_written_once(mixed, monkeypatch):
+    """No copy of a table is written before the table itself."""
+    from cuelattice.plans import lineage
+
+    monkeypatch.setattr(lineage, "cut", lambda df: pytest.fail("an intermediate table"))
+    assert packed.pack(mixed).adjacency.count()
