@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scip, vector, walk
 from ..service import Service
-from . import projection
+from . import lineage, projection
 from .projection import table
 from .queries import _COSINE, _HITS, _vector, plain, query
 
@@ -230,8 +230,10 @@ def reconstruct_scripted(spark, sf_dir):
     queries = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("qid"), "embedding")
     top = vector.knn_batch(graph.nodes, queries, 1, "cue").select("qid", F.col("node_id").alias("id"))
     first = lambda current: walk.candidates(graph, current).groupBy("qid").agg(F.min_by("candidate_id", "ord").alias("id"))
-    one = first(top)
-    two = first(one)
+    # Every hop reads the script, so what it is made of is found once.
+    top = lineage.cut(top)
+    one = lineage.cut(first(top))
+    two = lineage.cut(first(one))
     pick = lambda c, relevance: F.struct(c.alias("id"), F.lit(relevance).alias("relevance"))
     no = F.lit(False)
     decisions = [

@@ -63,3 +63,13 @@ def test_the_whole_package_is_extracted(spark, monkeypatch):
     monkeypatch.setattr(extract, "parse_files", lambda scanned: parse(seen.append(scanned) or scanned))
     assert QUERIES["extract_sources"](spark, str(DATA)).count()
     assert seen[0].count() == len(list(Path(cuelattice.__file__).parent.rglob("*.py")))
+
+
+def test_the_script_of_walks_is_found_once(spark, monkeypatch):
+    """Every hop reads the decisions, so they come from tables and not from the joins that they are made by."""
+    from cuelattice.operators import walk
+
+    plans, planner = [], walk.scripted_planner
+    monkeypatch.setattr(walk, "scripted_planner", lambda decisions: planner(plans.append(decisions._jdf.queryExecution().analyzed().toString()) or decisions))
+    assert QUERIES["reconstruct_scripted"](spark, str(DATA)).count()
+    assert len(plans) == 1 and "Join" not in plans[0]
