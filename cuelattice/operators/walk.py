@@ -17,11 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..functions.scalar import content_label, content_snippet
+from ..plans.lineage import cut, measured_joins
 from ..schema import parse_tag_filters
-from .graph import Graph, first_by, neighbors
+from .graph import Graph, content_tags, first_by, neighbors
 from .packed import Packed, has_tags
-from .read import content_summaries, cue_summaries, expand_contents
+from .read import cue_summaries, expand_contents
 
 DECISION = "qid string, collect array<struct<id:string,relevance:double>>, descend_into string, stop boolean, error boolean"
 Planner = Callable[[DataFrame], DataFrame]
@@ -55,13 +56,19 @@ def candidates(graph: Graph, current: DataFrame, tags: list[tuple[str, str]] | N
     return rows.select("qid", F.col("content_id").alias("candidate_id"), F.struct("branch", "edge_seq").alias("ord"))
 
 
-def _requests(graph: Graph, active: DataFrame, found: DataFrame, queries: DataFrame) -> DataFrame:
-    # Summaries and tags of the candidates alone.
-    ids = found.select(F.col("candidate_id").alias("id")).distinct()
-    nodes = graph.nodes.join(ids, "id", "left_semi")
-    tagged = graph.edges.where("edge_type = 'tagged_with'").join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
-    labels = cue_summaries(nodes).unionByName(content_summaries(Graph(graph.nodes, tagged), nodes.where("node_type = 'content'")))
-    rows = found.join(labels.withColumnRenamed("id", "candidate_id"), "candidate_id")
+def _told(graph: Graph) -> DataFrame:
+    """candidate_id, node_kind, label and snippet of all cues and contents, without their bodies: made once a walk, since hops move it."""
+    cues = cue_summaries(graph.nodes).select("id", "node_kind", "label", "snippet")
+    contents = graph.nodes.where("node_type = 'content'").select("id", F.lit("content").alias("node_kind"), content_label().alias("label"), content_snippet().alias("snippet"))
+    return cut(cues.unionByName(contents).withColumnRenamed("id", "candidate_id"))
+
+
+def _requests(graph: Graph, told: DataFrame, active: DataFrame, found: DataFrame, queries: DataFrame) -> DataFrame:
+    # Tags of the candidates alone; a cue has none.
+    ids = found.select(F.col("candidate_id").alias("source_id")).distinct()
+    tagged = graph.edges.where("edge_type = 'tagged_with'").join(ids, "source_id", "left_semi")
+    rows = found.join(told, "candidate_id").join(content_tags(Graph(graph.nodes, tagged)).withColumnRenamed("id", "candidate_id"), "candidate_id", "left")
+    rows = rows.withColumn("tags", F.coalesce(F.when(F.col("node_kind") == "content", F.col("tags")), F.array().cast("array<string>")))
     item = F.struct("ord", F.col("candidate_id").alias("id"), "node_kind", "label", "snippet", "tags")
     lists = rows.groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("candidates"))
     out = active.join(lists, "qid", "left").join(queries, "qid", "left")
@@ -135,15 +142,19 @@ def reconstruct(
     """
     if planner is None:
         raise RuntimeError("reconstruct needs a planner and none is set")
-    tags = parse_tag_filters(tag_filters)
-    state = cut(_started(seeds))
+    with measured_joins(seeds.sparkSession):  # every hop is written inside
+        return _reconstructed(graph, seeds, planner, budget, parse_tag_filters(tag_filters), queries)
+
+
+def _reconstructed(graph: Graph, seeds: DataFrame, planner: Planner, budget: int, tags: list[tuple[str, str]], queries: DataFrame | None) -> DataFrame:
+    state, told = cut(_started(seeds)), _told(graph)
     if queries is None:
         queries = state.select("qid", F.lit(None).cast("string").alias("query"))
     found_all: DataFrame | None = None
     for hop in range(budget):
         active = state.where("NOT done").withColumns({"hop": F.lit(hop), "left": F.lit(budget - hop)})
         found = cut(candidates(graph, active, tags))
-        decisions = cut(planner(_requests(graph, active, found, queries)))
+        decisions = cut(planner(_requests(graph, told, active, found, queries)))
         ok = decisions.where("NOT coalesce(error, false)")
         picks = ok.select("qid", F.posexplode("collect").alias("k", "pick")).select(
             "qid",

@@ -5,6 +5,8 @@ import random
 import pytest
 
 from cuelattice.operators import walk
+from cuelattice.operators.graph import Graph
+from cuelattice.plans import lineage
 
 
 def seeds(spark, **by_query):
@@ -39,6 +41,23 @@ def test_two_hops_and_upgrade(spark, two_hop):
     assert found(walk.reconstruct(two_hop, start, plan, 1)) == [("login", 0.4)]
 
 
+def test_small_files_are_not_broadcast(spark, two_hop, monkeypatch):
+    """Joins of a walk are planned by measured sizes: files of ids are far smaller than the ids."""
+    graph = Graph(lineage.saved(two_hop.nodes, "node_type"), lineage.saved(two_hop.edges, "edge_type"))
+    plans, cut, limit = [], walk.cut, "spark.sql.autoBroadcastJoinThreshold"
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(walk, "cut", seen)
+    before = spark.conf.get(limit)
+    assert sorted(found(walk.reconstruct(graph, seeds(spark, q=["cue-session"]), walk.rule_planner(), 2))) == [("login", 1.0), ("token", 0.5)]
+    assert len(plans) > 4 and any("Join" in p for p in plans)
+    assert not [p for p in plans if "BroadcastExchange" in p]
+    assert spark.conf.get(limit) == before and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+
+
 def test_error_keeps_what_was_found(spark, two_hop):
     plan = script(spark, [("q", 0, [("login", 0.5)], "login", False, False), ("q", 1, [("cue-auth", 0.9)], None, False, True)])
     assert found(walk.reconstruct(two_hop, seeds(spark, q=["cue-auth"]), plan, 3)) == [("login", 0.5)]
