@@ -25,7 +25,8 @@ places in a list of their own words, and ask for what they need of others:
 3. longer contexts: a token whose last two words are a candidate goes, with the
    words before it as far as candidates can reach, to the partition of these
    two words.  All contexts that end with them are there, level by level, and
-   so are all tokens to score; what comes back is each document's sum.
+   so are all tokens to score; what comes back is each document's sum.  This
+   is done in TURNS, so that a share of these tokens is on disk at a time.
 
 The words before a token reach back while neighbours stand together LEAST_CONTEXT
 times, and no further than a pair that stands just that often: a longer
@@ -69,6 +70,8 @@ HOT, MOST_HOT = 1 << 20, 1 << 16
 BATCH = 6 << 20
 #: Bytes of text for each partition of words, pairs and windows, which a task holds at once; and how many buckets Spark allows a table.
 PART_BYTES, MOST_BUCKETS = 32 << 20, 100_000
+#: The windows are dealt out in so many turns, each with its share of the partitions, and those of one turn are on disk at a time.
+TURNS = 4
 
 _HASHES = TokenHashes()
 _END = 0x454E44
@@ -99,10 +102,25 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, in the order of keys, and each key's place among the distinct ones.  Unlike np.unique, it needs no stable sort."""
+    order = np.argsort(key)
+    new = np.ones(len(key), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    inverse = np.empty(len(key), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
+
+
+def _gaps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
+
+
 # ------------------------------------------------------------------ words
 
 #: words: the batch's distinct words by (partition, hash); counts: of them in its training texts; bounds: where each partition's begin; places: each token's word.
-BATCHES = "batch long, docs array<{kind}>, held array<boolean>, sizes binary, places binary, words binary, counts binary, bounds binary, trained long"
+#: A batch has two rows, its documents and its words, in folders of their own: the words go once they are counted.
+BATCHES = "batch long, docs array<{kind}>, held array<boolean>, sizes binary, places binary, words binary, counts binary, bounds binary, trained long, asks int"
 
 
 def _read(parts: int):
@@ -126,15 +144,21 @@ def _read(parts: int):
             train = np.repeat(~np.array(column(b, "held_out"), bool), sizes)
             counts = np.bincount(places[train], minlength=len(key)).astype(np.uint32)
             bounds = np.searchsorted(part[order], np.arange(parts + 1)).astype(np.uint32)
-            own = [np.array(sizes, np.uint32), places, None, counts, bounds]
+            own = [squeeze(np.array(sizes, np.uint32)), squeeze(places)], [key[order].tobytes(), squeeze(counts), squeeze(bounds)]
             docs, held = (
                 pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(b.schema.get_field_index(c))) for c in ("doc_id", "held_out")
             )
-            data = [pa.array([key[order].tobytes() if a is None else squeeze(a)], pa.binary()) for a in own]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([(task << 32) + number]), docs, held, *data, pa.array([int(train.sum())])],
-                names=[x.split()[0] for x in BATCHES.split(", ")],
-            )
+            for asks, row in enumerate(([docs, held, *own[0], None, None, None], [pa.nulls(1, docs.type), pa.nulls(1, held.type), None, None, *own[1]])):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([(task << 32) + number]),
+                        *row[:2],
+                        *(pa.array([x], pa.binary()) for x in row[2:]),
+                        pa.array([asks * int(train.sum())]),
+                        pa.array([asks], pa.int32()),
+                    ],
+                    names=[x.split()[0] for x in BATCHES.split(", ")],
+                )
             number += 1
 
     return run
@@ -177,7 +201,7 @@ def _count_words(parts: int):
     return run
 
 
-#: tokens: sizes, places, numbers and counts of the words; open: places in the tokens that still look for a longer context, and their probability so far.
+#: tokens: sizes, places, gaps between the numbers of the words, and their counts; open: places in the tokens that still look for a longer context, and their probability so far.
 STATE = "batch long, docs array<{kind}>, held array<boolean>, tokens binary, open binary"
 
 
@@ -229,6 +253,10 @@ def _learn_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for docs, held, row in _joined(batches):
         number, count = (np.concatenate(x) for x in zip(*_by_part(row["answers"]), strict=True))
         (sizes,), (places,) = expand(row["sizes"]), expand(row["places"])
+        order = np.argsort(number)  # by frequency: most places are then small numbers
+        back = np.empty(len(order), np.uint32)
+        back[order] = np.arange(len(order), dtype=np.uint32)
+        places, number, count = back[places], _gaps(number[order]), count[order]
         state = [squeeze(sizes, places, number, count), b""]  # level 1 starts from the root, whose probabilities follow from the counts
         yield pa.RecordBatch.from_arrays(
             [pa.array([row["batch"]]), *_lists([docs, held]), *(pa.array([x], pa.binary()) for x in state)],
@@ -243,7 +271,8 @@ class _Batch:
     """The tokens of a batch."""
 
     def __init__(self, row: dict, held: pa.Array, root: _Root):
-        self.sizes, self.places, self.number, self.count = expand(row["tokens"])
+        self.sizes, self.places, number, self.count = expand(row["tokens"])
+        self.number = np.cumsum(number)
         self.sizes = self.sizes.astype(np.int64)
         if self.number.max(initial=0) < 1 << 32:
             self.number = self.number.astype(np.uint32)
@@ -255,9 +284,10 @@ class _Batch:
         self.root = root
         if row["open"]:
             self.at, self.p = expand(row["open"])
+        elif "pairs" in row:  # after the answers of level 1
+            self.at = np.empty(0, np.int64)
         else:
             self.at = np.flatnonzero((self.inside > 0) & (self.count[np.roll(self.places, 1)] >= LEAST_CONTEXT))
-            self.p = root.probability(self.count[self.places[self.at]])
 
     def context(self, at: np.ndarray, level: int) -> np.ndarray:
         """A number for the last ``level`` words before tokens."""
@@ -275,9 +305,9 @@ class _Batch:
             context, heat = self.context(self.at, level), np.ones(len(self.at), bool)
         symbol = self.words[self.at].astype(np.int64)
         key = mix64(context.view(np.uint64)) + symbol.view(np.uint64)
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        first, inverse = _groups(key)
         part = _part(np.where(heat[first], key[first].view(np.int64), context[first]), plan.parts)
-        order = np.lexsort((symbol[first], context[first], part))
+        order = np.lexsort((context[first], part))
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         first = first[order]
@@ -335,6 +365,13 @@ def tested(total, listed, kinds, gain, by_parent):
     return (total >= LEAST_CONTEXT) & (2 * gain > kinds + LEAST_Z * np.sqrt(2.0 * kinds) + LEAST_Z)
 
 
+def mixed(n, total, kinds, listed, p):
+    """The probability of a symbol of ``n`` tokens after a context of ``total``, of which ``listed`` are those of its ``kinds`` listed symbols (0: not retained); p: after its suffix."""
+    kept, total = kinds > 0, np.maximum(total, 1)
+    share = np.where(kept & (n >= LEAST_NEXT), (n - DISCOUNT) / total, 0.0)
+    return share + np.where(kept, 1 - (listed - DISCOUNT * kinds) / total, 1.0) * p
+
+
 class _Sums:
     """Sums over the pairs of each context: context is each pair's context, n its training tokens, p its probability so far."""
 
@@ -366,7 +403,7 @@ def _answer_pairs(root: _Root, level: int):
             context_of_chunk = np.split(context, np.cumsum([len(c) for c in contexts])[:-1])
             context = np.repeat(context, np.concatenate(sizes))
             key = mix64(context.astype(np.uint64)) + symbol.view(np.uint64)
-            _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            first, inverse = _groups(key)
             total = np.bincount(inverse, np.concatenate(n), minlength=len(first)).astype(np.int64)
             sums = _Sums(context[first], len(names), total, p[first])
             kept = tested(*sums.all()) & ~hot
@@ -393,6 +430,43 @@ def _answer_pairs(root: _Root, level: int):
     return run
 
 
+def _answers(b: _Batch, x: dict, answers: list, level: int, plan: _Plan) -> tuple[np.ndarray, ...]:
+    """Of each pair its count, and of its context the training tokens, and the listed symbols and their tokens, both 0 where it is not retained."""
+    n, kinds, listed = (np.concatenate(c) for c in zip(*_by_part(answers), strict=True))
+    of = np.cumsum(x["new"]) - 1
+    kinds, listed = kinds[of].astype(float), listed[of].astype(float)
+    total = b.count[b.places[b.at[x["first"]] - 1]].astype(float) if level == 1 else np.ones(len(n))
+    if plan.states:
+        known = np.array(sorted(plan.states), np.int64)
+        values = np.array([plan.states[c] for c in known.tolist()])
+        at = np.minimum(np.searchsorted(known, x["context"]), len(known) - 1)
+        hit = x["hot"] & (known[at] == x["context"])
+        total[hit], listed[hit], kinds[hit] = values[at[hit]].T
+    return n, total, kinds, listed
+
+
+def _learn_pairs(root: _Root, plan: _Plan):
+    """Batches with the answers to their pairs: each token's count as the pair of the word before and itself, 0 if it was not open; the listed symbols of each word as a context, and their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, held, row in _joined(batches):
+            b = _Batch(row, held, root)
+            together, (kinds, listed) = np.zeros(len(b.places), np.int64), np.zeros((2, len(b.number)), np.int64)
+            if len(b.at):
+                x = b.pairs(1, plan)
+                n, _, some, of_them = _answers(b, x, row["answers"], 1, plan)
+                word = b.places[b.at[x["first"]] - 1]
+                kinds[word], listed[word] = some, of_them
+                together[b.at] = n[x["pair"]]
+            state = [row["tokens"], b"", squeeze(together, kinds, listed)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row["batch"]]), *_lists([docs, held]), *(pa.array([v], pa.binary()) for v in state)],
+                names=[*(c.split()[0] for c in STATE.split(", ")), "pairs"],
+            )
+
+    return run
+
+
 # ------------------------------------------------------------------ longer contexts
 
 #: A batch's own row has its documents and level 0; the others are chunks of windows, for the partition of their context of ``level`` words.
@@ -404,46 +478,40 @@ class _Answered:
 
     p: each token's probability so far; together: its count as the pair of its
     context and itself, 0 if it was not open; pairs: the same of level 1;
-    longer: the tokens whose context of one word more may be a candidate, and
-    whether that is hot.
+    kinds, listed: of each word as a context, at level 1; longer: the tokens
+    whose context of one word more may be a candidate, and whether that is hot.
     """
 
     def __init__(self, b: _Batch, row: dict, level: int, plan: _Plan):
-        self.p = b.root.probability(b.count[b.places]) if level == 1 else np.ones(len(b.places))
-        self.together = np.zeros(len(b.places), np.int64)
-        if len(b.at):
-            self._look_up(b, row["answers"], level, plan)
-        self.pairs = self.together if level == 1 else expand(row["pairs"])[0]
-        longer = np.arange(len(b.places)) if level == 1 else b.at
-        longer = longer[b.inside[longer] > level] if level < plan.depth else longer[:0]
-        if level == 1:  # the context of two words is the pair of the token before
+        self.b, self.pairs, *states = b, *expand(row["pairs"])
+        if level == 1:
+            self.together, (self.kinds, self.listed) = self.pairs, states
+            longer = np.flatnonzero(b.inside > level) if level < plan.depth else np.empty(0, np.int64)
+            # The context of two words is the pair of the token before.
             count = self.pairs[longer - 1]
             # Of two tokens after the same context, one that alone follows its last word differs from the other, so nothing is listed there.
             alone = (count == LEAST_CONTEXT) & (self.pairs[longer] == 1) & b.train[longer] & (LEAST_CONTEXT == LEAST_NEXT == 2)
             longer = longer[(count >= LEAST_CONTEXT) & ~alone]
+        else:
+            self.p, self.together = np.ones(len(b.places)), np.zeros(len(b.places), np.int64)
+            if len(b.at):
+                x = b.pairs(level, plan)
+                n, *state = _answers(b, x, row["answers"], level, plan)
+                self.p[b.at] = mixed(n, *state, b.p[x["first"]])[x["pair"]]
+                self.together[b.at] = n[x["pair"]]
+            longer = b.at[b.inside[b.at] > level] if level < plan.depth else b.at[:0]
         self.longer, self.heat = longer, self.together[longer - 1] >= plan.hot
 
-    def _look_up(self, b: _Batch, answers: list, level: int, plan: _Plan) -> None:
-        x = b.pairs(level, plan)
-        n, kinds, listed = (np.concatenate(c) for c in zip(*_by_part(answers), strict=True))
-        of = np.cumsum(x["new"]) - 1
-        kinds, listed = kinds[of].astype(float), listed[of].astype(float)
-        total = b.count[b.places[b.at[x["first"]] - 1]].astype(float) if level == 1 else np.ones(len(n))
-        if plan.states:
-            known = np.array(sorted(plan.states), np.int64)
-            values = np.array([plan.states[c] for c in known.tolist()])
-            at = np.minimum(np.searchsorted(known, x["context"]), len(known) - 1)
-            hit = x["hot"] & (known[at] == x["context"])
-            total[hit], listed[hit], kinds[hit] = values[at[hit]].T
-        kept = kinds > 0
-        share = np.where(kept & (n >= LEAST_NEXT), (n - DISCOUNT) / np.maximum(total, 1), 0.0)
-        left = np.where(kept, 1 - (listed - DISCOUNT * kinds) / np.maximum(total, 1), 1.0)
-        self.p[b.at] = (share + left * b.p[x["first"]])[x["pair"]]
-        self.together[b.at] = n[x["pair"]]
-
-
-def _windows(level: int, root: _Root, plan: _Plan):
-    """After the answers to pairs of ``level`` words: each batch's own row (later: its sums), and windows of its tokens that reach further."""
+    def probability(self, at: np.ndarray, level: int) -> np.ndarray:
+        if level > 1:
+            return self.p[at]
+        b, before = self.b, self.b.places[at - 1]
+        p, inside = b.root.probability(b.count[b.places[at]]), b.inside[at] > 0
+        return np.where(inside, mixed(self.together[at], b.count[before], self.kinds[before], self.listed[before], p), p)
+
+
+def _windows(level: int, root: _Root, plan: _Plan, turn: int, turns: int):
+    """After the answers to pairs of ``level`` words: each batch's own row (later: its sums; in the first turn), and this turn's windows of its tokens that reach further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs, held, row in _joined(batches):
@@ -459,27 +527,9 @@ def _windows(level: int, root: _Root, plan: _Plan):
             )
             b = _Batch(row, held, root)
             x = _Answered(b, row, level, plan)
-            closed = np.full(len(b.places), level == 1)
-            closed[b.at] = True
-            closed[x.longer] = False
-            logs = np.bincount(b.doc[closed], np.log10(x.p[closed]), minlength=len(b.sizes))
-            count = b.count[b.places]
-            if level == 1:
-                base, known = np.add.reduceat(root.base(count), b.starts), np.add.reduceat((count > 0).astype(np.int64), b.starts)
-                own, lists = squeeze(b.sizes.astype(np.uint32), known.astype(np.uint32), base, logs), _lists([docs, held])
-            else:
-                own, lists = squeeze(np.arange(len(logs), dtype=np.uint32), logs), [pa.nulls(1, schema.field(c).type) for c in ("docs", "held")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([row["batch"] % plan.parts], pa.int32()),
-                    pa.array([row["batch"]]),
-                    pa.array([0], pa.int32()),
-                    *lists,
-                    pa.array([own], pa.binary()),
-                ],
-                schema=schema,
-            )
-            chunks = list(_cut(b, x.longer[~x.heat], x, level + 1, plan))
+            if turn == 0:
+                yield _own(b, x, row, level, plan, docs, held, schema)
+            chunks = list(_cut(b, _in_turn(b, x.longer[~x.heat], level + 1, plan, turn, turns), x, level + 1, plan))
             for lo in range(0, len(chunks), 64):
                 parts, data = zip(*chunks[lo : lo + 64], strict=True)
                 k = len(parts)
@@ -497,6 +547,35 @@ def _windows(level: int, root: _Root, plan: _Plan):
     return run
 
 
+def _own(b: _Batch, x: _Answered, row: dict, level: int, plan: _Plan, docs: pa.Array, held: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
+    """A batch's own row: its documents (at level 1), and what their tokens come to that go no further."""
+    closed = np.full(len(b.places), level == 1)
+    closed[b.at] = True
+    closed[x.longer] = False
+    logs = np.bincount(b.doc[closed], np.log10(x.probability(np.flatnonzero(closed), level)), minlength=len(b.sizes))
+    count = b.count[b.places]
+    if level == 1:
+        base, known = np.add.reduceat(b.root.base(count), b.starts), np.add.reduceat((count > 0).astype(np.int64), b.starts)
+        own, lists = squeeze(b.sizes.astype(np.uint32), known.astype(np.uint32), base, logs), _lists([docs, held])
+    else:
+        own, lists = squeeze(np.arange(len(logs), dtype=np.uint32), logs), [pa.nulls(1, schema.field(c).type) for c in ("docs", "held")]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([row["batch"] % plan.parts], pa.int32()),
+            pa.array([row["batch"]]),
+            pa.array([0], pa.int32()),
+            *lists,
+            pa.array([own], pa.binary()),
+        ],
+        schema=schema,
+    )
+
+
+def _in_turn(b: _Batch, at: np.ndarray, level: int, plan: _Plan, turn: int, turns: int) -> np.ndarray:
+    """The tokens whose context of ``level`` words is in a partition of this turn."""
+    return at[_part(b.context(at, level), plan.parts) % turns == turn] if turns > 1 else at
+
+
 def _keep_hot(level: int, root: _Root, plan: _Plan):
     """Batches in which the tokens with a hot context of level + 1 words are open, and the counts of all pairs of neighbours."""
 
@@ -505,7 +584,7 @@ def _keep_hot(level: int, root: _Root, plan: _Plan):
             b = _Batch(row, held, root)
             x = _Answered(b, row, level, plan)
             at = x.longer[x.heat].astype(np.int64)
-            state = [row["tokens"], squeeze(at, x.p[at]), squeeze(x.pairs)]
+            state = [row["tokens"], squeeze(at, x.probability(at, level)), squeeze(x.pairs)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row["batch"]]), *_lists([docs, held]), *(pa.array([v], pa.binary()) for v in state)],
                 names=[*(c.split()[0] for c in STATE.split(", ")), "pairs"],
@@ -546,7 +625,7 @@ def _cut(b: _Batch, at: np.ndarray, x: _Answered, level: int, plan: _Plan) -> It
         route = mix64(route) + history[k - 1].astype(np.uint64)
     symbol = b.words[at]
     key += symbol.astype(np.uint64)
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    first, inverse = _groups(key)
     part = _part(route[first].view(np.int64), plan.parts)
     order = np.lexsort((history[1][first], history[0][first], part))
     back = np.empty(len(order), np.int64)
@@ -557,44 +636,73 @@ def _cut(b: _Batch, at: np.ndarray, x: _Answered, level: int, plan: _Plan) -> It
     docs, times = b.doc[at][by_window].astype(np.uint32), np.bincount(window, minlength=len(first))
     n = np.bincount(window, b.train[at], minlength=len(first)).astype(np.uint32)
     ends = np.cumsum(times)
-    probability = _short(x.p[at][first])
     used, lows = np.unique(part, return_index=True)
     for which, lo, hi in zip(used.tolist(), lows, [*lows[1:], len(part)], strict=True):
         rows = first[lo:hi]
         words = [history[k][rows][reach[rows] > k] for k in range(plan.depth)]
-        own = docs[ends[lo] - times[lo] : ends[hi - 1]]
-        yield which, squeeze(reach[rows].astype(np.uint8), *words, symbol[rows], probability[lo:hi], n[lo:hi], times[lo:hi].astype(np.uint32), own)
+        own = [n[lo:hi], times[lo:hi].astype(np.uint32), docs[ends[lo] - times[lo] : ends[hi - 1]]]
+        if level == 2:  # what the probability follows from takes less room: counts of pairs, and of each last word and symbol once
+            starts = np.flatnonzero(_gaps(words[0]))
+            last = b.places[at[rows[starts]] - 1]
+            symbols, of = np.unique(symbol[rows], return_inverse=True)
+            count = np.empty(len(symbols), np.int64)
+            count[of] = b.count[b.places[at[rows]]]
+            words[0] = _gaps(words[0][starts])
+            sizes, kinds = np.diff(starts, append=hi - lo).astype(np.uint32), x.kinds[last]
+            kept = last[kinds > 0]  # after the other words the probability is the symbol's own
+            together = x.together[at[rows]][np.repeat(kinds > 0, sizes)]
+            states = [sizes, kinds, b.count[kept], x.listed[kept]]
+            yield which, squeeze(reach[rows].astype(np.uint8), *words, *states, _gaps(symbols), count, of.astype(np.uint32), together, *own)
+        else:
+            yield which, squeeze(reach[rows].astype(np.uint8), *words, symbol[rows], _short(x.p[at[rows]]), *own)
+
+
+def _window_arrays(level: int, data: bytes, root: _Root) -> list[np.ndarray]:
+    """Of a chunk's windows: how far they reach, the words before, the symbols, probabilities and training tokens, the numbers of documents, and these."""
+    c = expand(data)
+    if level > 2:
+        return c
+    reach, last, *words, sizes, kinds, total, listed, symbols, count, of, together, n, times, docs = c
+    each = lambda a: np.repeat(a, sizes)
+    p, kept = root.probability(count)[of], each(kinds > 0)
+    after = sizes[kinds > 0]
+    p[kept] = mixed(together, *(np.repeat(a, after) for a in (total, kinds[kinds > 0], listed)), p[kept])
+    return [reach, each(np.cumsum(last, dtype=np.uint64)), *words, np.cumsum(symbols, dtype=np.uint64)[of], p, n, times, docs]
 
 
 SOLVED = "batch long, docs array<{kind}>, held array<boolean>, data binary, retained long"
 
 
-def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _solve(root: _Root):
     """Per partition: the contexts of all windows, level by level, and what each document's tokens come to.  Other rows go through."""
-    schema, held, at = None, [], None
-    for b in batches:
-        get = lambda c, b=b: b.column(b.schema.get_field_index(c))
-        schema = schema or pa.schema(
-            [("batch", pa.int64()), ("docs", get("docs").type), ("held", get("held").type), ("data", pa.binary()), ("retained", pa.int64())]
-        )
-        for i, (part, level, batch, data) in enumerate(zip(*(get(c).to_pylist() for c in ("part", "level", "batch", "data")), strict=True)):
-            if level == 0:
-                yield pa.RecordBatch.from_arrays(
-                    [get("batch").slice(i, 1), get("docs").slice(i, 1), get("held").slice(i, 1), get("data").slice(i, 1), pa.array([0])],
-                    schema=schema,
-                )
-                continue
-            if held and at != (part, level):
-                yield _solved(at[1], held, schema)
-                held = []
-            at = part, level
-            held.append((batch, data))
-    if held:
-        yield _solved(at[1], held, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, held, at = None, [], None
+        for b in batches:
+            get = lambda c, b=b: b.column(b.schema.get_field_index(c))
+            schema = schema or pa.schema(
+                [("batch", pa.int64()), ("docs", get("docs").type), ("held", get("held").type), ("data", pa.binary()), ("retained", pa.int64())]
+            )
+            for i, (part, level, batch, data) in enumerate(zip(*(get(c).to_pylist() for c in ("part", "level", "batch", "data")), strict=True)):
+                if level == 0:
+                    yield pa.RecordBatch.from_arrays(
+                        [get("batch").slice(i, 1), get("docs").slice(i, 1), get("held").slice(i, 1), get("data").slice(i, 1), pa.array([0])],
+                        schema=schema,
+                    )
+                    continue
+                if held and at != (part, level):
+                    yield _solved(at[1], held, root, schema)
+                    held = []
+                at = part, level
+                held.append((batch, data))
+        if held:
+            yield _solved(at[1], held, root, schema)
+
+    return run
 
 
-def _solved(level: int, rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    chunks = [expand(d) for _, d in rows]
+def _solved(level: int, rows: list[tuple], root: _Root, schema: pa.Schema) -> pa.RecordBatch:
+    chunks = [_window_arrays(level, d, root) for _, d in rows]
     reach = np.concatenate([c[0] for c in chunks])
     symbol = np.concatenate([c[-5] for c in chunks]).astype(np.uint64)
     p = np.concatenate([c[-4] for c in chunks])
@@ -610,7 +718,7 @@ def _solved(level: int, rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
         code = mix64(code + words[alive])
         if k < level:
             continue
-        _, first, inverse = np.unique(mix64(code) + symbol[alive], return_index=True, return_inverse=True)
+        first, inverse = _groups(mix64(code) + symbol[alive])
         total = np.bincount(inverse, n[alive], minlength=len(first)).astype(np.int64)
         names, context = np.unique(code[first], return_inverse=True)
         before = p[alive][first]
@@ -663,12 +771,13 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Bucketed:
     """A table dealt to buckets of its batches, so that no join moves it again."""
 
-    def __init__(self, df: DataFrame, parts: int):
+    def __init__(self, df: DataFrame, parts: int, *folders: str):
         self.spark, self.name = df.sparkSession, f"suffix_tree_{uuid.uuid4().hex}"
         self.path = f"{shared_dir(self.spark)}/{self.name}"
         atexit.register(self.drop)  # in case the computation fails
         with shuffles_go(self.spark):
-            df.write.bucketBy(min(parts, MOST_BUCKETS), "batch").option("path", self.path).saveAsTable(self.name)
+            writer = df.write.partitionBy(*folders) if folders else df.write
+            writer.bucketBy(min(parts, MOST_BUCKETS), "batch").option("path", self.path).saveAsTable(self.name)
         self.df = self.spark.table(self.name)
 
     def drop(self) -> None:
@@ -691,15 +800,17 @@ def score(docs: DataFrame, depth: int = DEPTH, hot: int | None = None) -> DataFr
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))  # what a task holds does not grow with the input
     kind = docs.schema["doc_id"].dataType.simpleString()
     scratch = Scratch(spark)
-    batches = scratch.table(rows_of(docs).mapInArrow(_read(parts), BATCHES.format(kind=kind)), "batches")
-    total = batches.agg(F.sum("trained")).first()[0] or 0
+    batches = _Bucketed(rows_of(docs).mapInArrow(_read(parts), BATCHES.format(kind=kind)), parts, "asks")
+    total = batches.df.agg(F.sum("trained")).first()[0] or 0
     plan = _Plan(parts, hot or max(HOT, total // MOST_HOT), depth)
-    asked = batches.select("batch", "words", "counts", "bounds").mapInArrow(_ask_words, ASKED)
+    asked = batches.df.where("asks = 1").select("batch", "words", "counts", "bounds").mapInArrow(_ask_words, ASKED)
     counted = scratch.table(dealt_by(asked, parts, "part", "batch").mapInArrow(_count_words(parts), COUNTED), "word-counts")
     root = _Root(total, counted.agg(F.sum("kinds")).first()[0] or 0)
-    joined = batches.select("batch", "docs", "held", "sizes", "places").join(_gathered(counted).hint("merge"), "batch")
+    drop_table(spark, f"{batches.path}/asks=1")
+    joined = batches.df.where("asks = 0").select("batch", "docs", "held", "sizes", "places").join(_gathered(counted).hint("merge"), "batch")
     state = _Bucketed(joined.mapInArrow(_learn_words, STATE.format(kind=kind)), parts)
-    scratch.drop(batches, counted)
+    batches.drop()
+    scratch.drop(counted)
     level, states, solved = 1, 0, []
     while state:
         asked = state.df.mapInArrow(_ask_pairs(level, root, plan), ASKED)
@@ -707,14 +818,20 @@ def score(docs: DataFrame, depth: int = DEPTH, hot: int | None = None) -> DataFr
         retained, most = answered.agg(F.sum("retained"), F.max("most")).first()
         plan = replace(plan, states=_hot_states(answered))
         states += (retained or 0) + sum(s[2] > 0 for s in plan.states.values())
-        joined = state.df.join(_gathered(answered).hint("merge"), "batch", "left")
-        windows = joined.mapInArrow(_windows(level, root, plan), WINDOWS.format(kind=kind))
-        solved.append(
-            scratch.table(dealt_by(windows, parts, "part", "level", "batch").mapInArrow(_solve, SOLVED.format(kind=kind)), f"solved-{level}")
-        )
+        known = state.df.join(_gathered(answered).hint("merge"), "batch", "left")
+        if level == 1:  # looked up once, for all turns
+            learnt = _Bucketed(known.mapInArrow(_learn_pairs(root, plan), STATE.format(kind=kind) + ", pairs binary"), parts)
+            state.drop()
+            scratch.drop(answered)
+            state, known = learnt, learnt.df
+        turns = min(TURNS, parts) if level == 1 else 1
+        for turn in range(turns):
+            windows = known.mapInArrow(_windows(level, root, plan, turn, turns), WINDOWS.format(kind=kind))
+            dealt = dealt_by(windows, -(-parts // turns), "part", "level", "batch")
+            solved.append(scratch.table(dealt.mapInArrow(_solve(root), SOLVED.format(kind=kind)), f"solved-{level}-{turn}"))
         following = None
         if (most or 0) >= plan.hot and level < depth:
-            following = _Bucketed(joined.mapInArrow(_keep_hot(level, root, plan), STATE.format(kind=kind) + ", pairs binary"), parts)
+            following = _Bucketed(known.mapInArrow(_keep_hot(level, root, plan), STATE.format(kind=kind) + ", pairs binary"), parts)
         state.drop()
         scratch.drop(answered)
         state, level = following, level + 1

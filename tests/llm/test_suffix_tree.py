@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from cuelattice.llm import suffix_tree as x
 
@@ -108,3 +109,19 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     ids = [i for i in range(40) if held(i)][:2]
     rows = x.score(spark.createDataFrame([(ids[0], "some words", None, None, None), (ids[1], None, None, None, None)], SCHEMA)).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)] and all(math.isfinite(r.score) for r in rows)
+
+
+def test_windows_are_on_disk_in_turns(spark, chain, monkeypatch):
+    """Each turn has partitions of its own, and no turn most of the windows' bytes."""
+    turns, dealt_by = [], x.dealt_by
+
+    def seen(df, parts, key, *order):
+        if "level" in order:
+            turns.append({r.part: r.size for r in df.where("level = 2").groupBy("part").agg(F.sum(F.length("data")).alias("size")).collect()})
+        return dealt_by(df, parts, key, *order)
+
+    monkeypatch.setattr(x, "dealt_by", seen)
+    x.score(spark.createDataFrame(chain, SCHEMA).repartition(5)).count()
+    sizes = [sum(t.values()) for t in turns]
+    assert len(sizes) > 1 and max(sizes) < 0.8 * sum(sizes)
+    assert sum(map(len, turns)) == len(set().union(*turns))
