@@ -26,7 +26,8 @@ places in a list of their own words, and ask for what they need of others:
    words before it as far as candidates can reach, to the partition of these
    two words.  All contexts that end with them are there, level by level, and
    so are all tokens to score; what comes back is each document's sum.  This
-   is done in TURNS, so that a share of these tokens is on disk at a time.
+   is done in turns, as many as keep what is on disk at a time to a share of
+   the input, and each turn's sums are added up when it ends.
 
 The words before a token reach back while neighbours stand together LEAST_CONTEXT
 times, and no further than a pair that stands just that often: a longer
@@ -49,14 +50,16 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, TokenHashes, column, dealt_by, documents, drop_table, expand, mix64, remainder, runs, shared_dir, shuffles_go, slices, squeeze, text_or_empty
+from .common import Scratch, column, dealt_by, documents, drop_table, expand, mix64, remainder, runs, shared_dir, shuffles_go, slices, squeeze, text_or_empty
 
 DEPTH = 8
 LEAST_CONTEXT = 2
@@ -70,13 +73,22 @@ HOT, MOST_HOT = 1 << 20, 1 << 16
 BATCH = 6 << 20
 #: Bytes of text for each partition of words, pairs and windows, which a task holds at once; and how many buckets Spark allows a table.
 PART_BYTES, MOST_BUCKETS = 32 << 20, 100_000
-#: The windows are dealt out in so many turns, each with its share of the partitions, and those of one turn are on disk at a time.
-TURNS = 4
+#: Words are counted, and batches learn their numbers, in so many shares; what a share has read goes when it ends.
+SHARES = 3
+#: The windows are dealt out in turns, each with its share of the partitions, and those of one turn are on disk at a time: so many of their words for a byte of text.
+TURN_WORDS = 0.15
 
-_HASHES = TokenHashes()
 _END = 0x454E44
 
 
+class _OwnWords(dict):
+    """A batch's words, numbered from 1 as they come; 0 is the end."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
+
+
 def tokens(text: bytes) -> list[bytes]:
     """Words with A-Z lowered.  bytes.lower and bytes.split know just A-Z and ASCII white space."""
     return text.lower().split()
@@ -102,25 +114,92 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """As np.argsort with a stable sort, by sorting values with their places in the low bits, which is several times faster."""
+    if key.dtype.kind == "i":
+        key = key.astype(np.int64).view(np.uint64) ^ np.uint64((1 << 63) * bool(key.min(initial=0) < 0))
+    key = key.astype(np.uint64, copy=False)
+    bits = np.uint64(len(key).bit_length())
+    drop = max(0, int(key.max(initial=0)).bit_length() + int(bits) - 64)
+    packed = key >> np.uint64(drop)
+    packed <<= bits
+    packed |= np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    if drop:  # where numbers differ in the dropped bits alone, their order is mended
+        packed >>= bits
+        same, ordered = packed[1:] == packed[:-1], key[order]
+        wrong = same & (ordered[1:] != ordered[:-1])
+        if wrong.any():
+            run = np.concatenate([[0], np.cumsum(~same)])
+            several = np.zeros(run[-1] + 1, bool)
+            several[run[1:][wrong]] = True
+            at = np.flatnonzero(several[run])
+            order[at] = order[at][np.argsort(ordered[at], kind="stable")]
+    return order
+
+
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A place of each distinct key, in the order of keys, and each key's place among the distinct ones.  Unlike np.unique, it needs no stable sort."""
-    order = np.argsort(key)
-    new = np.ones(len(key), bool)
-    new[1:] = key[order[1:]] != key[order[:-1]]
+    """A place of each distinct key, in the order of keys, and each key's place among the distinct ones."""
+    order = _order(key)
+    ordered, new = key[order], np.ones(len(key), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
     inverse = np.empty(len(key), np.int64)
     inverse[order] = np.cumsum(new) - 1
     return order[new], inverse
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in their order, and each key's place among them."""
+    first, inverse = _groups(key)
+    return key[first], inverse
+
+
 def _gaps(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=ascending.dtype.type(0))
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """In four bytes a number where that is enough."""
+    return a.astype(np.uint32) if a.max(initial=0) < 1 << 32 else a
+
+
+def _steps(a: np.ndarray) -> np.ndarray:
+    """Differences, either sign in few bytes: counts in the order of words' numbers nearly descend."""
+    d = np.diff(a.astype(np.int64), prepend=0)
+    return ((d << 1) ^ (d >> 63)).view(np.uint64)
+
+
+def _from_steps(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum((steps >> np.uint64(1)).view(np.int64) ^ -(steps & np.uint64(1)).view(np.int64))
+
+
+def _gaps_of_runs(a: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Gaps within runs that begin at ``starts``, and each run's first number."""
+    out = _gaps(a)
+    out[starts] = a[starts]
+    return out
+
+
+def _from_gaps_of_runs(gaps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    sums, starts = np.cumsum(gaps, dtype=gaps.dtype), _starts(sizes.astype(np.int64))
+    return sums - np.repeat(sums[starts] - gaps[starts], sizes)
+
+
 # ------------------------------------------------------------------ words
 
 #: words: the batch's distinct words by (partition, hash); counts: of them in its training texts; bounds: where each partition's begin; places: each token's word.
-#: A batch has two rows, its documents and its words, in folders of their own: the words go once they are counted.
-BATCHES = "batch long, docs array<{kind}>, held array<boolean>, sizes binary, places binary, words binary, counts binary, bounds binary, trained long, asks int"
+#: A batch has a row of its documents and one of each share of its words, in folders of their own: a share goes once it has been counted, or its numbers are known.
+BATCHES = "batch long, docs array<{kind}>, held array<boolean>, sizes binary, places binary, words binary, counts binary, bounds binary, trained long, asks int, share int"
+
+
+def _shares(parts: int) -> list[int]:
+    """Where each share's partitions of words begin, and the end."""
+    return [parts * s // SHARES for s in range(SHARES + 1)]
+
+
+#: The share of a batch: its task and its number there.
+_SHARE = f"(shiftright(batch, 32) + (batch & 4294967295)) % {SHARES}"
 
 
 def _read(parts: int):
@@ -129,33 +208,41 @@ def _read(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         for b in slices(batches, most=BATCH):
-            words, sizes = [], []
+            own, found, sizes = _OwnWords(), [], []
             for t in column(b, "text"):
                 ws = tokens(t)
-                words += map(_HASHES.__getitem__, ws)
-                words.append(_END)
+                found += map(own.__getitem__, ws)
+                found.append(0)
                 sizes.append(len(ws) + 1)
-            key, places = np.unique(np.array(words, np.int64), return_inverse=True)
+            hashes = np.array([_END, *(xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in own)], np.int64)
+            first, inverse = _groups(hashes)
+            key = hashes[first]
             part = _part(key, parts)
-            order = np.argsort(part, kind="stable")
+            order = _order(part)
             back = np.empty(len(order), np.uint32)
             back[order] = np.arange(len(order), dtype=np.uint32)
-            places = back[places]
+            places = back[inverse][np.array(found, np.uint32)]
             train = np.repeat(~np.array(column(b, "held_out"), bool), sizes)
             counts = np.bincount(places[train], minlength=len(key)).astype(np.uint32)
             bounds = np.searchsorted(part[order], np.arange(parts + 1)).astype(np.uint32)
-            own = [squeeze(np.array(sizes, np.uint32)), squeeze(places)], [key[order].tobytes(), squeeze(counts), squeeze(bounds)]
+            key = key[order]
             docs, held = (
                 pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(b.schema.get_field_index(c))) for c in ("doc_id", "held_out")
             )
-            for asks, row in enumerate(([docs, held, *own[0], None, None, None], [pa.nulls(1, docs.type), pa.nulls(1, held.type), None, None, *own[1]])):
+            none = pa.nulls(1, docs.type), pa.nulls(1, held.type)
+            rows = [(0, (task + number) % SHARES, docs, held, squeeze(np.array(sizes, np.uint32)), squeeze(places), None, None, None)]
+            for share, (lo, hi) in enumerate(pairwise(_shares(parts))):
+                at = slice(bounds[lo], bounds[hi])
+                rows.append((1, share, *none, None, None, key[at].tobytes(), squeeze(counts[at]), squeeze(bounds[lo : hi + 1] - bounds[lo])))
+            for asks, share, *row in rows:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([(task << 32) + number]),
                         *row[:2],
                         *(pa.array([x], pa.binary()) for x in row[2:]),
-                        pa.array([asks * int(train.sum())]),
+                        pa.array([0 if asks else int(train.sum())]),
                         pa.array([asks], pa.int32()),
+                        pa.array([share], pa.int32()),
                     ],
                     names=[x.split()[0] for x in BATCHES.split(", ")],
                 )
@@ -167,13 +254,18 @@ def _read(parts: int):
 ASKED = "part int, batch long, data binary"
 
 
-def _ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for batch, words, counts, bounds in zip(*(column(b, c) for c in ("batch", "words", "counts", "bounds")), strict=True):
-            words, counts, bounds = np.frombuffer(words, np.int64), expand(counts)[0], expand(bounds)[0]
-            used = np.flatnonzero(np.diff(bounds))
-            data = [squeeze(words[bounds[p] : bounds[p + 1]], counts[bounds[p] : bounds[p + 1]]) for p in used]
-            yield _table(ASKED, used, [batch] * len(used), data)
+def _ask_words(lowest: int):
+    """lowest: the first partition of the share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for batch, words, counts, bounds in zip(*(column(b, c) for c in ("batch", "words", "counts", "bounds")), strict=True):
+                words, counts, bounds = np.frombuffer(words, np.int64), expand(counts)[0], expand(bounds)[0]
+                used = np.flatnonzero(np.diff(bounds))
+                data = [squeeze(words[bounds[p] : bounds[p + 1]], counts[bounds[p] : bounds[p + 1]]) for p in used]
+                yield _table(ASKED, used + lowest, [batch] * len(used), data)
+
+    return run
 
 
 COUNTED = "batch long, part int, data binary, kinds long"
@@ -185,7 +277,7 @@ def _count_words(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in runs(batches, "part", ["batch", "data"]):
             asked = [expand(d) for _, d in rows]
-            key, inverse = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
+            key, inverse = _distinct(np.concatenate([k for k, _ in asked]))
             total = np.bincount(inverse, np.concatenate([c for _, c in asked]), minlength=len(key)).astype(np.int64)
             rank = np.empty(len(key), np.int64)
             rank[np.argsort(-total, kind="stable")] = np.arange(len(key))
@@ -203,6 +295,8 @@ def _count_words(parts: int):
 
 #: tokens: sizes, places, gaps between the numbers of the words, and their counts; open: places in the tokens that still look for a longer context, and their probability so far.
 STATE = "batch long, docs array<{kind}>, held array<boolean>, tokens binary, open binary"
+#: What the pairs of level 1 came to; far: words of the windows, at most.
+PAIRS = "batch long, pairs binary, far long"
 
 
 def _by_part(answers: list) -> list[list[np.ndarray]]:
@@ -253,7 +347,7 @@ def _learn_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for docs, held, row in _joined(batches):
         number, count = (np.concatenate(x) for x in zip(*_by_part(row["answers"]), strict=True))
         (sizes,), (places,) = expand(row["sizes"]), expand(row["places"])
-        order = np.argsort(number)  # by frequency: most places are then small numbers
+        order = _order(number)  # by frequency: most places are then small numbers
         back = np.empty(len(order), np.uint32)
         back[order] = np.arange(len(order), dtype=np.uint32)
         places, number, count = back[places], _gaps(number[order]), count[order]
@@ -296,23 +390,37 @@ class _Batch:
             out = mix64(out) + self.words[at - k].astype(np.uint64)
         return out.view(np.int64)
 
+    def packed(self, part: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A partition and two places as one number."""
+        most = np.uint64(len(self.number))
+        return (part.astype(np.uint64) * most + a.astype(np.uint64)) * most + b.astype(np.uint64)
+
     def pairs(self, level: int, plan: _Plan) -> dict:
         """Distinct pairs of open tokens by (partition, context), each token's pair, and the contexts' places among the pairs."""
-        if level == 1:
-            context = self.words[self.at - 1].astype(np.int64)
-            heat = self.count[self.places[self.at - 1]] >= plan.hot
-        else:  # only hot contexts are asked for
-            context, heat = self.context(self.at, level), np.ones(len(self.at), bool)
-        symbol = self.words[self.at].astype(np.int64)
-        key = mix64(context.view(np.uint64)) + symbol.view(np.uint64)
-        first, inverse = _groups(key)
-        part = _part(np.where(heat[first], key[first].view(np.int64), context[first]), plan.parts)
-        order = np.lexsort((context[first], part))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        first = first[order]
-        pair = back[inverse]
-        part, context, symbol, heat = part[order], context[first], symbol[first], heat[first]
+        if level == 1 and plan.parts * len(self.number) ** 2 < 1 << 64:  # one sort, as places follow numbers
+            number = self.number.astype(np.int64)
+            last, here, heated = self.places[self.at - 1], self.places[self.at], self.count >= plan.hot
+            part = _part(number, plan.parts)[last]
+            some = np.flatnonzero(heated[last])
+            part[some] = _part((mix64(number[last[some]].view(np.uint64)) + number[here[some]].view(np.uint64)).view(np.int64), plan.parts)
+            first, pair = _groups(self.packed(part, last, here))
+            part, context, symbol, heat = part[first], number[last[first]], number[here[first]], heated[last[first]]
+        else:
+            if level == 1:
+                context = self.words[self.at - 1].astype(np.int64)
+                heat = self.count[self.places[self.at - 1]] >= plan.hot
+            else:  # only hot contexts are asked for
+                context, heat = self.context(self.at, level), np.ones(len(self.at), bool)
+            symbol = self.words[self.at].astype(np.int64)
+            key = mix64(context.view(np.uint64)) + symbol.view(np.uint64)
+            first, inverse = _groups(key)
+            part = _part(np.where(heat[first], key[first].view(np.int64), context[first]), plan.parts)
+            order = np.lexsort((context[first], part))
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            first = first[order]
+            pair = back[inverse]
+            part, context, symbol, heat = part[order], context[first], symbol[first], heat[first]
         new = np.ones(len(part), bool)
         new[1:] = (context[1:] != context[:-1]) | (part[1:] != part[:-1])
         n = np.bincount(pair, self.train[self.at], minlength=len(first)).astype(np.uint32)
@@ -332,22 +440,22 @@ def _ask_pairs(level: int, root: _Root, plan: _Plan):
             data = []
             for lo, hi in zip(lows, [*lows[1:], len(x["part"])], strict=True):
                 starts = np.flatnonzero(x["new"][lo:hi])
-                symbol, at = np.unique(x["symbol"][lo:hi], return_inverse=True)
+                symbol, at = _distinct(x["symbol"][lo:hi])
                 sizes = np.diff([*starts, hi - lo])
                 if level == 1:
                     count = np.zeros(len(symbol), np.int64)
                     count[at] = b.count[b.places[b.at[x["first"][lo:hi]]]]
-                    more = count
+                    more = _steps(count)
                 else:
                     more = b.p[x["first"][lo:hi]]
                 data.append(
                     squeeze(
-                        x["context"][lo:hi][starts],
+                        _gaps(x["context"][lo:hi][starts]),
                         x["hot"][lo:hi][starts].astype(np.uint8),
                         sizes.astype(np.uint32),
-                        at.astype(np.uint32),
+                        _gaps_of_runs(at.astype(np.uint32), starts),  # pairs of a context are in the order of symbols
                         x["n"][lo:hi],
-                        symbol,
+                        _gaps(symbol),
                         more,
                     )
                 )
@@ -356,6 +464,11 @@ def _ask_pairs(level: int, root: _Root, plan: _Plan):
     return run
 
 
+def _asked_pairs(level: int, data: bytes) -> list[np.ndarray]:
+    contexts, heat, sizes, at, n, symbols, more = expand(data)
+    return [np.cumsum(contexts), heat, sizes, _from_gaps_of_runs(at, sizes), n, np.cumsum(symbols), _from_steps(more) if level == 1 else more]
+
+
 def tested(total, listed, kinds, gain, by_parent):
     """Whether a context is retained, and what it leaves to its suffix: from its number of tokens, and of its listed symbols the tokens, the number, the sum of n log(n / p) and of p."""
     rest = total - listed
@@ -393,11 +506,11 @@ ANSWERED = "batch long, part int, data binary, context long, sums array<double>,
 def _answer_pairs(root: _Root, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in runs(batches, "part", ["batch", "data"]):
-            asked = [expand(d) for _, d in rows]
+            asked = [_asked_pairs(level, d) for _, d in rows]
             contexts, heat, sizes, at, n, symbols, more = zip(*asked, strict=True)
             symbol = np.concatenate([s[a] for s, a in zip(symbols, at, strict=True)])
             p = np.concatenate([root.probability(m[a]) if level == 1 else m for m, a in zip(more, at, strict=True)])
-            names, context = np.unique(np.concatenate(contexts), return_inverse=True)
+            names, context = _distinct(np.concatenate(contexts))
             hot = np.zeros(len(names), bool)
             hot[context] = np.concatenate(heat).astype(bool)
             context_of_chunk = np.split(context, np.cumsum([len(c) for c in contexts])[:-1])
@@ -446,10 +559,10 @@ def _answers(b: _Batch, x: dict, answers: list, level: int, plan: _Plan) -> tupl
 
 
 def _learn_pairs(root: _Root, plan: _Plan):
-    """Batches with the answers to their pairs: each token's count as the pair of the word before and itself, 0 if it was not open; the listed symbols of each word as a context, and their tokens."""
+    """The answers to batches' pairs: each token's count as the pair of the word before and itself, 0 if it was not open; the listed symbols of each word as a context, and their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, held, row in _joined(batches):
+        for _, held, row in _joined(batches):
             b = _Batch(row, held, root)
             together, (kinds, listed) = np.zeros(len(b.places), np.int64), np.zeros((2, len(b.number)), np.int64)
             if len(b.at):
@@ -458,15 +571,18 @@ def _learn_pairs(root: _Root, plan: _Plan):
                 word = b.places[b.at[x["first"]] - 1]
                 kinds[word], listed[word] = some, of_them
                 together[b.at] = n[x["pair"]]
-            state = [row["tokens"], b"", squeeze(together, kinds, listed)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["batch"]]), *_lists([docs, held]), *(pa.array([v], pa.binary()) for v in state)],
-                names=[*(c.split()[0] for c in STATE.split(", ")), "pairs"],
-            )
+            yield _table(PAIRS, [row["batch"]], [squeeze(*map(_narrow, (together, kinds, listed)))], [_far(together, plan.depth)])
 
     return run
 
 
+def _far(together: np.ndarray, depth: int) -> int:
+    """How many words before tokens can be in windows: as many as recur as neighbours without a break."""
+    at = np.arange(len(together))
+    run = at - np.maximum.accumulate(np.where(together >= LEAST_CONTEXT, -1, at))
+    return int(np.minimum(run[run > 0] + 1, depth).sum()) if depth > 1 else 0
+
+
 # ------------------------------------------------------------------ longer contexts
 
 #: A batch's own row has its documents and level 0; the others are chunks of windows, for the partition of their context of ``level`` words.
@@ -604,35 +720,38 @@ def _cut(b: _Batch, at: np.ndarray, x: _Answered, level: int, plan: _Plan) -> It
     if not len(at):
         return
     reach = np.full(len(at), level)
-    going = np.ones(len(at), bool)
-    least = np.full(len(at), np.iinfo(np.int64).max)
     key = np.zeros(len(at), np.uint64)
-    history = []
+    history, inside = [], b.inside[at]
+    going, tail, least = np.arange(len(at)), at, np.full(len(at), np.iinfo(np.int64).max)  # those that reach further, and the least count of their pairs
     for k in range(1, plan.depth + 1):
         if k > 1:
             # The pair of the (k - 1)th and kth word before.
-            inside = b.inside[at] >= k
-            n = np.where(inside, x.pairs[np.where(inside, at - k + 1, 0)], 0)
+            n = x.pairs[tail - k + 1]
             if k > level:
-                going &= inside & (least > LEAST_CONTEXT) & (n >= LEAST_CONTEXT)
+                on = (inside[going] >= k) & (least > LEAST_CONTEXT) & (n >= LEAST_CONTEXT)
+                going, tail, least, n = going[on], tail[on], least[on], n[on]
             least = np.minimum(least, n)
-        words = np.where(going, b.words[np.where(going, at - k, 0)], b.words.dtype.type(0))
+        words = np.zeros(len(at), b.words.dtype)
+        words[going] = b.words[tail - k]
         reach[going] = k
-        key = mix64(key + words.astype(np.uint64))
+        key[going] = mix64(key[going] + words[going].astype(np.uint64))
         history.append(words)
     route = history[0].astype(np.uint64)
     for k in range(2, level + 1):
         route = mix64(route) + history[k - 1].astype(np.uint64)
     symbol = b.words[at]
-    key += symbol.astype(np.uint64)
+    key = mix64(key) + symbol.astype(np.uint64)
     first, inverse = _groups(key)
     part = _part(route[first].view(np.int64), plan.parts)
-    order = np.lexsort((history[1][first], history[0][first], part))
+    if plan.parts * len(b.number) ** 2 < 1 << 64:  # places follow numbers
+        order = _order(b.packed(part, b.places[at[first] - 1], b.places[at[first] - 2]))
+    else:
+        order = np.lexsort((history[1][first], history[0][first], part))
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
     window = back[inverse]
     first, part = first[order], part[order]
-    by_window = np.argsort(window, kind="stable")
+    by_window = _order(window)
     docs, times = b.doc[at][by_window].astype(np.uint32), np.bincount(window, minlength=len(first))
     n = np.bincount(window, b.train[at], minlength=len(first)).astype(np.uint32)
     ends = np.cumsum(times)
@@ -644,15 +763,15 @@ def _cut(b: _Batch, at: np.ndarray, x: _Answered, level: int, plan: _Plan) -> It
         if level == 2:  # what the probability follows from takes less room: counts of pairs, and of each last word and symbol once
             starts = np.flatnonzero(_gaps(words[0]))
             last = b.places[at[rows[starts]] - 1]
-            symbols, of = np.unique(symbol[rows], return_inverse=True)
+            symbols, of = _distinct(symbol[rows])
             count = np.empty(len(symbols), np.int64)
             count[of] = b.count[b.places[at[rows]]]
             words[0] = _gaps(words[0][starts])
             sizes, kinds = np.diff(starts, append=hi - lo).astype(np.uint32), x.kinds[last]
             kept = last[kinds > 0]  # after the other words the probability is the symbol's own
             together = x.together[at[rows]][np.repeat(kinds > 0, sizes)]
-            states = [sizes, kinds, b.count[kept], x.listed[kept]]
-            yield which, squeeze(reach[rows].astype(np.uint8), *words, *states, _gaps(symbols), count, of.astype(np.uint32), together, *own)
+            states = [sizes, kinds, _steps(b.count[kept]), x.listed[kept]]
+            yield which, squeeze(reach[rows].astype(np.uint8), *words, *states, _gaps(symbols), _steps(count), of.astype(np.uint32), together, *own)
         else:
             yield which, squeeze(reach[rows].astype(np.uint8), *words, symbol[rows], _short(x.p[at[rows]]), *own)
 
@@ -664,9 +783,9 @@ def _window_arrays(level: int, data: bytes, root: _Root) -> list[np.ndarray]:
         return c
     reach, last, *words, sizes, kinds, total, listed, symbols, count, of, together, n, times, docs = c
     each = lambda a: np.repeat(a, sizes)
-    p, kept = root.probability(count)[of], each(kinds > 0)
+    p, kept = root.probability(_from_steps(count))[of], each(kinds > 0)
     after = sizes[kinds > 0]
-    p[kept] = mixed(together, *(np.repeat(a, after) for a in (total, kinds[kinds > 0], listed)), p[kept])
+    p[kept] = mixed(together, *(np.repeat(a, after) for a in (_from_steps(total), kinds[kinds > 0], listed)), p[kept])
     return [reach, each(np.cumsum(last, dtype=np.uint64)), *words, np.cumsum(symbols, dtype=np.uint64)[of], p, n, times, docs]
 
 
@@ -720,7 +839,7 @@ def _solved(level: int, rows: list[tuple], root: _Root, schema: pa.Schema) -> pa
             continue
         first, inverse = _groups(mix64(code) + symbol[alive])
         total = np.bincount(inverse, n[alive], minlength=len(first)).astype(np.int64)
-        names, context = np.unique(code[first], return_inverse=True)
+        names, context = _distinct(code[first])
         before = p[alive][first]
         sums = _Sums(context, len(names), total, before)
         kept = tested(*sums.all())
@@ -741,6 +860,34 @@ def _solved(level: int, rows: list[tuple], root: _Root, schema: pa.Schema) -> pa
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Own rows as they are, and for each batch one row of the sums that were found for its documents."""
+    at, logs, retained = None, np.empty(0), 0
+
+    def out() -> pa.RecordBatch:
+        some = np.flatnonzero(logs)
+        data = [[at], [None], [None], [squeeze(some.astype(np.uint32), logs[some])], [retained]]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(data, b.schema, strict=True)], schema=b.schema)
+
+    for b in batches:
+        docs = b.column(b.schema.get_field_index("docs"))
+        for i, (batch, data, states) in enumerate(zip(*(column(b, c) for c in ("batch", "data", "retained")), strict=True)):
+            if docs[i].is_valid:
+                yield b.slice(i, 1)
+                continue
+            if batch != at:
+                if at is not None:
+                    yield out()
+                at, logs, retained = batch, np.empty(0), 0
+            some, sums = expand(data)
+            if len(some) and some[-1] >= len(logs):
+                logs = np.concatenate([logs, np.zeros(int(some[-1]) + 1 - len(logs))])
+            logs[some] += sums
+            retained += states
+    if at is not None:
+        yield out()
+
+
 def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Own rows, each followed by the sums that were found for its documents."""
     at, own, logs = None, None, None
@@ -772,12 +919,15 @@ class _Bucketed:
     """A table dealt to buckets of its batches, so that no join moves it again."""
 
     def __init__(self, df: DataFrame, parts: int, *folders: str):
-        self.spark, self.name = df.sparkSession, f"suffix_tree_{uuid.uuid4().hex}"
+        self.spark, self.name, self.parts, self.folders = df.sparkSession, f"suffix_tree_{uuid.uuid4().hex}", parts, folders
         self.path = f"{shared_dir(self.spark)}/{self.name}"
         atexit.register(self.drop)  # in case the computation fails
+        self.add(df)
+
+    def add(self, df: DataFrame) -> None:
         with shuffles_go(self.spark):
-            writer = df.write.partitionBy(*folders) if folders else df.write
-            writer.bucketBy(min(parts, MOST_BUCKETS), "batch").option("path", self.path).saveAsTable(self.name)
+            writer = df.write.mode("append").partitionBy(*self.folders) if self.folders else df.write.mode("append")
+            writer.bucketBy(min(self.parts, MOST_BUCKETS), "batch").option("path", self.path).saveAsTable(self.name)
         self.df = self.spark.table(self.name)
 
     def drop(self) -> None:
@@ -800,18 +950,28 @@ def score(docs: DataFrame, depth: int = DEPTH, hot: int | None = None) -> DataFr
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))  # what a task holds does not grow with the input
     kind = docs.schema["doc_id"].dataType.simpleString()
     scratch = Scratch(spark)
-    batches = _Bucketed(rows_of(docs).mapInArrow(_read(parts), BATCHES.format(kind=kind)), parts, "asks")
-    total = batches.df.agg(F.sum("trained")).first()[0] or 0
+    batches = _Bucketed(rows_of(docs).mapInArrow(_read(parts), BATCHES.format(kind=kind)), parts, "asks", "share")
+    total = batches.df.where("asks = 0").agg(F.sum("trained")).first()[0] or 0
     plan = _Plan(parts, hot or max(HOT, total // MOST_HOT), depth)
-    asked = batches.df.where("asks = 1").select("batch", "words", "counts", "bounds").mapInArrow(_ask_words, ASKED)
-    counted = scratch.table(dealt_by(asked, parts, "part", "batch").mapInArrow(_count_words(parts), COUNTED), "word-counts")
-    root = _Root(total, counted.agg(F.sum("kinds")).first()[0] or 0)
-    drop_table(spark, f"{batches.path}/asks=1")
-    joined = batches.df.where("asks = 0").select("batch", "docs", "held", "sizes", "places").join(_gathered(counted).hint("merge"), "batch")
-    state = _Bucketed(joined.mapInArrow(_learn_words, STATE.format(kind=kind)), parts)
+    counts, kinds = [], 0
+    for share, (lo, hi) in enumerate(pairwise(_shares(parts))):
+        asked = batches.df.where(f"asks = 1 AND share = {share}").select("batch", "words", "counts", "bounds").mapInArrow(_ask_words(lo), ASKED)
+        counts.append(scratch.table(dealt_by(asked, max(hi - lo, 1), "part", "batch").mapInArrow(_count_words(parts), COUNTED), f"word-counts-{share}"))
+        kinds += counts[-1].agg(F.sum("kinds")).first()[0] or 0
+        drop_table(spark, f"{batches.path}/asks=1/share={share}")
+    root, counted, state = _Root(total, kinds), reduce(DataFrame.unionByName, counts), None
+    for share in range(SHARES):
+        own = batches.df.where(f"asks = 0 AND share = {share}").select("batch", "docs", "held", "sizes", "places")
+        joined = own.join(_gathered(counted.where(f"{_SHARE} = {share}")).hint("merge"), "batch")
+        learnt = joined.mapInArrow(_learn_words, STATE.format(kind=kind))
+        if state:
+            state.add(learnt)
+        else:
+            state = _Bucketed(learnt, parts)
+        drop_table(spark, f"{batches.path}/asks=0/share={share}")
     batches.drop()
-    scratch.drop(counted)
-    level, states, solved = 1, 0, []
+    scratch.drop(*counts)
+    level, states, solved, pairs, turns = 1, 0, [], None, 1
     while state:
         asked = state.df.mapInArrow(_ask_pairs(level, root, plan), ASKED)
         answered = scratch.table(dealt_by(asked, parts, "part", "batch").mapInArrow(_answer_pairs(root, level), ANSWERED), f"pairs-{level}")
@@ -820,21 +980,23 @@ def score(docs: DataFrame, depth: int = DEPTH, hot: int | None = None) -> DataFr
         states += (retained or 0) + sum(s[2] > 0 for s in plan.states.values())
         known = state.df.join(_gathered(answered).hint("merge"), "batch", "left")
         if level == 1:  # looked up once, for all turns
-            learnt = _Bucketed(known.mapInArrow(_learn_pairs(root, plan), STATE.format(kind=kind) + ", pairs binary"), parts)
-            state.drop()
+            pairs = _Bucketed(known.mapInArrow(_learn_pairs(root, plan), PAIRS), parts)
             scratch.drop(answered)
-            state, known = learnt, learnt.df
-        turns = min(TURNS, parts) if level == 1 else 1
+            known = state.df.join(pairs.df.select("batch", "pairs").hint("merge"), "batch")
+            turns = min(parts, -(-(pairs.df.agg(F.sum("far")).first()[0] or 0) // max(int(TURN_WORDS * size), 1))) or 1
         for turn in range(turns):
             windows = known.mapInArrow(_windows(level, root, plan, turn, turns), WINDOWS.format(kind=kind))
             dealt = dealt_by(windows, -(-parts // turns), "part", "level", "batch")
-            solved.append(scratch.table(dealt.mapInArrow(_solve(root), SOLVED.format(kind=kind)), f"solved-{level}-{turn}"))
+            found = scratch.table(dealt.mapInArrow(_solve(root), SOLVED.format(kind=kind)), f"solved-{level}-{turn}")
+            solved.append(scratch.table(dealt_by(found, parts, "batch").mapInArrow(_add_up, SOLVED.format(kind=kind)), f"sums-{level}-{turn}"))
+            scratch.drop(found)
         following = None
         if (most or 0) >= plan.hot and level < depth:
             following = _Bucketed(known.mapInArrow(_keep_hot(level, root, plan), STATE.format(kind=kind) + ", pairs binary"), parts)
-        state.drop()
+        for table in [state, pairs] if level == 1 else [state]:
+            table.drop()
         scratch.drop(answered)
-        state, level = following, level + 1
+        state, level, turns = following, level + 1, 1
     sums = reduce(DataFrame.unionByName, solved)
     states += sums.agg(F.sum("retained")).first()[0] or 0
     sums = dealt_by(sums.withColumn("later", F.col("docs").isNull()), parts, "batch", "later")

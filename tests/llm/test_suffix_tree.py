@@ -4,7 +4,9 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,53 @@ def test_windows_are_on_disk_in_turns(spark, chain, monkeypatch):
     sizes = [sum(t.values()) for t in turns]
     assert len(sizes) > 1 and max(sizes) < 0.8 * sum(sizes)
     assert sum(map(len, turns)) == len(set().union(*turns))
+
+
+def test_what_was_read_goes(spark, chain, monkeypatch):
+    """Words go share by share once they are counted, and of an earlier turn only each document's sum stays."""
+    top, words, turns, dealt_by = x.shared_dir(spark).removeprefix("file://").removeprefix("file:"), [], [], x.dealt_by
+    there = lambda what: {str(p) for p in Path(top).glob(what)}
+    before = there("*")
+
+    def seen(df, parts, key, *order):
+        new = [p for what in ("*/asks=1/share=*", "solved-*") for p in there(what) if not any(p.startswith(b) for b in before)]
+        if "level" in order:
+            turns.append([p for p in new if "solved-" in p])
+        elif key == "part" and len(words) < x.SHARES:
+            words.append(len(new))
+        return dealt_by(df, parts, key, *order)
+
+    monkeypatch.setattr(x, "dealt_by", seen)
+    x.score(spark.createDataFrame(chain, SCHEMA).repartition(5)).count()
+    assert words == list(range(x.SHARES, 0, -1))
+    assert len(turns) > 1 and not any(turns)
+
+
+def test_turns_follow_the_windows(spark, chain, monkeypatch):
+    """The fewer words a turn may have, the more turns there are, one for each partition at most; the scores stay."""
+    docs, dealt_by, found = spark.createDataFrame(chain, SCHEMA).repartition(5), x.dealt_by, []
+
+    def seen(df, parts, key, *order):
+        found[-1][0] += "level" in order
+        return dealt_by(df, parts, key, *order)
+
+    monkeypatch.setattr(x, "dealt_by", seen)
+    for share in (100.0, 1.0, 1e-9):
+        monkeypatch.setattr(x, "TURN_WORDS", share)
+        found.append([0, None])
+        found[-1][1] = {r.doc_id: r.score for r in x.score(docs).collect()}
+    assert found[0][0] == 1 < found[1][0] <= found[2][0] == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(f[1] == pytest.approx(found[0][1], abs=1e-9) for f in found[1:])
+
+
+def test_order_of_values():
+    """Also where keys are too wide to be sorted with their places."""
+    rng = np.random.default_rng(0)
+    wide = (rng.integers(0, 1 << 20, 5000).astype(np.uint64) << np.uint64(44)) + rng.integers(0, 3, 5000).astype(np.uint64)
+    for k in (np.empty(0, np.int64), rng.integers(-(1 << 63), (1 << 63) - 1, 5000), rng.integers(0, 50, 5000).astype(np.uint32), wide, np.array([1 << 63, (1 << 64) - 1, 0], np.uint64)):
+        k = np.concatenate([k, k[::3]])
+        assert x._order(k).tolist() == np.argsort(k, kind="stable").tolist()
+        if len(k):
+            assert x._from_steps(x._steps(k.astype(np.int64) >> 3)).tolist() == (k.astype(np.int64) >> 3).tolist()
+            starts = np.arange(0, len(k), 7)
+            assert x._from_gaps_of_runs(x._gaps_of_runs(k, starts), np.diff(starts, append=len(k))).tolist() == k.tolist()
