@@ -7,10 +7,14 @@ smaller doc_id.  The work is brought to where equal strings meet:
    substrings.  Equal windows have equal anchors, so only runs of windows whose
    anchor stands in two different texts go on.  An anchor of more than HOT texts
    is parted by a second one, the least of another hash of the same substrings,
-   which equal windows share as well.
+   which equal windows share as well; those of very many texts are parted by
+   anchors of longer substrings as well, so that the surroundings of a passage
+   that stands everywhere do not meet at one place.
 2. Such a run of windows is a snippet.  Slices of documents send each distinct
    snippet once, with its least doc_id, to the bucket of its anchor.
-3. A bucket joins its distinct snippets to one string, builds the transform and
+3. A bucket joins its distinct snippets to strings of bounded length (snippets of
+   one anchor are parted by further anchors, and at last window by window, where
+   they are too many for one), builds the transform of each and
    expands intervals breadth-first by backward extension: the level-l step
    finds all boundaries where neighbouring suffixes share just l symbols, for
    ascending l, and stops at 50.  What no boundary parts shares 50 bytes or
@@ -45,15 +49,18 @@ LENGTH = 50
 GRAM = 20
 #: Windows of one snippet at most; longer runs are cut, with their windows whole.
 LONGEST = 4096
-#: Symbols of one transform (the snippets of one key are never parted).
-BLOCK = 2 << 20
+#: Symbols of one transform, about; it takes some 80 bytes a symbol.
+BLOCK = 1 << 20
 SLICE = 4 << 20
 #: Bytes of input text for each bucket of snippets; a task holds one.
 BUCKET_BYTES = 16 << 20
 #: Bytes of input text for each partition of anchors, which a task holds at once.
-PART_BYTES = 64 << 20
-#: Texts of an anchor from which on it is parted.
+PART_BYTES = 16 << 20
+#: Texts of an anchor from which on it is parted, and how many times as many part it once more.
 HOT = 256
+HOTTER = 32
+#: Length of the substrings of each further anchor; the last is the window itself.  Requests are parted by all but that one.
+FURTHER = (GRAM, 35, 45, LENGTH)
 
 
 # ----------------------------------------------------------------- anchors
@@ -92,25 +99,26 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     return _sliding_min(h, length - gram + 1) if len(h) else h
 
 
-def second_anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    h = _grams(text, length, gram)
-    return _sliding_min(mix64(h), length - gram + 1) if len(h) else h
+def further_anchors(text: bytes, level: int, length: int = LENGTH) -> np.ndarray:
+    """Another anchor of each window: the first further one by another hash, the later ones of longer substrings."""
+    h = _grams(text, length, FURTHER[level])
+    return _sliding_min(mix64(h), length - FURTHER[level] + 1) if len(h) else h
 
 
-def _parted(text: bytes, keys: list[int], starts: list[int], sizes: list[int], hot: list[bool]) -> list[tuple[int, int, int]]:
-    """Runs (key, first window, windows), the hot ones cut where their windows' second anchor changes."""
-    if not any(hot):
-        return list(zip(keys, starts, sizes, strict=True))
-    second, out = second_anchors(text), []
-    for key, start, size, part in zip(keys, starts, sizes, hot, strict=True):
-        if not part:
-            out.append((key, start, size))
-            continue
-        inner = second[start : start + size]
-        cuts = [0, *(np.flatnonzero(inner[1:] != inner[:-1]) + 1).tolist(), size]
-        both = mix64(inner[cuts[:-1]] ^ mix64(np.array([key], np.uint64)))
-        out += [(k, start + lo, hi - lo) for k, lo, hi in zip(both.tolist(), cuts[:-1], cuts[1:], strict=True)]
-    return out
+def _parted(text: bytes, keys: list[int], starts: list[int], sizes: list[int], hot: list[int]) -> list[tuple[int, int, int]]:
+    """Runs (key, first window, windows), the hot ones cut where one of their windows' further anchors changes: as many of these as ``hot`` says."""
+    out = list(zip(keys, starts, sizes, hot, strict=True))
+    for level in range(max(hot, default=0)):
+        further, rest, out = further_anchors(text, level), out, []
+        for key, start, size, more in rest:
+            if more <= level:
+                out.append((key, start, size, more))
+                continue
+            inner = further[start : start + size]
+            cuts = [0, *(np.flatnonzero(inner[1:] != inner[:-1]) + 1).tolist(), size]
+            both = mix64(inner[cuts[:-1]] ^ mix64(np.array([key], np.uint64)))
+            out += [(k, start + lo, hi - lo, more) for k, lo, hi in zip(both.tolist(), cuts[:-1], cuts[1:], strict=True)]
+    return [run[:3] for run in out]
 
 
 def _anchor_runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,6 +253,73 @@ def least_documents(snippets: list[bytes], docs: np.ndarray, length: int = LENGT
     return np.split(out[at], np.cumsum(windows)[:-1])
 
 
+def _in_runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of runs: windows that follow each other mostly have one least document."""
+    heads = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    return a[heads], np.diff(np.concatenate([heads, [len(a)]])).astype(np.uint32)
+
+
+def _pieces(snippets: list[bytes], docs: np.ndarray, level: int) -> tuple[list[bytes], np.ndarray, np.ndarray, list[list[int]]]:
+    """Distinct pieces of snippets, cut where a further anchor changes, with their anchors and least documents; and each snippet's pieces."""
+    where: dict[bytes, int] = {}
+    keys, least, uses = [], [], []
+    sizes = np.array([len(s) for s in snippets], np.int64)
+    block = np.cumsum(sizes + 1) // BLOCK
+    cuts = (np.flatnonzero(np.diff(block)) + 1).tolist()
+    for first, last in zip([0, *cuts], [*cuts, len(snippets)], strict=True):
+        flat, own = b"".join(snippets[first:last]), sizes[first:last]
+        starts = np.cumsum(own) - own
+        further = further_anchors(flat, level)
+        windows = own - LENGTH + 1
+        owner = np.repeat(np.arange(len(own)), windows)
+        at = np.arange(len(owner)) + (starts - np.cumsum(windows) + windows)[owner]
+        further = further[at]
+        heads = np.flatnonzero(np.concatenate([[True], (further[1:] != further[:-1]) | (owner[1:] != owner[:-1])]))
+        lows, highs = at[heads], at[np.concatenate([heads[1:], [len(at)]]) - 1] + LENGTH
+        uses += [[] for _ in own]
+        for o, k, lo, hi in zip(owner[heads].tolist(), further[heads].tolist(), lows.tolist(), highs.tolist(), strict=True):
+            piece, doc = flat[lo:hi], int(docs[first + o])
+            place = where.setdefault(piece, len(keys))
+            if place == len(keys):
+                keys.append(k)
+                least.append(doc)
+            elif doc < least[place]:
+                least[place] = doc
+            uses[first + o].append(place)
+    return list(where), np.array(keys, np.uint64), np.array(least, np.int64), uses
+
+
+def least_in_runs(snippets: list[bytes], keys: np.ndarray, docs: np.ndarray, level: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """:func:`least_documents` in runs, of distinct snippets whose equal windows are in snippets of equal keys.
+
+    Blocks hold whole keys, up to two blocks' symbols.  A key of more symbols is parted by
+    the further anchors, from ``level`` on; in the end equal windows are one piece.
+    """
+    order = np.argsort(keys, kind="stable")
+    ordered, sizes = keys[order], np.array([len(s) + 1 for s in snippets], np.int64)[order]
+    heads = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+    symbols, members = np.add.reduceat(sizes, heads), np.diff(np.concatenate([heads, [len(order)]]))
+    large = (symbols > BLOCK) & (members > 1) & (level < len(FURTHER))
+    found: list = [None] * len(snippets)
+    for head, n in zip(heads[large].tolist(), members[large].tolist(), strict=True):
+        own = order[head : head + n]
+        pieces, piece_keys, least, uses = _pieces([snippets[i] for i in own.tolist()], docs[own], level)
+        parts = least_in_runs(pieces, piece_keys, least, level + 1)
+        for i, use in zip(own.tolist(), uses, strict=True):
+            values, lengths = zip(*(parts[k] for k in use), strict=True)
+            found[i] = np.concatenate(values), np.concatenate(lengths)
+    order, symbols = order[~np.repeat(large, members)], symbols[~large]
+    if not len(order):
+        return found
+    ordered = keys[order]
+    heads = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+    cuts = heads[np.diff(symbols.cumsum() // BLOCK) > 0]
+    for own in np.split(order, cuts):
+        for i, windows in zip(own.tolist(), least_documents([snippets[i] for i in own.tolist()], docs[own]), strict=True):
+            found[i] = _in_runs(windows)
+    return found
+
+
 # ----------------------------------------------------------------- moving parts
 
 
@@ -303,7 +378,7 @@ SHARED = "part int, texts binary, anchors binary, hot binary"
 
 
 def _find_shared(parts: int, most: int):
-    """Of one partition of anchors, those that stand in different texts and whether they are hot, sent on by text."""
+    """Of one partition of anchors, those that stand in different texts and by how many further ones they are parted, sent on by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in runs(batches, "part", ["texts", "counts", "anchors"]):
@@ -314,7 +389,8 @@ def _find_shared(parts: int, most: int):
             heads = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
             differ = np.minimum.reduceat(text, heads) != np.maximum.reduceat(text, heads)
             times = np.diff(np.concatenate([heads, [len(key)]]))
-            shared, hot = np.repeat(differ, times), np.repeat(times > most, times)
+            levels = sum((times > most * HOTTER**k).astype(np.uint8) for k in range(len(FURTHER) - 1))
+            shared, hot = np.repeat(differ, times), np.repeat(levels, times)
             key, text, hot = key[shared], text[shared], hot[shared]
             part = (text.view(np.uint64) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -332,7 +408,7 @@ def _gather_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for _, rows in runs(batches, "part", ["texts", "anchors", "hot"]):
         text = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
         key = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
-        hot = np.concatenate([np.frombuffer(r[2], bool) for r in rows])
+        hot = np.concatenate([np.frombuffer(r[2], np.uint8) for r in rows])
         order = np.lexsort((key, text))
         text, key, hot = text[order], key[order], hot[order]
         heads = np.concatenate([[0], np.flatnonzero(text[1:] != text[:-1]) + 1])
@@ -361,7 +437,7 @@ def _send_snippets(buckets: int):
                 kept = np.flatnonzero(known[found] == anchor) if len(anchor) else []
                 if not len(kept):
                     continue
-                heat = np.frombuffer(hot, bool)[found[kept]].tolist()
+                heat = np.frombuffer(hot, np.uint8)[found[kept]].tolist()
                 index = len(docs) // 3
                 docs += [h1, h2, doc]
                 for a, s, n in _parted(text, anchor[kept].tolist(), starts[kept].tolist(), sizes[kept].tolist(), heat):
@@ -419,12 +495,6 @@ def _send_snippets(buckets: int):
 ANSWERS = "bucket int, slice long, least binary"
 
 
-def _in_runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values and lengths of runs: windows that follow each other mostly have one least document."""
-    heads = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    return a[heads], np.diff(np.concatenate([heads, [len(a)]])).astype(np.uint32)
-
-
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The least document of every window of a bucket's snippets, slice by slice."""
     expand_bytes = zstandard.ZstdDecompressor().decompress
@@ -452,17 +522,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     least[place] = d
                 use.append(place)
             uses.append(use)
-        # Blocks of whole anchors.
-        order = np.argsort(np.array(keys, np.uint64), kind="stable")
-        ordered, sizes = np.array(keys, np.uint64)[order], np.array([len(s) + 1 for s in snippets], np.int64)[order]
-        heads = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
-        group_ends = np.add.reduceat(sizes, heads).cumsum()
-        cuts = heads[1:][np.diff(group_ends // BLOCK) > 0]
-        found: list = [None] * len(snippets)
-        docs = np.array(least, np.int64)
-        for own in np.split(order, cuts):
-            for i, windows in zip(own.tolist(), least_documents([snippets[i] for i in own.tolist()], docs[own]), strict=True):
-                found[i] = _in_runs(windows)
+        found = least_in_runs(snippets, np.array(keys, np.uint64), np.array(least, np.int64))
         for r, use in zip(rows, uses, strict=True):
             values, lengths = (np.concatenate(x) for x in zip(*(found[i] for i in use), strict=True))
             yield _batch([(bucket, r[0], squeeze(values, lengths))], ANSWERS)
@@ -534,12 +594,13 @@ def _hashed(docs: DataFrame) -> DataFrame:
 def _candidates(rows: DataFrame, parts: int, buckets: int, hot: int) -> str:
     """Write the snippets of all slices; returns the table's path.
 
+    A task gets one part, and later one bucket: dealt by a hash of their numbers, some tasks would hold six.
     Nothing that refers to the shuffles behind the table is left when this returns.
     """
     known = rows.where("doc_id IS NOT NULL").select("h1", "h2", "doc_id", "text")
     sent = known.mapInArrow(_send_anchors(parts), ANCHORS)
-    shared = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_find_shared(parts, hot), SHARED)
-    by_text = shared.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_gather_shared, BY_TEXT)
+    shared = sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_find_shared(parts, hot), SHARED)
+    by_text = shared.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_gather_shared, BY_TEXT)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hashes, least, texts in _distinct_texts(batches):
@@ -553,7 +614,7 @@ def _candidates(rows: DataFrame, parts: int, buckets: int, hot: int) -> str:
 def _removed(snippets: DataFrame, parts: int, buckets: int) -> str:
     """Write the ranges to remove from each text; returns the table's path."""
     requests = snippets.where("bucket >= 0").select("bucket", "slice", "snippets", "sizes", "anchors", "docs")
-    answers = requests.repartition(buckets, "bucket").sortWithinPartitions("bucket", "slice").mapInArrow(_answer, ANSWERS)
+    answers = requests.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "slice").mapInArrow(_answer, ANSWERS)
     nothing = F.lit(None).cast("binary")
     states = snippets.where("bucket < 0").select("bucket", "slice", "sizes", "docs", "places", "starts", nothing.alias("least"))
     answers = answers.select("bucket", "slice", *[nothing.alias(c) for c in ("sizes", "docs", "places", "starts")], "least")

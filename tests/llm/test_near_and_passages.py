@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 
 from conftest_llm import words
 from cuelattice.llm import bwt_dedup as bw
@@ -364,6 +365,32 @@ def test_small_blocks(monkeypatch, odd, odd_rows):
     assert removed(bw.dedup(odd)) == brute_removal(odd_rows)
 
 
+def test_very_hot_anchors_are_parted_further(odd, odd_rows):
+    """Every anchor, by all further ones that requests know."""
+    assert removed(bw.dedup(odd, hot=0)) == brute_removal(odd_rows)
+
+
+def test_a_passage_everywhere_takes_bounded_transforms(monkeypatch):
+    """Very many surroundings of one passage, all under one anchor: the blocks of a bucket stay small, and its answers right."""
+    rng = random.Random(8)
+    around = lambda n: bytes(rng.choice(b"abcd") for _ in range(n))
+    snippets = sorted({around(rng.randrange(0, 30)) + b"a passage that stands in all documents, 52 bytes long" + around(rng.randrange(0, 30)) for _ in range(400)})
+    docs = np.array([rng.randrange(1000) for _ in snippets], np.int64)
+    want: dict[bytes, int] = {}
+    windows = [[s[i : i + 50] for i in range(len(s) - 49)] for s in snippets]
+    for own, doc in zip(windows, docs.tolist(), strict=True):
+        for w in own:
+            want[w] = min(want.get(w, doc), doc)
+    most, expand = [], bw.expand
+    monkeypatch.setattr(bw, "BLOCK", 2000)
+    monkeypatch.setattr(bw, "expand", lambda symbols, length=50: most.append(len(symbols)) or expand(symbols, length))
+    row = (0, 7, zstandard.ZstdCompressor().compress(b"".join(snippets)), bw.pack(np.array([len(s) for s in snippets])), np.full(len(snippets), 5, np.uint64).tobytes(), docs.tobytes(), b"", b"")
+    (batch,) = bw._answer(iter([bw._batch([row], bw.SNIPPETS)]))
+    values, lengths = bw.expand_arrays(batch.column(2)[0].as_py())
+    assert np.repeat(values, lengths).tolist() == [want[w] for own in windows for w in own]
+    assert len(most) > 5 and max(most) <= 4000
+
+
 @pytest.mark.parametrize("n_chars", [500, 2000, 3800])
 @pytest.mark.parametrize("where", [0.0, 0.5, 1.0])
 def test_bands_propose_near_texts_wherever_they_differ(n_chars, where):
