@@ -12,6 +12,7 @@ from cuelattice.functions import scalar
 from cuelattice.functions.parsing import parse_module
 from cuelattice.index import index_files, index_repository
 from cuelattice.operators import extract, scip
+from cuelattice.plans.lineage import cut
 from cuelattice.schema import as_nodes
 from cuelattice.service import Service, open_references
 from cuelattice.sources import files
@@ -328,6 +329,47 @@ def test_extracted_files_are_parsed_once(spark):
     assert sorted(r.id for r in graph.nodes.where("node_type <> 'tag'").collect()) == ["content:a.py::<module>", "content:a.py::f", "cue:symbol:a.py::f"]
 
 
+_ONCE, _TWICE = b"def f(): raise KeyError('no')\n", b"class A:\n    def x(self): pass\n    def x(self): raise OSError('no')\ndef g(): raise OSError('no')\n"
+
+
+def test_only_files_with_repeats_are_looked_through(spark):
+    """A name or a message twice: the same rows as when all files are looked through; without them, rows are not grouped by id."""
+    files_ = spark.createDataFrame([("a.py", bytearray(_ONCE)), ("b.py", bytearray(_TWICE)), ("c.py", bytearray(b"\xff"))], "source_file string, content binary")
+    parsed = cut(extract.parse_files(files_).withColumn("repeats", extract.repeats()))
+    assert {r.source_file: r.repeats for r in parsed.select("source_file", "repeats").collect()} == {"a.py": False, "b.py": True, "c.py": False}
+    some, every = extract.extract(parsed, NOW, repeated=None), extract.extract(parsed, NOW)
+    for a, b in ((some.nodes, every.nodes), (some.edges, every.edges)):
+        rows = sorted(map(str, a.collect()))
+        assert rows == sorted(map(str, b.collect())) and len(rows) > 8
+    none = extract.extract(parsed.where("source_file = 'a.py'"), NOW, repeated=False)
+    assert all("Window" not in rows._jdf.queryExecution().optimizedPlan().toString() for rows in (none.nodes, none.edges))
+
+
+def test_a_file_that_a_scan_has_twice(spark, tmp_path):
+    store = Store(spark, tmp_path, scalar.HASH_MODEL, scalar.HASH_DIM)
+    store.initialize()
+    files_ = spark.createDataFrame([("a.py", bytearray(_ONCE))] * 2, "source_file string, content binary")
+    index_files(store, files_, scalar.hash_embedding, scalar.HASH_MODEL, at=NOW)
+    ids = [r.id for r in store.graph.nodes.where("node_type <> 'tag'").collect()]
+    assert len(ids) == len(set(ids)) == 4 and store.indexed_files.count() == 1
+
+
+def test_the_first_publish_groups_and_joins_nothing(spark, tmp_path, monkeypatch):
+    """Every row was grouped twice by its key, and joined with the empty tables of a new store."""
+    plans, publish = [], Store._publish
+
+    def seen(store):
+        plans.extend(rows._jdf.queryExecution().optimizedPlan().toString() for rows in (store.graph.nodes, store.graph.edges))
+        publish(store)
+
+    monkeypatch.setattr(Store, "_publish", seen)
+    store = Store(spark, tmp_path, scalar.HASH_MODEL, scalar.HASH_DIM)
+    store.initialize()
+    files_ = spark.createDataFrame([("a.py", bytearray(_ONCE)), ("b.py", bytearray(_TWICE))], "source_file string, content binary")
+    index_files(store, files_, scalar.hash_embedding, scalar.HASH_MODEL, at=NOW)
+    assert len(plans) == 2 and not any(x in p for p in plans for x in ("max_by", "LeftAnti", "LeftOuter", "LeftSemi"))
+
+
 def test_hash_embedding_hashes_once_a_text(spark):
     plan = spark.range(3).select(scalar.hash_embedding(F.col("id").cast("string")).alias("v"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("sha2(") == 1  # it stood in the lambdas of the norm too, and was computed for each of 32 elements there
